@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, small_batches
 from .files import fresh, make_folder, opened
 
-END_ID, CACHE_WORDS = 1, 300_000
+END_ID, CACHE_WORDS = 1, 600_000
 MANIFEST = "part int, stem string, n_docs long, n_null long, n_tokens long, width int"
-#: ASCII letters, then ASCII punctuation without the apostrophe: two pieces that normalization only lower-cases.
-_PLAIN = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII punctuation without the apostrophe: a run of it at a word's end is a piece of its own.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = dict(zip((b for b in range(256) if b not in _PRINTABLE), map(chr, range(256, 512)), strict=False))
 
 
 class Encoder:
@@ -49,28 +52,38 @@ class Encoder:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
+    def _piece(self, piece: str) -> bytes:
+        out = self.pieces.get(piece)
+        if out is None:
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.library.model.tokenize(piece)]
-        return ids
+            out = self.pieces[piece] = b"".join([t.id.to_bytes(self.width, "little") for t in self.library.model.tokenize(piece)])
+        return out
 
-    def _word(self, word: bytes) -> bytes:
-        m = _PLAIN.fullmatch(word)
-        if m and not (self.added and self.added.search(word)):
-            ids = [i for g in m.groups() if g for i in self._piece(g.decode().lower())]
-        elif self.added and self.added.search(word):
-            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+    def _split(self, word: bytes) -> bytes:
+        """Ids of a word that isn't in the cache."""
+        core = word.rstrip(_PUNCTUATION)
+        # Letters below U+0100 are composed already and have one lower-case form; bytes.isalpha() knows ASCII only.
+        if not core or core.isalpha():
+            head = core.lower().decode()
+        elif max(core) < 0xC4 and (text := core.decode()).isalpha():
+            head = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
         else:
             text = self.library.normalizer.normalize_str(word.decode())
-            ids = [i for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text) for i in self._piece(p)]
+            return b"".join([self._piece(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
+        tail = word[len(core) :].decode()
+        return (self._piece(head) if head else b"") + (self._piece(tail) if tail else b"")
+
+    def _word(self, word: bytes) -> bytes:
+        if self.added and self.added.search(word):
+            out = b"".join([i.to_bytes(self.width, "little") for i in self.library.encode(word.decode(), add_special_tokens=False).ids])
+        else:
+            out = self._split(word)
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
-        out = self.words[word] = np.array(ids, self.type).tobytes()
+        self.words[word] = out
         return out
 
     def encode(self, text: bytes | None) -> bytes:
