@@ -9,6 +9,7 @@ from .chat_format import format_chat, read_chat, text_parts
 from .common import scratch, table
 from .decontaminate import find_contamination, is_contaminated, n_hit
 from .mixing import mix
+from .near_dedup import link
 from .quality_rules import judge
 from .secret_scan import BASE, joined, scan_secrets
 from .sharding import shard
@@ -76,6 +77,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(n, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_mixing"] = r"""
@@ -164,4 +169,4 @@ FROM (
   FROM u)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup)}
