@@ -15,6 +15,7 @@ from .secret_scan import BASE, joined, scan_secrets
 from .sharding import shard
 from .token_files import tokenize
 from .url_filter import filter_urls
+from .warc import archive
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -37,6 +38,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,6 +117,16 @@ SELECT doc_id, size, source_size, target,
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
+SQL["op4_warc"] = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 SQL["op6_decontamination"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -169,4 +184,4 @@ FROM (
   FROM u)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup)}
