@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import time_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (time_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
