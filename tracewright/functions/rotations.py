@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import ORTHONORMALITY_TOLERANCE
 from . import quaternions as Q
@@ -70,7 +71,7 @@ def tilt(up: V.Vector) -> Matrix:
     return transpose(basis_from_up_and_forward(up, hint))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def orthonormalize(rows: pd.Series) -> pd.Series:
     """Nearest rotation to 9 numbers (row by row), by singular values; null rows stay null."""
     out = []
