@@ -67,6 +67,43 @@ def test_against_brute_force(make_docs, corpus, monkeypatch, small, rounds):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_near_copies_with_a_common_passage(make_docs, monkeypatch):
+    """Pairs of near copies in large buckets of unlinked documents, some of which share one bucket only."""
+    monkeypatch.setattr(n, "BLOCK", 16)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(80)]
+    texts = []
+    for k in range(360):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+        texts.append(" ".join(own + common))
+        if k % 4 == 0:
+            own[5], own[20], own[35], own[50] = (f"edit{rng.randrange(10**6)}" for _ in range(4))
+            texts.append(" ".join(own + common))
+    docs = list(enumerate(texts))
+    out = n.link(make_docs(docs)).collect()
+    want = brute(docs)
+    assert len(docs) - len({c for _, _, c in want}) >= 80
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == want
+
+
+def test_a_pair_with_one_large_bucket(spark):
+    """Of all the members of one bucket, two are similar enough, and this bucket is all that they share."""
+    rng = np.random.default_rng(6)
+    regs = rng.integers(0, 2**16, (40, n.REGISTERS)).astype("<u2")
+    regs[:, :4] = regs[0, :4]
+    regs[7] = np.where(np.arange(n.REGISTERS) % 4 < 3, regs[31], regs[7])
+    regs[7, :4] = regs[31, :4]
+    rows = [(1, 0, bytes([i]), bytes([i]), regs[i].view("<i8").tolist(), 1, 39, bytes([39]), 1) for i in range(40)]
+    large = spark.createDataFrame(rows, "bucket long, band int, cls binary, comp binary, keys array<bigint>, inside long, outside long, main binary, mask long")
+    assert [(bytes(r.a)[0], bytes(r.b)[0]) for r in n._in_blocks(large).collect()] == [(7, 31)]
+
+
+def test_equal_counts():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 3, (k, n.REGISTERS)).astype("<u2") for k in (9, 14))
+    assert (n.equal_counts(a, b) == (a[:, None] == b[None]).sum(axis=2)).all()
+
+
 def test_edges(make_docs, awkward):
     docs = make_docs(awkward)
     out = n.link(docs).collect()

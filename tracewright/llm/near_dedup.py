@@ -11,10 +11,11 @@ its members where that isn't bounded:
 
 1. in rounds, each class is tried with members of its buckets that aren't in its component yet: first the least of all, then TRIES, and later one of each bucket, of
    the largest components that its buckets hold, picked by a hash. What is linked is joined into components, so a large group of near copies costs about one pair for each of its members;
-2. buckets with at most SMALL members outside their largest component have those tried with all members in other components, once for each pair:
-   linear in the bucket. Members of other buckets that still span components are dealt into finer ones, by two shared buckets each, and treated in the same way;
-3. in finer buckets beyond that, what still lies in different components is tried pair by pair. Near copies have been joined before, so
-   this is the exact way for a rest that is small in practice.
+2. buckets with at most SMALL members outside their largest component have those tried with all members in other components, each pair in the least of these buckets
+   that it shares: linear in the bucket;
+3. in all other buckets that still span components, the signatures of the members outside the largest component are compared with those of all members in other components, in blocks
+   of BLOCK times BLOCK, so a pair is met however many or few large buckets it shares. The time grows with outside * members of a bucket; only pairs that are similar enough
+   leave a block, each from the first band that it shares, and not if it was tried in step 2.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, more for more similar ones.
 
@@ -25,6 +26,7 @@ where rows share a doc_id, the pipeline stage keeps one row of it; empty tables
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ from .common import materialize, small_batches, small_side_join
 SHINGLE, PERCENT = 5, 75
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
 ESTIMATE_AT_LEAST = 0.5  # 6 standard deviations below PERCENT
-SMALL = 8
+EQUAL_AT_LEAST = math.ceil(REGISTERS * (ESTIMATE_AT_LEAST + (1 - ESTIMATE_AT_LEAST) * 2.0**-MANTISSA / 3))  # equal registers that make this estimate
+SMALL, BLOCK = 8, 512
 ROUNDS, TRIES = 4, 6
 SEEN_BITS = 1 << 22  # of the bitmap that keeps texts that aren't wanted out of the shuffle
 HEAVY, PARTNERS = 32, 256
@@ -197,11 +200,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(check, "a binary, b binary")
 
 
-def _open(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows (by, cls, comp) of buckets that span components, with outside: the bucket's members that aren't in its largest component."""
-    sizes = rows.groupBy(*by, "comp").agg(F.count("*").alias("m"))
-    spans = sizes.groupBy(*by).agg((F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "comp")).alias("main")).where("outside > 0")
-    return rows.join(spans.select(*by, "outside", F.col("main.comp").alias("main")), by)
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, cls, comp) of buckets that span components, with inside and outside: how many of the bucket's members are in its largest component, main, and how many aren't."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    spans = sizes.groupBy("bucket").agg((F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "comp")).alias("main")).where("outside > 0")
+    return rows.join(spans.select("bucket", "outside", F.col("main.m").alias("inside"), F.col("main.comp").alias("main")), "bucket")
 
 
 def _equal_registers(a, b):
@@ -211,19 +214,71 @@ def _equal_registers(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: lanes(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _across(buckets: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs of a bucket's members in different components: those outside the largest with all others, each pair in the least of the buckets that hold it.
+def _across(small: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members in different components: those outside the largest with all others, each pair in the least of these buckets that hold it.
 
     Without a bucket's largest component on the left, the join looks at outside * members pairs at most; it gives out those that share enough registers for the estimate.
     """
-    left = buckets.where("comp != main").select(*by, F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("all").alias("la"), F.col("keys").alias("ka"))
-    right = buckets.select(*by, F.col("cls").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("mb"), F.col("all").alias("lb"), F.col("keys").alias("kb"))
-    enough = _equal_registers(F.col("ka"), F.col("kb")) >= int(ESTIMATE_AT_LEAST * REGISTERS)
-    first = F.array_min(F.array_intersect("la", "lb")) == F.col(by[0])
-    met = left.withColumnsRenamed({c: f"l_{c}" for c in by}).join(right, [F.col(f"l_{c}") == F.col(c) for c in by] + [F.col("ca") != F.col("cb"), F.col("mb") | (F.col("a") < F.col("b")), first, enough])
+    lists = small.groupBy("cls").agg(F.array_sort(F.collect_set("bucket")).alias("all"))  # BANDS at most for a class; no bucket that isn't tried here
+    rows = small.join(lists, "cls")
+    left = rows.where("comp != main").select(F.col("bucket").alias("l_bucket"), F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("all").alias("la"), F.col("keys").alias("ka"))
+    right = rows.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("mb"), F.col("all").alias("lb"), F.col("keys").alias("kb"))
+    enough = _equal_registers(F.col("ka"), F.col("kb")) >= EQUAL_AT_LEAST
+    first = F.array_min(F.array_intersect("la", "lb")) == F.col("bucket")
+    met = left.join(right, [F.col("l_bucket") == F.col("bucket"), F.col("ca") != F.col("cb"), F.col("mb") | (F.col("a") < F.col("b")), first, enough])
     return met.select("a", "b")
 
 
+def equal_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many registers each row of a has in common with each row of b."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    n, same = np.zeros((a.shape[1], b.shape[1]), np.uint8), np.empty((a.shape[1], b.shape[1]), bool)
+    for x, y in zip(a, b, strict=True):
+        np.equal(x[:, None], y[None], out=same)
+        n += same.view(np.uint8)
+    return n
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members in different components that share enough registers, whatever else they share.
+
+    large: (bucket, band, cls, comp, keys, inside, outside, main, mask); the bits of mask are the bands in which the class is in one of these buckets. A pair that shares another
+    bucket was tried there, and one that shares several of these comes from the first. Members outside the largest component are dealt into blocks 0 .. n - 1, which are compared with
+    each other, and those of the largest into blocks from n on, which are compared with these only.
+    """
+
+    def compare(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        t = t.combine_chunks()
+        cls, band, mask = t.column("cls").to_numpy(), t.column("band").to_numpy(), t.column("mask").to_numpy()
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+        comp = np.unique(t.column("comp").to_numpy().astype(object), return_inverse=True)[1]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.nonzero((equal_counts(keys[a].view("<u2"), keys[b].view("<u2")) >= EQUAL_AT_LEAST) & (comp[a][:, None] != comp[b][None]))
+        i, j = a[i], b[j]
+        if t.num_rows and t.column("left")[0] == t.column("right")[0]:  # a block with itself
+            once = cls[i] < cls[j]
+            i, j = i[once], j[once]
+        out = []
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            same = keys[x] == keys[y]
+            tried = (same & ((mask[x][:, None] >> np.arange(BANDS)) & 1 == 0)).any(axis=1)
+            own = ~tried & (same.argmax(axis=1) == band[x])
+            out.append((x[own], y[own]))
+        x, y = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in (0, 1))
+        return pa.table([pa.array(cls[x], pa.binary()), pa.array(cls[y], pa.binary())], ["a", "b"])
+
+    outer, inner = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("inside") / BLOCK)
+    in_main = F.col("comp") == F.col("main")
+    own = F.when(in_main, outer + F.pmod(F.xxhash64("cls"), inner)).otherwise(F.pmod(F.xxhash64("cls"), outer))
+    rows = large.select("bucket", "band", "cls", "comp", "keys", "mask", in_main.alias("in_main"), own.alias("own"), outer.alias("outer"), (outer + inner).alias("blocks"))
+    cols = ["band", "cls", "comp", "keys", "mask"]
+    left = rows.where("NOT in_main").select("bucket", F.col("own").alias("left"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"), *cols)
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.least("own", F.col("outer") - 1))).alias("left"), F.col("own").alias("right"), F.lit(1).alias("side"), *cols)
+    return left.unionByName(right).groupBy("bucket", "left", "right").applyInArrow(compare, "a binary, b binary")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -235,21 +290,19 @@ def link(docs: DataFrame) -> DataFrame:
     usable = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
     # A bucket is a hash of the band and its key; should two buckets share one, they only make more candidates.
-    banded = classes.select("cls", F.posexplode("keys").alias("band", "key")).select("cls", F.xxhash64("band", "key").alias("bucket"))
+    banded = classes.select("cls", F.posexplode("keys").alias("band", "key")).select("cls", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = banded.join(shared, "bucket")
-    lists = members.groupBy("cls").agg(F.array_sort(F.collect_set("bucket")).alias("all"))  # BANDS at most for a class
-    buckets = materialize(lists.select("cls", "all", F.explode("all").alias("bucket")), "near-buckets")
+    buckets = materialize(banded.join(shared, "bucket").select("cls", "band", "bucket"), "near-buckets")
 
     edges = comps = None
 
     def labelled(b: DataFrame) -> DataFrame:
         return b.withColumn("comp", F.col("cls")) if comps is None else b.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
-    def settle(pairs: DataFrame, name: str) -> bool:
-        """Verifies pairs and joins components; whether any was linked."""
+    def settle(good: DataFrame, name: str) -> bool:
+        """Verifies promising pairs and joins components; whether any was linked."""
         nonlocal edges, comps
-        good = materialize(promising(_ordered(pairs), classes), f"{name}-pairs")
+        good = materialize(good, f"{name}-pairs")
         if good.isEmpty():
             return False
         ends = good.select(F.col("a").alias("cls")).unionByName(good.select(F.col("b").alias("cls"))).distinct()
@@ -273,25 +326,18 @@ def link(docs: DataFrame) -> DataFrame:
             tried = now.join(main.select("bucket", "top"), "bucket").where("top.comp != comp")
             few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("top.p", "cls").alias("o"), F.col("top.p").alias("p")))), 1, TRIES if k == 1 else BANDS)
             pairs = tried.groupBy("cls").agg(few.alias("ps")).select(F.explode("ps").alias("p"), F.col("cls").alias("b")).select(F.col("p.p").alias("a"), "b")
-        if not settle(pairs, f"near-star-{k}"):
+        if not settle(promising(_ordered(pairs), classes), f"near-star-{k}"):
             break
-    # 2: all that is left across components, in buckets and finer buckets.
-    one, two = ["bucket"], ["bucket", "bucket2"]
-    open_ = materialize(_open(labelled(buckets), one), "near-open")
-    large = open_.where(F.col("outside") > SMALL)
+    # 2: what is left across components in small buckets.
     with_keys = lambda b: b.join(classes.select("cls", "keys"), "cls")
-    pairs, finer = _across(with_keys(open_.where(F.col("outside") <= SMALL)), one), None
+    open_ = materialize(_open(labelled(buckets)), "near-open")
+    settle(_ordered(_across(with_keys(open_.where(F.col("outside") <= SMALL).drop("band")))), "near-rest")
+    # 3: and in large ones.
+    large = open_.where(F.col("outside") > SMALL).select("cls", "band", "bucket")
     if not large.isEmpty():
-        fine = large.groupBy("cls", "comp").agg(F.array_sort(F.collect_set("bucket")).alias("all"))
-        fine = fine.select("cls", "comp", "all", F.posexplode("all").alias("i", "bucket")).select("cls", "comp", "all", "bucket", F.explode(F.slice("all", F.col("i") + 2, BANDS)).alias("bucket2"))
-        finer = materialize(_open(fine, two), "near-finer")
-        pairs = pairs.unionByName(_across(with_keys(finer.where(F.col("outside") <= SMALL)), two))
-    settle(pairs, "near-rest")
-    # 3: the rest of the finer buckets.
-    if finer is not None:
-        rest = materialize(_open(labelled(finer.where(F.col("outside") > SMALL).select("cls", "all", *two)), two), "near-last-open")
-        if not rest.isEmpty():
-            settle(_across(with_keys(rest), two), "near-last")
+        masks = large.groupBy("cls").agg(F.expr("bit_or(shiftleft(1L, band))").alias("mask"))
+        rest = _open(labelled(large))
+        settle(_ordered(_in_blocks(with_keys(rest.join(masks, "cls")))), "near-last")
 
     least = labelled(classes.select("cls", "rep"))
     roots = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
