@@ -28,6 +28,21 @@ def test_append_compact_vacuum(spark, make_docs):
     assert rows(store.scan().select(docs.columns)) == rows(docs)
 
 
+def test_shard_leaves_no_run(spark, make_docs, monkeypatch):
+    """Rounds go on until one finds nothing to rewrite."""
+    todo, compact = [], sharding.ShardStore.compact
+
+    def seen(store):
+        todo.append(store.plan(store.manifest()).count())
+        return compact(store)
+
+    monkeypatch.setattr(sharding.ShardStore, "compact", seen)
+    docs = make_docs([(i, f"text {i} " * (i % 40)) for i in range(2000)]).repartition(6)
+    out = sharding.shard(spark, docs, scratch(spark, "t"), target_bytes=60_000)
+    assert todo[0] > 0 and todo[-1] == 0
+    assert rows(out.select(docs.columns)) == rows(docs)
+
+
 def test_of_two_writers_one_fails(spark, make_docs):
     docs = make_docs([(1, "a")])
     store = sharding.ShardStore(spark, scratch(spark, "t"), docs.schema)

@@ -159,9 +159,11 @@ def arrival_wave(key) -> F.col:
 
 
 def shard(spark: SparkSession, docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Stores docs in arrivals, compacts them, drops what is no longer live, and reads the last version back."""
+    """Stores docs in arrivals, compacts them until no run is left to rewrite, drops what is no longer live after each round, and reads the last version back."""
     store = ShardStore(spark, root, docs.schema, target_bytes)
     store.append(docs.withColumn("__shard_arrival", arrival_wave(F.col("doc_id"))), "__shard_arrival")
-    store.compact()
-    store.vacuum()
+    seen = store.version()
+    while (version := store.compact()) != seen:  # a round has fewer shards than the one before
+        seen = version
+        store.vacuum()
     return store.scan()
