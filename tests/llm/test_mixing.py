@@ -75,6 +75,16 @@ def test_documents(spark, make_docs, awkward):
     assert mixing.mix(spark, docs).count() == len(awkward)
 
 
+def test_stage_copies_equal_the_mix(spark, make_docs):
+    """The stage gives a document out once for each pass whose first word the schedule's fragments take."""
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(spark, make_docs(ROWS)).where("taken > 0").collect():
+        want[r.doc_id] += -(-r.taken // r.size)
+    for r in mixing.mix_documents(spark, make_docs(ROWS)).collect():
+        got[r.doc_id] += 1
+    assert got == want and {1, 2} <= set(got.values())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing_to_take(spark, make_docs, rows):
     assert [r.taken for r in mixing.mix(spark, make_docs(rows)).collect()] == [0] * len(rows)
