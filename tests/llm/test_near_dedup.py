@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm import near_dedup as n
+from tracewright.llm.common import Workspace
 
 
 def sets(t):
@@ -56,10 +57,10 @@ def corpus():
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("small", "rounds"), [(8, 3), (0, 1)])
-def test_against_brute_force(make_docs, corpus, monkeypatch, small, rounds):
-    monkeypatch.setattr(n, "SMALL", small)  # 0 and one round send most buckets the way of large ones
-    monkeypatch.setattr(n, "ROUNDS", rounds)
+@pytest.mark.parametrize(("rounds", "block"), [(2, 512), (1, 16), (0, 7)])
+def test_against_brute_force(make_docs, corpus, monkeypatch, rounds, block):
+    monkeypatch.setattr(n, "ROUNDS", rounds)  # fewer leave more to the blocks
+    monkeypatch.setattr(n, "BLOCK", block)
     monkeypatch.setattr(n, "HEAVY", 4)
     monkeypatch.setattr(n, "PARTNERS", 8)
     out = n.link(make_docs(corpus)).collect()
@@ -86,16 +87,79 @@ def test_near_copies_with_a_common_passage(make_docs, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == want
 
 
-def test_a_pair_with_one_large_bucket(spark):
+def test_a_pair_with_one_large_bucket():
     """Of all the members of one bucket, two are similar enough, and this bucket is all that they share."""
     rng = np.random.default_rng(6)
     regs = rng.integers(0, 2**16, (40, n.REGISTERS)).astype("<u2")
     regs[:, :4] = regs[0, :4]
     regs[7] = np.where(np.arange(n.REGISTERS) % 4 < 3, regs[31], regs[7])
     regs[7, :4] = regs[31, :4]
-    rows = [(1, 0, bytes([i]), bytes([i]), regs[i].view("<i8").tolist(), 1, 39, bytes([39]), 1) for i in range(40)]
-    large = spark.createDataFrame(rows, "bucket long, band int, cls binary, comp binary, keys array<bigint>, inside long, outside long, main binary, mask long")
-    assert [(bytes(r.a)[0], bytes(r.b)[0]) for r in n._in_blocks(large).collect()] == [(7, 31)]
+    keys, size = regs.view("<i8"), np.full(40, 100)
+    for side in (np.full(40, n.BOTH), np.where(np.arange(40) < 20, n.LEFT, n.RIGHT)):
+        assert [x.tolist() for x in n.candidates(keys, np.zeros(40, int), np.arange(40), side, size)] == [[7], [31]]
+    for args in ((np.ones(40, int), np.arange(40), size), (np.zeros(40, int), np.zeros(40, int), size), (np.zeros(40, int), np.arange(40), np.where(np.arange(40) == 7, 74, 100))):
+        band, comp, sizes = args
+        assert not len(n.candidates(keys, band, comp, np.full(40, n.BOTH), sizes)[0])
+
+
+def test_verify():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    sets = {k: np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 2**63, int(rng.integers(0, 25)), dtype=np.uint64)])) for k in range(40)}
+    i, j = map(np.array, zip(*[(a, b) for a in range(20) for b in range(20, 40)], strict=True))
+    good = n.verify(i, j, sets)
+    assert good.tolist() == [n.similar(sets[a], sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert 20 < good.sum() < 380
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """Every pair of a bucket with a member outside the largest component meets in one block, and no other pair does."""
+    monkeypatch.setattr(n, "BLOCK", 5)
+    members = [(1, 0, bytes([k]), b"main" if k < 17 else bytes([k % 29]), 10) for k in range(40)] + [(2, 1, bytes([k]), bytes([k]), 10) for k in range(4)] + [(3, 2, bytes([k]), b"one", 10) for k in range(4)]
+    rows = spark.createDataFrame(members, "bucket long, band int, cls binary, comp binary, n long")
+    classes = spark.createDataFrame([(bytes([k]), [k] * n.BANDS) for k in range(40)], "cls binary, keys array<bigint>")
+    groups = {}
+    for r in n.in_blocks(rows, classes).collect():
+        groups.setdefault((r.bucket, r.left, r.right), []).append((bytes(r.cls)[0], r.side))
+    met = []
+    for (bucket, _, _), at in groups.items():
+        left, right = [x for x in at if x[1] != n.RIGHT], [x for x in at if x[1] != n.LEFT]
+        met += [(bucket, *sorted((a, b))) for a, x in left for b, y in right if a != b and (x + y < 2 * n.BOTH or a < b)]
+    assert len(met) == len(set(met))
+    assert set(met) == {(1, a, b) for a in range(40) for b in range(a + 1, 40) if b >= 17} | {(2, a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert max(map(len, groups.values())) < 40
+
+
+def test_recall_near_the_threshold(make_docs):
+    """Pairs of similarity 0.75 to 0.8, of texts of 30 to 600 words: each is found."""
+    rng = random.Random(12)
+    texts, want = [], 0
+    while want < 150:
+        size = rng.randrange(30, 600)
+        base = [f"r{rng.randrange(10**7)}" for _ in range(size)]
+        other = list(base)
+        for _ in range(max(1, round(size * 0.028))):
+            other[rng.randrange(size)] = f"e{rng.randrange(10**7)}"
+        a, b = sets(" ".join(base)), sets(" ".join(other))
+        if 0.75 <= len(a & b) / len(a | b) < 0.8:
+            texts += [" ".join(base), " ".join(other)]
+            want += 1
+    out = n.link(make_docs(list(enumerate(texts)))).collect()
+    assert sum(not r.kept for r in out) >= want - 1  # 5e-6 of these pairs may share no band
+    assert all(r.component_id // 2 == r.doc_id // 2 for r in out)
+
+
+def test_rows_that_share_an_id(spark, make_docs):
+    """The stage decides by row: an id's text goes or stays by its own class, and a column of any name is kept."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    other = " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))
+    a, near = " ".join(base), " ".join([*base[:-1], "edited"])
+    docs = make_docs([(3, near), (5, a), (5, other), (5, other), (8, None), (8, None), (9, other)]).withColumnRenamed("row", "a.b").withColumnRenamed("cls", "near_id")
+    left = n.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.text) == [(3, near), (5, other)]
+    assert left.where("text IS NULL").count() == 2
 
 
 def test_equal_counts():
@@ -133,6 +197,7 @@ def test_estimate():
 
 
 def test_chains(spark):
-    edges = spark.createDataFrame([(bytes([k * 37 % 101]), bytes([(k + 1) * 37 % 101])) for k in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
-    out = n.components(edges, "t").groupBy("comp").count().collect()
+    edges = n._ordered(spark.createDataFrame([(bytes([k * 37 % 101]), bytes([(k + 1) * 37 % 101])) for k in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary"))
+    with Workspace(spark, "t") as tmp:
+        out = n.components(edges, tmp).groupBy("comp").count().collect()
     assert sorted(r["count"] for r in out) == [2, 61]

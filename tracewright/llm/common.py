@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +41,93 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Holds session settings while a job runs, and puts back what was there."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Workspace:
+    """Tables of one run, each in a folder of its own in the shared folder.
+
+    write() ends a lineage: a lost executor costs nothing that is behind the table. The shuffle files of the job go when it has ended. Tables are deleted by drop(), or all at
+    once at the end of the `with` block, so what is returned from a block must be kept with keep=True; it stays in the shared folder until
+    the caller or whoever clears that folder removes it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self._paths = spark, name, {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*list(self._paths))
+
+    def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """Stores the table under a name, in place of an older one of that name, which the new one may be made of."""
+        path = scratch(self.spark, f"{self.name}-{name}")
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.write.option("compression", "zstd").parquet(path)
+        self.drop(name)
+        if not keep:
+            self._paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            if n in self._paths:
+                delete(self.spark, self._paths.pop(n))
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self._paths if n not in names])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the table to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing that is behind it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays in the shared folder."""
+    return Workspace(df.sparkSession, name).write(df, "table", keep=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that a worker holds few texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that a worker has few texts as Python objects at a time; Spark bounds a batch's bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that begin like the stems and that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for s in stems:
+        while s.lower() in have:
+            s += "_"
+        out.append(s)
+    return out
+
+
+def all_columns(df: DataFrame) -> list:
+    """The table's columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

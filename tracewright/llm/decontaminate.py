@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, slices
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated if MIN_SHARE * n_hit >= n_words
@@ -52,11 +52,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(window, items) for each distinct window; words are joined by spaces, items is sorted."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, b" ".join(w)) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for w in windows_of(words_of(t), window)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["item", "window"])
 
-    small_batches(benchmark.sparkSession)
     cuts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "item string, window binary")
     return cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
@@ -66,7 +65,7 @@ def rarity(docs: DataFrame, windows: DataFrame) -> np.ndarray:
     spark = docs.sparkSession
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sorted({_counter(x) for w in b.column("window").to_pylist() for x in w.split()}), pa.int32())], ["c"])
 
     wanted = np.zeros(SKETCH, dtype=bool)
@@ -76,7 +75,7 @@ def rarity(docs: DataFrame, windows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, total = np.unpackbits(shared.value).astype(bool), np.zeros(SKETCH, dtype=np.int64)
         crc = zlib.crc32
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 if t:
                     c = np.fromiter(map(crc, set(t.translate(_FOLD).split())), dtype=np.uint32) & np.uint32(SKETCH - 1)
@@ -86,7 +85,6 @@ def rarity(docs: DataFrame, windows: DataFrame) -> np.ndarray:
 
     out = np.zeros(SKETCH, dtype=np.int64)
     if wanted.any():
-        small_batches(spark)
         counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
         out[counts["c"].to_numpy(dtype=int)] = counts["n"].to_numpy(dtype=np.int64)
     return out
@@ -98,7 +96,7 @@ def prefix_index(windows: DataFrame, frequency: np.ndarray) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for b in batches:
+        for b in slices(batches):
             split = [w.split() for w in b.column("window").to_pylist()]
             best = [min(w, key=lambda x: (f[_counter(x)], x)) for w in split]
             yield b.append_column("prefix", pa.array(best, pa.binary())).append_column("at", pa.array([w.index(x) for w, x in zip(split, best, strict=True)], pa.int32()))
@@ -177,7 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     index = build_index(docs, benchmark, window, block_bytes)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = search(b.column("text").to_pylist(), index)
             places = [[{"start": s, "end": e} for s, e in f[1]] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -185,7 +183,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 ["doc_id", "n_words", "places", "items"],
             )
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(look, "doc_id long, n_words long, places array<struct<start:bigint,end:bigint>>, items array<string>")
 
@@ -203,10 +200,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = build_index(docs, benchmark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = search(b.column("text").cast(pa.binary()).to_pylist(), index)
             hit = [sum(e - s for s, e in f[1]) for f in found]
             yield b.filter(pa.array([not (h and MIN_SHARE * h >= f[0]) for h, f in zip(hit, found, strict=True)], pa.bool_()))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

@@ -6,22 +6,22 @@ buckets borrow from occupied ones in an order that is fixed for each bucket, so
 BANDS bands of compressed registers make candidates; the share of equal registers, less the collisions expected of compressed registers, estimates
 the similarity, and pairs far below the threshold go. The others are verified on their full sets of shingles.
 
-Exact copies (same words) are one class, represented by its words' 128-bit hash; only classes are compared. No bucket is capped, and none is expanded into all pairs of
-its members where that isn't bounded:
+Exact copies (same words) are one class, represented by its words' 128-bit hash; only classes are compared. No bucket is capped, and no list of a bucket's pairs is ever made:
 
-1. in rounds, each class is tried with members of its buckets that aren't in its component yet: first the least of all, then TRIES, and later one of each bucket, of
-   the largest components that its buckets hold, picked by a hash. What is linked is joined into components, so a large group of near copies costs about one pair for each of its members;
-2. buckets with at most SMALL members outside their largest component have those tried with all members in other components, each pair in the least of these buckets
-   that it shares: linear in the bucket;
-3. in all other buckets that still span components, the signatures of the members outside the largest component are compared with those of all members in other components, in blocks
-   of BLOCK times BLOCK, so a pair is met however many or few large buckets it shares. The time grows with outside * members of a bucket; only pairs that are similar enough
-   leave a block, each from the first band that it shares, and not if it was tried in step 2.
+1. in ROUNDS rounds, each class is verified against members of its buckets that aren't in its component yet: first the least of all, then one of each of the largest components that
+   its buckets hold, TRIES at most. What is linked is joined into components, so a large group of near copies costs about one pair for each of its members;
+2. in every bucket that still spans components, the signatures of the members outside the largest component are compared with those of all members of other components, in blocks of
+   BLOCK times BLOCK. What leaves a block is its members that have a partner there, at most once each; a pair counts in the first band that it shares only;
+3. these members meet again in the same blocks with their texts, where the pairs are verified by the postings of their shingles, and a block gives out as many links as join its components.
+
+So what is written grows with the members of the buckets and their blocks, and never with their pairs. The time of step 2 grows with outside * members of a bucket, which is what it takes to lose no link between different texts that
+are each similar to few others; ROUNDS leaves few outside where a group is linked at all.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, more for more similar ones.
 
 Defined results: a null or blank text has no set, is its own component and is kept; a document of fewer words than a shingle has its
-whole sequence as its one shingle; null doc_ids aren't linked, have a null component and are kept; repeated rows get a row each, with the same component;
-where rows share a doc_id, the pipeline stage keeps one row of it; empty tables give empty results; extra columns are not read by the query, and kept by the stage.
+whole sequence as its one shingle; texts of any length are read whole, and a block takes fewer of long ones; null doc_ids aren't linked, have a null component and are kept; repeated rows get a row each, with the same component;
+where rows share a doc_id, the pipeline stage decides by row: of a component, one row of its least id stays, that of the least class if there are several; empty tables give empty results; extra columns of any name are not read by the query, and kept by the stage.
 """
 
 from __future__ import annotations
@@ -30,22 +30,25 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, small_batches, small_side_join
+from .common import Workspace, all_columns, slices, unused
 
 SHINGLE, PERCENT = 5, 75
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
 ESTIMATE_AT_LEAST = 0.5  # 6 standard deviations below PERCENT
 EQUAL_AT_LEAST = math.ceil(REGISTERS * (ESTIMATE_AT_LEAST + (1 - ESTIMATE_AT_LEAST) * 2.0**-MANTISSA / 3))  # equal registers that make this estimate
-SMALL, BLOCK = 8, 512
-ROUNDS, TRIES = 4, 6
-SEEN_BITS = 1 << 22  # of the bitmap that keeps texts that aren't wanted out of the shuffle
+ROUNDS, TRIES = 2, 6
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+SEEN_BITS = (1 << 16, 1 << 28)  # least and most bits of the bitmap that keeps texts that aren't wanted out of the shuffle; 32 MB at most
 HEAVY, PARTNERS = 32, 256
 WORD_CACHE = 500_000
+LEFT, RIGHT, BOTH = 0, 1, 2
 _FREE = 64 - REGISTERS.bit_length() + 1  # hash bits below those that pick the bucket
 _STARTS = (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_FREE))
 _PROBES = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
@@ -111,7 +114,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -124,45 +127,42 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, cls, n_shingles, keys): keys holds a 64-bit integer for each band, together the signature."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_sign, "doc_id long, cls binary, n_shingles long, keys array<bigint>")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(cls, comp) for the nodes of edges (a, b); comp is one of the component's nodes.
+def components(edges: DataFrame, tmp: Workspace) -> DataFrame:
+    """(cls, comp) for the nodes of edges (a, b), a < b; comp is one of the component's nodes.
 
     Every round sends each node to the least node beside it and contracts; node names are hashes, so that the graph
     shrinks by a factor each round, long chains included.
     """
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    label = None
+    steps = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("to")), f"{name}-step")
-        if label is None:
-            label = step.withColumnRenamed("to", "comp")
-        else:
-            moved = label.join(step.withColumnRenamed("cls", "comp"), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
-            label = materialize(moved, f"{name}-label")
+        step = tmp.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("to")), f"step-{len(steps)}")
+        steps.append(step)
         ends = edges.join(step.select(F.col("cls").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("cls").alias("b"), F.col("to").alias("tb")), "b")
-        edges = materialize(ends.where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
-    if label is None:
+        edges = tmp.write(_ordered(ends.where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))), "contracted")
+    if not steps:
         return edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    label = steps[0].withColumnRenamed("to", "comp")
+    for step in steps[1:]:
+        label = label.join(step.withColumnRenamed("cls", "comp"), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
     return label
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose corrected estimate is ESTIMATE_AT_LEAST or more."""
+    """The pairs whose corrected estimate is ESTIMATE_AT_LEAST or more and whose sets are of sizes that can be similar."""
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ra, rb = (b.column(c).flatten().to_numpy().view("<u2").reshape(b.num_rows, REGISTERS) for c in ("ka", "kb"))
             yield b.select(["a", "b"]).filter(pa.array(estimate(ra, rb) >= ESTIMATE_AT_LEAST))
 
-    small_batches(pairs.sparkSession, 4096)
-    with_b = pairs.join(classes.select(F.col("cls").alias("b"), F.col("keys").alias("kb")), "b")
-    return with_b.join(classes.select(F.col("cls").alias("a"), F.col("keys").alias("ka")), "a").select("a", "b", "ka", "kb").mapInArrow(enough, "a binary, b binary")
+    with_b = pairs.join(classes.select(F.col("cls").alias("b"), F.col("keys").alias("kb"), F.col("n").alias("nb")), "b")
+    both = with_b.join(classes.select(F.col("cls").alias("a"), F.col("keys").alias("ka"), F.col("n").alias("na")), "a")
+    return both.where(F.lit(100) * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "ka", "kb").mapInArrow(enough, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for ia, ib, node, partners, text in zip(*(batch.column(c).to_pylist() for c in ("ia", "ib", "node", "partners", "text")), strict=True):
                 if at != (ia, ib):
@@ -186,7 +186,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out += [(a, node) for a in partners if similar(own[a], s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
-    small_batches(pairs.sparkSession, 256)
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     blocks_a = max(1, -(-counts.where(F.col("n") >= HEAVY).count() // HEAVY))
     blocks_b = max(1, -(-texts.count() // PARTNERS))
@@ -200,37 +199,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(check, "a binary, b binary")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, cls, comp) of buckets that span components, with inside and outside: how many of the bucket's members are in its largest component, main, and how many aren't."""
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    spans = sizes.groupBy("bucket").agg((F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "comp")).alias("main")).where("outside > 0")
-    return rows.join(spans.select("bucket", "outside", F.col("main.m").alias("inside"), F.col("main.comp").alias("main")), "bucket")
-
-
-def _equal_registers(a, b):
-    """How many of the registers of two signatures are equal, as an expression."""
-    lane = lambda x, k: F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
-    lanes = lambda x: lane(x, 0) + lane(x, 1) + lane(x, 2) + lane(x, 3)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: lanes(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-
-
-def _across(small: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components: those outside the largest with all others, each pair in the least of these buckets that hold it.
-
-    Without a bucket's largest component on the left, the join looks at outside * members pairs at most; it gives out those that share enough registers for the estimate.
-    """
-    lists = small.groupBy("cls").agg(F.array_sort(F.collect_set("bucket")).alias("all"))  # BANDS at most for a class; no bucket that isn't tried here
-    rows = small.join(lists, "cls")
-    left = rows.where("comp != main").select(F.col("bucket").alias("l_bucket"), F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("all").alias("la"), F.col("keys").alias("ka"))
-    right = rows.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("mb"), F.col("all").alias("lb"), F.col("keys").alias("kb"))
-    enough = _equal_registers(F.col("ka"), F.col("kb")) >= EQUAL_AT_LEAST
-    first = F.array_min(F.array_intersect("la", "lb")) == F.col("bucket")
-    met = left.join(right, [F.col("l_bucket") == F.col("bucket"), F.col("ca") != F.col("cb"), F.col("mb") | (F.col("a") < F.col("b")), first, enough])
-    return met.select("a", "b")
-
-
 def equal_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many registers each row of a has in common with each row of b."""
+    if len(a) * len(b) <= 1024:
+        return (a[:, None] == b[None]).sum(axis=2)
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     n, same = np.zeros((a.shape[1], b.shape[1]), np.uint8), np.empty((a.shape[1], b.shape[1]), bool)
     for x, y in zip(a, b, strict=True):
@@ -239,151 +211,275 @@ def equal_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n
 
 
-def _in_blocks(large: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components that share enough registers, whatever else they share.
-
-    large: (bucket, band, cls, comp, keys, inside, outside, main, mask); the bits of mask are the bands in which the class is in one of these buckets. A pair that shares another
-    bucket was tried there, and one that shares several of these comes from the first. Members outside the largest component are dealt into blocks 0 .. n - 1, which are compared with
-    each other, and those of the largest into blocks from n on, which are compared with these only.
+def candidates(keys: np.ndarray, band: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of a block's rows to verify: left and right rows of different components whose estimate and sizes allow it and whose first common band is this one."""
+    a, b = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
+    regs = keys.view("<u2")
+    near = equal_counts(regs[a], regs[b]) >= EQUAL_AT_LEAST
+    near &= comp[a][:, None] != comp[b][None]
+    i, j = np.nonzero(near)
+    i, j = a[i], b[j]
+    ok = (side[i] + side[j] < 2 * BOTH) | (i < j)  # a block with itself has each pair once
+    ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+    i, j = i[ok], j[ok]
+    own = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        same = keys[x] == keys[y]
+        first = same.argmax(axis=1)
+        own[at : at + (1 << 16)] = (first == band[x]) & (first == band[y]) & same[np.arange(len(x)), first]
+    return i[own], j[own]
+
+
+def verify(i: np.ndarray, j: np.ndarray, sets: dict[int, np.ndarray]) -> np.ndarray:
+    """Which of the pairs are similar on their full sets, by the postings of the shingles of the rows in i."""
+    if len(i) <= 4:
+        return np.array([similar(sets[x], sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    left, li = np.unique(i, return_inverse=True)
+    size = np.array([len(sets[x]) for x in left.tolist()])
+    values = np.concatenate([sets[x] for x in left.tolist()])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(left)), size)[order]
+    good = np.zeros(len(i), bool)
+    by = np.argsort(j, kind="stable")
+    for at in np.split(by, np.flatnonzero(np.diff(j[by])) + 1):
+        s = sets[int(j[at[0]])]
+        lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+        met = hi - lo
+        total = int(met.sum())
+        posted = np.repeat(lo - (np.cumsum(met) - met), met) + np.arange(total)
+        both = np.bincount(owner[posted], minlength=len(left))[li[at]]
+        good[at] = 100 * both >= PERCENT * (size[li[at]] + len(s) - both)
+    return good
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of rows that are sorted by some numbers, with the bounds of the groups."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        changes = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in by:
+            x = t.column(c).to_numpy()
+            changes |= x[1:] != x[:-1]
+        bounds = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        if bounds[-1]:
+            yield t.slice(0, bounds[-1]), bounds
+        held = t.slice(bounds[-1])
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+AT = ["bucket", "left", "right"]
+MEMBERS = "bucket long, left long, right long, side int, band int, cls binary, comp binary, n long, keys array<bigint>"
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    names: dict[bytes, int] = {}
+    comp = np.fromiter((names.setdefault(c, len(names)) for c in t.column("comp").to_pylist()), np.int64, t.num_rows)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+    return keys, t.column("band").to_numpy(), comp, t.column("side").to_numpy(), t.column("n").to_numpy()
+
+
+def with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of blocks that have a candidate there."""
+    for t, bounds in whole_groups(batches, AT):
+        cols, found = _columns(t), np.zeros(t.num_rows, bool)
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            i, j = candidates(*[c[lo:hi] for c in cols])
+            found[lo + i] = found[lo + j] = True
+        yield from t.filter(pa.array(found)).combine_chunks().to_batches()
+
+
+def linked_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): components of a block that similar members join, no more than it takes to join them."""
+    for t, bounds in whole_groups(batches, AT):
+        cols, comp, text, out = _columns(t), t.column("comp").to_pylist(), t.column("text"), []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            i, j = candidates(*[c[lo:hi] for c in cols])
+            if not len(i):
+                continue
+            sets = {x: shingles(text[lo + x].as_py())[1] for x in np.unique(np.concatenate([i, j])).tolist()}
+            good = verify(i, j, sets)
+            root: dict[bytes, bytes] = {}
+            for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                a, b = comp[lo + x], comp[lo + y]
+                ra, rb = _root(root, a), _root(root, b)
+                if ra != rb:
+                    root[ra] = rb
+                    out.append((min(a, b), max(a, b)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _root(root: dict, x):
+    while x in root:
+        x = root[x]
+    return x
+
+
+def in_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """MEMBERS of the blocks of all buckets that span components. rows: (bucket, band, cls, comp, n).
+
+    Members outside a bucket's largest component are dealt into blocks 0 .. outer - 1, which meet each other and themselves, and those of the largest into blocks from outer on, which meet these only.
+    A bucket that fits into one block is one.
     """
-
-    def compare(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        t = t.combine_chunks()
-        cls, band, mask = t.column("cls").to_numpy(), t.column("band").to_numpy(), t.column("mask").to_numpy()
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
-        comp = np.unique(t.column("comp").to_numpy().astype(object), return_inverse=True)[1]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = np.nonzero((equal_counts(keys[a].view("<u2"), keys[b].view("<u2")) >= EQUAL_AT_LEAST) & (comp[a][:, None] != comp[b][None]))
-        i, j = a[i], b[j]
-        if t.num_rows and t.column("left")[0] == t.column("right")[0]:  # a block with itself
-            once = cls[i] < cls[j]
-            i, j = i[once], j[once]
-        out = []
-        for at in range(0, len(i), 1 << 16):
-            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            same = keys[x] == keys[y]
-            tried = (same & ((mask[x][:, None] >> np.arange(BANDS)) & 1 == 0)).any(axis=1)
-            own = ~tried & (same.argmax(axis=1) == band[x])
-            out.append((x[own], y[own]))
-        x, y = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in (0, 1))
-        return pa.table([pa.array(cls[x], pa.binary()), pa.array(cls[y], pa.binary())], ["a", "b"])
-
-    outer, inner = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("inside") / BLOCK)
-    in_main = F.col("comp") == F.col("main")
-    own = F.when(in_main, outer + F.pmod(F.xxhash64("cls"), inner)).otherwise(F.pmod(F.xxhash64("cls"), outer))
-    rows = large.select("bucket", "band", "cls", "comp", "keys", "mask", in_main.alias("in_main"), own.alias("own"), outer.alias("outer"), (outer + inner).alias("blocks"))
-    cols = ["band", "cls", "comp", "keys", "mask"]
-    left = rows.where("NOT in_main").select("bucket", F.col("own").alias("left"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"), *cols)
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.least("own", F.col("outer") - 1))).alias("left"), F.col("own").alias("right"), F.lit(1).alias("side"), *cols)
-    return left.unionByName(right).groupBy("bucket", "left", "right").applyInArrow(compare, "a binary, b binary")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    spans = sizes.groupBy("bucket").agg(F.sum("m").alias("members"), F.sum("s").alias("shingles"), F.max(F.struct("m", "comp", "s")).alias("main")).where("members > main.m")
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+    spans = spans.select(
+        "bucket", F.col("main.comp").alias("main"), (blocks(F.col("members"), F.col("shingles")) == 1).alias("single"),
+        blocks(F.col("members") - F.col("main.m"), F.col("shingles") - F.col("main.s")).alias("outer"), blocks(F.col("main.m"), F.col("main.s")).alias("inner"),
+    )
+    met = rows.join(spans, "bucket").withColumn("in_main", F.col("comp") == F.col("main"))
+    own = F.when(F.col("in_main"), F.col("outer") + F.pmod(F.xxhash64("cls"), "inner")).otherwise(F.pmod(F.xxhash64("cls"), "outer"))
+    met = met.withColumn("own", own)
+    zero = F.lit(0).cast("long")
+    at = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), side.cast("int").alias("side"))
+    before = lambda upto: F.transform(F.filter(F.sequence(zero, F.greatest(upto, zero)), lambda x: x < upto), lambda x: at(x, F.col("own"), F.lit(RIGHT)))
+    after = F.transform(F.sequence("own", F.col("outer") + F.col("inner") - 1), lambda x: at(F.col("own"), x, F.when(x == F.col("own"), BOTH).otherwise(LEFT)))
+    cells = (
+        F.when(F.col("single"), F.array(at(zero, zero, F.when(F.col("in_main"), RIGHT).otherwise(BOTH))))
+        .when(F.col("in_main"), before(F.col("outer"))).otherwise(F.concat(after, before(F.col("own"))))
+    )
+    dealt = met.select("bucket", "band", "cls", "comp", "n", F.inline(cells))
+    return dealt.join(classes.select("cls", "keys"), "cls").select(*[c.split()[0] for c in MEMBERS.split(", ")])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document."""
-    spark: SparkSession = docs.sparkSession
-    rows = materialize(signed(docs), "near-signed")
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*AT).sortWithinPartitions(*AT)
+
+
+def _members(docs: DataFrame, tmp: Workspace) -> DataFrame:
+    """(doc_id, cls, n_shingles, component_id, root) of each row, stored; root: the row's class is the least class of its component's least id."""
+    rows = tmp.write(signed(docs), "signed")
     usable = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
+    classes = tmp.write(usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     # A bucket is a hash of the band and its key; should two buckets share one, they only make more candidates.
-    banded = classes.select("cls", F.posexplode("keys").alias("band", "key")).select("cls", "band", F.xxhash64("band", "key").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = materialize(banded.join(shared, "bucket").select("cls", "band", "bucket"), "near-buckets")
-
-    edges = comps = None
+    banded = classes.select("cls", "n", F.posexplode("keys").alias("band", "key")).select("cls", "n", "band", F.xxhash64("band", "key").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cls").alias("least")).where("members > 1").select("bucket", "least")
+    buckets = tmp.write(banded.join(shared, "bucket").select("cls", "n", "band", "bucket", "least"), "buckets")
+    comps = None
 
     def labelled(b: DataFrame) -> DataFrame:
         return b.withColumn("comp", F.col("cls")) if comps is None else b.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
-    def settle(good: DataFrame, name: str) -> bool:
-        """Verifies promising pairs and joins components; whether any was linked."""
-        nonlocal edges, comps
-        good = materialize(good, f"{name}-pairs")
-        if good.isEmpty():
-            return False
-        ends = good.select(F.col("a").alias("cls")).unionByName(good.select(F.col("b").alias("cls"))).distinct()
-        texts = materialize(_texts(docs, ends.join(classes.select("cls", "rep"), "cls")), f"{name}-texts")
-        found = materialize(verified(good, texts), f"{name}-links")
-        if found.isEmpty():
-            return False
-        edges = found if edges is None else edges.unionByName(found)
-        comps = components(edges, name)
-        return True
+    def joined(links: DataFrame) -> DataFrame:
+        """Components after links between components."""
+        new = components(links, tmp)
+        if comps is None:
+            return tmp.write(new, "comps")
+        moved = comps.join(new.select(F.col("cls").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
+        alone = new.join(comps, "cls", "left_anti")
+        return tmp.write(moved.unionByName(alone), "comps")
 
-    # 1: the least member of all buckets first; then some members of the buckets' largest components, another one in each bucket.
+    def texts(wanted: DataFrame) -> DataFrame:
+        return tmp.write(_texts(docs, wanted.select("cls").distinct().join(classes.select("cls", "rep"), "cls")), "texts")
+
+    # 1: the least member of all buckets first; then members of the buckets' largest components.
     for k in range(ROUNDS):
-        now = labelled(buckets.select("cls", "bucket"))
         if k == 0:
-            tried = now.join(now.groupBy("bucket").agg(F.min(F.struct("cls", "comp")).alias("p")), "bucket")
-            pairs = tried.groupBy("cls").agg(F.min("p.cls").alias("a")).select("a", F.col("cls").alias("b")).where("a != b")
+            pairs = buckets.groupBy("cls").agg(F.min("least").alias("a")).select("a", F.col("cls").alias("b")).where("a != b")
         else:
+            now = labelled(buckets.select("cls", "bucket"))
             sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min_by("cls", F.xxhash64("cls", "bucket", F.lit(k))).alias("p"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp", "p")).alias("top"), F.count("*").alias("comps")).where("comps > 1 AND top.m > 1")
             tried = now.join(main.select("bucket", "top"), "bucket").where("top.comp != comp")
-            few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("top.p", "cls").alias("o"), F.col("top.p").alias("p")))), 1, TRIES if k == 1 else BANDS)
+            few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("top.p", "cls").alias("o"), F.col("top.p").alias("p")))), 1, TRIES)  # a class is in BANDS buckets
             pairs = tried.groupBy("cls").agg(few.alias("ps")).select(F.explode("ps").alias("p"), F.col("cls").alias("b")).select(F.col("p.p").alias("a"), "b")
-        if not settle(promising(_ordered(pairs), classes), f"near-star-{k}"):
+        good = tmp.write(promising(_ordered(pairs), classes), "pairs")
+        if good.isEmpty():
             break
-    # 2: what is left across components in small buckets.
-    with_keys = lambda b: b.join(classes.select("cls", "keys"), "cls")
-    open_ = materialize(_open(labelled(buckets)), "near-open")
-    settle(_ordered(_across(with_keys(open_.where(F.col("outside") <= SMALL).drop("band")))), "near-rest")
-    # 3: and in large ones.
-    large = open_.where(F.col("outside") > SMALL).select("cls", "band", "bucket")
-    if not large.isEmpty():
-        masks = large.groupBy("cls").agg(F.expr("bit_or(shiftleft(1L, band))").alias("mask"))
-        rest = _open(labelled(large))
-        settle(_ordered(_in_blocks(with_keys(rest.join(masks, "cls")))), "near-last")
-
-    least = labelled(classes.select("cls", "rep"))
-    roots = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = small_side_join(least, roots, ["comp"], most=0).select("cls", "component_id")
-    single = rows.where("cls IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    known = small_side_join(usable.select("doc_id", "n_shingles", "cls"), by_class, ["cls"], most=0).select("doc_id", "n_shingles", "component_id")
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    return single.unionByName(known).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        ends = good.select(F.col("a").alias("cls")).unionByName(good.select(F.col("b").alias("cls")))
+        found = tmp.write(verified(good, texts(ends)), "links")
+        if comps is not None:
+            for c in "ab":
+                found = found.join(comps.select(F.col("cls").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
+            found = tmp.write(_ordered(found.where("a != b")), "joined")
+        if found.isEmpty():
+            break
+        comps = joined(found)
+    # 2: what buckets still hold across components, by signature.
+    open_ = tmp.write(_by_block(in_blocks(labelled(buckets.drop("least")), classes)).mapInArrow(with_partners, MEMBERS), "open")
+    # 3: and by their texts.
+    if not open_.isEmpty():
+        links = _by_block(open_.join(texts(open_), "cls").select(*open_.columns, "text")).mapInArrow(linked_components, "a binary, b binary")
+        links = tmp.write(links.distinct(), "links")
+        if not links.isEmpty():
+            comps = joined(links)
+
+    least = tmp.write(labelled(classes.select("cls", "rep")), "least")
+    roots = least.groupBy("comp").agg(F.min(F.struct("rep", "cls")).alias("root"))
+    by_class = least.join(roots, "comp").select("cls", F.col("root.rep").alias("component_id"), ((F.col("root.rep") == F.col("rep")) & (F.col("root.cls") == F.col("cls"))).alias("root"))
+    single = rows.where("cls IS NULL OR doc_id IS NULL").select("doc_id", "cls", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("root"))
+    known = usable.select("doc_id", "cls", "n_shingles").join(by_class, "cls").select("doc_id", "cls", "n_shingles", "component_id", (F.col("root") & (F.col("doc_id") == F.col("component_id"))).alias("root"))
+    return tmp.write(single.unionByName(known), "members", keep=True)
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each document."""
+    with Workspace(docs.sparkSession, "near") as tmp:
+        out = _members(docs, tmp)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, text) for the wanted (cls, rep): the text of a row rep that is of class cls.
 
-    A bitmap of SEEN_BITS hashes of wanted ids, of fixed size, keeps most other texts out of the shuffle; the join decides.
+    A bitmap of wanted ids, of eight bits an id up to SEEN_BITS[1], keeps most other texts out of the shuffle; the join decides.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SEEN_BITS))
+    bits = min(SEEN_BITS[1], max(SEEN_BITS[0], 1 << (8 * wanted.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = wanted.select(bit("rep").alias("h")).groupBy(F.bitmap_bucket_number(F.col("h") + 1).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("h") + 1)).alias("bits"))
-    seen = np.zeros(SEEN_BITS, bool)
-    for r in marks.collect():  # SEEN_BITS / 32768 rows
-        seen[(r["n"] - 1) * 32768 : r["n"] * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
+    seen = np.zeros(bits // 8, np.uint8)
+    for r in marks.toLocalIterator():  # bits / 32768 rows of 4 kB
+        seen[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["bits"], np.uint8)[: bits // 8]
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
+        mask = shared.value
         for b in batches:
-            yield b.filter(pa.array(mask[b.column("h").to_numpy()])).select(["rep", "text"])
+            h = b.column("h").to_numpy()
+            yield b.filter(pa.array((mask[h >> 3] >> (h & 7)) & 1 == 1)).select(["rep", "text"])
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) == c for c, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        for b in slices(batches):
+            same = [_class(t) == c for c, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
-    small_batches(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
     rows = rows.select("rep", "text", bit("rep").alias("h")).mapInArrow(likely, "rep long, text binary")
     found = rows.join(wanted, "rep").select("cls", "text").mapInArrow(of_class, "cls binary, text binary")
     return found.groupBy("cls").agg(F.first("text").alias("text"))
 
 
+def _class(text: bytes | None) -> bytes | None:
+    words = (text or b"").lower().split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
+@F.pandas_udf(T.BinaryType())
+def class_of(text: pd.Series) -> pd.Series:
+    return text.map(_class)
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of docs; documents without words or id stay."""
-    linked = materialize(link(docs), "near-linked")
-    gone = linked.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = linked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    with Workspace(docs.sparkSession, "near") as tmp:
+        rows = _members(docs, tmp)
+    columns, (id_, cls, root) = all_columns(docs), unused(docs, "near_id", "near_cls", "near_root")
+    gone = rows.where("NOT root").select(F.col("doc_id").alias(id_)).distinct()
+    twice = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_))
+    same = F.col("doc_id").cast("long") == F.col(id_)
     if twice.isEmpty():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+        return docs.join(gone, same, "left_anti")
+    # An id of several rows doesn't say which of them goes, so their texts' classes do.
+    keyed = docs.join(twice, same, "left_semi").withColumn(cls, class_of(F.col("text").cast("binary")))
+    roots = rows.where("root AND cls IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("cls").alias(root)).distinct()
+    alone = keyed.where(F.col(cls).isNull()).select(*columns)
+    again = keyed.join(roots, same & (F.col(cls) == F.col(root)), "left_semi").dropDuplicates(["doc_id", cls]).select(*columns)
+    return docs.join(gone.unionByName(twice), same, "left_anti").unionByName(alone).unionByName(again)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, small_batches
+from .common import BLANKS, materialize, slices
 
 #: Fixed by the contract of the base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 8, 20, 30
@@ -90,7 +90,7 @@ _NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols = list(zip(*[measure(t) for t in batch.column("text").to_pylist()], strict=True)) or [()] * len(_NAMES)
         types = [pa.int64()] * 5 + [pa.float64()] * len(FEATURES)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", *_NAMES])
@@ -98,7 +98,6 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and STATS of each document."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_measured, f"doc_id long, {STATS}")
 
@@ -163,7 +162,7 @@ def score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES]) if b.num_rows else np.zeros((0, len(FEATURES)))
             yield b.append_column("anomaly", pa.array(shared.value.score(x), pa.float64()))
 
@@ -195,7 +194,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scored = materialize(score(stats, forest), "quality-scores")
         threshold = calibrate(scored, labels)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    small_batches(spark)
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < threshold))
 
 
@@ -214,9 +212,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return [not (s[0] < MIN_WORDS or 100 * s[4] > MAX_REPEAT_PERCENT * s[0]) and a < threshold for s, a in zip(stats, anomaly, strict=True)]
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text = b.column("text")
             yield b.filter(pa.array(decide(text.cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    small_batches(spark)
     return docs.mapInArrow(kept, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 KINDS = ("assign", "access", "hex", "github", "npm", "card")
 BASE = KINDS[:3]
@@ -112,14 +112,13 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keywords = automaton()
-    for b in batches:
+    for b in slices(batches):
         spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find(t, keywords)] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "spans"])
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row; spans is an array of (kind, start, end)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint>>")
 

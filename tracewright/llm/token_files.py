@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import materialize, scratch, slices
 from .files import fresh, make_folder, opened
 
 END_ID, CACHE_WORDS = 1, 600_000
@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         f, path = opened(stem)
         n = nulls = at = 0
         out = None
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             if out is None:
@@ -119,7 +119,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 o.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "stem": [stem], "n_docs": [n], "n_null": [nulls], "n_tokens": [at], "width": pa.array([enc.width], pa.int32())})
 
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     manifest = materialize(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
@@ -139,7 +138,7 @@ def read_token_files(manifest: DataFrame, rows_per_batch: int = 4096) -> DataFra
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; a task reads some files, a batch of documents at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 ids, off, doc = _mapped(r["stem"] + ".ids", f"<u{r['width']}"), _mapped(r["stem"] + ".off", "<u8"), _mapped(r["stem"] + ".doc", "<i8")
                 for k in range(0, r["n_docs"], rows_per_batch):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches, small_side_join
+from .common import Workspace, delete, materialize, scratch, slices, small_side_join
 from .files import fresh, make_folder, opened
 
 MIN_REVISIT = 100
@@ -99,7 +99,7 @@ def write_arc(pages: DataFrame, folder: str, date: str, arc_bytes: int = ARC_BYT
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n, size, turn, done = None, 0, 0, TaskContext.get().partitionId(), []
-        for b in batches:
+        for b in slices(batches):
             for page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 if out is None:
                     version, path = 1 + turn % 2, fresh(folder, "pages", ".arc")
@@ -120,7 +120,6 @@ def write_arc(pages: DataFrame, folder: str, date: str, arc_bytes: int = ARC_BYT
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int64())], ["path", "version", "records"])
 
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
     return materialize(rows.mapInArrow(write, ARC_MANIFEST), "arc-manifest")
 
@@ -210,7 +209,7 @@ def index_arc(manifest: DataFrame) -> DataFrame:
     """INDEX rows of all records."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for path in b.column("path").to_pylist():
                 fs, inner = opened(path)
                 rows = []
@@ -245,7 +244,7 @@ def convert(manifest: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, at = [], None
-        for b in batches:
+        for b in slices(batches):
             for path, seq, to_path, to_seq, to_page in zip(*(b.column(c).to_pylist() for c in ("path", "seq", "to_path", "to_seq", "to_page")), strict=True):
                 if at != path:
                     if at is not None:
@@ -291,7 +290,7 @@ def scan_warc(manifest: DataFrame) -> DataFrame:
     columns = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for path in b.column("path").to_pylist():
                 fs, inner = opened(path)
                 rows = []
