@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import mixing
 
@@ -89,3 +90,44 @@ def test_stage_copies_equal_the_mix(spark, make_docs):
 def test_nothing_to_take(spark, make_docs, rows):
     assert [r.taken for r in mixing.mix(spark, make_docs(rows)).collect()] == [0] * len(rows)
     assert mixing.mix_documents(spark, make_docs(rows)).count() == 0
+
+
+def test_golden_points(spark):
+    """Exact for every slot, also beyond 2**26."""
+    slots = [0, 1, 2, 12345, 2**24 - 1, 2**24, 2**26 + 5, 2**36 - 1, 2**36 + 3, 2**45 + 17]
+    got = spark.createDataFrame([(s,) for s in slots], "id long").select("id", mixing.golden("id").alias("u")).collect()
+    assert {r.id: r.u for r in got} == {s: (s * mixing.GOLDEN) % 2**36 / 2**36 for s in slots}
+
+
+def test_prefixes_of_the_stage_are_near_the_targets(spark, make_docs, monkeypatch):
+    """Rows in the order in which they are written: after any part of them, each source's share is near that of its target."""
+    monkeypatch.setattr(mixing, "TOKENS_PER_SLOT", 16)
+    docs = make_docs([(i, " ".join(["w"] * (5 + i % 11)), "abc"[i * 7 % 10 // 4]) for i in range(6000)])
+    out = [(r.source, len(r.text.split())) for part in mixing.mix_documents(spark, docs).rdd.glom().collect() for r in part]
+    sizes = defaultdict(int)
+    for r in docs.collect():
+        sizes[r.source] += len(r.text.split())
+    want, total, seen, n = level(sizes), sum(level(sizes).values()), defaultdict(int), 0
+    for source, size in out:
+        seen[source] += size
+        n += size
+        assert all(abs(seen[s] - n * want[s] / total) < 400 for s in want)
+    assert abs(n - total) < 100
+
+
+def test_clashing_columns(spark, make_docs):
+    docs = make_docs(ROWS)
+    names = ["mix_size", "__target", "__sid", "__size", "__order", "mix_slot", "a.b"]
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), "doc_id"))
+    out = mixing.mix_documents(spark, docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] is None if r.doc_id is None else r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert sorted(r.doc_id or -1 for r in rows) == sorted(r.doc_id or -1 for r in mixing.mix_documents(spark, make_docs(ROWS)).collect())
+
+
+def test_long_text(spark, make_docs):
+    rows = [(1, "w " * 300_000, "a"), (2, "w " * 50, "b"), (3, "v " * 70_000, "b")]
+    out = {r.doc_id: r for r in mixing.mix(spark, make_docs(rows)).collect()}
+    assert out[1].size == 300_000 and sum(r.taken for r in out.values()) == pytest.approx(1.5 * 370_050, abs=3)

@@ -57,3 +57,49 @@ def test_edges(spark, make_docs, awkward):
     assert [r.doc_id for r in q.keep_good(docs, labels).collect()] == [5]
     empty = make_docs([])
     assert q.judge(empty, labels).count() == 0 and q.keep_good(empty, labels.limit(0)).count() == 0
+
+
+def test_path_lengths_and_threshold(spark):
+    """The forest's scores and the threshold, worked out again: each row walked through each tree, each threshold tried."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (400, len(q.FEATURES))), rng.normal(6, 1, (12, len(q.FEATURES)))])
+    forest = q.IsolationForest(x, trees=20, subsample=64)
+    harmonic = lambda n: sum(1 / k for k in range(1, n))
+    c = lambda n: 0 if n < 2 else 2 * harmonic(n) - 2 * (n - 1) / n
+    want = []
+    for row in x:
+        total = 0.0
+        for feature, value, left, right, length in forest.trees:
+            at = 0
+            while left[at] != at:
+                at = left[at] if row[feature[at]] < value[at] else right[at]
+            total += length[at]
+        want.append(2 ** (-total / 20 / c(64)))
+    got = forest.score(x)
+    assert np.abs(got - want).max() < 0.01 and got[400:].min() > np.median(got[:400])
+    bad = set(range(400, 412)) | {3}
+    scored = spark.createDataFrame([(i, float(s)) for i, s in enumerate(got)], "doc_id long, anomaly double")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(412)], "doc_id long, quality int")
+    bins = np.floor(got * q.SCORE_BINS)
+    gain = {t: sum(bins[i] >= t for i in bad) / len(bad) - q.GOOD_WEIGHT * sum(bins[i] >= t for i in range(412) if i not in bad) / (412 - len(bad)) for t in range(q.SCORE_BINS + 2)}
+    best = max(gain.values())
+    assert q.calibrate(scored, labels) == max(t for t, g in gain.items() if g >= best - 1e-12) / q.SCORE_BINS
+
+
+def test_fit_takes_the_smallest_hashes(spark, monkeypatch):
+    """The bound on the hash doesn't change the sample."""
+    import numpy as np
+
+    monkeypatch.setattr(q, "TREES", 4)
+    monkeypatch.setattr(q, "SUBSAMPLE", 16)
+    rng = np.random.default_rng(1)
+    stats = spark.createDataFrame([(i, *map(float, rng.random(len(q.FEATURES)))) for i in range(3000)], "doc_id long, " + ", ".join(f"{f} double" for f in q.FEATURES))
+    seen = []
+    monkeypatch.setattr(q, "IsolationForest", lambda x: seen.append(x))
+    q.fit(stats)
+    q.fit(stats.where("doc_id < 200"))
+    for x, rows in zip(seen, (stats, stats.where("doc_id < 200")), strict=True):
+        want = rows.select(*q.FEATURES).orderBy(q.F.xxhash64(q.F.lit(q.SEED), "doc_id", *q.FEATURES)).limit(64).collect()
+        assert x.tolist() == [list(r) for r in want]

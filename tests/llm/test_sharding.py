@@ -59,3 +59,50 @@ def test_edges(spark, make_docs, awkward):
     one = out.groupBy("__shard", "__shard_rows").count().collect()
     assert all(r["__shard_rows"] == r["count"] for r in one)
     assert sharding.shard(spark, make_docs([]), scratch(spark, "t")).count() == 0
+
+
+def test_vacuum_during_an_append(spark, make_docs):
+    """Files that a writer has written but not committed outlive a vacuum; once old enough, files that no version names go."""
+    docs = make_docs([(i, "text") for i in range(50)])
+    store = sharding.ShardStore(spark, scratch(spark, "t"), docs.schema)
+    store.append(docs.repartition(3))
+    seen, folder = store.version(), "data/append-slow"
+    docs.write.parquet(f"{store.root}/{folder}")
+    store.compact()
+    assert store.vacuum() == 3  # what the merge replaced
+    with pytest.raises(sharding.Conflict):
+        store.commit(store.manifest(seen + 1).unionByName(store._listed(folder, seen + 1)), seen)
+    store.commit(store.manifest().unionByName(store._listed(folder, seen + 2)), seen + 1)
+    assert rows(store.scan().select(docs.columns)) == sorted(rows(docs) * 2)
+    docs.write.parquet(f"{store.root}/data/append-lost")
+    assert store.vacuum() == 0 and store.vacuum(grace_s=-60) > 0
+    assert rows(store.scan().select(docs.columns)) == sorted(rows(docs) * 2)
+
+
+def test_plan_against_brute_force(spark, make_docs):
+    """Tiers, runs and what is left alone, worked out in Python."""
+    store = sharding.ShardStore(spark, scratch(spark, "t"), make_docs([]).schema, target_bytes=1000)
+    sizes = [10, 15, 1200, 900, 300, 310, 320, 330, 340, 70, 4000, 999, 5, 260, 270]
+    tier = lambda b: max(k for k in range(12) if 4**k <= b)
+    shards = spark.createDataFrame([(f"data/{i:02d}.parquet", 1, b, tier(b), 1) for i, b in enumerate(sizes)], sharding.MANIFEST)
+    want = {}
+    for t in {tier(b) for b in sizes}:
+        upto = 0
+        for i, b in enumerate(sizes):
+            if tier(b) == t and b < 1000:
+                upto += b
+                want.setdefault((t, int((upto - b / 2) // 1000)), []).append(f"data/{i:02d}.parquet")
+    want = [sorted(p) for _, p in sorted(want.items()) if len(p) >= 2]
+    got = {}
+    for r in store.plan(shards).collect():
+        got.setdefault(r.run, []).append(r.path)
+    assert [sorted(p) for _, p in sorted(got.items())] == want and len(want) > 2
+
+
+def test_clashing_columns(spark, make_docs):
+    docs = make_docs([(i, "text " * i) for i in range(40)]).withColumnRenamed("row", "__shard_run").withColumnRenamed("cls", "__shard").withColumnRenamed("size", "__shard_file").withColumnRenamed("lang", "a.b")
+    out = sharding.shard(spark, docs.repartition(4), scratch(spark, "t"))
+    quoted = [f"`{c}`" for c in docs.columns]
+    assert rows(out.select(*quoted)) == rows(docs) and out.columns[-5:] == ["__shard_", "__shard_rows", "__shard_bytes", "__shard_tier", "__shard_version"]
+    other = spark.createDataFrame([({"a": 1}, "x")], "m map<string,int>, t string")
+    assert sharding.shard(spark, other, scratch(spark, "t")).count() == 1

@@ -48,3 +48,44 @@ def test_pages_through_archives(spark, parts):
 
 def test_empty(spark):
     assert w.archive(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_headers_of_old_files(spark, tmp_path):
+    """Blanks in a URL, CRLF line ends, empty lines between records, short dates, no address, a block that isn't HTTP, gzip members, and a record cut short."""
+    plain = (
+        b"filedesc://old.arc 0.0.0.0 19961022 text/plain 77\r\n1 0 Some Archive\r\nURL IP-address Archive-date Content-type Archive-length\r\n"
+        b"\r\nhttp://a/b c d.html 10.0.0.1 19961022112233 text/html 27\nHTTP/1.0 200 OK\r\nA: b\r\n\r\nhi"
+        b"\n\n\ngopher://x/ - 199610 text/plain 5\r\nhello"
+    )
+    plain = plain.replace(b"text/plain 77", b"text/plain %d" % len(b"1 0 Some Archive\r\nURL IP-address Archive-date Content-type Archive-length\r\n"))
+    got = list(w.read_arc(io.BytesIO(plain)))
+    assert [(f[b"URL"], f[b"Archive-date"], b[-5:]) for f, b in got] == [(b"http://a/b c d.html", b"19961022112233", b"\n\r\nhi"), (b"gopher://x/", b"199610", b"hello")]
+    files = {"plain.arc": plain, "packed.arc.gz": w.member(w.arc_version_block("p", 2, "20010203")) + w.member(w.arc_record(b"u", "1.1.1.1", "20010203", b"text/html", w.http_block(1, b"z" * 200), 2)), "cut.arc": plain[:-2], "empty.arc": b"", "nonsense.arc": b"\n\n\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/{n}", 1, 1) for n in files], w.ARC_MANIFEST)
+    done = {r.path.rsplit("/", 1)[-1].split(".")[0]: (r.records, r.malformed) for r in w.convert(manifest, scratch(spark, "warc")).collect()}
+    assert done.pop("nonsense", (0, 0))[0] == 0
+    assert done == {"plain": (2, 0), "packed": (1, 0), "cut": (1, 1)}
+
+
+def records(warcs):
+    out = []
+    for r in warcs.collect():
+        fs, inner = w.opened(r.path)
+        with fs.open_input_stream(inner) as f:
+            out += [fields for fields, _ in w.read_warc(f)]
+    return out
+
+
+def test_two_runs_give_the_same_identifiers(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2, "url")
+    runs = [records(w.convert(w.write_arc(pages, scratch(spark, "arc"), "20080430204825", arc_bytes=3000), scratch(spark, "warc"))) for _ in range(2)]
+    key = lambda f: (f["warc-record-id"], f["warc-type"], f.get("warc-refers-to"))
+    assert sorted(map(key, runs[0]), key=str) == sorted(map(key, runs[1]), key=str)
+    ids = {f["warc-record-id"]: f for f in runs[0]}
+    assert len(ids) == len(runs[0])
+    for f in runs[0]:
+        if f["warc-type"] == "revisit":
+            to = ids[f["warc-refers-to"]]
+            assert (f["warc-refers-to-target-uri"], f["warc-refers-to-date"]) == (to["warc-target-uri"], to["warc-date"]) and to["warc-type"] == "response"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -108,6 +108,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def keep_texts(docs: DataFrame, decide: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows whose texts decide() keeps, judged in place, with all columns of docs whatever their names."""
+    at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow takes no names with dots
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(decide(b.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

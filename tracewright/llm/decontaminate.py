@@ -6,13 +6,12 @@ occurs in a document brings all its words, so of its words in that order a prefi
 joined with windows on that word alone. Positional and length bounds then drop what can't fit at that place (the window would begin before the text
 or end after it), and the rest is verified word by word over the item-sized window.
 
-The windows are the query set of a search over all documents. They are held in blocks of at most BLOCK_BYTES; a worker that
-has more than one block holds one at a time and passes each batch of documents over all of them, so no size of
-benchmark is beyond it, and documents are never shuffled.
+Windows of up to BROADCAST_BYTES are broadcast as an index by prefix word, and documents never shuffled. Beyond that, the same join is a shuffle: each place of a text whose word may be a prefix (by a bitmap of
+SKETCH bits) is sent to the windows of that word with the words around it, which is all it takes to verify there; hot words are salted. What is found is joined back by the text's digest.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item has no window; items with null ids hit words but aren't
 counted or listed; repeated items count once; repeated documents and null doc_ids are judged one by one; empty tables give no hits or empty results;
-extra columns are not read by the query, and kept by the pipeline stage.
+texts of any length are searched whole; ties in rarity go to the least word; extra columns of any name are not read by the query, and kept by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -25,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import keep_texts, materialize, slices, small_side_join, unused
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated if MIN_SHARE * n_hit >= n_words
-SKETCH, BLOCK_BYTES = 1 << 20, 64 << 20
+SKETCH, BROADCAST_BYTES = 1 << 20, 64 << 20
 #: ASCII other than digits and letters separates words; A-Z fold to a-z; bytes from 0x80 on belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -104,27 +103,16 @@ def prefix_index(windows: DataFrame, frequency: np.ndarray) -> DataFrame:
     return windows.mapInArrow(pick, "window binary, items array<string>, prefix binary, at int")
 
 
-class Index:
-    """The blocks of the prefix index, as broadcasts; holds one block at a time in a worker."""
-
-    def __init__(self, spark: SparkSession, index: DataFrame, block_bytes: int = BLOCK_BYTES):
-        size = index.agg(F.sum(F.length("window") + F.length("prefix") + F.size("items") * 24 + 200)).first()[0] or 0
-        n = -(-size // block_bytes)
-        index = index.withColumn("block", F.pmod(F.xxhash64("prefix"), F.lit(max(1, n))))
-        self.blocks = []
-        for k in range(n):
-            rows = index.where(F.col("block") == k).drop("block").toPandas()  # about block_bytes
-            block: dict[bytes, list] = {}
-            for w, items, prefix, at in rows.itertuples(index=False):
-                block.setdefault(bytes(prefix), []).append((bytes(w).split(), at, tuple(items)))
-            self.blocks.append(spark.sparkContext.broadcast(block))
-
-    def each(self) -> Iterator[dict]:
-        if len(self.blocks) == 1:
-            yield self.blocks[0].value
-        else:
-            for b in self.blocks:
-                yield b.load_from_path(b._path)
+def index_bytes(index: DataFrame) -> int:
+    return index.agg(F.sum(F.length("window") + F.length("prefix") + F.size("items") * 24 + 200)).first()[0] or 0
+
+
+def by_prefix(index: DataFrame) -> dict[bytes, list]:
+    """The index as a dictionary; its size has been checked."""
+    out: dict[bytes, list] = {}
+    for w, items, prefix, at in index.toPandas().itertuples(index=False):
+        out.setdefault(bytes(prefix), []).append((bytes(w).split(), at, tuple(items)))
+    return out
 
 
 def hits_of(words: list[bytes], block: dict) -> tuple[list[tuple[int, int]], set[str]]:
@@ -153,38 +141,101 @@ def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(texts: list[bytes | None], index: Index) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """(n_words, merged places, items) of each text."""
-    split = [words_of(t) for t in texts]
-    found = [([], set()) for _ in texts]
-    for block in index.each():
-        for words, (places, items) in zip(split, found, strict=True):
-            p, i = hits_of(words, block)
-            places += p
-            items |= i
-    return [(len(w), merged(p), sorted(i)) for w, (p, i) in zip(split, found, strict=True)]
+PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Index:
+def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = materialize(item_windows(benchmark, window), "windows")
-    return Index(docs.sparkSession, prefix_index(windows, rarity(docs, windows)), block_bytes)
+    return materialize(prefix_index(windows, rarity(docs, windows)), "prefixes")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, places, items) for each document: places are word ranges without overlap, items the ids found."""
-    index = build_index(docs, benchmark, window, block_bytes)
+def _broadcast_search(docs: DataFrame, index: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(by_prefix(index))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = search(b.column("text").to_pylist(), index)
-            places = [[{"start": s, "end": e} for s, e in f[1]] for f in found]
+            split = [words_of(t) for t in b.column("text").to_pylist()]
+            found = [hits_of(w, shared.value) for w in split]
+            places = [[{"start": s, "end": e} for s, e in merged(p)] for p, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([f[2] for f in found], pa.list_(pa.string()))],
+                [b.column("doc_id"), pa.array([len(w) for w in split], pa.int64()), pa.array(places, PLACES), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))],
                 ["doc_id", "n_words", "places", "items"],
             )
 
+    return docs.mapInArrow(look, FOUND)
+
+
+FOUND = "doc_id long, n_words long, places array<struct<start:bigint,end:bigint>>, items array<string>"
+
+
+def _text_key(text):
+    return F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))
+
+
+def shuffled_hits(docs: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """(key, n_words, places, items) for each distinct text with hits; places may overlap."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({_counter(w) for w in b.column("prefix").to_pylist()}), pa.int32())], ["c"])
+
+    prefixes = np.zeros(SKETCH, bool)
+    prefixes[[r["c"] for r in index.select("prefix").mapInArrow(marked, "c int").distinct().collect()]] = True  # SKETCH rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(prefixes))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(shared.value).astype(bool)
+        for b in slices(batches, 32):
+            out = []
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                near = {w for w in set(words) if mask[_counter(w)]}
+                for i, w in enumerate(words):
+                    if w in near:
+                        lo = max(0, i - window + 1)
+                        out.append((key, len(words), i, lo, w, b" ".join(words[lo : i + window])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "n_words", "i", "lo", "prefix", "around"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            good, starts, ends = [], [], []
+            for i, lo, around, at, w in zip(*(b.column(c).to_pylist() for c in ("i", "lo", "around", "at", "window")), strict=True):
+                words, item = around.split(), w.split()
+                start = i - at - lo
+                good.append(start >= 0 and words[start : start + len(item)] == item)
+                starts.append(i - at)
+                ends.append(i - at + len(item))
+            t = pa.RecordBatch.from_arrays([b.column("key"), b.column("n_words"), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), b.column("items")], ["key", "n_words", "start", "end", "items"])
+            yield t.filter(pa.array(good, pa.bool_()))
+
+    texts = docs.select(_text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    met = small_side_join(texts.mapInArrow(places, "key string, n_words long, i long, lo long, prefix binary, around binary"), index, ["prefix"], most=0)
+    hits = met.select("key", "n_words", "i", "lo", "around", "at", "window", "items").mapInArrow(verified, "key string, n_words long, start long, end long, items array<string>").distinct()
+    # The places of one text, which are no more than its words times the lengths of windows.
+    return hits.groupBy("key", "n_words").agg(F.collect_set(F.struct("start", "end")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def _shuffled_search(docs: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    hits = materialize(shuffled_hits(docs, index, window), "hits")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(words_of(t)) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "key", "n_words"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            places = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in p or ()])] for p in b.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(places, PLACES), pa.array([i or [] for i in b.column("items").to_pylist()], pa.list_(pa.string()))], ["doc_id", "n_words", "places", "items"])
+
+    rows = docs.select("doc_id", _text_key(F.col("text")).alias("key"), "text").mapInArrow(count, "doc_id long, key string, n_words long")
+    return rows.join(hits.drop("n_words"), "key", "left").select("doc_id", "n_words", "places", "items").mapInArrow(merge, FOUND)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, n_words, places, items) for each document: places are word ranges without overlap, items the ids found."""
+    index = build_index(docs, benchmark, window)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(look, "doc_id long, n_words long, places array<struct<start:bigint,end:bigint>>, items array<string>")
+    return _broadcast_search(rows, index) if index_bytes(index) <= broadcast_bytes else _shuffled_search(rows, index, window)
 
 
 def n_hit(places):
@@ -195,14 +246,27 @@ def is_contaminated(hit, words):
     return (hit > 0) & (MIN_SHARE * hit >= words)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of docs; rows are judged in place."""
-    index = build_index(docs, benchmark)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with the columns of docs. With a broadcast index rows are judged in place."""
+    index = build_index(docs, benchmark, window)
+    if index_bytes(index) > broadcast_bytes:
+        (key,) = unused(docs, "text_key")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = search(b.column("text").cast(pa.binary()).to_pylist(), index)
-            hit = [sum(e - s for s, e in f[1]) for f in found]
-            yield b.filter(pa.array([not (h and MIN_SHARE * h >= f[0]) for h, f in zip(hit, found, strict=True)], pa.bool_()))
+        def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                hit = [sum(e - s for s, e in merged([(x["start"], x["end"]) for x in p])) for p in b.column("places").to_pylist()]
+                out = [MIN_SHARE * h >= n for h, n in zip(hit, b.column("n_words").to_pylist(), strict=True)]
+                yield b.select(["key"]).filter(pa.array(out, pa.bool_())).rename_columns([key])
+
+        gone = shuffled_hits(docs, index, window).mapInArrow(bad, f"`{key}` string")
+        return docs.join(gone, _text_key(F.col("text")) == F.col(key), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(by_prefix(index))
+
+    def clean(texts: list[bytes | None]) -> list[bool]:
+        out = []
+        for words in map(words_of, texts):
+            hit = sum(e - s for s, e in merged(hits_of(words, shared.value)[0]))
+            out.append(not (hit and MIN_SHARE * hit >= len(words)))
+        return out
 
-    return docs.mapInArrow(keep, docs.schema)
+    return keep_texts(docs, clean)

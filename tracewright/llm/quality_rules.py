@@ -1,15 +1,15 @@
 """Quality rules: an isolation forest over rule statistics, with a threshold from labelled rows.
 
 A first pass over all whole texts measures the rules (words, symbols, repeated lines and windows, ...). The forest is
-fitted on a bounded sample, the FIT_ROWS documents with the smallest hashes of their ids and statistics; all else covers
-every document. A document's anomaly is 2 ** (-mean path length / c), from random splits of SUBSAMPLE rows per
+fitted on TREES * SUBSAMPLE documents, those with the smallest hashes of their ids and statistics among all, SUBSAMPLE of their own for each tree (drawn again where there are fewer documents), as the
+method has it; all else covers every document. A document's anomaly is 2 ** (-mean path length / c), from random splits of SUBSAMPLE rows per
 tree. The threshold weighs what all labelled documents would lose, counted in a histogram of SCORE_BINS bins: it is the
 highest at which (share of quality 0 rejected) - GOOD_WEIGHT * (share of quality 1 rejected) is at its best.
 
 Defined results: a null or empty text has no words and fails the base rules. A null doc_id is measured
 like others; such rows and labels never meet. Repeated rows are judged one by one. If a document has several
 labels, it counts as good if any says so. Without labels of both kinds the forest rejects nothing. Empty tables give empty
-results. Extra columns are not read by the query, and kept by the pipeline stage.
+results. Texts of any length are measured whole. Ties: equal statistics have equal anomalies and verdicts, and documents with the threshold's own anomaly are rejected. Extra columns are not read by the query, and kept by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, slices
+from .common import BLANKS, keep_texts, materialize, slices
 
 #: Fixed by the contract of the base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 8, 20, 30
 
-FIT_ROWS, TREES, SUBSAMPLE, SEED = 8192, 128, 256, 7
+TREES, SUBSAMPLE, SEED = 128, 256, 7
 GOOD_WEIGHT, SCORE_BINS = 20.0, 4096
 FEATURES = ("mean_word", "symbol_rate", "repeat_rate", "top_word_rate", "same_next_rate", "variety")
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -109,7 +109,8 @@ class IsolationForest:
         rng = np.random.default_rng(seed)
         self.size = min(subsample, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(2, self.size)))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(trees)]
+        own = len(x) >= trees * subsample  # rows come in the order of a hash
+        self.trees = [self._grow(x[t * subsample : (t + 1) * subsample] if own else x[rng.choice(len(x), self.size, replace=False)], rng) for t in range(trees)]
 
     @staticmethod
     def mean_path(n: float) -> float:
@@ -151,10 +152,16 @@ class IsolationForest:
 
 
 def fit(stats: DataFrame) -> IsolationForest | None:
-    """A forest from the bounded sample; None for an empty table."""
-    key = F.xxhash64(F.lit(SEED), "doc_id", *FEATURES)
-    rows = stats.select(*FEATURES, key.alias("key")).orderBy("key", *FEATURES).limit(FIT_ROWS).drop("key").toPandas()
-    return IsolationForest(rows.to_numpy(dtype=float)) if len(rows) else None
+    """A forest from the documents with the smallest hashes; None for an empty table.
+
+    A bound on the hash lets about four times the rows wanted through, so no more than these are sorted or sent, however many partitions there are.
+    """
+    want, n = TREES * SUBSAMPLE, stats.count()
+    rows = stats.select(*FEATURES, F.xxhash64(F.lit(SEED), "doc_id", *FEATURES).alias("key"))
+    if n > 4 * want:
+        rows = rows.where(F.col("key") < F.lit(-(1 << 63) + (1 << 64) // n * 4 * want))
+    x = rows.orderBy("key", *FEATURES).limit(want).drop("key").toPandas()
+    return IsolationForest(x.to_numpy(dtype=float)) if len(x) else None
 
 
 def score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
@@ -205,15 +212,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     threshold = 2.0 if forest is None else calibrate(score(stats, forest), labels)
     shared = spark.sparkContext.broadcast(forest)
 
-    def decide(texts):
+    def decide(texts: list[bytes | None]) -> list[bool]:
         stats = [measure(t) for t in texts]
         x = np.array([s[5:] for s in stats], dtype=float).reshape(len(stats), len(FEATURES))
         anomaly = shared.value.score(x) if len(stats) else np.zeros(0)
         return [not (s[0] < MIN_WORDS or 100 * s[4] > MAX_REPEAT_PERCENT * s[0]) and a < threshold for s, a in zip(stats, anomaly, strict=True)]
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            text = b.column("text")
-            yield b.filter(pa.array(decide(text.cast(pa.binary()).to_pylist()), pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return keep_texts(docs, decide)

@@ -6,18 +6,19 @@ about the target size, and rewrites each run of at least MIN_RUN shards as one f
 target size or more are never rewritten. Every step ends with one commit: the new list of live shards is
 written aside and becomes version n + 1 by an atomic rename that fails if that version exists, so a reader
 sees the old list or the new one, and of two writers one has to try again. Files are never changed in place;
-vacuum() deletes those that only older versions name.
+vacuum() deletes those that only versions before the kept ones name; files that no version names may be of a writer that hasn't committed yet, so they go only when older than GRACE_S.
 
 Only the list of shards (paths, sizes, counts) is handled on the driver, never rows.
 
-Defined results: nulls, empty and long texts and repeated rows are kept as they are; an empty table
-commits a version without shards and reads as an empty table; columns of any name are kept, except those
-that begin with "__shard".
+Defined results: nulls, empty and very long texts, ties and repeated rows are kept as they are; an empty table
+commits a version without shards and reads as an empty table; columns of any name are kept: where a table has a column named like one that scan() or a merge adds, the added one gets
+underscores behind its name. shard() deals arrivals by doc_id, or by a hash of the first column that can be hashed where there is none.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import settings, unused
+
 TARGET_BYTES = 32 << 20
 TIER_FACTOR, MIN_RUN = 4, 2
+GRACE_S = 7 * 24 * 3600
+#: A job's shuffle files go when it has ended.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+ADDED = ("__shard", "__shard_rows", "__shard_bytes", "__shard_tier", "__shard_version")
 MANIFEST = "path string, rows bigint, bytes bigint, tier int, added bigint"
 CODEC = "zstd"
 
@@ -54,8 +61,11 @@ class ShardStore:
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
 
     def version(self) -> int:
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
-        return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
+        return [int(n[1:]) for n in names if n.startswith("v")]
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The live shards of a version, by default of the last."""
@@ -90,7 +100,8 @@ class ShardStore:
         """Adds rows as new shards; the column `arrival`, if given, keeps arrivals in files of their own and isn't stored."""
         seen, folder = self.version(), f"data/append-{uuid.uuid4().hex[:12]}"
         out = rows.write.option("compression", CODEC)
-        (out.partitionBy(arrival) if arrival else out).parquet(f"{self.root}/{folder}")
+        with settings(self.spark, CLEAN):
+            (out.partitionBy(arrival) if arrival else out).parquet(f"{self.root}/{folder}")
         return self.commit(self.manifest(seen).unionByName(self._listed(folder, seen + 1)), seen)
 
     def plan(self, shards: DataFrame) -> DataFrame:
@@ -109,46 +120,58 @@ class ShardStore:
         if not todo:
             return seen
         folder, n = f"data/merge-{uuid.uuid4().hex[:12]}", max(r["run"] for r in todo)
-        plan = self.spark.createDataFrame([(r["path"], r["run"]) for r in todo], "__shard_file string, __shard_run int")
-        rows = self.read([r["path"] for r in todo]).withColumn("__shard_file", _inside(F.col("_metadata.file_path")))
+        file, run = unused(self._empty(), "__shard_file", "__shard_run")
+        plan = self.spark.createDataFrame([(r["path"], r["run"]) for r in todo], f"`{file}` string, `{run}` int")
+        rows = self.read([r["path"] for r in todo]).withColumn(file, _inside(F.col("_metadata.file_path")))
         # One row per file of this round, so the list is as small as the manifest that the driver holds already.
-        rows = rows.join(F.broadcast(plan), "__shard_file").drop("__shard_file")
-        rows.repartition(n, "__shard_run").write.option("compression", CODEC).partitionBy("__shard_run").parquet(f"{self.root}/{folder}")
+        rows = rows.join(F.broadcast(plan), file).drop(file)
+        with settings(self.spark, CLEAN):  # a task for each run
+            rows.repartitionById(n, F.col(run) - 1).write.option("compression", CODEC).partitionBy(run).parquet(f"{self.root}/{folder}")
         gone = self.spark.createDataFrame([(r["path"],) for r in todo], "path string")
         return self.commit(shards.join(gone, "path", "left_anti").select("path", "rows", "bytes", "tier", "added").unionByName(self._listed(folder, seen + 1)), seen)
 
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
+
     def read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
+    def added(self) -> list[str]:
+        """The names of the columns that scan() adds: ADDED, or longer where the table has such columns."""
+        return unused(self._empty(), *ADDED)
+
     def scan(self, version: int | None = None) -> DataFrame:
-        """All rows of a version with __shard (its number in path order), __shard_rows, __shard_bytes, __shard_tier and __shard_version."""
+        """All rows of a version and, in the columns added(), the shard's number in path order, its rows, bytes and tier, and the version."""
         v = self.version() if version is None else version
-        live = self.manifest(v)
-        extra = [("__shard", "int"), ("__shard_rows", "bigint"), ("__shard_bytes", "bigint"), ("__shard_tier", "int"), ("__shard_version", "bigint")]
+        live, names = self.manifest(v), self.added()
         paths = [r["path"] for r in live.select("path").orderBy("path").collect()]
         if not paths:
-            return self.spark.createDataFrame([], self.schema).select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra])
-        facts = live.select(
-            F.col("path").alias("__shard_file"),
-            (F.row_number().over(W.orderBy("path")) - 1).alias("__shard"),
-            F.col("rows").alias("__shard_rows"), F.col("bytes").alias("__shard_bytes"), F.col("tier").alias("__shard_tier"), F.lit(v).cast("bigint").alias("__shard_version"),
-        )
-        return self.read(paths).withColumn("__shard_file", _inside(F.col("_metadata.file_path"))).join(F.broadcast(facts), "__shard_file").drop("__shard_file")
-
-    def vacuum(self) -> int:
-        """Deletes the files that the last version doesn't name, and older manifests; gives the number of files."""
+            return self._empty().select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(names, ("int", "bigint", "bigint", "int", "bigint"), strict=True)])
+        (file,) = unused(self._empty(), "__shard_file")
+        values = [(F.row_number().over(W.orderBy("path")) - 1), F.col("rows"), F.col("bytes"), F.col("tier"), F.lit(v).cast("bigint")]  # a row per shard
+        facts = live.select(F.col("path").alias(file), *[c.alias(n) for c, n in zip(values, names, strict=True)])
+        return self.read(paths).withColumn(file, _inside(F.col("_metadata.file_path"))).join(F.broadcast(facts), file).drop(file)
+
+    def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
+        """Deletes the files that none of the last `keep` versions names, and the older manifests; gives the number of files.
+
+        A file that an older version names is known to be replaced. One that no version names may be written just now by a writer that hasn't committed: it goes only when older than grace_s.
+        """
         v = self.version()
-        live = {r["path"] for r in self.manifest(v).select("path").collect()}
-        gone = 0
+        named = {n: {r["path"] for r in self.manifest(n).select("path").collect()} for n in self._versions()}
+        live = set().union(*[p for n, p in named.items() if n > v - keep])
+        old = set().union(*named.values()) - live
+        gone, before = 0, (time.time() - grace_s) * 1000
         found = self._fs.listFiles(self._path(f"{self.root}/data"), True)
         while found.hasNext():
-            p = found.next().getPath()
+            status = found.next()
+            p = status.getPath()
             inside = "data/" + p.toString().rpartition("/data/")[2]
-            if inside.endswith(".parquet") and inside not in live:
+            if inside.endswith(".parquet") and inside not in live and (inside in old or status.getModificationTime() < before):
                 gone += bool(self._fs.delete(p, False))
-        for s in self._fs.listStatus(self._path(f"{self.root}/manifest")):
-            if (n := s.getPath().getName()).startswith("v") and int(n[1:]) < v:
-                self._fs.delete(s.getPath(), True)
+        for n in named:
+            if n <= v - keep:
+                self._fs.delete(self._path(f"{self.root}/manifest/v{n:08d}"), True)
         return gone
 
 
@@ -161,7 +184,9 @@ def arrival_wave(key) -> F.col:
 def shard(spark: SparkSession, docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Stores docs in arrivals, compacts them until no run is left to rewrite, drops what is no longer live after each round, and reads the last version back."""
     store = ShardStore(spark, root, docs.schema, target_bytes)
-    store.append(docs.withColumn("__shard_arrival", arrival_wave(F.col("doc_id"))), "__shard_arrival")
+    (arrival,) = unused(docs, "__shard_arrival")
+    key = next((f.name for f in docs.schema if f.name.lower() == "doc_id"), None) or next((f.name for f in docs.schema if "map<" not in f.dataType.simpleString()), None)
+    store.append(docs.withColumn(arrival, F.lit(0) if key is None else arrival_wave(F.col("`" + key.replace("`", "``") + "`"))), arrival)
     seen = store.version()
     while (version := store.compact()) != seen:  # a round has fewer shards than the one before
         seen = version

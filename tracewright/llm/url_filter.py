@@ -7,7 +7,8 @@ Expressions meet rules in an equi-join on the first 32 bits of their SHA-256; fu
 hit, and the longest rule wins (then the longer host, then block before allow).
 
 Defined results: a null URL, or one without "://", has an empty host and path and gets the default
-verdict. Repeated rows are judged one by one. Empty tables give empty results. Extra columns are not read.
+verdict. URLs of any length are judged whole. Each distinct host and path is judged once and meets its rows by an equi-join, so repeated rows get the same verdict, and a row that is computed again (a lost executor) can't
+meet another row's. Ties between rules are settled as above. Empty tables give empty results. Extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -47,33 +48,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     known = hashed_rules(rules)
     shape = known.agg(F.collect_set(F.size(F.split("r_host", "\\."))).alias("k"), F.collect_set(F.length("r_path")).alias("l")).first()
-    labels, lengths = sorted(shape["k"]), sorted(shape["l"])
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("parts", F.split("host", "\\."))
-    made = [
-        F.when(
-            (F.size("parts") >= k) & (F.length("path") >= n) & (F.col("host") != ""),
-            F.concat(F.array_join(F.slice("parts", F.size("parts") - k + 1, k), "."), F.substring("path", 1, n)),
-        )
-        for k in labels
-        for n in lengths
-    ]
-    exprs = F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.array().cast("array<string>")
-    looked = (
-        rows.withColumn("expr", F.explode_outer(exprs))
-        .withColumn("digest", F.sha2("expr", 256))
-        .withColumn("h_prefix", F.substring("digest", 1, HEX_PREFIX))
-        .select("row", "id", "host", "path", "digest", "h_prefix")
-    )
+    labels, lengths = F.lit(sorted(shape["k"])).cast("array<int>"), F.lit(sorted(shape["l"])).cast("array<int>")
+    urls = rows.where("host != ''").select("host", "path").distinct().withColumn("parts", F.split("host", "\\."))
+    n_parts = F.size("parts")
+    suffixes = F.transform(F.filter(labels, lambda k: k <= n_parts), lambda k: F.array_join(F.slice("parts", n_parts - k + 1, k), "."))
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n))
+    exprs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+    looked = urls.select("host", "path", F.explode(exprs).alias("expr")).withColumn("digest", F.sha2("expr", 256))
+    looked = looked.select("host", "path", "digest", F.substring("digest", 1, HEX_PREFIX).alias("h_prefix"))
     if fits_broadcast(known, MOST_BROADCAST_RULES):
-        met = looked.join(F.broadcast(known), "h_prefix", "left")
+        met = looked.join(F.broadcast(known), "h_prefix")
     else:  # a common expression is spread over SALT partitions
-        looked = looked.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int"))
-        met = looked.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["h_prefix", "salt"], "left")
+        looked = looked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int"))
+        met = looked.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["h_prefix", "salt"])
     hit = F.when(
         F.col("digest") == F.col("r_digest"),
         F.struct(F.length("r_expr").alias("n"), F.length("r_host").alias("h"), F.col("r_action").alias("action"), F.col("r_expr").alias("expr")),
     )
-    best = met.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(hit).alias("best"))
-    return best.select(
+    best = met.groupBy("host", "path").agg(F.max(hit).alias("best"))
+    return rows.join(best, ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("best.expr").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )
