@@ -46,3 +46,16 @@ def test_files_are_flat(spark, make_docs):
     assert ids.tobytes() == e.encode(b"a") + e.encode(b"b a")
     assert sum(len(t._mapped(r.stem + ".off", "<u8")) - 1 for r in m) == 2
     assert t.tokenize(spark, make_docs([]), VOCABULARY).count() == 0
+
+
+def test_any_vocabulary():
+    """A vocabulary that can't be cut at blanks is encoded whole; the cached way is taken for the other one only."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", "Hello  world's\n\n42nd  <|endoftext|> x", "Ünï 日本 \t tab", "a" * 5000]
+    for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        enc, library = t.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert enc.by_word is by_word
+        for x in texts:
+            assert np.frombuffer(enc.encode(x.encode()), enc.type).tolist() == [*library.encode(x, add_special_tokens=False).ids, t.END_ID]

@@ -6,16 +6,17 @@ number) and .doc (signed 64 bit doc_ids; null ids come first and are counted in
 prefix sum of the id counts of the files before it. Files get names of their own for each attempt of a task; those count that the
 manifest names, and Spark commits one manifest row per task. Readers map the files into memory.
 
-Encoding is that of the tokenizers library. Its normalizer and pre-tokenizer never look across ASCII blanks, so each blank-separated word is
+Encoding is that of the tokenizers library. Where a vocabulary's normalizer and pre-tokenizer are those of BY_WORD, they never look across ASCII blanks, so each blank-separated word is
 encoded by the library's own parts once and then found in a cache of CACHE_WORDS words; a word with one of the
-vocabulary's added tokens in it is encoded as a whole.
+vocabulary's added tokens in it is encoded as a whole. Texts are encoded whole by the library with any other vocabulary.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; repeated doc_ids stand together, ordered by the hash of their texts;
-an empty table gives empty results; extra columns are not read.
+an empty table gives empty results; texts of any length are encoded whole; extra columns of any name are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -32,6 +33,14 @@ from .common import materialize, scratch, slices
 from .files import fresh, make_folder, opened
 
 END_ID, CACHE_WORDS = 1, 600_000
+#: Fixed by the vocabulary file's format: the normalizer and splitter whose work can be done word by word.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 MANIFEST = "part int, stem string, n_docs long, n_null long, n_tokens long, width int"
 #: ASCII punctuation without the apostrophe: a run of it at a word's end is a piece of its own.
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,6 +60,8 @@ class Encoder:
         self.end = np.array([end_id], self.type).tobytes()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
+        config = json.loads(self.library.to_str())
+        self.by_word = all(config[k] == v for k, v in BY_WORD.items()) and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in config["added_tokens"])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -88,6 +99,8 @@ class Encoder:
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a whole text and the end id, as they stand in the file."""
+        if not self.by_word:
+            return np.array(self.library.encode((text or b"").decode(), add_special_tokens=False).ids, self.type).tobytes() + self.end
         known, new = self.words.get, self._word
         return b"".join([known(w) or new(w) for w in (text or b"").split()]) + self.end
 
@@ -126,12 +139,22 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     return manifest.withColumn("base", F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens"))
 
 
-def _mapped(uri: str, kind: str) -> np.ndarray:
-    f, path = opened(uri)
-    if f.type_name == "local":
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-    with f.open_input_file(path) as x:
-        return np.frombuffer(x.read(), dtype=kind)
+class _Numbers:
+    """A file of numbers: a memory map where the store is local, else read by ranges."""
+
+    def __init__(self, uri: str, kind: str):
+        f, path = opened(uri)
+        self.kind, self.map, self.file = np.dtype(kind), None, None
+        if f.type_name == "local":
+            self.map = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
+        else:
+            self.file = f.open_input_file(path)
+
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        if self.map is not None:
+            return self.map[lo:hi]
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((min(hi, self.file.size() // size) - lo) * size, lo * size), dtype=self.kind)
 
 
 def read_token_files(manifest: DataFrame, rows_per_batch: int = 4096) -> DataFrame:
@@ -140,13 +163,14 @@ def read_token_files(manifest: DataFrame, rows_per_batch: int = 4096) -> DataFra
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for r in b.to_pylist():
-                ids, off, doc = _mapped(r["stem"] + ".ids", f"<u{r['width']}"), _mapped(r["stem"] + ".off", "<u8"), _mapped(r["stem"] + ".doc", "<i8")
+                ids, off, doc = (_Numbers(r["stem"] + x, k) for x, k in ((".ids", f"<u{r['width']}"), (".off", "<u8"), (".doc", "<i8")))
                 for k in range(0, r["n_docs"], rows_per_batch):
-                    o = off[k : k + rows_per_batch + 1].astype(np.int64)
-                    crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(o[:-1], o[1:], strict=True)]
+                    o = off.part(k, k + rows_per_batch + 1).astype(np.int64)
+                    own, at = ids.part(int(o[0]), int(o[-1])), o - o[0]
+                    crc = [zlib.crc32(own[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
                     null = np.arange(k, k + len(crc)) < r["n_null"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.asarray(doc[k : k + len(crc)]), pa.int64(), mask=null), pa.array(o[:-1] + r["base"], pa.int64()), pa.array(np.diff(o), pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array(np.asarray(doc.part(k, k + len(crc))), pa.int64(), mask=null), pa.array(o[:-1] + r["base"], pa.int64()), pa.array(np.diff(o), pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
