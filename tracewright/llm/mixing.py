@@ -48,14 +48,19 @@ def golden(slot):
     return (top + F.pmod(F.col(slot), F.lit(_LOW)) * F.lit(GOLDEN)) % F.lit(1 << GOLDEN_BITS) / F.lit(float(1 << GOLDEN_BITS))
 
 
-def shuffle_key(doc_id, source, text):
-    """The hash that shuffles documents: of id and source, of text and source where there is no id."""
-    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))), F.when(source.isNull(), "null").otherwise("is"), source).cast("binary"))
+def shuffle_key(doc_id, text):
+    """The hash that shuffles documents: of the id, or of the text where there is none."""
+    return F.coalesce(F.md5(doc_id.cast("string").cast("binary")), F.md5(F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def row_key(order, source):
+    """The shuffle's hash and the source in one."""
+    return F.concat_ws("|", order, F.when(source.isNull(), "null").otherwise("is"), source)
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Adds __size, and __order: the hash that shuffles documents."""
-    return docs.withColumn("__size", n_words(F.col("text"))).withColumn("__order", shuffle_key(F.col("doc_id"), F.col("source"), F.col("text")))
+    return docs.withColumn("__size", n_words(F.col("text"))).withColumn("__order", shuffle_key(F.col("doc_id"), F.col("text")))
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -174,14 +179,14 @@ def mix_slots(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, str
         rows = tmp.write(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
         sources = tmp.write(source_targets(rows), "sources")
         parts, at = mix_fragments(spark, rows, sources)
-        at = at.withColumn("kth", F.row_number().over(W.partitionBy("__order", "__size").orderBy("__off")))
+        at = at.withColumn("__order", row_key(F.col("__order"), F.col("source"))).withColumn("kth", F.row_number().over(W.partitionBy("__order", "__size").orderBy("__off")))
         first = parts.where("first").select("sid", "off", "size", "slot")
         # A document with words is the only one of its source at its offset.
         found = at.select(F.col("__sid").alias("sid"), F.col("__off").alias("off"), F.col("__size").alias("size"), "__order", "kth").join(first, ["sid", "off", "size"])
         copies = tmp.write(found.select(F.col("__order").alias(order), F.col("size").alias(size), "kth", F.col("slot").alias(slot), F.col("off").alias(off)), "copies", keep=True)
-        ties = tmp.write(rows.where("__size > 0").groupBy("__order", "__size").count().where("count > 1").select(F.col("__order").alias(order), F.col("__size").alias(size)), "ties", keep=True)
+        ties = tmp.write(rows.where("__size > 0").withColumn("__order", row_key(F.col("__order"), F.col("source"))).groupBy("__order", "__size").count().where("count > 1").select(F.col("__order").alias(order), F.col("__size").alias(size)), "ties", keep=True)
     n = (copies.agg(F.max(slot)).first()[0] or 0) + 1
-    keyed = docs.withColumn(size, n_words(F.col("text"))).where(F.col(size) > 0).withColumn(order, shuffle_key(F.col("doc_id"), F.col("source"), F.col("text")))
+    keyed = docs.withColumn(size, n_words(F.col("text"))).where(F.col(size) > 0).withColumn(order, row_key(shuffle_key(F.col("doc_id"), F.col("text")), F.col("source")))
     copies = copies.withColumnRenamed("kth", kth)
     if ties.isEmpty():
         met = keyed.join(copies.drop(kth), [order, size])
