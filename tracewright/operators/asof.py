@@ -100,19 +100,44 @@ def sync_status(correlation: Column, margin: Column, overlap_s: Column, has_cloc
     return F.when(F.coalesce(overlap_s, F.lit(0.0)) < P.MIN_OVERLAP_S, "UNRESOLVED").when(confirmed, "CONFIRMED_BY_SIGNAL").when(has_clock, "CLOCK_ONLY").otherwise("UNRESOLVED")
 
 
-def overlap(a: DataFrame, b: DataFrame, key, t: str) -> DataFrame:
-    """Per key, how two streams overlap in time: seconds, offsets of starts and ends, drift in seconds and ppm, and whole hours in the offset."""
+def overlap(a: DataFrame, b: DataFrame, key, t: str, order: list[str] | None = None) -> DataFrame:
+    """Per key, how two streams overlap in time: seconds, offsets of a's first and last time from b's, drift in seconds and ppm of b's length, and whole hours in the offset.
+
+    First and last are those of the rows, in the order of the columns `order`, by default of the times themselves.
+    """
     k = _key(key)
-    ends = lambda df, s: df.groupBy(*k).agg((F.min(t) / US).alias(f"{s}0"), (F.max(t) / US).alias(f"{s}1"))
+    at = F.when(F.col(t).isNotNull(), F.struct(*(order or [t])))
+    ends = lambda df, s: df.groupBy(*k).agg((F.min_by(t, at) / US).alias(f"{s}0"), (F.max_by(t, at) / US).alias(f"{s}1"))
     rows = ends(a, "a").join(ends(b, "b"), k)
-    rows = rows.withColumn("overlap_s", F.greatest(F.lit(0.0), F.least("a1", "b1") - F.greatest("a0", "b0"))).withColumn("offset_start_s", F.col("b0") - F.col("a0")).withColumn("offset_end_s", F.col("b1") - F.col("a1"))
+    rows = rows.withColumn("overlap_s", F.greatest(F.lit(0.0), F.least("a1", "b1") - F.greatest("a0", "b0"))).withColumn("offset_start_s", F.col("a0") - F.col("b0")).withColumn("offset_end_s", F.col("a1") - F.col("b1"))
     rows = rows.withColumn("drift_s", F.col("offset_end_s") - F.col("offset_start_s")).withColumn("offset_mean_s", (F.col("offset_end_s") + F.col("offset_start_s")) / 2)
-    rows = rows.withColumn("drift_ppm", F.when(F.col("a1") > F.col("a0"), F.col("drift_s") / (F.col("a1") - F.col("a0")) * 1e6)).withColumn("whole_hours", F.bround(F.col("offset_mean_s") / 3600).cast("int"))
+    rows = rows.withColumn("drift_ppm", F.when(F.col("b1") > F.col("b0"), F.col("drift_s") / (F.col("b1") - F.col("b0")) * 1e6)).withColumn("whole_hours", F.bround(F.col("offset_mean_s") / 3600).cast("int"))
     rows = rows.withColumn("residual_s", F.col("offset_mean_s") - F.col("whole_hours") * 3600)
-    kind = F.when((F.col("whole_hours") != 0) & (F.abs("residual_s") <= P.TIMEZONE_TOLERANCE_S), "timezone").when(F.abs("drift_s") <= P.NEGLIGIBLE_DRIFT_S, "constant_offset").otherwise("drifting")
+    steady = F.abs("drift_s") <= P.NEGLIGIBLE_DRIFT_S
+    kind = F.when((F.col("whole_hours") != 0) & (F.abs("residual_s") <= P.TIMEZONE_TOLERANCE_S) & steady, "constant_offset_whole_hour_likely_timezone").when(steady, "constant_offset").otherwise("variable_offset_possible_drift")
     return rows.withColumn("interpretation", kind).drop("a0", "a1", "b0", "b1")
 
 
+def synchronize(pairs: DataFrame, offset: str, correlation: str, margin: str, starts: tuple[str, str, str, str]) -> DataFrame:
+    """Adds what a pair's clocks and its best lag decide: clock_offset_s, drift_estimate_s, drift_ppm, drift_detected, estimated_offset_s, offset_method, offset_confidence, the overlap on b's clock and status.
+
+    starts: columns with a's first and last and b's first and last time in seconds. The lag's offset counts if correlation and margin reach MIN_CORRELATION and MIN_PEAK_MARGIN, else the mean difference of the clocks;
+    an overlap under MIN_OVERLAP_S after the shift leaves a pair open whatever was found.
+    """
+    a0, a1, b0, b1 = map(F.col, starts)
+    rows = pairs.withColumn("clock_offset_s", ((a0 - b0) + (a1 - b1)) / 2).withColumn("drift_estimate_s", (a1 - b1) - (a0 - b0))
+    rows = rows.withColumn("drift_ppm", F.when(b1 > b0, 1e6 * F.col("drift_estimate_s") / (b1 - b0))).withColumn("drift_detected", F.abs("drift_estimate_s") > 1.0)
+    by_signal = F.coalesce(F.col(offset).isNotNull() & (F.col(correlation) >= P.MIN_CORRELATION) & (F.col(margin) >= P.MIN_PEAK_MARGIN), F.lit(False))
+    rows = rows.withColumn("__s", by_signal).withColumn("estimated_offset_s", F.when(F.col("__s"), F.col(offset)).otherwise(F.col("clock_offset_s")))
+    start, end = F.greatest(a0 - F.col("estimated_offset_s"), b0), F.least(a1 - F.col("estimated_offset_s"), b1)
+    rows = rows.withColumn("overlap_start_s", start).withColumn("overlap_end_s", end).withColumn("overlap_s", F.greatest(F.lit(0.0), end - start))
+    no_clock = F.col("clock_offset_s").isNull()
+    short = F.col("overlap_s") < P.MIN_OVERLAP_S
+    rows = rows.withColumn("offset_method", F.when(no_clock, "none").when(F.col("__s"), "speed_cross_correlation").otherwise("clock_difference"))
+    rows = rows.withColumn("offset_confidence", F.when(no_clock | short, "none").when(F.col("__s") & (F.col(correlation) >= 0.8), "high").when(F.col("__s"), "medium").otherwise("low"))
+    return rows.withColumn("status", F.when(no_clock | short, "UNRESOLVED").when(F.col("__s"), "CONFIRMED_BY_SIGNAL").otherwise("CLOCK_ONLY")).drop("__s")
+
+
 def windows(df: DataFrame, key, order: list[str], t: str, value: str | None = None, flags: str | None = None, seconds: float = P.WINDOW_SECONDS, stride_s: float = P.WINDOW_STRIDE_SECONDS, min_coverage: float = P.WINDOW_MIN_COVERAGE, require_label: bool = True) -> DataFrame:
     """Causal windows [g - seconds, g] on a grid of strides that starts at the first time + seconds.
 

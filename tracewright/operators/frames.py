@@ -14,11 +14,13 @@ from .timeline import US, _key
 
 
 def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))  # the two functions skip nulls
 
 
 def gravity_direction(df: DataFrame, key, prefix: str, where: Column | None = None, least: int = P.MIN_GRAVITY_SAMPLES) -> DataFrame:
-    """A row per key: down (the negated mean direction of what is felt at rest), its spread, mean norm error, n and confidence.
+    """A row per key: down (the negated mean direction of what is felt at rest), its spread, the mean norm less g, n and confidence.
+
+    The confidence is a product: 1 - spread / MAX_DIRECTION_SPREAD_RAD, 1 - |norm error| / (0.2 g), and half to all by n up to 10 * least.
 
     Two aggregations; the mean direction is joined back in between, by key, so both share one partitioning.
     """
@@ -30,15 +32,18 @@ def gravity_direction(df: DataFrame, key, prefix: str, where: Column | None = No
     down = V.vector("down")
     own = tuple(F.col(a) for a in "xyz")
     off = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -V.dot(V.unit(own), down))))
-    spread = rows.join(means, k).groupBy(*k).agg(F.sqrt(F.avg(off * off)).alias("spread_rad"), F.avg(F.abs(V.norm(own) - P.STANDARD_GRAVITY_MPS2)).alias("magnitude_error"))
+    spread = rows.join(means, k).groupBy(*k).agg(F.sqrt(F.avg(off * off)).alias("spread_rad"), (F.avg(V.norm(own)) - P.STANDARD_GRAVITY_MPS2).alias("magnitude_error"))
     out = means.join(spread, k)
-    consistency, magnitude = _clamp(1.0 - F.col("spread_rad") / P.MAX_DIRECTION_SPREAD_RAD), _clamp(1.0 - F.col("magnitude_error") / P.LOW_DYNAMIC_ACCEL_TOLERANCE_MPS2)
-    support = _clamp(F.col("n") / (5.0 * least))
+    consistency, magnitude = _clamp(1.0 - F.col("spread_rad") / P.MAX_DIRECTION_SPREAD_RAD), _clamp(1.0 - F.abs("magnitude_error") / (0.2 * P.STANDARD_GRAVITY_MPS2))
+    support = _clamp(F.col("n") / (10.0 * least))
     return out.withColumn("confidence", F.when(F.col("n") >= least, consistency * magnitude * (0.5 + 0.5 * support)).otherwise(0.0))
 
 
 def magnetometer(df: DataFrame, key, order: list[str], t: str, prefix: str, down: str | None = None) -> DataFrame:
-    """A row per key: share of plausible fields, variation, p95 of the direction's rate, dip range, issue bits and weight."""
+    """A row per key: share of plausible fields, variation, the direction's greatest rate, dip range, issue bits and weight.
+
+    A median field of over twice the greatest or under half the least of the Earth's is another field, and has no weight.
+    """
     k, v = _key(key), V.vector(prefix)
     rows = df.where(V.all_finite(*v)).withColumn("__n", V.norm(v))
     u = V.unit(v)
@@ -53,17 +58,17 @@ def magnetometer(df: DataFrame, key, order: list[str], t: str, prefix: str, down
     good = (F.col("__n") >= P.EARTH_FIELD_MIN_UT) & (F.col("__n") <= P.EARTH_FIELD_MAX_UT)
     out = rows.groupBy(*k).agg(
         F.count("*").alias("n"), F.avg(good.cast("double")).alias("good_fraction"), (F.stddev_pop("__n") / F.avg("__n")).alias("cv"), F.median("__n").alias("median_ut"),
-        F.percentile("__rate", F.lit(0.95)).alias("rate_p95"), (F.percentile("__dip", F.lit(0.95)) - F.percentile("__dip", F.lit(0.05))).alias("dip_range_deg"),
+        F.max("__rate").alias("rate_max"), (F.percentile("__dip", F.lit(0.95)) - F.percentile("__dip", F.lit(0.05))).alias("dip_range_deg"),
     )
     bit = lambda c, b: F.when(F.coalesce(c, F.lit(False)), b).otherwise(0)
     f = FL.MAGNETOMETER
     issues = (
-        bit(F.col("good_fraction") < P.GOOD_SAMPLE_FRACTION, f["MAGNITUDE_OUT_OF_RANGE"]) + bit(F.col("rate_p95") > P.MAX_DIRECTION_RATE_RPS, f["ABRUPT_DIRECTION_CHANGE"])
+        bit(F.col("good_fraction") < P.GOOD_SAMPLE_FRACTION, f["MAGNITUDE_OUT_OF_RANGE"]) + bit(F.col("rate_max") > P.MAX_DIRECTION_RATE_RPS, f["ABRUPT_DIRECTION_CHANGE"])
         + bit(F.col("cv") > P.MAX_MAGNITUDE_CV, f["UNSTABLE_MAGNITUDE"]) + bit(F.col("dip_range_deg") > P.MAX_DIP_VARIATION_DEG, f["DIP_INCONSISTENT"]) + bit(F.col("n") < 2, f["UNUSABLE"])
     )
     out = out.withColumn("issues", issues.cast("int"))
     n_issues = F.bit_count("issues")
-    unusable = FL.has(F.col("issues"), f["UNUSABLE"]) | ~F.coalesce(F.col("median_ut").between(P.EARTH_FIELD_MIN_UT, P.EARTH_FIELD_MAX_UT), F.lit(False)) | (n_issues >= 2)
+    unusable = FL.has(F.col("issues"), f["UNUSABLE"]) | ~F.coalesce(F.col("median_ut").between(0.5 * P.EARTH_FIELD_MIN_UT, 2.0 * P.EARTH_FIELD_MAX_UT), F.lit(False)) | (n_issues >= 2)
     weight = F.when(unusable, 0.0).when(n_issues == 1, 0.3).otherwise(F.col("good_fraction") * _clamp(1.0 - F.col("cv") / P.MAX_MAGNITUDE_CV))
     return out.withColumn("weight", weight)
 
@@ -74,17 +79,22 @@ def direction_fit(df: DataFrame, key, horizontal: str, rate: str, up: V.Vector |
     up = up or V.constant(0, 0, 1)
     rows = df.where(V.all_finite(*h, s)).select(*k, *[c.alias(a) for c, a in zip(h, "xyz", strict=True)], s.alias("s"))
     sums = rows.groupBy(*k).agg(*[F.sum(F.col(a) * F.col("s")).alias(f"s{a}") for a in "xyz"], F.count("*").alias("n"))
-    raw = V.unit(tuple(F.col(f"s{a}") for a in "xyz"))
-    f = V.unit(V.subtract(raw, V.scale(up, V.dot(raw, up))))
-    sums = sums.select(*k, "n", *[F.when(F.col("n") >= least, c).alias(f"forward_{a}") for c, a in zip(f, "xyz", strict=True)])
+    # Each step is a column of its own: nested, every use would copy the whole expression below it, and the aggregate's code would outgrow what can be compiled.
+    steps = lambda df, v, name: df.select(*df.columns, *[c.alias(f"{name}{a}") for c, a in zip(v, "xyz", strict=True)])
+    named = lambda name: tuple(F.col(f"{name}{a}") for a in "xyz")
+    sums = steps(sums, V.unit(named("s")), "raw_")
+    sums = sums.withColumn("along", V.dot(named("raw_"), up))
+    sums = steps(sums, V.subtract(named("raw_"), V.scale(up, F.col("along"))), "flat_")
+    sums = sums.select(*k, "n", *[F.when(F.col("n") >= least, c).alias(f"forward_{a}") for c, a in zip(V.unit(named("flat_")), "xyz", strict=True)])
     fits = rows.join(sums, k).groupBy(*k).agg(guarded_corr(V.dot(tuple(F.col(a) for a in "xyz"), V.vector("forward")), F.col("s")).alias("correlation"))
     return sums.join(fits, k)
 
 
 def forward_confidence(correlation: Column, n: Column, disagreement_rad: Column, least: int = P.MIN_FORWARD_SAMPLES) -> Column:
-    strength = _clamp((F.abs(correlation) - P.MIN_FORWARD_CORRELATION) / (1.0 - P.MIN_FORWARD_CORRELATION))
-    agreement = _clamp(1.0 - F.coalesce(disagreement_rad, F.lit(P.MAX_SPLIT_HALF_DISAGREEMENT_RAD)) / P.MAX_SPLIT_HALF_DISAGREEMENT_RAD)
-    return strength * (0.4 + 0.6 * _clamp(n / (10.0 * least))) * (0.3 + 0.7 * agreement)
+    """0 without a correlation or for a negative one; a disagreement that wasn't measured counts as half."""
+    strength = _clamp((correlation - P.MIN_FORWARD_CORRELATION) / (1.0 - P.MIN_FORWARD_CORRELATION))
+    agreement = F.coalesce(_clamp(1.0 - disagreement_rad / P.MAX_SPLIT_HALF_DISAGREEMENT_RAD), F.lit(0.5))
+    return F.when(correlation.isNull(), 0.0).otherwise(strength * (0.4 + 0.6 * _clamp(n / (5.0 * least))) * (0.3 + 0.7 * agreement))
 
 
 def residual_factor(residual_deg: Column) -> Column:

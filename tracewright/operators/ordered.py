@@ -36,15 +36,24 @@ def freshness(df: DataFrame, key, order: list[str], t: str, values: list[str], f
     return rows.join(limit, k).withColumn("stale", F.coalesce(F.col("held_s") > F.col("__limit"), F.lit(False))).drop("__gap", "__limit")
 
 
-def update_intervals(df: DataFrame, key, order: list[str], t: str, values: list[str]) -> DataFrame:
-    """A row per recording: updates, and median, p95 and longest interval between them in seconds."""
+def update_intervals(df: DataFrame, key, order: list[str], t: str, values: list[str], fix: Column | None = None) -> DataFrame:
+    """A row per recording: rows, share of rows with a fix, updates, the median, p90 and longest of the positive intervals between updates in seconds, and updates a second."""
     w = _rows(key, order)
     changed = F.lit(False)
     for v in values:
         changed = changed | ~F.col(v).eqNullSafe(F.lag(v).over(w))
-    ups = df.where(F.col(t).isNotNull()).select(*_key(key), *order, t, changed.alias("c")).where("c")
-    gaps = ups.withColumn("g", (F.col(t) - F.lag(t).over(w)) / US)
-    return gaps.groupBy(*_key(key)).agg(F.count("*").alias("updates"), F.median("g").alias("median_s"), F.percentile("g", F.lit(0.95)).alias("p95_s"), F.max("g").alias("max_s"))
+    has = F.lit(True) if fix is None else F.coalesce(fix, F.lit(False))
+    rows = df.where(F.col(t).isNotNull()).select(*_key(key), *order, t, (changed & has).alias("c"), has.alias("f"))
+    if fix is not None:  # the first fix is an observation of its own
+        rows = rows.withColumn("c", F.col("c") | (F.col("f") & (F.sum(F.col("f").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) == 1)))
+    at = F.when(F.col("c"), F.col(t))
+    gaps = rows.withColumn("u", at).withColumn("g", F.when(F.col("c"), (F.col(t) - F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))) / US))
+    g = F.when(F.col("g") > 0, F.col("g"))
+    span = (F.max("u") - F.min("u")) / US
+    return gaps.groupBy(*_key(key)).agg(
+        F.count("*").alias("n_rows"), F.avg(F.col("f").cast("int")).alias("availability"), F.count_if("c").alias("updates"), F.median(g).alias("median_s"), F.percentile(g, F.lit(0.9)).alias("p90_s"), F.max(g).alias("max_s"),
+        F.when(span > 0, (F.count_if("c") - 1) / span).alias("rate_hz"),
+    )
 
 
 # Trailing windows of time
@@ -147,13 +156,13 @@ def outages(df: DataFrame, key, order: list[str], t: str, invalid: str, min_s: f
 
 
 def holds(df: DataFrame, key, order: list[str], t: str, values: list[str], min_s: float = P.POSITION_HOLD_THRESHOLD_S) -> DataFrame:
-    """Times for which values stay as they are, of min_s or more; the first row counts as an update, the end of the recording ends a hold."""
+    """Times between updates for which values stay as they are, of min_s or more; the first row counts as an update, and what follows the last update isn't a hold."""
     k, w = _key(key), _rows(key, order)
     changed = F.lit(False)
     for v in values:
         changed = changed | ~F.col(v).eqNullSafe(F.lag(v).over(w))
-    rows = df.withColumn("__c", changed | (F.row_number().over(w) == 1)).withColumn("__last", F.max(t).over(W.partitionBy(*k)))
-    ups = rows.where("__c").withColumn("end_us", F.coalesce(F.lead(t).over(w), F.col("__last")))
+    rows = df.withColumn("__c", changed | (F.row_number().over(w) == 1))
+    ups = rows.where("__c").withColumn("end_us", F.lead(t).over(w))
     return ups.select(*k, F.col(t).alias("start_us"), "end_us", ((F.col("end_us") - F.col(t)) / US).alias("duration_s")).where(F.col("duration_s") >= min_s)
 
 
@@ -165,7 +174,7 @@ def rest_seconds(df: DataFrame, key, order: list[str], t: str, mask: str) -> Dat
     return rows.groupBy(*_key(key)).agg(F.coalesce(F.sum("__d"), F.lit(0.0)).alias("rest_s"))
 
 
-def stationary(df: DataFrame, key, order: list[str], t: str, force_norm: str, rate_norm: str | None = None, seconds: float = 1.0, gravity: float = P.STANDARD_GRAVITY_MPS2) -> DataFrame:
+def stationary(df: DataFrame, key, order: list[str], t: str, force_norm: str, rate_norm: str | None = None, seconds: float = 2.0, gravity: float = P.STANDARD_GRAVITY_MPS2) -> DataFrame:
     """Adds stationary: over the trailing window the force varies little and averages g, and the rotation, where known, is slow."""
     rows = trailing(df, key, order, t, force_norm, seconds, "__f")
     still = (F.col("__f_std") <= P.MAX_STATIONARY_ACCEL_STD_MPS2) & (F.abs(F.col("__f_mean") - gravity) <= P.MAX_STATIONARY_GRAVITY_ERROR_MPS2)

@@ -19,14 +19,17 @@ BANDS = (
 def profile(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """A row per column: rows, blank, non-numeric, numeric, min, max, mean, population deviation (from two values on), constant.
 
-    All columns are measured in one pass over the table; the unpivot comes after the aggregation.
+    All columns are measured in one pass over the table; the unpivot comes after the aggregation. Numbers are taken as they are, texts are trimmed and parsed once, below the aggregation.
     """
-    aggs = []
+    aggs, kinds, parsed = [], dict(df.dtypes), []
     for c in columns:
-        text = F.trim(F.col(c).cast("string"))
-        x = text.try_cast("double")
-        x = F.nanvl(x, F.lit(None).cast("double"))
-        blank = text.isNull() | (text == "")
+        number = kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+        text = F.col(c) if number else F.trim(F.col(c).cast("string"))
+        x = F.col(c).cast("double") if number else text.try_cast("double")
+        parsed += [F.nanvl(x, F.lit(None).cast("double")).alias(f"__x_{c}"), (text.isNull() if number else text.isNull() | (text == "")).alias(f"__blank_{c}")]
+    df = df.select(*(by or []), *parsed)
+    for c in columns:
+        x, blank = F.col(f"__x_{c}"), F.col(f"__blank_{c}")
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & x.isNull()).alias("n_non_numeric"), F.count(x).alias("n_numeric"),
@@ -45,11 +48,11 @@ def missingness(profiled: DataFrame) -> DataFrame:
 
 
 def range_findings(profiled: DataFrame, role: str, bands=BANDS) -> DataFrame:
-    """Columns whose range leaves the band of their role, and columns that never change. The bands are a fixed list of a few rows."""
+    """Columns whose range leaves the band of their role, and columns with a band that never change, as a possible sensor artifact. The bands are a fixed list of a few rows."""
     spark = profiled.sparkSession
     b = spark.createDataFrame(list(bands), f"{role} string, lo double, hi double, interpretation string")
     beyond = profiled.join(F.broadcast(b), role).where((F.col("min") < F.col("lo")) | (F.col("max") > F.col("hi")))
-    constant = profiled.where("constant").withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")).withColumn("interpretation", F.lit("constant"))
+    constant = profiled.where("constant").join(F.broadcast(b.select(role)), role, "left_semi").withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")).withColumn("interpretation", F.lit("possible_sensor_artifact"))
     return beyond.unionByName(constant, allowMissingColumns=True)
 
 
@@ -58,10 +61,18 @@ def quality_score(*scores: Column) -> Column:
     return F.bround(sum(scores[1:], scores[0]) / len(scores), 4)
 
 
-def sub_scores(missing_share: Column, cv: Column, availability: Column, findings: Column) -> tuple[Column, Column, Column, Column]:
-    """Completeness, regularity, availability and plausibility, each from 0 to 1."""
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return clip(1.0 - missing_share), clip(1.0 - F.coalesce(cv, F.lit(1.0))), clip(F.coalesce(availability, F.lit(0.0))), clip(1.0 - 0.25 * findings)
+#: Score of each sampling class.
+SAMPLING_SCORES = {"stable": 1.0, "mostly_stable": 0.75, "irregular": 0.4, "severely_irregular": 0.1, "unknown": 0.0}
+
+
+def sub_scores(bad_times: Column, valid_times: Column, missing_pct: Column, sampling: Column, availability: Column) -> tuple[Column, Column, Column, Column]:
+    """Timestamps (share that isn't backward, duplicate or without a step), completeness (mean over columns), sampling and availability, each from 0 to 1."""
+    least = lambda c: F.bround(F.greatest(F.lit(0.0), c), 4)
+    classes = F.create_map(*[F.lit(x) for pair in SAMPLING_SCORES.items() for x in pair])
+    return (
+        F.when(valid_times > 0, least(1.0 - bad_times / valid_times)).otherwise(0.0), F.coalesce(least(1.0 - missing_pct / 100.0), F.lit(0.0)),
+        F.coalesce(classes[sampling], F.lit(0.0)), F.coalesce(F.bround(availability, 4), F.lit(0.0)),
+    )
 
 
 def integrity(n_tables: Column, n_pointers: Column, n_unreadable: Column, n_parse_failures: Column, n_other_encoding: Column) -> tuple[Column, Column]:

@@ -80,7 +80,7 @@ def attitude(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray
     for i in range(n):
         dt = t[i] - t[i - 1] if i else 0.0
         if 0 < dt <= P.MAX_INTEGRATION_STEP_S:
-            if np.isfinite(gyro[i - 1]).all():
+            if np.isfinite(gyro[i - 1]).all() and np.linalg.norm(gyro[i - 1]) <= P.MAX_PLAUSIBLE_RATE_RPS:
                 now = product(now, from_rotvec(gyro[i - 1] * dt))
             if calm[i]:
                 pull = shortest(turned(now, accel[i] / norms[i]), UP)
@@ -89,11 +89,11 @@ def attitude(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray
                 if axis is not None:
                     now = product(from_rotvec(axis * angle * min(1.0, gravity_gain * dt)), now)
                 level[i] = True
-            if weight > 0 and mag is not None and np.isfinite(mag[i]).all():
+            if calm[i] and weight > 0 and mag is not None and np.isfinite(mag[i]).all():
                 field = turned(now, mag[i])
                 flat = np.hypot(field[0], field[1])
                 if flat >= 1e-3:
-                    off = np.arctan2(field[0], field[1])  # of the horizontal field from north
+                    off = np.arctan2(field[0], field[1])  # of the horizontal field from north, about up; a turn by it brings the field to north
                     now = product(from_rotvec(UP * off * min(1.0, magnetic_gain * weight * dt)), now)
                     north[i] = True
             now = now / np.linalg.norm(now)
@@ -129,17 +129,20 @@ class State:
 
 
 def advance(s: State, t: float, force: np.ndarray, rate: np.ndarray, supplied: np.ndarray | None = None, max_step: float = P.MAX_INTEGRATION_STEP_S, gyro_bias: np.ndarray | None = None, accel_bias: np.ndarray | None = None, gravity: float = P.STANDARD_GRAVITY_MPS2) -> tuple[State, int]:
-    """The next state and its flags. A step that isn't positive or is too long holds velocity and position, and the time moves on unless it went back; so does a sample that no sensor could give."""
+    """The next state and its flags. A step that isn't positive or is too long holds velocity and position, and the time moves to the sample's; so does a sample that no sensor could give. A time that isn't finite changes nothing and is an invalid sample.
+    With a supplied attitude a rate is checked where there is one."""
     dt = t - s.t
-    if not np.isfinite(dt) or dt <= 0:
-        return State(s.t, s.q if supplied is None else supplied, s.v, s.p), 8
+    if not np.isfinite(dt):
+        return State(s.t, s.q if supplied is None else supplied, s.v, s.p), 32
+    if dt <= 0:
+        return State(t, s.q if supplied is None else supplied, s.v, s.p), 8
     if dt > max_step:
         return State(t, s.q if supplied is None else supplied, s.v, s.p), 16
     f = force - (accel_bias if accel_bias is not None else 0.0)
     w = rate - (gyro_bias if gyro_bias is not None else 0.0)
     ok_f = np.isfinite(f).all() and np.linalg.norm(f) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2
     ok_w = np.isfinite(w).all() and np.linalg.norm(w) <= P.MAX_PLAUSIBLE_RATE_RPS
-    if not ok_f or (supplied is None and not ok_w):
+    if not ok_f or not (ok_w or (supplied is not None and np.isnan(rate).all())):
         return State(t, s.q, s.v, s.p), 32
     q = supplied if supplied is not None else product(s.q, from_rotvec(w * dt))
     q = q / np.linalg.norm(q)

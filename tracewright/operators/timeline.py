@@ -86,7 +86,7 @@ def strictly_increasing(df: DataFrame, key, order: list[str], t: str) -> DataFra
 
 
 def sampling_class(cv: Column) -> Column:
-    return F.when(cv.isNull(), "unknown").when(cv <= P.STABLE_CV_MAX, "stable").when(cv <= P.MOSTLY_STABLE_CV_MAX, "mostly_stable").when(cv <= P.IRREGULAR_CV_MAX, "irregular").otherwise("discontinuous")
+    return F.when(cv.isNull(), "unknown").when(cv <= P.STABLE_CV_MAX, "stable").when(cv <= P.MOSTLY_STABLE_CV_MAX, "mostly_stable").when(cv <= P.IRREGULAR_CV_MAX, "irregular").otherwise("severely_irregular")
 
 
 def timing(df: DataFrame, key, order: list[str], t: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import asof, frames, ordered, quality, splits
+from ..operators import asof, frames, ordered, quality, splits, timeline
 from .common import E_SQL, events, r, rounded, rs, table
 
 QUERIES: dict = {}
@@ -48,17 +48,17 @@ _BANDS = [("l_quantity", 0.0, 40.0, "possible_valid_extreme"), ("l_discount", 0.
 
 @query(f"""WITH p AS ({_PROFILE}), b AS (SELECT * FROM (VALUES ('l_quantity', 0.0, 40.0, 'possible_valid_extreme'), ('l_discount', 0.0, 0.05, 'possible_data_error'), ('l_tax', 0.0, 1.0, 'possible_data_error')) v(c, lo, hi, i))
 SELECT "column", min, max, i AS interpretation FROM p JOIN b ON c = "column" WHERE min < lo OR max > hi
-UNION ALL SELECT "column", min, max, 'constant' FROM p WHERE constant""")
+UNION ALL SELECT "column", min, max, 'possible_sensor_artifact' FROM p JOIN b ON c = "column" WHERE constant""")
 def range_findings(spark: SparkSession, d: str) -> DataFrame:
     p = quality.profile(table(spark, d, "lineitem"), _COLS)
     return quality.range_findings(p, "column", _BANDS).select("column", "min", "max", "interpretation")
 
 
-@query(f"""WITH {E_SQL}, a AS (SELECT k, avg((x < 1)::INTEGER) AS miss, stddev_pop(x) / avg(x) AS cv, avg((event_type <> 'error')::INTEGER) AS av, count(*) FILTER (x > 200) AS f FROM e GROUP BY k)
-SELECT k, round_even((greatest(0, least(1, 1 - miss)) + greatest(0, least(1, 1 - cv)) + greatest(0, least(1, av)) + greatest(0, least(1, 1 - 0.25 * f))) / 4, 4) AS score FROM a""")
+@query(f"""WITH {E_SQL}, a AS (SELECT k, 100.0::DOUBLE * avg((x < 1)::INTEGER) AS miss, stddev_pop(x) / avg(x) AS cv, avg((event_type <> 'error')::INTEGER) AS av, count(*) FILTER (x > 200) AS f, count(*) AS n FROM e GROUP BY k)
+SELECT k, round_even((round_even(greatest(0, 1 - f / n::DOUBLE), 4) + round_even(greatest(0, 1 - miss / 100), 4) + CASE WHEN cv IS NULL THEN 0 WHEN cv <= 0.05 THEN 1 WHEN cv <= 0.2 THEN 0.75 WHEN cv <= 1 THEN 0.4 ELSE 0.1 END::DOUBLE + round_even(av, 4)) / 4, 4) AS score FROM a""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    a = events(spark, d).groupBy("k").agg(F.avg((F.col("x") < 1).cast("int")).alias("miss"), (F.stddev_pop("x") / F.avg("x")).alias("cv"), F.avg((F.col("event_type") != "error").cast("int")).alias("av"), F.count_if(F.col("x") > 200).alias("f"))
-    return a.select("k", quality.quality_score(*quality.sub_scores(F.col("miss"), F.col("cv"), F.col("av"), F.col("f"))).alias("score"))
+    a = events(spark, d).groupBy("k").agg(F.count("*").alias("n"), (100.0 * F.avg((F.col("x") < 1).cast("int"))).alias("miss"), (F.stddev_pop("x") / F.avg("x")).alias("cv"), F.avg((F.col("event_type") != "error").cast("int")).alias("av"), F.count_if(F.col("x") > 200).alias("f"))
+    return a.select("k", quality.quality_score(*quality.sub_scores(F.col("f"), F.col("n"), F.col("miss"), timeline.sampling_class(F.col("cv")), F.col("av"))).alias("score"))
 
 
 @query("SELECT l_returnflag, CASE WHEN count(*) >= 10 AND stddev_pop(l_quantity) >= 1e-9 THEN round(corr(l_quantity, l_extendedprice), 6) + 0.0 END AS r, round(sqrt(avg(l_tax * l_tax)), 6) + 0.0 AS rms FROM lineitem GROUP BY l_returnflag")
@@ -87,9 +87,9 @@ _V = "v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBL
 
 @query(f"""WITH {_V}, m AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM v GROUP BY label),
 u AS (SELECT label, n, -x / sqrt(x * x + y * y + z * z) AS dx, -y / sqrt(x * x + y * y + z * z) AS dy, -z / sqrt(x * x + y * y + z * z) AS dz FROM m),
-s AS (SELECT label, sqrt(avg(acos(greatest(-1, least(1, -(x * dx + y * dy + z * dz) / sqrt(x * x + y * y + z * z)))) ** 2)) AS sp, avg(abs(sqrt(x * x + y * y + z * z) - 9.80665)) AS me FROM v JOIN u USING (label) GROUP BY label)
+s AS (SELECT label, sqrt(avg(acos(greatest(-1, least(1, -(x * dx + y * dy + z * dz) / sqrt(x * x + y * y + z * z)))) ** 2)) AS sp, avg(sqrt(x * x + y * y + z * z)) - 9.80665 AS me FROM v JOIN u USING (label) GROUP BY label)
 SELECT label, n, {rs('dx')} AS down_x, {rs('dy')} AS down_y, {rs('dz')} AS down_z, {rs('sp')} AS spread_rad, {rs('me')} AS magnitude_error,
-  {rs('CASE WHEN n >= 20 THEN greatest(0, least(1, 1 - sp / 0.35)) * greatest(0, least(1, 1 - me / 0.5)) * (0.5 + 0.5 * greatest(0, least(1, n / 100.0))) ELSE 0 END')} AS confidence FROM u JOIN s USING (label)""")
+  {rs('CASE WHEN n >= 20 THEN greatest(0, least(1, 1 - sp / 0.35)) * greatest(0, least(1, 1 - abs(me) / (0.2 * 9.80665))) * (0.5 + 0.5 * greatest(0, least(1, n / 200.0))) ELSE 0 END')} AS confidence FROM u JOIN s USING (label)""")
 def mean_direction_spread(spark: SparkSession, d: str) -> DataFrame:
     out = frames.gravity_direction(_vectors(spark, d), "label", "v")
     return rounded(out, "down_x", "down_y", "down_z", "spread_rad", "magnitude_error", "confidence")
@@ -105,14 +105,14 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_V}, n AS (SELECT *, sqrt(x * x + y * y + z * z) * 25 AS n, vec_id * 1000000 AS t, sqrt(x * x + y * y + z * z) AS l FROM v),
 w AS (SELECT *, lag(x / l) OVER o AS px, lag(y / l) OVER o AS py, lag(z / l) OVER o AS pz, (t - lag(t) OVER o) / 1000000.0::DOUBLE AS dt FROM n WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
 q AS (SELECT *, acos(greatest(-1, least(1, (x * px + y * py + z * pz) / l))) / dt AS rate, degrees(acos(greatest(-1, least(1, z / l)))) AS dip FROM w),
-a AS (SELECT label, count(*) AS n, avg((n BETWEEN 25 AND 65)::INTEGER) AS good, stddev_pop(n) / avg(n) AS cv, median(n) AS med, quantile_cont(rate, 0.95) AS p95, quantile_cont(dip, 0.95) - quantile_cont(dip, 0.05) AS dips FROM q GROUP BY label),
+a AS (SELECT label, count(*) AS n, avg((n BETWEEN 25 AND 65)::INTEGER) AS good, stddev_pop(n) / avg(n) AS cv, median(n) AS med, max(rate) AS p95, quantile_cont(dip, 0.95) - quantile_cont(dip, 0.05) AS dips FROM q GROUP BY label),
 i AS (SELECT *, ((good < 0.8)::INTEGER * 1 + (coalesce(p95, 0) > 3)::INTEGER * 2 + (cv > 0.15)::INTEGER * 4 + (dips > 15)::INTEGER * 8 + (n < 2)::INTEGER * 16)::INTEGER AS issues FROM a)
-SELECT label, n, {rs('good')} AS good_fraction, {rs('cv')} AS cv, {rs('med')} AS median_ut, {rs('p95', 5)} AS rate_p95, {rs('dips', 4)} AS dip_range_deg, issues,
-  {rs('CASE WHEN issues >= 16 OR NOT med BETWEEN 25 AND 65 OR bit_count(issues) >= 2 THEN 0 WHEN bit_count(issues) = 1 THEN 0.3 ELSE good * greatest(0, least(1, 1 - cv / 0.15)) END')} AS weight FROM i""")
+SELECT label, n, {rs('good')} AS good_fraction, {rs('cv')} AS cv, {rs('med')} AS median_ut, {rs('p95', 5)} AS rate_max, {rs('dips', 4)} AS dip_range_deg, issues,
+  {rs('CASE WHEN issues >= 16 OR NOT med BETWEEN 12.5 AND 130 OR bit_count(issues) >= 2 THEN 0 WHEN bit_count(issues) = 1 THEN 0.3 ELSE good * greatest(0, least(1, 1 - cv / 0.15)) END')} AS weight FROM i""")
 def field_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d, 25.0).withColumn("t", F.col("vec_id") * 1_000_000).select("*", F.lit(0.0).alias("down_x"), F.lit(0.0).alias("down_y"), F.lit(1.0).alias("down_z"))
     out = rounded(frames.magnetometer(rows, "label", ["vec_id"], "t", "v", "down"), "good_fraction", "cv", "median_ut", "weight")
-    return out.withColumn("rate_p95", r("rate_p95", 5)).withColumn("dip_range_deg", r("dip_range_deg", 4))
+    return out.withColumn("rate_max", r("rate_max", 5)).withColumn("dip_range_deg", r("dip_range_deg", 4))
 
 
 @query("""SELECT l_suppkey AS k, CASE WHEN count(*) >= 3 THEN round(atan2(sum(l_quantity * l_tax - l_discount * l_extendedprice / 1000), sum(l_quantity * l_extendedprice / 1000 + l_discount * l_tax)), 6) + 0.0 END AS yaw_rad
@@ -301,7 +301,7 @@ def integrity_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {E_SQL}, a AS (SELECT k, corr(x, event_id) AS c, count(*) AS n, stddev_pop(x) / 200 AS sd FROM e GROUP BY k)
-SELECT k, {rs('greatest(0, least(1, (abs(c) - 0.3) / (1.0 - 0.3))) * (0.4 + 0.6 * greatest(0, least(1, n / 500.0))) * (0.3 + 0.7 * greatest(0, least(1, 1 - 0.1 / 0.26)))')} AS forward,
+SELECT k, {rs('greatest(0, least(1, (c - 0.3) / (1.0 - 0.3))) * (0.4 + 0.6 * greatest(0, least(1, n / 250.0))) * (0.3 + 0.7 * greatest(0, least(1, 1 - 0.1 / 0.26)))')} AS forward,
   {rs('coalesce((greatest(0, least(1, 1 - sd / 0.25)) + greatest(0, least(1, 1 - abs(c) / 10 / 0.03))) / 2, greatest(0, least(1, 1 - sd / 0.25)))')} AS rest, {rs('greatest(0, 1 - n / 100.0)')} AS residual FROM a""")
 def confidences(spark: SparkSession, d: str) -> DataFrame:
     a = events(spark, d).groupBy("k").agg(F.corr("x", "event_id").alias("c"), F.count("*").alias("n"), (F.stddev_pop("x") / 200).alias("sd"))

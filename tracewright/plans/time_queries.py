@@ -92,11 +92,12 @@ def staleness_locf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("event_id", "fresh", "held_s", "stale"), "held_s")
 
 
-@query(_FRESH + f""", u AS (SELECT k, t, (t - lag(t) OVER (PARTITION BY k ORDER BY t, event_id)) / 1000000.0::DOUBLE AS g FROM c WHERE fresh)
-SELECT k, count(*) AS updates, {rs('median(g)', 3)} AS median_s, {rs('quantile_cont(g, 0.95)', 3)} AS p95_s, {rs('max(g)', 3)} AS max_s FROM u GROUP BY k""")
+@query(_FRESH + f""", u AS (SELECT k, t, (t - lag(t) OVER (PARTITION BY k ORDER BY t, event_id)) / 1000000.0::DOUBLE AS g FROM c WHERE fresh), n AS (SELECT k, count(*) AS n_rows, avg((x >= 0)::INTEGER) AS availability FROM e GROUP BY k)
+SELECT k, any_value(n_rows) AS n_rows, {rs('any_value(availability)')} AS availability, count(*) AS updates, {rs('median(g) FILTER (g > 0)', 3)} AS median_s, {rs('quantile_cont(g, 0.9) FILTER (g > 0)', 3)} AS p90_s, {rs('max(g) FILTER (g > 0)', 3)} AS max_s,
+  {rs('CASE WHEN max(t) > min(t) THEN (count(*) - 1) / ((max(t) - min(t)) / 1000000.0::DOUBLE) END', 9)} AS rate_hz FROM u JOIN n USING (k) GROUP BY k""")
 def staleness_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered.update_intervals(events(spark, d).withColumn("v", F.floor(F.col("x") / 10)), "k", ORDER, "t", ["v"])
-    return rounded(rows, "median_s", "p95_s", "max_s", digits=3)
+    rows = ordered.update_intervals(events(spark, d).withColumn("v", F.floor(F.col("x") / 10)), "k", ORDER, "t", ["v"], F.col("x") >= 0)
+    return rounded(rounded(rows, "median_s", "p90_s", "max_s", digits=3), "availability").withColumn("rate_hz", r("rate_hz", 9))
 
 
 def _types(spark: SparkSession, d: str, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -175,17 +176,41 @@ SELECT event_type, lag::INTEGER AS lag, {rs('r')} AS correlation, {rs('r - med')
 @query(f"""
 WITH {E_SQL}, a AS (SELECT k, min(t) / 1000000.0::DOUBLE AS a0, max(t) / 1000000.0::DOUBLE AS a1 FROM e WHERE event_type = 'view' GROUP BY k),
 b AS (SELECT k, min(t) / 1000000.0::DOUBLE AS b0, max(t) / 1000000.0::DOUBLE AS b1 FROM e WHERE event_type = 'click' GROUP BY k),
-j AS (SELECT *, (b1 - a1 + b0 - a0) / 2 AS mean, (b1 - a1) - (b0 - a0) AS drift FROM a JOIN b USING (k)),
+j AS (SELECT *, (a1 - b1 + a0 - b0) / 2 AS mean, (a1 - b1) - (a0 - b0) AS drift FROM a JOIN b USING (k)),
 h AS (SELECT *, round_even(mean / 3600, 0)::INTEGER AS hours FROM j)
-SELECT k, {rs('greatest(0, least(a1, b1) - greatest(a0, b0))', 3)} AS overlap_s, {rs('b0 - a0', 3)} AS offset_start_s, {rs('b1 - a1', 3)} AS offset_end_s,
-  {rs('drift', 3)} AS drift_s, {rs('mean', 3)} AS offset_mean_s, {rs('CASE WHEN a1 > a0 THEN drift / (a1 - a0) * 1000000 END', 3)} AS drift_ppm, hours AS whole_hours, {rs('mean - hours * 3600', 3)} AS residual_s,
-  CASE WHEN hours <> 0 AND abs(mean - hours * 3600) <= 5 THEN 'timezone' WHEN abs(drift) <= 0.05 THEN 'constant_offset' ELSE 'drifting' END AS interpretation
+SELECT k, {rs('greatest(0, least(a1, b1) - greatest(a0, b0))', 3)} AS overlap_s, {rs('a0 - b0', 3)} AS offset_start_s, {rs('a1 - b1', 3)} AS offset_end_s,
+  {rs('drift', 3)} AS drift_s, {rs('mean', 3)} AS offset_mean_s, {rs('CASE WHEN b1 > b0 THEN drift / (b1 - b0) * 1000000 END', 3)} AS drift_ppm, hours AS whole_hours, {rs('mean - hours * 3600', 3)} AS residual_s,
+  CASE WHEN hours <> 0 AND abs(mean - hours * 3600) <= 5 AND abs(drift) <= 0.05 THEN 'constant_offset_whole_hour_likely_timezone' WHEN abs(drift) <= 0.05 THEN 'constant_offset' ELSE 'variable_offset_possible_drift' END AS interpretation
 FROM h""")
 def pair_overlap(spark: SparkSession, d: str) -> DataFrame:
     a, b = _types(spark, d, "view", "click")
     return rounded(asof.overlap(a, b, "k", "t"), "overlap_s", "offset_start_s", "offset_end_s", "drift_s", "offset_mean_s", "drift_ppm", "residual_s", digits=3)
 
 
+@query(f"""
+WITH {E_SQL}, a AS (SELECT k, min(t) / 1000000.0::DOUBLE AS a0, max(t) / 1000000.0::DOUBLE AS a1 FROM e WHERE event_type = 'view' GROUP BY k),
+b AS (SELECT k, min(t) / 1000000.0::DOUBLE AS b0, max(t) / 1000000.0::DOUBLE AS b1 FROM e WHERE event_type = 'click' GROUP BY k),
+j AS (SELECT *, CASE WHEN k % 5 > 0 THEN k * 1.5::DOUBLE END AS off, (k % 10) / 10.0::DOUBLE AS r, (k % 7) / 20.0::DOUBLE AS m FROM a FULL JOIN b USING (k)),
+c AS (SELECT *, ((a0 - b0) + (a1 - b1)) / 2 AS clock, (a1 - b1) - (a0 - b0) AS drift, coalesce(off IS NOT NULL AND r >= 0.5 AND m >= 0.05, false) AS s FROM j),
+o AS (SELECT *, CASE WHEN s THEN off ELSE clock END AS est FROM c),
+v AS (SELECT *, greatest(a0 - est, b0) AS v0, least(a1 - est, b1) AS v1 FROM o),
+w AS (SELECT *, CASE WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN greatest(0, v1 - v0) END AS lap FROM v)
+SELECT k, {rs('clock', 3)} AS clock_offset_s, {rs('drift', 3)} AS drift_estimate_s, abs(drift) > 1 AS drift_detected, {rs('est', 3)} AS estimated_offset_s,
+  CASE WHEN clock IS NULL THEN 'none' WHEN s THEN 'speed_cross_correlation' ELSE 'clock_difference' END AS offset_method,
+  CASE WHEN clock IS NULL OR lap < 60 THEN 'none' WHEN s AND r >= 0.8 THEN 'high' WHEN s THEN 'medium' ELSE 'low' END AS offset_confidence,
+  CASE WHEN clock IS NULL OR lap < 60 THEN 'UNRESOLVED' WHEN s THEN 'CONFIRMED_BY_SIGNAL' ELSE 'CLOCK_ONLY' END AS status FROM w""")
+def sync_offset(spark: SparkSession, d: str) -> DataFrame:
+    """What clocks and a best lag decide for each pair; the lag's offset, correlation and margin are made of the key here."""
+    ends = lambda df, s: df.groupBy("k").agg((F.min("t") / 1e6).alias(f"{s}0"), (F.max("t") / 1e6).alias(f"{s}1"))
+    a, b = _types(spark, d, "view", "click")
+    k = F.col("k")
+    pairs = ends(a, "a").join(ends(b, "b"), "k", "full").withColumns({"off": F.when(k % 5 > 0, k * 1.5), "r": (k % 10) / 10.0, "m": (k % 7) / 20.0})
+    out = asof.synchronize(pairs, "off", "r", "m", ("a0", "a1", "b0", "b1"))
+    out = out.select("k", "clock_offset_s", "drift_estimate_s", "drift_detected", "estimated_offset_s", "offset_method", "offset_confidence", "status")
+    return rounded(out, "clock_offset_s", "drift_estimate_s", "estimated_offset_s", digits=3)
+
+
+
 @query(f"""
 WITH {E_SQL}, p AS (
   SELECT k, count(*)::DOUBLE AS n, corr(x, t) AS r, (max(t) - min(t)) / 1000000.0::DOUBLE AS span FROM e GROUP BY k)
@@ -244,9 +269,9 @@ def outage_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {E_SQL}, c AS (SELECT *, floor(x / 50) AS v, max(t) OVER (PARTITION BY k) AS z FROM e),
+WITH {E_SQL}, c AS (SELECT *, floor(x / 50) AS v FROM e),
 u AS (SELECT *, v IS DISTINCT FROM lag(v) OVER (PARTITION BY k ORDER BY t, event_id) OR row_number() OVER (PARTITION BY k ORDER BY t, event_id) = 1 AS c FROM c),
-h AS (SELECT k, t AS start_us, coalesce(lead(t) OVER (PARTITION BY k ORDER BY t, event_id), z) AS end_us FROM u WHERE c)
+h AS (SELECT k, t AS start_us, lead(t) OVER (PARTITION BY k ORDER BY t, event_id) AS end_us FROM u WHERE c)
 SELECT *, (end_us - start_us) / 1000000.0::DOUBLE AS duration_s FROM h WHERE (end_us - start_us) / 1000000.0::DOUBLE >= 86400""")
 def position_holds(spark: SparkSession, d: str) -> DataFrame:
     return ordered.holds(events(spark, d).withColumn("v", F.floor(F.col("x") / 50)), "k", ORDER, "t", ["v"], DAY_S)
@@ -329,7 +354,7 @@ a AS (SELECT k, count(*) AS n, avg(dt) FILTER (dt > 0) AS mean, stddev_pop(dt) F
   count(*) FILTER (dt < 0) AS n_negative, count(*) FILTER (dt = 0) AS n_zero, count(*) - count(DISTINCT t) AS n_duplicate, (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s FROM s GROUP BY k)
 SELECT k, n, n_negative, n_zero, n_duplicate, {rs('duration_s', 3)} AS duration_s, {rs('mean', 3)} AS mean_s, {rs('std', 3)} AS std_s, {rs('lo', 3)} AS min_s, {rs('hi', 3)} AS max_s, {rs('q2', 3)} AS median_s, {rs('p99', 3)} AS p99_s,
   {rs('q3 - q1', 3)} AS iqr_s, {rs('std / mean')} AS cv, {rs('(q3 - q1) / q2')} AS irregularity,
-  CASE WHEN std / mean <= 0.05 THEN 'stable' WHEN std / mean <= 0.2 THEN 'mostly_stable' WHEN std / mean <= 1 THEN 'irregular' WHEN std IS NULL THEN 'unknown' ELSE 'discontinuous' END AS sampling FROM a""")
+  CASE WHEN std / mean <= 0.05 THEN 'stable' WHEN std / mean <= 0.2 THEN 'mostly_stable' WHEN std / mean <= 1 THEN 'irregular' WHEN std IS NULL THEN 'unknown' ELSE 'severely_irregular' END AS sampling FROM a""")
 def timing_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = rounded(timeline.timing(events(spark, d), "k", ORDER, "t"), "duration_s", "mean_s", "std_s", "min_s", "max_s", "median_s", "p99_s", "iqr_s", digits=3)
     return rounded(rows, "cv", "irregularity")
