@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright import params as P
-from tracewright.operators import asof, frames, ordered, quality, scans, timeline
+from tracewright.operators import asof, evaluation, frames, ordered, quality, scans, timeline
 
 
 def value(spark, column):
@@ -115,3 +115,30 @@ def test_heading_is_pulled_to_north():
     assert north.sum() == n - 1
     assert abs(math.atan2(field[1][0], field[1][1])) < 0.2 * abs(math.atan2(field[0][0], field[0][1]))
     assert not scans.attitude(t, gyro, accel * np.where(np.arange(n) > 0, 1.3, 1.0)[:, None], mag, weight=1.0)[2].any()
+
+
+def test_start_of_a_segment(spark):
+    c = lambda *cols: list(spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate(cols)]).first())
+    assert c(*evaluation.initial_heading(F.lit(3.0), F.lit(4.0))) == pytest.approx([0.6, 0.8]) and c(*evaluation.initial_heading(F.lit(0.0), F.lit(0.0))) == [1.0, 0.0]
+    east = (F.lit(0.6), F.lit(0.8))
+    none = F.lit(None).cast("double")
+    assert c(*evaluation.initial_velocity(F.lit(True), F.lit(9.0), east)) == [0, 0, "zero_stationary"]
+    assert c(*evaluation.initial_velocity(F.lit(False), F.lit(10.0), east)) == [6.0, 8.0, "reference_speed"] and c(*evaluation.initial_velocity(F.lit(False), none, east)) == [0, 0, "zero_assumed"]
+    conf = lambda g, w, gyro: c(evaluation.attitude_confidence(F.lit(g).cast("double"), F.lit(w).cast("double"), F.lit(gyro)))[0]
+    # no trusted field: capped at a half; a field of weight 0.5: times 0.6 + 0.2; no gyroscope: half
+    assert [conf(0.9, 0.0, True), conf(0.9, 0.5, True), conf(0.8, None, False), conf(None, 1.0, True)] == pytest.approx([0.5, 0.72, 0.4, 0.0])
+    rows = [("a", i, i * 1_000_000, 2 <= i <= 8) for i in range(20)] + [("b", i, i * 1_000_000, 6 <= i <= 12) for i in range(20)] + [("c", i, i * 1_000_000, False) for i in range(3)]
+    out = evaluation.begins_at_rest(spark.createDataFrame(rows, "k string, i int, t long, m boolean"), "k", ["i"], "t", "m").collect()
+    assert {r.k: (r.rest_s, r.begins_at_rest) for r in out} == {"a": (6.0, True), "b": (6.0, False), "c": (None, False)}
+
+
+def test_curves(spark):
+    """A track at 1 m/s to the north, a reference that is 3 m to the east and 2 seconds later in time: exact at the lag, once heading is turned by nothing."""
+    track = spark.createDataFrame([("s", i, i * 1_000_000, 0.0, float(i) * 3, 0.0, 0.0, 3.0, 0.0) for i in range(10)], "k string, i int, t long, px double, py double, pz double, vx double, vy double, vz double")
+    ref = spark.createDataFrame([("s", i, i * 1_000_000 + 500_000, 3.0, 359.0 if i % 2 else 1.0, 3.0, (i + 0.5 - 2) * 3, 0.0) for i in range(12)], "k string, i int, t long, speed double, heading_deg double, e double, n double, u double")
+    rows = evaluation.error_curves(track, ref, "k", "t", ["i"], 2.0).orderBy("t").collect()
+    assert [(r.speed_error, r.horizontal_error, r.position_error) for r in rows[:9]] == [pytest.approx((0, 3, 3))] * 9
+    assert rows[9].horizontal_error == pytest.approx(3) and all(abs(r.heading_error_deg) < 1e-6 for r in rows)
+    assert evaluation.error_curves(track, ref, "k", "t", ["i"], 0.0).orderBy("t").first().horizontal_error is None  # before the reference's first row
+    s = evaluation.compare(evaluation.error_curves(track, ref, "k", "t", ["i"], 2.0), "k", "t", ["i"]).first()
+    assert (s.duration_s, s.distance) == (9.0, 27.0) and s.horizontal_error_rmse == pytest.approx(3) and s.drift_per_second == pytest.approx(3 / 9) and s.drift_per_distance == pytest.approx(3 / 27) and s.drift_speed == pytest.approx(0)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,24 +65,26 @@ def score(key: Column, seed: str) -> Column:
 def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SPLIT_RATIOS, seed: str = "tracewright") -> DataFrame:
     """(key, split): the largest groups first, each to the split that lacks most rows; ties by score, then by the split's name.
 
-    Greedy packing looks at one group after the other, so it folds over one array of (group, rows): one entry for each group, never rows.
+    Greedy packing looks at one group after the other, so one task walks the groups in order, batch by batch; it sees one entry for each group, never rows.
     """
     if any(v < 0 for v in ratios.values()) or not sum(ratios.values()):
         raise ValueError("ratios must not be negative and must not all be zero")
     names = sorted(ratios)
-    total = sum(ratios.values())
-    entry = F.struct((-F.col(n_rows)).alias("o"), score(F.col(key), seed).alias("s"), F.col(key).alias("key"), F.col(n_rows).alias("n"))
-    one = groups.agg(F.array_sort(F.collect_list(entry)).alias("gs"), F.sum(n_rows).alias("total"))
-    goal = F.array(*[F.col("total") * F.lit(ratios[n] / total) for n in names])
-    start = F.struct(F.transform(goal, lambda g: g).alias("lack"), F.array().cast("array<struct<key:string,split:string>>").alias("out"))
-
-    def put(acc, g):
-        best = F.array_position(acc["lack"], F.array_max(acc["lack"])).cast("int")
-        lack = F.transform(acc["lack"], lambda x, i: F.when(i + 1 == best, x - g["n"]).otherwise(x))
-        name = F.element_at(F.array(*map(F.lit, names)), best)
-        return F.struct(lack.alias("lack"), F.concat(acc["out"], F.array(F.struct(g["key"].cast("string").alias("key"), name.alias("split")))).alias("out"))
-
-    return one.select(F.explode(F.aggregate("gs", start, put)["out"]).alias("p")).select(F.col("p.key").alias(key), F.col("p.split").alias("split"))
+    total = groups.agg(F.sum(n_rows)).first()[0] or 0
+    goal = [total * (ratios[n] / sum(ratios.values())) for n in names]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lack = list(goal)
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                best = lack.index(max(lack))
+                lack[best] -= n
+                out.append(names[best])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "split"])
+
+    entries = groups.select(F.col(key).cast("string").alias(key), F.col(n_rows).alias("n"), score(F.col(key), seed).alias("s"), F.col(key).alias("k"))
+    return entries.repartition(1).sortWithinPartitions(F.col("n").desc(), "s", "k").mapInArrow(walk, f"`{key}` string, split string")
 
 
 def leakage(assigned: DataFrame, keys: dict[str, list[str]], split: str = "split") -> DataFrame:
