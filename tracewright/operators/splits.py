@@ -70,13 +70,14 @@ def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SP
     if any(v < 0 for v in ratios.values()) or not sum(ratios.values()):
         raise ValueError("ratios must not be negative and must not all be zero")
     names = sorted(ratios)
-    total = groups.agg(F.sum(n_rows)).first()[0] or 0
-    goal = [total * (ratios[n] / sum(ratios.values())) for n in names]
+    shares = [ratios[n] / sum(ratios.values()) for n in names]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lack = list(goal)
+        lack = None
         for batch in batches:
             out = []
+            if lack is None and batch.num_rows:
+                lack = [batch.column("total")[0].as_py() * share for share in shares]
             for n in batch.column("n").to_pylist():
                 best = lack.index(max(lack))
                 lack[best] -= n
@@ -84,7 +85,8 @@ def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SP
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "split"])
 
     entries = groups.select(F.col(key).cast("string").alias(key), F.col(n_rows).alias("n"), score(F.col(key), seed).alias("s"), F.col(key).alias("k"))
-    return entries.repartition(1).sortWithinPartitions(F.col("n").desc(), "s", "k").mapInArrow(walk, f"`{key}` string, split string")
+    entries = entries.withColumn("total", F.sum("n").over(W.partitionBy()))  # in the one task that walks them
+    return entries.sortWithinPartitions(F.col("n").desc(), "s", "k").mapInArrow(walk, f"`{key}` string, split string")
 
 
 def leakage(assigned: DataFrame, keys: dict[str, list[str]], split: str = "split") -> DataFrame:
