@@ -79,10 +79,11 @@ def test_views_and_sinks(spark, rows, tmp_path):
     back = raw.load_segments(spark, str(tmp_path / "c"))
     assert back.count() == rows.count() and raw.load_segments(spark, str(tmp_path / "c"), "vehicle").count() == 60
     assert back.where("is_canonical_copy").count() == rows.count() - 60
-    v = views.ingest_views(rows)
+    v = views.ingest_views(back)
     assert v["leakage"].count() == 0
     overlap = v["overlap"].first()
     assert overlap.overlap_s == pytest.approx(5.9) and overlap.offset_start_s == pytest.approx(0)
+    assert v["sync"].first().status == "UNRESOLVED" and v["label_coverage"].count() == 4  # six seconds in common are too few
     assert {r.paired for r in v["pairs"].where("session_id = 'S1'").collect()} == {True}
     assigned = v["splits"].collect()
     assert len({r.split for r in assigned if r.source_file.endswith(("S-G1.csv", "S-G2.csv"))}) == 1

@@ -6,9 +6,12 @@ so the cost is that of a sort. `last` and `next` skip what isn't a source row.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import params as P
 from .timeline import US, _key
@@ -100,21 +103,70 @@ def guarded_corr(x: Column, y: Column, least: int = 2, least_std: float = 1e-12)
     return F.when((F.count(a) >= least) & (F.stddev_pop(a) >= least_std) & (F.stddev_pop(b) >= least_std), F.corr(a, b))
 
 
-def lag_search(rows: DataFrame, key, index: str, x: str, y: str, half_width: int, least: int = 10) -> DataFrame:
+def lag_search(rows: DataFrame, key, index: str, x: str, y: str, half_width: int, least: int = 10, block: int = 4096) -> DataFrame:
     """A row per key with the lag (in steps of index) at which y best follows x, its correlation, and the margin over the median of all lags.
 
-    Each row of x is given to all 2 * half_width + 1 lags, and meets y in an equi-join on the shifted index; the sums that make up a correlation are
-    aggregated before the shuffle. Of equal peaks the least lag wins.
+    Rows of x are dealt into blocks of the index, rows of y into every block that a lag can bring them to (two of them where half_width is below half a block), and a task adds up all lags of a block at once. So a row is shuffled
+    once or twice, whatever the number of lags, a long key is spread over its blocks, and a row per block and lag is what comes out. Values are taken from their key's mean first; a spread under a
+    millionth of what is left counts as none. Rows that share a key and an index are all paired. Of equal peaks the least lag wins.
     """
-    k = _key(key)
-    lags = F.explode(F.sequence(F.lit(-half_width), F.lit(half_width))).alias("lag")
-    left = rows.where(F.col(x).isNotNull()).select(*k, F.col(index).alias("__i"), F.col(x).alias("__x"), lags).withColumn("__j", F.col("__i") + F.col("lag"))
-    right = rows.where(F.col(y).isNotNull()).select(*k, F.col(index).alias("__j"), F.col(y).alias("__y"))
-    score = left.join(right, [*k, "__j"]).groupBy(*k, "lag").agg(F.count("*").alias("n"), guarded_corr(F.col("__x"), F.col("__y"), least, 1e-9).alias("r")).where("r IS NOT NULL")
+    k, h = _key(key), int(half_width)
+    means = rows.groupBy(*k).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    centred = rows.select(*k, F.col(index).cast("bigint").alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).join(means, k)
+    first = lambda c: F.floor(c / block).cast("bigint")
+    left = centred.where("__x IS NOT NULL").select(*k, first(F.col("__i")).alias("__b"), "__i", (F.col("__x") - F.col("__mx")).alias("__v"), F.lit(True).alias("__left"))
+    reach = F.explode(F.sequence(first(F.col("__i") - h), first(F.col("__i") + h))).alias("__b")
+    right = centred.where("__y IS NOT NULL").select(*k, reach, "__i", (F.col("__y") - F.col("__my")).alias("__v"), F.lit(False).alias("__left"))
+    sums = ["__n", "__sx", "__sxx", "__sy", "__syy", "__sxy"]
+    schema = T.StructType([*[left.schema[c] for c in k], T.StructField("lag", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in sums]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = int(pdf["__b"].iloc[0]) * block
+        parts = []
+        for side, start, n in ((True, low, block), (False, low - h, block + 2 * h)):
+            own = pdf[pdf["__left"] == side]
+            at, v = own["__i"].to_numpy() - start, own["__v"].to_numpy()
+            parts.append([np.bincount(at, w, n) for w in (np.ones(len(v)), v, v * v)])
+        (cx, sx, qx), (cy, sy, qy) = parts
+        over = lambda a, b: np.correlate(a, b, "valid")
+        out = pd.DataFrame({"lag": np.arange(-h, h + 1), "__n": over(cy, cx), "__sx": over(cy, sx), "__sxx": over(cy, qx), "__sy": over(sy, cx), "__syy": over(qy, cx), "__sxy": over(sy, sx)})
+        out = out[out["__n"] > 0.5]
+        for c in reversed(k):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    total = left.unionByName(right).groupBy(*k, "__b").applyInPandas(run, schema).groupBy(*k, "lag").agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.round("__n").cast("bigint")
+    var = lambda s, q: F.col(q) / n - (F.col(s) / n) ** 2
+    spread = lambda s, q: (var(s, q) >= 1e-18) & (var(s, q) >= 1e-12 * F.col(q) / n)
+    r = (F.col("__sxy") / n - F.col("__sx") / n * F.col("__sy") / n) / F.sqrt(var("__sx", "__sxx") * var("__sy", "__syy"))
+    score = total.where((n >= least) & spread("__sx", "__sxx") & spread("__sy", "__syy")).select(*k, "lag", n.alias("n"), r.alias("r"))
     best = F.max(F.struct(F.round("r", 9).alias("r9"), (-F.col("lag")).alias("first"), "lag", "r", "n")).alias("b")
     return score.groupBy(*k).agg(best, F.median("r").alias("m")).select(*k, F.col("b.lag").alias("lag"), F.col("b.r").alias("correlation"), (F.col("b.r") - F.col("m")).alias("margin"), F.col("b.n").alias("n"))
 
 
+def offset_search(a: DataFrame, b: DataFrame, coarse: DataFrame, key, t: str, order: list[str], value: str, step_s: float = P.SEARCH_STEP_S, half_width_s: float = P.SEARCH_HALF_WIDTH_S) -> DataFrame:
+    """(key, offset_s, correlation, margin): the shift of a's clock against b's, of those around coarse (key, coarse_us), at which a's value, read between its rows, follows b's best.
+
+    b is put on a grid of step_s from its first value on; a on the same grid shifted by coarse and half_width_s longer on both sides, so every candidate is a shift by whole steps. Keys whose b has fewer than ten values, or
+    spans less than MIN_OVERLAP_S, have no row.
+    """
+    k, us, h = _key(key), int(round(step_s * US)), int(round(half_width_s / step_s))
+    known = lambda df: df.where(F.col(t).isNotNull() & F.col(value).isNotNull()).select(*k, t, *order, value)
+    ends = known(b).groupBy(*k).agg(F.count("*").alias("__n"), F.min(t).alias("__t0"), F.max(t).alias("__t1")).where((F.col("__n") >= 10) & (F.col("__t1") - F.col("__t0") >= P.MIN_OVERLAP_S * US))
+    ends = ends.join(coarse.where("coarse_us IS NOT NULL"), k).withColumn("__last", F.ceil((F.col("__t1") - F.col("__t0")) / us).cast("bigint") - 1)
+
+    def on_grid(df: DataFrame, low, high, start, out: str) -> DataFrame:
+        at = ends.select(*k, start.alias("__s"), F.explode(F.sequence(low, high)).alias("i")).select(*k, "i", (F.col("__s") + F.col("i") * us).cast("bigint").alias(t))
+        return interpolate(at, known(df), key, t, order, value, out, None).select(*k, "i", out)
+
+    zero, last, wide = F.lit(0).cast("bigint"), F.col("__last"), F.lit(h).cast("bigint")
+    grid_b = on_grid(b, zero, last, F.col("__t0"), "x")
+    grid_a = on_grid(a, -wide, last + wide, F.col("__t0") + F.col("coarse_us"), "y")
+    found = lag_search(grid_b.unionByName(grid_a, allowMissingColumns=True), key, "i", "x", "y", h)
+    return found.join(coarse, k).select(*k, ((F.col("coarse_us") + F.col("lag") * us) / US).alias("offset_s"), "correlation", "margin")
+
+
 def sync_status(correlation: Column, margin: Column, overlap_s: Column, has_clock: Column) -> Column:
     """An overlap that is too short leaves a pair open, whatever the correlation says."""
     confirmed = (correlation >= P.MIN_CORRELATION) & (margin >= P.MIN_PEAK_MARGIN)

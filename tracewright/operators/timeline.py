@@ -58,13 +58,30 @@ def segment_id(payload_hash: Column, number: Column) -> Column:
 
 
 def segment_records(segmented: DataFrame, key, t: str, order: list[str]) -> DataFrame:
-    """A row per segment: rows, start, end, duration, why it begins, and whether it is short."""
+    """A row per segment: rows, start, end, duration, why it begins and after how long a step, its own median interval and rate, and whether it is short (two known times at least, less than SHORT_SEGMENT_SECONDS apart)."""
+    k = [*_key(key), "segment_no"]
+    own = segmented.withColumn("__dt", step(k, order, t))
+    at = F.struct(*order)
+    out = own.groupBy(*k).agg(
+        F.count("*").alias("n_rows"), F.count(t).alias("__n"), F.min(t).alias("start_us"), F.max(t).alias("end_us"), F.min_by("reason", at).alias("reason"),
+        F.min_by(F.when(F.col("reason").isNotNull(), F.col("dt_us") / US), at).alias("gap_before_s"), (F.median(F.when(F.col("__dt") > 0, F.col("__dt"))) / US).alias("median_interval_s"),
+    )
+    out = out.withColumn("duration_s", (F.col("end_us") - F.col("start_us")) / US).withColumn("rate_hz", 1.0 / F.col("median_interval_s"))
+    return out.withColumn("reason", F.coalesce("reason", F.lit("start"))).withColumn("short", (F.col("__n") > 1) & (F.col("duration_s") < P.SHORT_SEGMENT_SECONDS)).drop("__n")
+
+
+def arrange(segmented: DataFrame, key, order: list[str], t: str) -> DataFrame:
+    """Adds backward (a step back inside a segment), position (from 0 in the recording, the order to go on with) and boundary (the first row of a segment in that order).
+
+    Segments stay in written order. Rows of a segment with a step back are sorted by time, stably and those without a time last; the others stay as they were written. No row leaves its segment.
+    """
     k = _key(key)
-    out = segmented.groupBy(*k, "segment_no").agg(
-        F.count("*").alias("n_rows"), F.min(t).alias("start_us"), F.max(t).alias("end_us"), F.min_by("reason", F.struct(*order)).alias("reason")
-    )
-    out = out.withColumn("duration_s", (F.col("end_us") - F.col("start_us")) / US)
-    return out.withColumn("reason", F.coalesce("reason", F.lit("start"))).withColumn("short", F.coalesce(F.col("duration_s") < P.SHORT_SEGMENT_SECONDS, F.lit(True)))
+    within = W.partitionBy(*k, "segment_no")
+    rows = segmented.withColumn("backward", F.coalesce(step([*k, "segment_no"], order, t) < 0, F.lit(False)))
+    rows = rows.withColumn("__t", F.when(F.bool_or("backward").over(within), F.col(t)))
+    sort = [F.col("__t").asc_nulls_last(), *order]
+    rows = rows.withColumn("position", F.row_number().over(W.partitionBy(*k).orderBy("segment_no", *sort)) - 1)
+    return rows.withColumn("boundary", F.col("position") == F.min("position").over(within)).drop("__t")
 
 
 def duplicate_times(df: DataFrame, key, t: str) -> DataFrame:

@@ -38,18 +38,25 @@ def _segmented(spark: SparkSession, d: str) -> DataFrame:
     return timeline.segment(events(spark, d), "k", ORDER, "t", multiple=3.0, floor_s=3600.0)
 
 
-@query(_SEG + """
-SELECT k, segment_no, count(*) AS n_rows, min(t) AS start_us, max(t) AS end_us, coalesce(arg_min(reason, (t, event_id)), 'start') AS reason,
-       (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, (max(t) - min(t)) / 1000000.0::DOUBLE < 5 AS short
-FROM g GROUP BY k, segment_no""")
+@query(_SEG + f"""
+, o AS (SELECT *, t - lag(t) OVER (PARTITION BY k, segment_no ORDER BY t, event_id) AS own FROM g)
+SELECT k, segment_no, count(*) AS n_rows, min(t) AS start_us, max(t) AS end_us, CASE WHEN segment_no = 0 THEN 'start' ELSE arg_min(reason, t) END AS reason, CASE WHEN segment_no > 0 THEN {rs('max(dt) FILTER (reason IS NOT NULL) / 1000000.0::DOUBLE')} END AS gap_before_s,
+       {rs('median(own) FILTER (own > 0) / 1000000.0::DOUBLE')} AS median_interval_s, {rs('1000000.0::DOUBLE / median(own) FILTER (own > 0)', 9)} AS rate_hz, (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, count(*) > 1 AND (max(t) - min(t)) / 1000000.0::DOUBLE < 5 AS short
+FROM o GROUP BY k, segment_no""")
 def gap_segments(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.segment_records(_segmented(spark, d), "k", "t", ORDER)
+    return rounded(timeline.segment_records(_segmented(spark, d), "k", "t", ORDER), "gap_before_s", "median_interval_s").withColumn("rate_hz", r("rate_hz", 9))
 
 
-SQL["gap_segments"] = _SEG + """
-SELECT k, segment_no, count(*) AS n_rows, min(t) AS start_us, max(t) AS end_us, CASE WHEN segment_no = 0 THEN 'start' ELSE arg_min(reason, t) END AS reason,
-       (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, (max(t) - min(t)) / 1000000.0::DOUBLE < 5 AS short
-FROM g GROUP BY k, segment_no"""
+@query(f"""
+WITH {E_SQL}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY k ORDER BY event_id) AS dt FROM (SELECT event_id, k, t % 604800000000 AS t FROM e)),
+m AS (SELECT k, median(dt) FILTER (dt > 0) AS med FROM d GROUP BY k),
+g AS (SELECT d.*, sum(CASE WHEN dt <= -400000000000 OR dt > greatest(med * 3, 3600000000) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS segment_no FROM d JOIN m USING (k)),
+b AS (SELECT *, coalesce(t < lag(t) OVER (PARTITION BY k, segment_no ORDER BY event_id), false) AS backward FROM g), s AS (SELECT *, bool_or(backward) OVER (PARTITION BY k, segment_no) AS torn FROM b)
+SELECT event_id, segment_no::BIGINT AS segment_no, backward, row_number() OVER (PARTITION BY k ORDER BY segment_no, CASE WHEN torn THEN t END, event_id) - 1 AS position, row_number() OVER (PARTITION BY k, segment_no ORDER BY CASE WHEN torn THEN t END, event_id) = 1 AS boundary FROM s""")
+def segment_order(spark: SparkSession, d: str) -> DataFrame:
+    """The clock runs modulo a week, in which rows jump forth and back; drops of more than 400,000 seconds begin a segment."""
+    rows = timeline.segment(events(spark, d).withColumn("t", F.col("t") % 604_800_000_000), "k", ["event_id"], "t", 3.0, 3600.0, 400_000.0)
+    return timeline.arrange(rows, "k", ["event_id"], "t").select("event_id", "segment_no", "backward", F.col("position").cast("bigint").alias("position"), "boundary")
 
 
 @query(_SEG + "SELECT event_id, segment_no, t - min(t) OVER (PARTITION BY k, segment_no) AS elapsed_us FROM g")
@@ -155,11 +162,7 @@ def resample_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(asof.resample(events(spark, d).drop("event_type"), "k", "t", ["event_id"], "x", DAY_S, "v").select("k", "t", "v"), "v")
 
 
-@query(f"""
-WITH {E_SQL}, b AS (SELECT event_type, t // 21600000000 AS i, count(*)::DOUBLE AS n, avg(x) AS m FROM e GROUP BY ALL),
-p AS (SELECT a.event_type, l.lag, a.n AS x, c.m AS y FROM b a, (SELECT unnest(range(-6, 7)) AS lag) l, b c WHERE c.event_type = a.event_type AND c.i = a.i + l.lag),
-r AS (SELECT event_type, lag, count(*) AS n, corr(x, y) AS r FROM p GROUP BY ALL HAVING count(*) >= 10 AND stddev_pop(x) >= 1e-9 AND stddev_pop(y) >= 1e-9)
-SELECT event_type, arg_max(lag, (round(r, 9), -lag))::INTEGER AS lag, {rs('max(r)')} AS correlation, {rs('max(r) - median(r)')} AS margin, arg_max(n, (round(r, 9), -lag)) AS n FROM r GROUP BY event_type""")
+@query()
 def lag_correlation(spark: SparkSession, d: str) -> DataFrame:
     bins = events(spark, d).groupBy("event_type", F.expr("t div 21600000000").alias("i")).agg(F.count("*").cast("double").alias("n"), F.avg("x").alias("m"))
     return rounded(asof.lag_search(bins, "event_type", "i", "n", "m", 6), "correlation", "margin")

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as FL
-from ..operators import asof, quality, splits, timeline
+from ..operators import asof, quality, runs, splits, timeline
 from ..sources import raw
+from . import reports
 
 
 def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
-    """segments, timing, freshness, quality, availability, pairs, groups, splits, leakage, flags."""
+    """segments, timing, freshness, availability, missingness, pairs, overlap, sync, sync_figures, labels, label_coverage, splits, split_summary, leakage, flags.
+
+    Give it rows that were written and read back, as the ingest does: the views take them many times over, and each time the whole plan of what made them would be taken along.
+    """
     rows = rows.withColumn("t_us", F.round(F.col("analysis_time_s") * 1e6).cast("long"))
     seg = rows.groupBy("segment_id", "source_file", "session_id", "dataset_family", "stream", "payload_hash").agg(
         F.count("*").alias("n_rows"), F.min("analysis_time_s").alias("start_s"), F.max("analysis_time_s").alias("end_s"), F.max("elapsed_s").alias("duration_s")
@@ -25,6 +29,9 @@ def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
     assigned = grouped.join(keys.select("component", "group_key"), "component").join(splits.pack(keys, "group_key", "n_rows"), "group_key").drop("component")
     clocks = rows.where("time_of_day_s IS NOT NULL").withColumn("u", F.round(F.col("time_of_day_s") * 1e6).cast("long"))
     of = lambda s: clocks.where(F.col("stream") == s).select("dataset_family", "session_id", "u")
+    sync = runs.synchronize(rows)
+    labels = runs.label(rows, sync)
+    covered = runs.coverage(labels)
     return {
         "segments": seg,
         "timing": timeline.timing(rows, ["source_file"], ["row_idx"], "t_us"),
@@ -33,6 +40,10 @@ def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
         "missingness": quality.missingness(quality.profile(rows, ["accel_x", "gyro_x", "mag_x", "gravity_x", "latitude", "gnss_speed_mps", "ref_speed_mps"], ["stream"])),
         "pairs": pairs,
         "overlap": asof.overlap(of("smartphone"), of("vehicle"), ["dataset_family", "session_id"], "u"),
+        "sync": sync,
+        "sync_figures": reports.sync_figures(sync.join(covered.select(F.col("source_file").alias("smartphone_file"), "coverage_fraction"), "smartphone_file", "left"), "coverage_fraction"),
+        "labels": labels,
+        "label_coverage": covered,
         "splits": assigned,
         "split_summary": assigned.groupBy("split").agg(F.count("*").alias("segments"), F.sum("n_rows").alias("n_rows"), F.sum("duration_s").alias("duration_s")),
         "leakage": splits.leakage(assigned, {"payload": ["payload_hash"], "session": ["dataset_family", "session_id"], "segment": ["segment_id"]}),

@@ -80,7 +80,7 @@ def schema_ids(columns: DataFrame) -> DataFrame:
 def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple: float = P.SEGMENT_GAP_MULTIPLE) -> DataFrame:
     """Rows of all recordings below root in the columns of both canonical schemas, with row_idx, segments, freshness and quality flags. No row is dropped.
 
-    Row order is that of the file; a row's position in it is row_idx.
+    row_idx is a row's position: that of the file, but for segments with a step back in time, whose rows are sorted by time.
     """
     files = _files(spark, root, glob)
     stream, session = TX.stream_and_session(F.element_at(F.split("source_file", "/"), -1))
@@ -125,8 +125,8 @@ def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple:
     out = out.withColumn("analysis_time_s", F.when(F.col("__nw") > 0, wall).when(F.col("__nt") > 0, F.col("__tod")).otherwise(F.col("__elapsed")))
     out = out.withColumn("t_us", F.round(F.col("analysis_time_s") * 1e6).cast("long"))
     order, key = ["row_idx"], ["source_file"]
-    out = timeline.segment(out, key, order, "t_us", gap_multiple)
-    out = timeline.duplicate_times(timeline.non_monotonic(out, key, order, "t_us"), key, "t_us")
+    out = timeline.arrange(timeline.segment(out, key, order, "t_us", gap_multiple), key, order, "t_us")
+    out = timeline.duplicate_times(out, key, "t_us").withColumn("row_idx", F.col("position"))
     fix = G.is_fix(F.col("latitude"), F.col("longitude"))
     out = ordered.freshness(out, key, order, "t_us", ["latitude", "longitude"], fix)
     missing = F.lit(False)
@@ -135,7 +135,7 @@ def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple:
     q = F.lit(0)
     for cond, name in (
         (missing, "MISSING_SENSOR"), (F.col("analysis_time_s").isNull(), "INVALID_TIMESTAMP"), (F.col("duplicate"), "DUPLICATE_TIMESTAMP"), (F.col("backward"), "NON_MONOTONIC_TIMESTAMP"), (F.col("encoding_warning"), "ENCODING_WARNING"),
-        (F.col("shifted"), "SCHEMA_REPAIR"), (F.col("stale"), "GNSS_STALE"), (F.col("reason").isNotNull(), "SEGMENT_BOUNDARY"),
+        (F.col("shifted"), "SCHEMA_REPAIR"), (F.col("stale"), "GNSS_STALE"), (F.col("boundary"), "SEGMENT_BOUNDARY"),
     ):
         q = FL.set_if(q, F.coalesce(cond, F.lit(False)), FL.QUALITY[name])
     out = out.withColumn("quality_flags", q.cast("int")).withColumn("gnss_fix_available", fix).withColumn("gnss_position_fresh", F.col("fresh")).withColumn("gnss_stale_duration_s", F.col("held_s"))
