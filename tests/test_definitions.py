@@ -142,3 +142,54 @@ def test_curves(spark):
     assert evaluation.error_curves(track, ref, "k", "t", ["i"], 0.0).orderBy("t").first().horizontal_error is None  # before the reference's first row
     s = evaluation.compare(evaluation.error_curves(track, ref, "k", "t", ["i"], 2.0), "k", "t", ["i"]).first()
     assert (s.duration_s, s.distance) == (9.0, 27.0) and s.horizontal_error_rmse == pytest.approx(3) and s.drift_per_second == pytest.approx(3 / 9) and s.drift_per_distance == pytest.approx(3 / 27) and s.drift_speed == pytest.approx(0)
+
+
+def test_alignment_figures():
+    t = np.arange(0, 140, 0.05)
+    along = np.where(t > 20, 2.0 * np.sin((t - 20) * 0.5) * np.cos((t - 20) * 0.13), 0.0)
+    speed = 20 + np.cumsum(along) * 0.05
+    accel = np.stack([np.zeros_like(t), along, np.full_like(t, P.STANDARD_GRAVITY_MPS2)], axis=1)  # forward is the phone's y
+    r = scans.align(t, accel, speed)
+    assert r["status"] == "SUCCESS" and r["rotation"].round(2).tolist() == [[0, 1, 0], [-1, 0, 0], [0, 0, 1]] and r["gravity_residual_deg"] == pytest.approx(0, abs=1e-6)
+    assert abs(r["lag_s"]) <= 0.2 and r["margin"] > P.MIN_LAG_PEAK_MARGIN and r["disagreement_rad"] < 0.05 and 0.2 < r["confidence"] <= 1
+    late = scans.align(t, accel, np.interp(t - 3.0, t, speed))  # the speed comes three seconds late, so it has to be read three seconds on
+    assert late["lag_s"] == pytest.approx(3.0, abs=0.21) and late["status"] == "SUCCESS"
+    assert scans.align(t, accel, np.full_like(t, 20.0))["status"] == "INSUFFICIENT_MOTION"
+    assert scans.align(t, accel * 2, speed)["status"] == "LOW_GRAVITY_CONFIDENCE" and scans.align(t, accel, np.full_like(t, np.nan))["rotation"] is None
+    assert scans.align(t, accel, speed, valid=np.zeros(len(t), bool))["status"] == "INSUFFICIENT_MOTION"
+
+
+def test_residual_lag(spark):
+    t = np.arange(0, 120, 0.1)
+    wave = lambda x: 10 + 3 * math.sin(0.7 * x) + 2 * math.sin(0.31 * x)
+    rows = [("late", int(round(x * 1e6)), float(wave(x) + 0.4 * x), 0.0, 0.0) for x in t] + [("ramp", int(round(x * 1e6)), float(x), 0.0, 0.0) for x in t]  # with a drift of 0.4 m/s a second
+    track = spark.createDataFrame([*rows, ("alone", 0, 1.0, 0.0, 0.0)], "k string, t long, vx double, vy double, vz double")
+    ref = spark.createDataFrame([("late", int(round(x * 1e6)), float(wave(x - 2.0))) for x in t] + [("ramp", int(round(x * 1e6)), float(x)) for x in t] + [("none", 0, 1.0)], "k string, t long, speed double")
+    got = {r.k: r for r in evaluation.residual_lag(track, ref, "k", "t").collect()}
+    assert set(got) == {"late", "ramp", "alone"}
+    assert got["late"].accepted and got["late"].lag_s == pytest.approx(2.0) and got["late"].correlation > 0.99 > got["late"].zero_correlation
+    assert not got["ramp"].accepted and got["ramp"].lag_s == 0 and not got["alone"].accepted
+
+
+def test_checks_summaries_and_choice(spark):
+    w = lambda i: math.sin(i / 7.0)
+    v = lambda i: 10 + 5 * math.cos(i / 11.0)
+    turn = [0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0]  # vehicle x is the phone's y, vehicle y its negative x
+    rows = [("s", i, i * 1_000_000, v(i), -v(i) * w(i), (v(i + 1) - v(i - 1)) / 2, 0.0, 0.0, 0.0, w(i), w(i) * 2 + 1, turn) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, t long, v double, a_x double, a_y double, a_z double, g_x double, g_y double, g_z double, yaw double, r array<double>")
+    c = evaluation.alignment_checks(df, "k", ["i"], "t", "r", "a", "v", "g", "yaw").first()
+    assert [c.longitudinal_correlation, c.lateral_correlation, c.angular_correlation] == pytest.approx([1.0, 1.0, 1.0])
+    assert evaluation.alignment_checks(df, "k", ["i"], "t", "r", "a", "v").first().lateral_correlation is None
+    states = spark.createDataFrame([("s", i, i * 2_000_000, float(x), float(y), 0.0, 3.0 * i, 4.0 * i, 0.0, i) for i, (x, y) in enumerate([(0, 0), (3, 4), (3, 0)])], "k string, i int, t long, px double, py double, pz double, vx double, vy double, vz double, flags int")
+    s = evaluation.trajectory_summary(states, "k", ["i"], "t", "flags").first()
+    assert (s.samples, s.duration_s, s.final_speed_mps, s.max_speed_mps, s.displacement_m, s.path_length_m, s.flagged) == (3, 4.0, 10.0, 10.0, 3.0, 9.0, 2)
+    runs = spark.createDataFrame([(n, d) for n, d in zip("abcde", [1.0, 9.0, 5.0, 4.0, 6.0], strict=True)], "n string, d double")
+    assert [r.n for r in evaluation.nearest_to_median(runs, "d", ["n"], 3).collect()] == ["c", "d", "e"]
+
+
+def test_reference_of_a_recording(spark):
+    rows = [("a", 0, 0, 1.0, True, None, 10.0), ("a", 1, 1, 2.0, False, None, 20.0), ("b", 0, 0, 3.0, None, 5.0, 30.0), ("c", 0, 0, 4.0, True, None, None)]
+    df = spark.createDataFrame(rows, "k string, i int, t long, v double, fresh boolean, car double, phone double")
+    e = F.col("v") * 10
+    got = [(r.k, r.speed, r.e, r.heading_deg, r.heading_source) for r in evaluation.reference_track(df, "k", F.col("v"), (e, e, e), F.col("fresh"), ["car", "phone"], ["i"], "t").orderBy("k", "i").collect()]
+    assert got == [("a", 1.0, 10.0, 10.0, "phone"), ("a", 2.0, None, 20.0, "phone"), ("b", 3.0, None, 5.0, "car"), ("c", 4.0, 40.0, None, "none")]

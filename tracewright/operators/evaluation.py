@@ -6,12 +6,15 @@ where it isn't valid. Both are read in one pass: a union and two ordered windows
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import geodesy as G
-from . import asof, frames, ordered
+from . import asof, frames, ordered, scans
 from .timeline import US, _key
 
 ERRORS = ("speed_error", "position_error", "horizontal_error", "heading_error_deg")
@@ -89,3 +92,94 @@ def attitude_confidence(gravity: Column, field_weight: Column, has_gyro: Column)
     base = F.coalesce(gravity, F.lit(0.0)) * F.when(has_gyro, 1.0).otherwise(0.5)
     trusted = F.coalesce(field_weight > 0, F.lit(False))
     return F.when(trusted, F.least(F.lit(1.0), base * (0.6 + 0.4 * field_weight))).otherwise(F.least(F.lit(0.5), base))
+
+
+def _gradient(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Rate of the known values, of rows at one time the first; unknown elsewhere, and everywhere below three of them."""
+    out = np.full(len(t), np.nan)
+    at = np.flatnonzero(np.isfinite(x) & np.isfinite(t))
+    at = at[np.concatenate([[True], np.diff(t[at]) > 0])] if len(at) else at
+    if len(at) >= 3:
+        out[at] = np.gradient(x[at], t[at])
+    return out
+
+
+def best_lag(t: np.ndarray, speed: np.ndarray, ref_t: np.ndarray, ref_speed: np.ndarray, max_lag_s: float = P.MAX_LAG_SEARCH_S, step_s: float = P.LAG_SEARCH_STEP_S) -> dict:
+    """The shift of a reference at which the rate of its speed follows that of a track best. Rates, since a drifting speed is alike at every lag. It counts if its peak is distinct, high enough and a step away from zero; else the lag is 0."""
+    smooth = lambda x: scans._trailing_mean(_gradient(x, t), t, P.SMOOTHING_WINDOW_S)
+    own, known = smooth(speed), np.isfinite(ref_speed) & np.isfinite(ref_t)
+
+    def at(lag: float) -> float:
+        if known.sum() < 2:
+            return float("nan")
+        other = smooth(np.interp(t + lag, ref_t[known], ref_speed[known], left=np.nan, right=np.nan))
+        return scans._pearson(own, other) if (np.isfinite(own) & np.isfinite(other)).sum() >= 10 else float("nan")
+
+    k, zero = int(max_lag_s / step_s), at(0.0)
+    scores = np.array([at(j * step_s) for j in range(-k, k + 1)])
+    if not np.isfinite(scores).any():
+        return {"lag_s": 0.0, "correlation": zero, "zero_correlation": zero, "margin": float("nan"), "accepted": False, "at_edge": False}
+    best = int(np.nanargmax(scores))
+    lag, margin = (best - k) * step_s, float(scores[best] - np.nanmedian(scores))
+    good = bool(margin >= P.MIN_LAG_PEAK_MARGIN and scores[best] >= P.MIN_LAG_CORRELATION and abs(lag) >= step_s)
+    return {"lag_s": lag if good else 0.0, "correlation": float(scores[best]) if good else zero, "zero_correlation": zero, "margin": margin, "accepted": good, "at_edge": good and abs(lag) >= max_lag_s - step_s}
+
+
+def residual_lag(track: DataFrame, reference: DataFrame, key: str, t: str) -> DataFrame:
+    """A row per key of a track with best_lag's figures. A recording's track and reference meet in one group, as the smoothing after each shift runs over the whole of it."""
+    own = track.where(F.col(t).isNotNull()).select(key, (F.col(t) / US).alias("__t"), F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2).alias("__v"))
+    ref = reference.where(F.col(t).isNotNull() & F.col("speed").isNotNull()).select(key, (F.col(t) / US).alias("__t"), F.col("speed").cast("double").alias("__v"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame(columns=[key, "lag_s", "correlation", "zero_correlation", "margin", "accepted", "at_edge"])
+        a, b = a.sort_values("__t", kind="stable"), b.sort_values("__t", kind="stable")
+        found = best_lag(a["__t"].to_numpy(float), a["__v"].to_numpy(float), b["__t"].to_numpy(float), b["__v"].to_numpy(float))
+        return pd.DataFrame([{key: a[key].iloc[0], **found}])
+
+    kind = dict(track.dtypes)[key]
+    return own.groupBy(key).cogroup(ref.groupBy(key)).applyInPandas(run, f"{key} {kind}, lag_s double, correlation double, zero_correlation double, margin double, accepted boolean, at_edge boolean")
+
+
+def reference_track(rows: DataFrame, key, speed: Column, position: tuple[Column, Column, Column], fresh: Column, headings: list[str], order: list[str], t: str) -> DataFrame:
+    """A recording's own reference: speed, position (e, n, u) of fresh fixes only, and the first of the heading columns that has a value in the recording, named in heading_source."""
+    k = _key(key)
+    each = W.partitionBy(*k)
+    have = [F.count(h).over(each) > 0 for h in headings]
+    pick, name = F.lit(None).cast("double"), F.lit("none")
+    for h, any_ in reversed(list(zip(headings, have, strict=True))):
+        pick, name = F.when(any_, F.col(h).cast("double")).otherwise(pick), F.when(any_, h).otherwise(name)
+    ok = F.coalesce(fresh, F.lit(False))
+    return rows.select(*k, *order, t, speed.cast("double").alias("speed"), *[F.when(ok, c).alias(n) for c, n in zip(position, "enu", strict=True)], pick.alias("heading_deg"), name.alias("heading_source"))
+
+
+def alignment_checks(rows: DataFrame, key, order: list[str], t: str, rotation: str, accel: str, speed: str, gyro: str | None = None, yaw_rate: str | None = None) -> DataFrame:
+    """A row per key: whether an alignment (array of nine numbers, row by row) makes the vehicle behave like one.
+
+    longitudinal: forward acceleration against the rate of the speed; lateral: sideways acceleration against speed times yaw rate; angular: yaw rate against a reference's. accel is linear acceleration in phone axes.
+    """
+    k = _key(key)
+    r = F.col(rotation)
+    turned = lambda prefix, row: sum((r[3 * row + i] * F.col(f"{prefix}_{c}") for i, c in enumerate("xyz")), F.lit(0.0))
+    own = rows.select(*k, *order, t, F.col(speed).alias("__v"), turned(accel, 0).alias("__ax"), turned(accel, 1).alias("__ay"), (turned(gyro, 2) if gyro else F.lit(None).cast("double")).alias("__wz"), (F.col(yaw_rate) if yaw_rate else F.lit(None).cast("double")).alias("__ref"))
+    w = W.partitionBy(*k).orderBy(*order)
+    dt = (F.lead(t).over(w) - F.lag(t).over(w)) / US
+    own = own.withColumn("__rate", F.when(dt > 0, (F.lead("__v").over(w) - F.lag("__v").over(w)) / dt))
+    c = asof.guarded_corr
+    return own.groupBy(*k).agg(c(F.col("__ax"), F.col("__rate")).alias("longitudinal_correlation"), c(F.col("__ay"), F.col("__v") * F.col("__wz")).alias("lateral_correlation"), c(F.col("__wz"), F.col("__ref")).alias("angular_correlation"))
+
+
+def trajectory_summary(states: DataFrame, key, order: list[str], t: str, flags: str | None = None) -> DataFrame:
+    """A row per key: samples, duration, final and greatest speed, displacement and path length; with flags, how many rows have any."""
+    k, at = _key(key), F.struct(*order)
+    v = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)
+    more = [F.count_if(F.col(flags) != 0).alias("flagged")] if flags else []
+    out = states.groupBy(*k).agg(F.count("*").alias("samples"), ((F.max(t) - F.min(t)) / US).alias("duration_s"), F.max_by(v, at).alias("final_speed_mps"), F.max(v).alias("max_speed_mps"), *more)
+    length = ordered.path_length(states, key, order, ["px", "py", "pz"]).select(*k, F.coalesce("displacement", F.lit(0.0)).alias("displacement_m"), F.coalesce("distance", F.lit(0.0)).alias("path_length_m"))
+    return out.join(length, k)
+
+
+def nearest_to_median(runs: DataFrame, duration: str, order: list[str], n: int) -> DataFrame:
+    """The n runs whose duration is closest to the median of all, the first in order of equals. A report of the top n: no more than that leaves the cluster."""
+    middle = runs.agg(F.median(duration).alias("__m")).withColumn("__one", F.lit(1))  # one row
+    return runs.withColumn("__one", F.lit(1)).join(F.broadcast(middle), "__one").orderBy(F.abs(F.col(duration) - F.col("__m")), *order).limit(n).drop("__m", "__one")

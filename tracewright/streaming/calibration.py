@@ -1,6 +1,6 @@
 """Mounting calibration over a stream: a bounded buffer of samples per device, and an estimate after every trigger.
 
-State per device: the first MAX_RETAINED_SAMPLES samples. The buffer is bounded by that parameter of the method, so a device's state is too.
+State per device: the first MAX_RETAINED_SAMPLES samples. The buffer is bounded by that parameter of the method, so a device's state is too; what comes after it is counted as rejected.
 """
 
 from __future__ import annotations
@@ -22,25 +22,25 @@ OUT = "n long, rejected long, duration_s double, status string, correlation doub
 def estimate(data: np.ndarray) -> dict:
     """The estimate from a buffer; a recording that is too short can't give a heading that is trusted."""
     data = data[np.argsort(data[:, 0], kind="stable")]
-    r = align(data[:, 0], data[:, 1:4], data[:, 4])
+    r = align(data[:, 0], data[:, 1:4], data[:, 4], valid=np.isfinite(data[:, 4]))
     if r["status"] == "SUCCESS" and data[-1, 0] - data[0, 0] < P.MIN_CALIBRATION_DURATION_S:
         r["status"], r["rotation"] = "LOW_HEADING_CONFIDENCE", None
     return r
 
 
 def calibrate(samples: DataFrame, key: str = "device", retain: int = P.MAX_RETAINED_SAMPLES) -> DataFrame:
-    """A row per device and trigger that had samples of it. Samples with missing values are rejected and counted."""
+    """A row per device and trigger that had samples of it. Samples without a time or an acceleration, and those beyond `retain`, are rejected and counted; one without a speed is kept, as it still tells of gravity."""
     kind = dict(samples.dtypes)[key]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat, rejected = state.get if state.exists else ([], 0)
         old = np.array(flat, float).reshape(-1, len(COLUMNS))
         new = pd.concat(list(frames))[list(COLUMNS)].to_numpy(float)
-        good = np.isfinite(new).all(axis=1)
+        good = np.isfinite(new[:, :4]).all(axis=1)
         data = np.vstack([old, new[good]])[:retain]
-        rejected += int((~good).sum())
+        rejected += len(new) - (len(data) - len(old))
         state.update((data.ravel().tolist(), rejected))
-        r = estimate(data) if len(data) else {"status": "NO_GRAVITY", "correlation": float("nan"), "confidence": 0.0, "rotation": None}
+        r = estimate(data) if len(data) else {"status": "FAILED", "correlation": float("nan"), "confidence": 0.0, "rotation": None}
         span = float(np.ptp(data[:, 0])) if len(data) else 0.0
         rotation = None if r["rotation"] is None else r["rotation"].ravel().tolist()
         yield pd.DataFrame([{key: k[0], "n": len(data), "rejected": rejected, "duration_s": span, "status": r["status"], "correlation": r["correlation"], "confidence": r["confidence"], "rotation": rotation}])
