@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright import params as P
 from tracewright.operators import asof, evaluation, frames, ordered, quality, scans, timeline
+from tracewright.operators import generators as GN
 
 
 def value(spark, column):
@@ -193,3 +194,22 @@ def test_reference_of_a_recording(spark):
     e = F.col("v") * 10
     got = [(r.k, r.speed, r.e, r.heading_deg, r.heading_source) for r in evaluation.reference_track(df, "k", F.col("v"), (e, e, e), F.col("fresh"), ["car", "phone"], ["i"], "t").orderBy("k", "i").collect()]
     assert got == [("a", 1.0, 10.0, 10.0, "phone"), ("a", 2.0, None, 20.0, "phone"), ("b", 3.0, None, 5.0, "car"), ("c", 4.0, 40.0, None, "none")]
+
+
+def test_pieces_and_run_summary(spark):
+    one = spark.createDataFrame([(0.0, 1.0)], "t_s double, px double")
+    both = evaluation.concatenate([one, one.withColumn("vx", F.lit(2.0))]).orderBy("piece").collect()
+    assert [(r.piece, r.px, r.vx) for r in both] == [(0, 1.0, None), (1, 1.0, 2.0)]
+    with pytest.raises(ValueError):
+        evaluation.concatenate([])
+    t = evaluation.total_counters(spark.createDataFrame([("a", 3, 1, True), ("a", 4, 0, False)], "k string, integrated int, irregular int, heading_observed boolean"), "k").first()
+    assert (t.integrated, t.irregular, t.heading_observed) == (7, 1, False)
+    rows = [(True, True, True, 4.0, 2.0, 1.0, -3.0, True), (True, False, True, 6.0, float("nan"), 2.0, 0.0, False), (True, True, False, None, None, None, None, None), (False, False, None, 9.0, 9.0, 9.0, 9.0, True)]
+    r = evaluation.run_summary(spark.createDataFrame(rows, "succeeded boolean, aligned boolean, compared boolean, zero_rmse double, best_rmse double, position_drift double, lag_s double, lag_accepted boolean")).first()
+    assert list(r) == [4, 3, 2, 1, 2, 5.0, 2.0, 1.5, 1, 3.0]
+
+
+def test_retimed(spark):
+    stamps = spark.createDataFrame([("s", i, t) for i, t in enumerate([0.0, 0.1, 0.1, 5.0])], "segment_id string, i long, t_s double")
+    got = GN.retimed(stamps, accel=(2.0, 0.0, 0.0), v0=(1.0, 0.0, 0.0)).orderBy("i").collect()
+    assert [(r.true_v_x, r.true_p_x) for r in got] == [pytest.approx(x) for x in ((1, 0), (1.2, 0.11), (1.2, 0.11), (11, 30))]

@@ -92,3 +92,12 @@ def test_views_and_sinks(spark, rows, tmp_path):
     assert all(r.has_accel != (r.stream == "vehicle") and not r.has_mag for r in a.values())
     views.register(v, "v_")
     assert spark.sql("SELECT count(*) FROM v_segments").first()[0] == len(assigned)
+
+
+def test_manifest_and_absent_columns(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"per_file": [\n{"source_file": "a.csv", "has_gyro": true, "n": 1},\n{"source_file": "b.csv", "has_mag": false},\n{"has_gyro": true}]}')
+    got = {r.source_file: r["has"] for r in raw.field_mapping(spark, str(tmp_path / "m.json")).collect()}
+    assert got == {"a.csv": {"has_gyro": True, "has_mag": None}, "b.csv": {"has_gyro": None, "has_mag": False}}
+    df = spark.createDataFrame([("1.5", "x")], "latitude string, other string")
+    (r,) = raw.conform(df, "vehicle").collect()
+    assert (r.latitude, r.ref_speed_mps, r.gnss_fix_available, r.quality_flags) == (1.5, None, None, 0) and "other" not in r

@@ -183,3 +183,34 @@ def nearest_to_median(runs: DataFrame, duration: str, order: list[str], n: int)
     """The n runs whose duration is closest to the median of all, the first in order of equals. A report of the top n: no more than that leaves the cluster."""
     middle = runs.agg(F.median(duration).alias("__m")).withColumn("__one", F.lit(1))  # one row
     return runs.withColumn("__one", F.lit(1)).join(F.broadcast(middle), "__one").orderBy(F.abs(F.col(duration) - F.col("__m")), *order).limit(n).drop("__m", "__one")
+
+
+COUNTERS = ("integrated", "skipped_non_positive", "skipped_too_large", "skipped_not_finite", "irregular", "invalid_sensor", "attitude_updates")
+
+
+def concatenate(pieces: list[DataFrame]) -> DataFrame:
+    """Pieces of a trajectory one below the other, with the piece's number; nothing is made continuous across them."""
+    if not pieces:
+        raise ValueError("nothing to concatenate")
+    out = None
+    for i, piece in enumerate(pieces):
+        piece = piece.withColumn("piece", F.lit(i))
+        out = piece if out is None else out.unionByName(piece, allowMissingColumns=True)
+    return out
+
+
+def total_counters(pieces: DataFrame, key, counters=COUNTERS, all_of=("heading_observed", "is_navigation_grade")) -> DataFrame:
+    """Of a row per piece: the sums of its counters, and whether what holds of a trajectory holds of all its pieces."""
+    return pieces.groupBy(*_key(key)).agg(*[F.sum(c).alias(c) for c in counters if c in pieces.columns], *[F.bool_and(c).alias(c) for c in all_of if c in pieces.columns])
+
+
+def run_summary(segments: DataFrame) -> DataFrame:
+    """One row over segment rows of (succeeded, aligned, compared, zero_rmse, best_rmse, position_drift, lag_s, lag_accepted): counts, and medians of the compared ones."""
+    ok = F.coalesce("succeeded", F.lit(False))
+    with_figures = ok & F.coalesce("compared", F.lit(False))
+    of = lambda c: F.median(F.when(with_figures & ~F.isnan(c), F.col(c)))
+    lag = F.when(with_figures & F.col("lag_accepted"), F.abs("lag_s"))
+    return segments.agg(
+        F.count("*").alias("processed"), F.count_if(ok).alias("propagated"), F.count_if(ok & F.col("aligned")).alias("with_alignment"), F.count_if(ok & ~F.col("aligned")).alias("without_alignment"), F.count_if(with_figures).alias("compared"),
+        of("zero_rmse").alias("median_zero_lag_speed_rmse_mps"), of("best_rmse").alias("median_best_lag_speed_rmse_mps"), of("position_drift").alias("median_position_drift_mps"), F.count(lag).alias("with_accepted_lag"), F.median(lag).alias("median_abs_lag_s"),
+    )

@@ -78,6 +78,11 @@ def rotation_sweep(spark: SparkSession, axis=(0.0, 0.0, 1.0), angles=SWEEP_DEG)
     return rows.select("angle_deg", *[c.alias(f"q_{n}") for c, n in zip(q, "xyzw", strict=True)])
 
 
+def retimed(stamps: DataFrame, **made: object) -> DataFrame:
+    """A trajectory made anew on other stamps (segment_id, i, t_s) from the arguments it was made with: readings and truth belong to the new times, where the disturbances below keep those of the old ones."""
+    return trajectory(stamps, **made)
+
+
 def with_duplicate_times(df: DataFrame, count: int, step: float) -> DataFrame:
     """The first `count` odd samples take the time of the sample before them."""
     return df.withColumn("t_s", F.when((F.col("i") % 2 == 1) & (F.col("i") < 2 * count), F.col("t_s") - step).otherwise(F.col("t_s")))

@@ -154,3 +154,25 @@ def load_segments(spark: SparkSession, path: str, stream: str | None = None) ->
     """Canonical rows written by sinks.write_canonical; the stream is a partition, so others aren't read."""
     df = spark.read.parquet(path)
     return df if stream is None else df.where(F.col("stream") == stream)
+
+
+def field_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, has): a map of what each file has, from a manifest {"per_file": [{"source_file": ..., "has_*": ...}]}; entries without a file's name are left out, and a flag that isn't given is null in the map."""
+    entries = spark.read.option("multiLine", "true").json(path).select(F.explode("per_file").alias("e")).select("e.*")
+    flags = [c for c in entries.columns if c.startswith("has_")]
+    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("boolean").alias("value")) for c in flags])) if flags else F.lit(None).cast("map<string,boolean>")
+    return entries.where("source_file IS NOT NULL").select("source_file", pairs.alias("has"))
+
+
+def optional(df: DataFrame, name: str, kind: str = "double"):
+    """A column as a type, null where the table hasn't got it."""
+    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+
+def conform(df: DataFrame, stream: str) -> DataFrame:
+    """Rows in the columns and types of a stream's canonical schema; what is absent is null, but flags are 0."""
+    cols = []
+    for f in S.canonical(stream):
+        c = optional(df, f.name, f.dataType.simpleString())
+        cols.append(F.coalesce(c, F.lit(0)).alias(f.name) if f.name == "quality_flags" else c)
+    return df.select(*cols)
