@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, evaluation, timeline
+from ..operators import asof, evaluation, runs, timeline
 from . import reports
 from .common import E_SQL, events, r, rounded, rs, table
 
@@ -119,3 +119,49 @@ SELECT k, {rs('d', 3)} AS rest_s, coalesce(d >= 3600 AND (a - a0) / 1000000.0::D
 def begins_at_rest(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).withColumn("calm", F.coalesce(F.col("x") < 60, F.lit(False)))
     return rounded(evaluation.begins_at_rest(rows, "k", ["t", "event_id"], "t", "calm", 3600.0, 432_000.0), "rest_s", digits=3)
+
+
+_PAIRS = """p AS (SELECT o_orderkey AS pair, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 97) * 1.5::DOUBLE END AS a0, (o_orderkey % 97) * 1.5::DOUBLE + o_custkey % 300 AS a1, (o_custkey % 31) * 2.0::DOUBLE AS b0, (o_custkey % 31) * 2.0::DOUBLE + o_orderkey % 280 AS b1,
+  (o_orderkey % 97) * 1.5::DOUBLE - (o_custkey % 31) * 2.0::DOUBLE + o_orderkey % 7 - 3 AS off, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_custkey % 101) / 100.0::DOUBLE END AS c, (o_orderkey % 13) / 50.0::DOUBLE AS m FROM orders)"""
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT *, ((a0 - b0) + (a1 - b1)) / 2 AS clock, (a1 - b1) - (a0 - b0) AS drift, coalesce(c >= 0.5 AND m >= 0.05, false) AS sig FROM p),
+e AS (SELECT *, CASE WHEN sig THEN off ELSE clock END AS est FROM q), v AS (SELECT *, CASE WHEN est IS NOT NULL AND a0 IS NOT NULL THEN greatest(0, least(a1 - est, b1) - greatest(a0 - est, b0)) END AS ov FROM e), f AS (SELECT *, clock IS NULL OR ov < 60 AS undecided FROM v)
+SELECT pair, {rs('clock')} AS clock_offset_s, {rs('drift')} AS drift_estimate_s, {rs('est')} AS estimated_offset_s, CASE WHEN clock IS NULL THEN NULL ELSE {rs('ov')} END AS overlap_s, CASE WHEN clock IS NULL THEN 'none' WHEN sig THEN 'speed_cross_correlation' ELSE 'clock_difference' END AS offset_method,
+  CASE WHEN undecided THEN 'none' WHEN sig AND c >= 0.8 THEN 'high' WHEN sig THEN 'medium' ELSE 'low' END AS offset_confidence, CASE WHEN undecided THEN 'UNRESOLVED' WHEN sig THEN 'CONFIRMED_BY_SIGNAL' ELSE 'CLOCK_ONLY' END AS status FROM f""")
+def sync_offset(spark: SparkSession, d: str) -> DataFrame:
+    """What clocks, correlation and margin of a pair decide, for made-up pairs that reach every branch."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    a0, b0 = (key % 97) * 1.5, (cust % 31) * 2.0
+    pairs = table(spark, d, "orders").select(
+        key.alias("pair"), F.when(key % 11 != 0, a0).alias("a0"), (a0 + cust % 300).alias("a1"), b0.alias("b0"), (b0 + key % 280).alias("b1"), (a0 - b0 + key % 7 - 3).alias("off"), F.when(key % 5 != 0, (cust % 101) / 100).alias("c"), ((key % 13) / 50).alias("m")
+    )
+    out = asof.synchronize(pairs, "off", "c", "m", ("a0", "a1", "b0", "b1"))
+    out = out.withColumn("overlap_s", F.when(F.col("clock_offset_s").isNotNull(), F.col("overlap_s")))
+    return rounded(out, "clock_offset_s", "drift_estimate_s", "estimated_offset_s", "overlap_s").select("pair", "clock_offset_s", "drift_estimate_s", "estimated_offset_s", "overlap_s", "offset_method", "offset_confidence", "status")
+
+
+@query(f"""WITH l AS (SELECT l_suppkey::VARCHAR AS source_file, CASE WHEN l_returnflag = 'R' THEN NULL ELSE ((l_linenumber * l_orderkey) % 40) / 20.0::DOUBLE END AS v FROM lineitem)
+SELECT source_file, count(*) AS n_rows, count(v) AS labelled_rows, {rs('count(v) / count(*)::DOUBLE')} AS coverage_fraction, {rs('avg(v)', 5)} AS mean_label_mps, {rs('max(v)', 5)} AS max_label_mps, {rs('count(*) FILTER (v < 0.5) / nullif(count(v), 0)::DOUBLE')} AS stationary_fraction FROM l GROUP BY source_file""")
+def label_coverage(spark: SparkSession, d: str) -> DataFrame:
+    v = F.when(F.col("l_returnflag") != "R", ((F.col("l_linenumber") * F.col("l_orderkey")) % 40) / 20.0)
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_file"), v.alias("ref_velocity_mps"), *[F.lit("").alias(c) for c in ("segment_id", "session_id", "label_source", "label_quality")], F.lit(0).alias("row_idx"))
+    out = runs.coverage(rows).drop("segment_id", "session_id", "label_source", "label_quality")
+    return rounded(rounded(out, "coverage_fraction", "stationary_fraction"), "mean_label_mps", "max_label_mps", digits=5)
+
+
+@query(f"""WITH {E_SQL}, v AS (SELECT k, event_id, t, x * 3 AS px, x - 5 AS py, sqrt((x / 10) ** 2 + (4 - x / 20) ** 2 + 0.25) AS v FROM e WHERE event_type = 'view' AND x IS NOT NULL AND NOT isnan(x)),
+o AS (SELECT *, sqrt((px - lag(px) OVER w) ** 2 + (py - lag(py) OVER w) ** 2) AS d, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY k ORDER BY t, event_id))
+SELECT k, count(*) AS samples, (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, {rs('arg_max(v, i)')} AS final_speed_mps, {rs('max(v)')} AS max_speed_mps, {rs('sqrt((arg_max(px, i) - arg_min(px, i)) ** 2 + (arg_max(py, i) - arg_min(py, i)) ** 2)', 5)} AS displacement_m, {rs('coalesce(sum(d), 0)', 4)} AS path_length_m FROM o GROUP BY k""")
+def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.trajectory_summary(_tracks(spark, d)[0], "k", ["t", "event_id"], "t")
+    return rounded(out, "final_speed_mps", "max_speed_mps").withColumns({"displacement_m": r("displacement_m", 5), "path_length_m": r("path_length_m", 4)})
+
+
+@query(f"""WITH s AS (SELECT o_orderkey % 3 > 0 AS ok, o_orderkey % 2 = 0 AS al, o_orderkey % 4 > 0 AS cmp, o_totalprice::DOUBLE AS z, o_custkey::DOUBLE AS lg, o_orderkey % 5 = 0 AS acc FROM orders)
+SELECT count(*) AS processed, count(*) FILTER (ok) AS propagated, count(*) FILTER (ok AND al) AS with_alignment, count(*) FILTER (ok AND NOT al) AS without_alignment, count(*) FILTER (ok AND cmp) AS compared, {rs('median(z) FILTER (ok AND cmp)', 4)} AS median_zero_lag_speed_rmse_mps,
+  {rs('median(z / 2) FILTER (ok AND cmp)', 4)} AS median_best_lag_speed_rmse_mps, {rs('median(lg * 2) FILTER (ok AND cmp)', 4)} AS median_position_drift_mps, count(*) FILTER (ok AND cmp AND acc) AS with_accepted_lag, {rs('median(lg) FILTER (ok AND cmp AND acc)', 4)} AS median_abs_lag_s FROM s""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    key, z, lag = F.col("o_orderkey"), F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")
+    rows = table(spark, d, "orders").select((key % 3 > 0).alias("succeeded"), (key % 2 == 0).alias("aligned"), (key % 4 > 0).alias("compared"), z.alias("zero_rmse"), (z / 2).alias("best_rmse"), (lag * 2).alias("position_drift"), (-lag).alias("lag_s"), (key % 5 == 0).alias("lag_accepted"))
+    return rounded(evaluation.run_summary(rows), "median_zero_lag_speed_rmse_mps", "median_best_lag_speed_rmse_mps", "median_position_drift_mps", "median_abs_lag_s", digits=4)
