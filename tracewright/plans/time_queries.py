@@ -41,10 +41,10 @@ def _segmented(spark: SparkSession, d: str) -> DataFrame:
 @query(_SEG + f"""
 , o AS (SELECT *, t - lag(t) OVER (PARTITION BY k, segment_no ORDER BY t, event_id) AS own FROM g)
 SELECT k, segment_no, count(*) AS n_rows, min(t) AS start_us, max(t) AS end_us, CASE WHEN segment_no = 0 THEN 'start' ELSE arg_min(reason, t) END AS reason, CASE WHEN segment_no > 0 THEN {rs('max(dt) FILTER (reason IS NOT NULL) / 1000000.0::DOUBLE')} END AS gap_before_s,
-       {rs('median(own) FILTER (own > 0) / 1000000.0::DOUBLE')} AS median_interval_s, {rs('1000000.0::DOUBLE / median(own) FILTER (own > 0)', 9)} AS rate_hz, (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, count(*) > 1 AND (max(t) - min(t)) / 1000000.0::DOUBLE < 5 AS short
+       {rs('median(own) FILTER (own > 0) / 1000000.0::DOUBLE', 7)} AS median_interval_s, {rs('1000000.0::DOUBLE / median(own) FILTER (own > 0)', 9)} AS rate_hz, (max(t) - min(t)) / 1000000.0::DOUBLE AS duration_s, count(*) > 1 AND (max(t) - min(t)) / 1000000.0::DOUBLE < 5 AS short
 FROM o GROUP BY k, segment_no""")
 def gap_segments(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(timeline.segment_records(_segmented(spark, d), "k", "t", ORDER), "gap_before_s", "median_interval_s").withColumn("rate_hz", r("rate_hz", 9))
+    return rounded(timeline.segment_records(_segmented(spark, d), "k", "t", ORDER), "gap_before_s").withColumns({"median_interval_s": r("median_interval_s", 7), "rate_hz": r("rate_hz", 9)})
 
 
 @query(f"""
