@@ -15,6 +15,7 @@ from .secret_scan import BASE, joined, scan_secrets
 from .sharding import shard
 from .token_files import tokenize
 from .url_filter import filter_urls
+from .vector_codes import PARTS, ROUNDS, SCALE, compress
 from .warc import archive
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -86,6 +87,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hexed = F.lower(F.hex("code"))
+    pairs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(hexed, 2 * k + 1, F.lit(2))), "")
+    return compress(table(spark, sf_dir, "embeddings")).select("vec_id", pairs.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_mixing"] = r"""
@@ -184,4 +191,35 @@ FROM (
   FROM u)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup)}
+
+
+def _codes_sql() -> str:
+    """The rounds of op13 one after the other: nearest entries, then the floors of their parts' means."""
+    near = """
+n{k} AS MATERIALIZED (
+  SELECT r, part, min(d * 16 + entry) AS best
+  FROM (SELECT v.r, v.part, c.entry, sum((v.x - c.y) * (v.x - c.y))::BIGINT AS d FROM v JOIN c{k} c USING (part, pos) GROUP BY ALL)
+  GROUP BY ALL)"""
+    move = """,
+m{k} AS (SELECT part, best % 16 AS entry, pos, floor(sum(x)::BIGINT / count(*))::BIGINT AS y FROM v JOIN n{k} USING (r, part) GROUP BY ALL),
+c{j} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.y, c.y) AS y FROM c{k} c LEFT JOIN m{k} m USING (part, entry, pos)),"""
+    rounds = "".join(near.format(k=k) + move.format(k=k, j=k + 1) for k in range(ROUNDS))
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding, len(embedding) // {PARTS} AS per
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT r, (p - 1) // per AS part, (p - 1) % per AS pos, floor({SCALE} * embedding[p]::DOUBLE)::BIGINT AS x
+  FROM (SELECT r, embedding, per, unnest(range(1, len(embedding) + 1)) AS p FROM e)),
+c0 AS MATERIALIZED (SELECT part, r AS entry, pos, x AS y FROM v WHERE r < 16),{rounds}{near.format(k=ROUNDS)},
+books AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{ROUNDS}),
+codes AS (
+  SELECT r, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM n{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM e JOIN codes USING (r) CROSS JOIN books
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup, op13_vector_codes)}
