@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chat, read_chat, text_parts
 from .common import scratch, table
+from .conversation_repair import audit_conversations, damage
 from .decontaminate import find_contamination, is_contaminated, n_hit
 from .mixing import mix
 from .near_dedup import link
@@ -87,6 +88,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return audit_conversations(damage(turns), turns)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.lower(F.hex("code"))
     pairs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(hexed, 2 * k + 1, F.lit(2))), "")
@@ -222,4 +228,4 @@ FROM e JOIN codes USING (r) CROSS JOIN books
 
 SQL["op13_vector_codes"] = _codes_sql()
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup, op11_conversation_repair, op13_vector_codes)}
