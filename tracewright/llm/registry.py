@@ -14,6 +14,7 @@ from .near_dedup import link
 from .quality_rules import judge
 from .secret_scan import BASE, joined, scan_secrets
 from .sharding import shard
+from .suffix_dedup import repeated_spans
 from .token_files import tokenize
 from .url_filter import filter_urls
 from .vector_codes import PARTS, ROUNDS, SCALE, compress
@@ -93,6 +94,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_conversations(damage(turns), turns)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"]), F.lit(0).cast("long"))
+    n_spans = F.coalesce(F.size("spans"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.when(F.col("spans").isNull(), 0).otherwise(n_spans).cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.col("text").cast("binary")), 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.lower(F.hex("code"))
     pairs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(hexed, 2 * k + 1, F.lit(2))), "")
@@ -228,4 +236,4 @@ FROM e JOIN codes USING (r) CROSS JOIN books
 
 SQL["op13_vector_codes"] = _codes_sql()
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup, op11_conversation_repair, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_sharding, op4_warc, op5_token_files, op6_decontamination, op7_chat_format, op8_url_filters, op9_secret_scan, op10_near_dedup, op11_conversation_repair, op12_suffix_dedup, op13_vector_codes)}
