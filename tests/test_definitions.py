@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright import params as P
-from tracewright.operators import asof, evaluation, frames, ordered, quality, scans, timeline
+from tracewright.operators import alignment, asof, evaluation, frames, ordered, quality, scans, timeline
 from tracewright.operators import generators as GN
 
 
@@ -150,14 +150,14 @@ def test_alignment_figures():
     along = np.where(t > 20, 2.0 * np.sin((t - 20) * 0.5) * np.cos((t - 20) * 0.13), 0.0)
     speed = 20 + np.cumsum(along) * 0.05
     accel = np.stack([np.zeros_like(t), along, np.full_like(t, P.STANDARD_GRAVITY_MPS2)], axis=1)  # forward is the phone's y
-    r = scans.align(t, accel, speed)
+    r = alignment.estimate(t, accel, speed)
     assert r["status"] == "SUCCESS" and r["rotation"].round(2).tolist() == [[0, 1, 0], [-1, 0, 0], [0, 0, 1]] and r["gravity_residual_deg"] == pytest.approx(0, abs=1e-6)
     assert abs(r["lag_s"]) <= 0.2 and r["margin"] > P.MIN_LAG_PEAK_MARGIN and r["disagreement_rad"] < 0.05 and 0.2 < r["confidence"] <= 1
-    late = scans.align(t, accel, np.interp(t - 3.0, t, speed))  # the speed comes three seconds late, so it has to be read three seconds on
+    late = alignment.estimate(t, accel, np.interp(t - 3.0, t, speed))  # the speed comes three seconds late, so it has to be read three seconds on
     assert late["lag_s"] == pytest.approx(3.0, abs=0.21) and late["status"] == "SUCCESS"
-    assert scans.align(t, accel, np.full_like(t, 20.0))["status"] == "INSUFFICIENT_MOTION"
-    assert scans.align(t, accel * 2, speed)["status"] == "LOW_GRAVITY_CONFIDENCE" and scans.align(t, accel, np.full_like(t, np.nan))["rotation"] is None
-    assert scans.align(t, accel, speed, valid=np.zeros(len(t), bool))["status"] == "INSUFFICIENT_MOTION"
+    assert alignment.estimate(t, accel, np.full_like(t, 20.0))["status"] == "INSUFFICIENT_MOTION"
+    assert alignment.estimate(t, accel * 2, speed)["status"] == "LOW_GRAVITY_CONFIDENCE" and alignment.estimate(t, accel, np.full_like(t, np.nan))["rotation"] is None
+    assert alignment.estimate(t, accel, speed, valid=np.zeros(len(t), bool))["status"] == "INSUFFICIENT_MOTION"
 
 
 def test_residual_lag(spark):

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import generators as GN
 from tracewright.operators import scans
-from tracewright.streaming.calibration import calibrate
+from tracewright.streaming.calibration import PROVIDER, calibrate, calibrate_batch, final
 from tracewright.streaming.propagation import propagate
 
 
@@ -33,16 +35,73 @@ def test_stream_equals_batch(spark, tmp_path):
         assert all(r[c] == pytest.approx(batch[round(r.t_s, 6)][c], abs=1e-12) for c in ("v_x", "v_y", "p_x", "p_y", "p_z"))
 
 
-def test_calibration_grows(spark, tmp_path):
-    rows = GN.drive(spark, "d", (0.0, 0.0, float(np.sin(0.3)), float(np.cos(0.3))), sigma=0.01).withColumnRenamed("segment_id", "device")
-    got = sorted(run(spark, rows, tmp_path, calibrate, "update", "device"), key=lambda r: r.n)
-    assert [r.n for r in got] == sorted({r.n for r in got}) and got[-1].n == 2801 and got[-1].status == "SUCCESS"
-    batch = scans.alignment(rows, "device").first()
-    assert got[-1].rotation == pytest.approx(batch.rotation, abs=1e-12)
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    yield
+    spark.conf.set(name, before)
+
+
+def drive(spark, **more):
+    rows = GN.drive(spark, "d", (0.0, 0.0, float(np.sin(0.3)), float(np.cos(0.3))), sigma=0.01, **more).withColumnRenamed("segment_id", "device")
+    rows = rows.withColumn("speed", F.when(F.col("i") % 50 == 7, float("nan")).otherwise(F.col("speed"))).withColumn("accel_x", F.when(F.col("i") == 9, float("nan")).otherwise(F.col("accel_x")))
+    return rows.withColumn("finish", F.lit(False))
+
+
+def finish_at(rows, i):
+    last = rows.limit(1).withColumns({"i": F.lit(i).cast(rows.schema["i"].dataType), "finish": F.lit(True)})
+    return rows.unionByName(last)
+
+
+def test_calibration_equals_the_batch(spark, tmp_path, rocks):
+    rows = drive(spark)
+    got = run(spark, finish_at(rows, 2801), tmp_path, calibrate, "update", "device")
+    assert [r.finished for r in got] == [False, False, True] and got[0].status == "COLLECTING" and "acceleration while moving" not in got[1].waiting_for
+    r, batch = got[-1], calibrate_batch(rows).first()
+    assert (r.n, r.rejected, r.status) == (2800, 1, "SUCCESS") and batch.n == 2800 and r.gravity_method == batch.gravity_method == "gravity_channel"
+    for c in ("rotation", "confidence", "correlation", "lag_s"):
+        assert r[c] == pytest.approx(batch[c], abs=1e-12)
+
+
+def test_calibration_ends_once(spark, tmp_path, rocks):
+    """A second finish, samples after the end, and a restart from the checkpoint."""
+    rows = drive(spark, drive_s=60.0)
+    head, late = finish_at(rows.where("i < 1500"), 1500), finish_at(rows.where("i < 40"), 40)
+    schema, out = rows.schema, []
+
+    def go(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = calibrate(src).writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    go(rows.where("i < 300"))
+    go(head.where("i >= 300"))
+    go(late)
+    a, b, c = out
+    assert not a.finished and a.waiting_for and b.finished and c.finished and b.n == c.n == 1499 and (b.rejected, c.rejected) == (1, 41)
+    assert b.rotation == c.rotation and b.confidence == c.confidence and b.status == c.status
+    assert b.rotation == pytest.approx(calibrate_batch(rows.where("i < 1500")).first().rotation, abs=1e-12)
+
+
+def test_an_idle_session_ends_by_its_timer(spark, tmp_path, rocks):
+    rows = drive(spark, rest_s=4.0, drive_s=15.0).drop("finish")
+    out = []
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = calibrate(src, idle_s=1.0).writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    until = time.time() + 60
+    while time.time() < until and not any(r.finished for r in out):
+        time.sleep(0.5)
+    time.sleep(3)
+    q.stop()
+    assert [r.finished for r in out] == [False, True] and out[0].waiting_for == ["time"]
+    assert out[1].n == 380 and out[1].rotation is None and out[1].status in ("LOW_HEADING_CONFIDENCE", "MAG_DISTURBED")
 
 
-def test_short_recordings_give_no_heading(spark, tmp_path):
-    rows = GN.drive(spark, "d", rest_s=4.0, drive_s=15.0).withColumnRenamed("segment_id", "device")
-    rows = rows.withColumn("speed", F.when(F.col("i") == 7, float("nan")).otherwise(F.col("speed"))).withColumn("accel_x", F.when(F.col("i") == 9, float("nan")).otherwise(F.col("accel_x")))
-    (r,) = run(spark, rows, tmp_path, calibrate, "update", "device", 1)
-    assert (r.n, r.rejected) == (380, 1) and r.rotation is None and r.status in ("LOW_HEADING_CONFIDENCE", "INSUFFICIENT_MOTION")
+def test_calibration_keeps_the_first_samples(spark, tmp_path, rocks):
+    got = run(spark, finish_at(drive(spark, drive_s=10.0), 601), tmp_path, lambda df: calibrate(df, retain=100), "update", "device")
+    assert (got[-1].n, got[-1].rejected) == (100, 501) and got[-1].finished
+    assert final(np.zeros((0, 14)))["status"] == "FAILED"

@@ -6,15 +6,13 @@ where it isn't valid. Both are read in one pass: a union and two ordered windows
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import geodesy as G
-from . import asof, frames, ordered, scans
+from . import asof, frames, lags, ordered
 from .timeline import US, _key
 
 ERRORS = ("speed_error", "position_error", "horizontal_error", "heading_error_deg")
@@ -94,51 +92,10 @@ def attitude_confidence(gravity: Column, field_weight: Column, has_gyro: Column)
     return F.when(trusted, F.least(F.lit(1.0), base * (0.6 + 0.4 * field_weight))).otherwise(F.least(F.lit(0.5), base))
 
 
-def _gradient(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Rate of the known values, of rows at one time the first; unknown elsewhere, and everywhere below three of them."""
-    out = np.full(len(t), np.nan)
-    at = np.flatnonzero(np.isfinite(x) & np.isfinite(t))
-    at = at[np.concatenate([[True], np.diff(t[at]) > 0])] if len(at) else at
-    if len(at) >= 3:
-        out[at] = np.gradient(x[at], t[at])
-    return out
-
-
-def best_lag(t: np.ndarray, speed: np.ndarray, ref_t: np.ndarray, ref_speed: np.ndarray, max_lag_s: float = P.MAX_LAG_SEARCH_S, step_s: float = P.LAG_SEARCH_STEP_S) -> dict:
-    """The shift of a reference at which the rate of its speed follows that of a track best. Rates, since a drifting speed is alike at every lag. It counts if its peak is distinct, high enough and a step away from zero; else the lag is 0."""
-    smooth = lambda x: scans._trailing_mean(_gradient(x, t), t, P.SMOOTHING_WINDOW_S)
-    own, known = smooth(speed), np.isfinite(ref_speed) & np.isfinite(ref_t)
-
-    def at(lag: float) -> float:
-        if known.sum() < 2:
-            return float("nan")
-        other = smooth(np.interp(t + lag, ref_t[known], ref_speed[known], left=np.nan, right=np.nan))
-        return scans._pearson(own, other) if (np.isfinite(own) & np.isfinite(other)).sum() >= 10 else float("nan")
-
-    k, zero = int(max_lag_s / step_s), at(0.0)
-    scores = np.array([at(j * step_s) for j in range(-k, k + 1)])
-    if not np.isfinite(scores).any():
-        return {"lag_s": 0.0, "correlation": zero, "zero_correlation": zero, "margin": float("nan"), "accepted": False, "at_edge": False}
-    best = int(np.nanargmax(scores))
-    lag, margin = (best - k) * step_s, float(scores[best] - np.nanmedian(scores))
-    good = bool(margin >= P.MIN_LAG_PEAK_MARGIN and scores[best] >= P.MIN_LAG_CORRELATION and abs(lag) >= step_s)
-    return {"lag_s": lag if good else 0.0, "correlation": float(scores[best]) if good else zero, "zero_correlation": zero, "margin": margin, "accepted": good, "at_edge": good and abs(lag) >= max_lag_s - step_s}
-
-
-def residual_lag(track: DataFrame, reference: DataFrame, key: str, t: str) -> DataFrame:
-    """A row per key of a track with best_lag's figures. A recording's track and reference meet in one group, as the smoothing after each shift runs over the whole of it."""
-    own = track.where(F.col(t).isNotNull()).select(key, (F.col(t) / US).alias("__t"), F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2).alias("__v"))
-    ref = reference.where(F.col(t).isNotNull() & F.col("speed").isNotNull()).select(key, (F.col(t) / US).alias("__t"), F.col("speed").cast("double").alias("__v"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame(columns=[key, "lag_s", "correlation", "zero_correlation", "margin", "accepted", "at_edge"])
-        a, b = a.sort_values("__t", kind="stable"), b.sort_values("__t", kind="stable")
-        found = best_lag(a["__t"].to_numpy(float), a["__v"].to_numpy(float), b["__t"].to_numpy(float), b["__v"].to_numpy(float))
-        return pd.DataFrame([{key: a[key].iloc[0], **found}])
-
-    kind = dict(track.dtypes)[key]
-    return own.groupBy(key).cogroup(ref.groupBy(key)).applyInPandas(run, f"{key} {kind}, lag_s double, correlation double, zero_correlation double, margin double, accepted boolean, at_edge boolean")
+def residual_lag(track: DataFrame, reference: DataFrame, key, t: str) -> DataFrame:
+    """A row per key of a track with the figures of lags.residual_lag, the track's speed being that of vx, vy, vz."""
+    v = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)
+    return lags.residual_lag(track.select(*_key(key), t, v.alias("speed")), reference, key, t)
 
 
 def reference_track(rows: DataFrame, key, speed: Column, position: tuple[Column, Column, Column], fresh: Column, headings: list[str], order: list[str], t: str) -> DataFrame:

@@ -39,6 +39,49 @@ def gravity_direction(df: DataFrame, key, prefix: str, where: Column | None = No
     return out.withColumn("confidence", F.when(F.col("n") >= least, consistency * magnitude * (0.5 + 0.5 * support)).otherwise(0.0))
 
 
+def gravity_estimate(df: DataFrame, key, accel: str, channel: str | None = None, gyro: str | None = None, least: int = P.MIN_GRAVITY_SAMPLES) -> DataFrame:
+    """A row per key: up (unit, as felt at rest), magnitude (mean norm), spread_rad, gravity_n, candidates, gravity_confidence and gravity_method.
+
+    The gravity channel counts first, where `least` of its rows or more are finite and not zero (method gravity_channel); else the acceleration's mean over rows of low dynamics, of slow rotation where the key has
+    any rates (accel_low_dynamic); else there is no direction (unavailable) and no confidence. Both means come from one pass; the spread about the chosen one takes a second.
+    """
+    k, a = _key(key), V.vector(accel)
+    c = V.vector(channel) if channel else None
+    g = V.vector(gyro) if gyro else None
+    by_channel = V.all_finite(*c) & (V.norm(c) > P.MIN_VECTOR_NORM) if c else F.lit(False)
+    has_rate = V.all_finite(*g) if g else F.lit(False)
+    still = V.all_finite(*a) & (F.abs(V.norm(a) - P.STANDARD_GRAVITY_MPS2) <= P.LOW_DYNAMIC_ACCEL_TOLERANCE_MPS2)
+    slow = still & has_rate & (V.norm(g) <= P.LOW_DYNAMIC_GYRO_TOLERANCE_RPS) if g else F.lit(False)
+    zeros = tuple(F.lit(None).cast("double") for _ in "xyz")
+    rows = df.select(
+        *k, F.coalesce(by_channel, F.lit(False)).alias("c"), F.coalesce(still, F.lit(False)).alias("s"), F.coalesce(slow, F.lit(False)).alias("w"), has_rate.alias("r"),
+        *[x.alias(f"c{n}") for x, n in zip(c or zeros, "xyz", strict=True)], *[x.alias(f"a{n}") for x, n in zip(a, "xyz", strict=True)],
+    )
+    mean = lambda m, p: [F.avg(F.when(F.col(m), F.col(f"{p}{n}"))).alias(f"{m}{n}_") for n in "xyz"]
+    sums = rows.groupBy(*k).agg(F.count("*").alias("candidates"), *[F.count_if(m).alias(f"n_{m}") for m in "cswr"], *mean("c", "c"), *mean("s", "a"), *mean("w", "a"))
+    use = F.when(F.col("n_c") >= least, "c").when(F.col("n_r") > 0, "w").otherwise("s")
+    sums = sums.withColumn("use", use)
+    pick = lambda f: F.when(F.col("use") == "c", f("c")).when(F.col("use") == "w", f("w")).otherwise(f("s"))
+    sums = sums.select(*k, "candidates", "use", pick(lambda m: F.col(f"n_{m}")).alias("gravity_n"), *[pick(lambda m, n=n: F.col(f"{m}{n}_")).alias(n) for n in "xyz"])
+    up = V.unit(tuple(F.col(n) for n in "xyz"))
+    enough = F.col("gravity_n") >= least
+    sums = sums.select(*k, "candidates", "use", "gravity_n", *[F.when(enough, u).alias(f"up_{n}") for u, n in zip(up, "xyz", strict=True)])
+    met = rows.join(sums, k)
+    chosen = F.when(F.col("use") == "c", F.col("c")).when(F.col("use") == "w", F.col("w")).otherwise(F.col("s"))
+    own = [F.when(F.col("use") == "c", F.col(f"c{n}")).otherwise(F.col(f"a{n}")).alias(f"own_{n}") for n in "xyz"]
+    met = met.where(chosen).select(*k, *own, "up_x", "up_y", "up_z")
+    met = met.withColumn("size", V.norm(V.vector("own")))  # a column of its own, and so is the cosine
+    met = met.withColumn("cosine", V.dot(V.vector("own"), V.vector("up")) / F.col("size"))
+    off = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine"))))
+    spread = met.groupBy(*k).agg(F.sqrt(F.avg(off * off)).alias("spread_rad"), F.avg("size").alias("magnitude"))
+    out = sums.join(spread, k, "left")
+    have = F.col("up_x").isNotNull()
+    consistency, size = _clamp(1.0 - F.col("spread_rad") / P.MAX_DIRECTION_SPREAD_RAD), _clamp(1.0 - F.abs(F.col("magnitude") - P.STANDARD_GRAVITY_MPS2) / (0.2 * P.STANDARD_GRAVITY_MPS2))
+    confidence = F.when(have, consistency * size * (0.5 + 0.5 * _clamp(F.col("gravity_n") / (10.0 * least)))).otherwise(0.0)
+    method = F.when(~have, "unavailable").when(F.col("use") == "c", "gravity_channel").otherwise("accel_low_dynamic")
+    return out.select(*k, "up_x", "up_y", "up_z", F.when(have, F.col("magnitude")).alias("magnitude"), F.when(have, F.col("spread_rad")).alias("spread_rad"), "gravity_n", "candidates", confidence.alias("gravity_confidence"), method.alias("gravity_method"))
+
+
 def magnetometer(df: DataFrame, key, order: list[str], t: str, prefix: str, down: str | None = None) -> DataFrame:
     """A row per key: share of plausible fields, variation, the direction's greatest rate, dip range, issue bits and weight.
 

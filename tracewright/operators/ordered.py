@@ -59,26 +59,41 @@ def update_intervals(df: DataFrame, key, order: list[str], t: str, values: list[
 # Trailing windows of time
 
 
-def trailing(df: DataFrame, key, order: list[str], t: str, value: str, seconds: float, out: str = "trailing") -> DataFrame:
-    """Adds out_mean, out_std and out_n of the rows from t - seconds to this row, by position.
+def trailing_many(df: DataFrame, key, order: list[str], t: str, values: dict[str, str], seconds: float) -> DataFrame:
+    """Adds, for each out: value of values, out_n, out_mean and out_std of the rows from t - seconds to this row, by position.
 
-    A range frame takes in later rows of the same time too; their part is subtracted, so that the window ends at the row itself.
-    Times are integer microseconds, so the frame's border is exact. Null values are skipped; the deviation is the population's and needs two.
+    Time is cut into blocks as long as the window, so a window is the rows of its block up to its own and the last rows of the block before. Each row goes to its block and, as a tail, to the next one, where it counts for
+    rows up to its time + seconds: both parts are running sums, the cost doesn't depend on the window's length, and a long recording is spread over its blocks. Values are taken from their block's mean
+    first, so a spread that is tiny against the values isn't lost. Times are integer microseconds, so the border is exact. Null values are skipped, a row without time has no window; the deviation is the population's and needs two.
     """
-    k = _key(key)
-    frame = W.partitionBy(*k).orderBy(t).rangeBetween(-int(round(seconds * US)), 0)
-    later = W.partitionBy(*k, t).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    x = F.col(value)
+    k, us = _key(key), int(round(seconds * US))
+    payload = [c for c in df.columns if c not in k]
+    tail, at = F.col("__tail"), F.col(t).cast("bigint")
+    twice = df.withColumn("__tail", F.explode(F.array(F.lit(False), F.lit(True)))).where(~tail | F.col(t).isNotNull())
+    block = F.floor(at / us).cast("bigint") + tail.cast("int")
+    held = [F.when(F.col(t).isNotNull(), F.col(v).cast("double")).alias(f"__x_{out}") for out, v in values.items()]
+    rows = twice.select(*k, block.alias("__b"), (at + F.when(tail, us).otherwise(0)).alias("__e"), "__tail", *[F.when(~tail, F.col(c)).alias(c) for c in payload], *held)
+    each = W.partitionBy(*k, "__b")
+    heads = each.orderBy("__tail", t, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    tails = each.orderBy(F.col("__e").desc(), F.col("__tail").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    for out in values:
+        x = F.col(f"__x_{out}")
+        rows = rows.withColumn(f"__c_{out}", F.avg(x).over(each)).withColumn(f"__x_{out}", x - F.col(f"__c_{out}"))
+    both = lambda of, c: F.coalesce(of(F.when(~tail, c)).over(heads), F.lit(0)) + F.coalesce(of(F.when(tail, c)).over(tails), F.lit(0))
+    for out in values:
+        x = F.col(f"__x_{out}")
+        rows = rows.withColumns({f"{out}_n": both(F.count, x), f"__s_{out}": both(F.sum, x), f"__q_{out}": both(F.sum, x * x)})
+    rows = rows.where("NOT __tail")
+    for out in values:
+        n, off = F.col(f"{out}_n"), F.col(f"__s_{out}") / F.col(f"{out}_n")
+        rows = rows.withColumn(f"{out}_mean", F.when(n > 0, F.col(f"__c_{out}") + off))
+        rows = rows.withColumn(f"{out}_std", F.when(n >= 2, F.sqrt(F.greatest(F.col(f"__q_{out}") / n - off * off, F.lit(0.0)))))
+    return rows.select(*df.columns, *[f"{out}_{s}" for out in values for s in ("n", "mean", "std")])
 
-    def upto(c: Column) -> Column:
-        return F.sum(c).over(frame) - F.coalesce(F.sum(c).over(later), F.lit(0.0))
 
-    n = F.count(x).over(frame) - F.count(x).over(later)
-    rows = df.withColumn("__n", n).withColumn("__s", upto(x)).withColumn("__q", upto(x * x))
-    mean = F.col("__s") / F.col("__n")
-    rows = rows.withColumn(f"{out}_n", F.col("__n")).withColumn(f"{out}_mean", F.when(F.col("__n") > 0, mean))
-    rows = rows.withColumn(f"{out}_std", F.when(F.col("__n") >= 2, F.sqrt(F.greatest(F.col("__q") / F.col("__n") - mean * mean, F.lit(0.0)))))
-    return rows.drop("__n", "__s", "__q")
+def trailing(df: DataFrame, key, order: list[str], t: str, value: str, seconds: float, out: str = "trailing") -> DataFrame:
+    """Adds out_n, out_mean and out_std of the rows from t - seconds to this row, by position."""
+    return trailing_many(df, key, order, t, {out: value}, seconds)
 
 
 # Derivatives and integrals
@@ -176,10 +191,9 @@ def rest_seconds(df: DataFrame, key, order: list[str], t: str, mask: str) -> Dat
 
 def stationary(df: DataFrame, key, order: list[str], t: str, force_norm: str, rate_norm: str | None = None, seconds: float = 2.0, gravity: float = P.STANDARD_GRAVITY_MPS2) -> DataFrame:
     """Adds stationary: over the trailing window the force varies little and averages g, and the rotation, where known, is slow."""
-    rows = trailing(df, key, order, t, force_norm, seconds, "__f")
+    rows = trailing_many(df, key, order, t, {"__f": force_norm} | ({"__g": rate_norm} if rate_norm else {}), seconds)
     still = (F.col("__f_std") <= P.MAX_STATIONARY_ACCEL_STD_MPS2) & (F.abs(F.col("__f_mean") - gravity) <= P.MAX_STATIONARY_GRAVITY_ERROR_MPS2)
     if rate_norm:
-        rows = trailing(rows, key, order, t, rate_norm, seconds, "__g")
         still = still & F.coalesce(F.col("__g_mean") <= P.MAX_STATIONARY_GYRO_RPS, F.lit(True))
     return rows.withColumn("stationary", F.coalesce(still, F.lit(False))).drop(*[f"__{a}_{b}" for a in "fg" for b in ("n", "mean", "std")])
 

@@ -1,4 +1,4 @@
-"""Recurrences over the samples of a segment: attitude filter, strapdown propagation, mounting alignment.
+"""Recurrences over the samples of a segment: attitude filter and strapdown propagation.
 
 They can't be written as windows: each attitude is corrected by an amount that depends on the attitude before. So a segment is one group of applyInPandas
 and a numpy loop; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
@@ -188,152 +188,7 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-# Mounting alignment
-
-
-def _trailing_mean(x: np.ndarray, t: np.ndarray, seconds: float) -> np.ndarray:
-    """Mean of the finite rows from t - seconds to the row, by position."""
-    start = np.searchsorted(t, t - seconds - 1e-12, side="left")
-    ok = np.isfinite(x if x.ndim == 1 else x.sum(axis=1))
-    filled = np.where(ok[:, None] if x.ndim > 1 else ok, x, 0.0)
-    zero = np.zeros((1, *x.shape[1:]))
-    total, count = np.concatenate([zero, np.cumsum(filled, axis=0)]), np.concatenate([[0], np.cumsum(ok)])
-    i = np.arange(1, len(t) + 1)
-    n = (count[i] - count[start]).astype(float)
-    n[n == 0] = np.nan
-    return (total[i] - total[start]) / (n[:, None] if x.ndim > 1 else n)
-
-
-def _pearson(a: np.ndarray, b: np.ndarray) -> float:
-    ok = np.isfinite(a) & np.isfinite(b)
-    a, b = a[ok], b[ok]
-    if len(a) < 2 or a.std() < 1e-12 or b.std() < 1e-12:
-        return float("nan")
-    return float(np.corrcoef(a, b)[0, 1])
-
-
-def _rate(speed: np.ndarray, t: np.ndarray) -> np.ndarray:
-    out = np.full(len(t), np.nan)
-    span = t[2:] - t[:-2]
-    good = span > 0
-    out[1:-1][good] = (speed[2:] - speed[:-2])[good] / span[good]
-    return out
-
-
-def _gravity(accel: np.ndarray) -> tuple[np.ndarray | None, float, float]:
-    """Up as felt near rest, how far it is trusted (frames.gravity_direction's product), and the mean pull along it."""
-    norms = np.linalg.norm(accel, axis=1)
-    calm = accel[np.abs(norms - P.STANDARD_GRAVITY_MPS2) <= P.LOW_DYNAMIC_ACCEL_TOLERANCE_MPS2]
-    if len(calm) < P.MIN_GRAVITY_SAMPLES or (up := _unit(calm.mean(axis=0))) is None:
-        return None, 0.0, float("nan")
-    size = np.linalg.norm(calm, axis=1)
-    spread = np.sqrt(np.mean(np.arccos(np.clip(calm @ up / size, -1.0, 1.0)) ** 2))
-    clamp = lambda x: float(min(1.0, max(0.0, x)))
-    trust = clamp(1 - spread / P.MAX_DIRECTION_SPREAD_RAD) * clamp(1 - abs(size.mean() - P.STANDARD_GRAVITY_MPS2) / (0.2 * P.STANDARD_GRAVITY_MPS2)) * (0.5 + 0.5 * clamp(len(calm) / (10.0 * P.MIN_GRAVITY_SAMPLES)))
-    return up, trust, float(calm.mean(axis=0) @ up)
-
-
-class Heading:
-    """Horizontal acceleration against the rate of a speed, both smoothed, for one segment: which way is forward, at which lag."""
-
-    def __init__(self, t: np.ndarray, linear: np.ndarray, up: np.ndarray, speed: np.ndarray, valid: np.ndarray | None = None):
-        self.t, self.up = t, up
-        self.h = _trailing_mean(linear - np.outer(linear @ up, up), t, P.SMOOTHING_WINDOW_S)
-        self.s = _trailing_mean(_rate(speed, t), t, P.SMOOTHING_WINDOW_S)
-        with np.errstate(invalid="ignore"):
-            self.base = np.isfinite(self.h).all(axis=1) & np.isfinite(speed) & (speed >= P.MIN_HEADING_SPEED_MPS)
-        if valid is not None:
-            self.base &= valid
-
-    def shifted(self, lag: float) -> np.ndarray:
-        if lag == 0:
-            return self.s
-        ok = np.isfinite(self.s)
-        return np.interp(self.t + lag, self.t[ok], self.s[ok], left=np.nan, right=np.nan) if ok.sum() >= 2 else np.full(len(self.t), np.nan)
-
-    def at(self, lag: float) -> tuple[np.ndarray | None, float, np.ndarray]:
-        """Direction, correlation and the rows that count at a lag."""
-        s = self.shifted(lag)
-        with np.errstate(invalid="ignore"):
-            use = self.base & np.isfinite(s) & (np.abs(s) >= P.MIN_LONGITUDINAL_ACCEL_MPS2)
-        f = _unit(s[use] @ self.h[use]) if use.sum() >= P.MIN_FORWARD_SAMPLES else None
-        f = None if f is None else _unit(f - (f @ self.up) * self.up)
-        return f, float("nan") if f is None else _pearson(self.h[use] @ f, s[use]), use
-
-    def search(self, max_lag: float) -> tuple[float, float]:
-        """(lag, margin over the median of all lags); no lag where the peak isn't distinct. Of equal peaks the first."""
-        k = int(max_lag / P.LAG_SEARCH_STEP_S)
-        scores = np.array([self.at(j * P.LAG_SEARCH_STEP_S)[1] for j in range(-k, k + 1)])
-        if not np.isfinite(scores).any():
-            return 0.0, float("nan")
-        best = int(np.nanargmax(scores))
-        margin = float(scores[best] - np.nanmedian(scores))
-        return ((best - k) * P.LAG_SEARCH_STEP_S if margin >= P.MIN_LAG_PEAK_MARGIN else 0.0), margin
-
-    def halves(self, lag: float, use: np.ndarray) -> float:
-        """Angle between the directions of the first and the second half of the rows that count; not a number where they are too few."""
-        h, s, half = self.h[use], self.shifted(lag)[use], int(use.sum()) // 2
-        if half < P.MIN_FORWARD_SAMPLES // 2:
-            return float("nan")
-        one, two = _unit(s[:half] @ h[:half]), _unit(s[half:] @ h[half:])
-        return float("nan") if one is None or two is None else float(np.arccos(np.clip(one @ two, -1.0, 1.0)))
-
-
-MIN_GRAVITY_CONFIDENCE = 0.2
-
-
-def align(t: np.ndarray, accel: np.ndarray, speed: np.ndarray, max_lag: float = P.MAX_LAG_SEARCH_S, valid: np.ndarray | None = None) -> dict:
-    """Mounting rotation (vehicle from phone) of a segment: up from gravity near rest, forward from how horizontal acceleration follows the rate of speed, over a search of lags.
-
-    status: LOW_GRAVITY_CONFIDENCE, INSUFFICIENT_MOTION, LOW_HEADING_CONFIDENCE or SUCCESS; a rotation is given in the last case only. The confidence is gravity's times the heading's times how well gravity
-    ends up along the vehicle's vertical.
-    """
-    nan = float("nan")
-    out = {"status": "LOW_GRAVITY_CONFIDENCE", "rotation": None, "correlation": nan, "lag_s": nan, "confidence": 0.0, "n": int(len(t)), "margin": nan, "disagreement_rad": nan, "dynamic_n": 0, "gravity_residual_deg": nan}
-    up, trust, pull = _gravity(accel)
-    if up is None or trust < MIN_GRAVITY_CONFIDENCE:
-        return out
-    out["status"] = "INSUFFICIENT_MOTION"
-    if len(t) < P.MIN_FORWARD_SAMPLES or not np.isfinite(speed).any():
-        return out
-    heading = Heading(t, accel - up * pull, up, speed, valid)
-    lag, margin = heading.search(max_lag)
-    f, c, use = heading.at(lag)
-    out |= {"lag_s": lag, "margin": margin, "dynamic_n": int(use.sum()), "correlation": c}
-    if use.sum() < P.MIN_FORWARD_SAMPLES:
-        return out
-    out["status"] = "LOW_HEADING_CONFIDENCE"
-    if f is None or not np.isfinite(c):
-        return out
-    gap = heading.halves(lag, use)
-    strength = min(1.0, max(0.0, (c - P.MIN_FORWARD_CORRELATION) / (1 - P.MIN_FORWARD_CORRELATION)))
-    agreement = 0.5 if np.isnan(gap) else max(0.0, 1 - gap / P.MAX_SPLIT_HALF_DISAGREEMENT_RAD)
-    forward = strength * (0.4 + 0.6 * min(1.0, use.sum() / (5.0 * P.MIN_FORWARD_SAMPLES))) * (0.3 + 0.7 * agreement)
-    out["disagreement_rad"] = gap
-    if forward <= 0:
-        return out
-    r = np.array([f, np.cross(up, f), up])
-    residual = float(np.degrees(np.arccos(np.clip((r @ up)[2], -1.0, 1.0))))
-    out |= {"gravity_residual_deg": residual, "confidence": float(trust * forward * max(0.0, 1 - residual / P.MAX_GRAVITY_RESIDUAL_DEG))}
-    if residual <= P.MAX_GRAVITY_RESIDUAL_DEG:
-        out |= {"status": "SUCCESS", "rotation": r}
-    return out
-
-
-ALIGNMENT = "status string, correlation double, lag_s double, confidence double, n long, margin double, disagreement_rad double, dynamic_n long, gravity_residual_deg double, rotation array<double>"
-
-
-def alignment(df: DataFrame, key: str = "segment_id") -> DataFrame:
-    """A row per segment of (key, t_s, accel_*, speed) samples."""
-    kind = dict(df.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_s", kind="stable")
-        r = align(pdf["t_s"].to_numpy(float), _triple(pdf, "accel"), pdf["speed"].to_numpy(float))
-        r["rotation"] = None if r["rotation"] is None else r["rotation"].ravel().tolist()
-        return pd.DataFrame([{key: pdf[key].iloc[0], **r}])[[key, "status", "correlation", "lag_s", "confidence", "n", "margin", "disagreement_rad", "dynamic_n", "gravity_residual_deg", "rotation"]]
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, {ALIGNMENT}")
+# Bias sensitivity
 
 
 def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURBATIONS_RPS, accel=P.ACCEL_PERTURBATIONS_MPS2) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import FINGERPRINT_DECIMALS, SPLIT_RATIOS
+from .store import Tables
+
+FAN = 4096  # digests in a node of a fingerprint's tree
+BUCKETS = 1024  # of scores, in which groups of one size are ranked
 
 
 def duplicate_groups(df: DataFrame, digest: str, path: str) -> DataFrame:
@@ -31,25 +34,35 @@ def payload_digest(text: Column) -> Column:
 def closure(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): nodes that edges connect, named by their least node.
 
-    Each round replaces a node's label by the least among its neighbours' labels, then by its label's label, so that long chains take a
-    logarithmic number of rounds; lineage is cut by a checkpoint in every round. Labels meet edges in joins that AQE may split where a node is hot.
+    Each round sends every node to the least node beside it, by hash, and contracts: edges between what is left are fewer by a factor, long chains included, so the work of all rounds is about that of the first. A hub's edges are
+    gathered by an aggregate of minima and met in joins that AQE may split. Lineage is cut in every round by a table in the folder that all executors share; only the last one, which the result reads, stays there.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: checkpoints need a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
-    both = edges.select(F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")).checkpoint()
-    while True:
-        near = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")).checkpoint()
-        label = step.select("node", "label")
-        if step.where("old != label").isEmpty():
-            return label.withColumnRenamed("label", "component")
+    tables = Tables(edges.sparkSession, "closure")
+    named = edges.select(F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    tied = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
+    pairs = lambda df: df.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left, at = tables.keep(pairs(named))
+    steps, paths = [], []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        beside = both.groupBy("u").agg(F.min(tied("v")).alias("m"))
+        step, path = tables.keep(beside.select(F.col("u").alias("node"), F.least(tied("u"), F.col("m"))["x"].alias("to")))
+        steps.append(step)
+        paths.append(path)
+        to = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        met = left.join(to("u"), "u").join(to("v"), "v")
+        before = at
+        left, at = tables.keep(pairs(met.select(F.col("u_to").alias("u"), F.col("v_to").alias("v"))))
+        tables.drop(before)
+    alone = named.select(F.col("u").alias("node")).unionByName(named.select(F.col("v").alias("node"))).distinct().withColumn("root", F.col("node"))
+    label = alone
+    for step in steps:
+        label = label.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    if steps:
+        label, _ = tables.keep(label)
+        tables.drop(at, *paths)
+    least = label.groupBy("root").agg(F.min("node").alias("component"))
+    return label.join(least, "root").select("node", "component")
 
 
 def group_key(hashes: Column) -> Column:
@@ -62,10 +75,41 @@ def score(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), key), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(18446744073709551616.0)
 
 
+def deal(lack: list[float], n: float, m: int) -> list[tuple[int, int, list[int]]]:
+    """Where m groups of n rows each go, one after the other, always to the split that lacks most (of equal ones the first): runs (first, end, cycle of splits). lack is brought up to date.
+
+    Splits that lie within n of each other take turns, in the order of what they lack, until they come down to the next one; so the runs are about twice as many as the splits, however many groups there are.
+    """
+    if n <= 0:
+        return [(0, m, [lack.index(max(lack))])]
+    out, done = [], 0
+    while done < m:
+        order = sorted(range(len(lack)), key=lambda j: (-lack[j], j))
+        ahead = lambda x, j, y, k: (-x, j) < (-y, k)
+        first = order[0]
+        turn = [j for j in order if j == first or not ahead(lack[first] - n, first, lack[j], j)]
+        if len(turn) < len(order):
+            low, nxt = turn[-1], order[len(turn)]
+            rounds = int((lack[low] - lack[nxt]) // n) + 1
+            while rounds > 1 and not ahead(lack[low] - (rounds - 1) * n, low, lack[nxt], nxt):
+                rounds -= 1
+            while ahead(lack[low] - rounds * n, low, lack[nxt], nxt):
+                rounds += 1
+        else:
+            rounds = m
+        count = min(m - done, rounds * len(turn))
+        out.append((done, done + count, turn))
+        for place, j in enumerate(turn):
+            lack[j] -= n * (count // len(turn) + (place < count % len(turn)))
+        done += count
+    return out
+
+
 def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SPLIT_RATIOS, seed: str = "tracewright") -> DataFrame:
-    """(key, split): the largest groups first, each to the split that lacks most rows; ties by score, then by the split's name.
+    """(key, split): the largest groups first, each to the split that lacks most rows; ties by score, then by key, of equal splits by name. Where no group has rows, groups are balanced in their place.
 
-    Greedy packing looks at one group after the other, so one task walks the groups in order, batch by batch; it sees one entry for each group, never rows.
+    Which splits groups of one size go to, in which turn, follows from their number, so one task walks the distinct sizes, which are at most about the root of twice the rows, and the groups take their splits by their rank among those of
+    their size. Ranks are counted in buckets of the score first, so no task sees all groups of a size.
     """
     if any(v < 0 for v in ratios.values()) or not sum(ratios.values()):
         raise ValueError("ratios must not be negative and must not all be zero")
@@ -76,17 +120,23 @@ def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SP
         lack = None
         for batch in batches:
             out = []
-            if lack is None and batch.num_rows:
-                lack = [batch.column("total")[0].as_py() * share for share in shares]
-            for n in batch.column("n").to_pylist():
-                best = lack.index(max(lack))
-                lack[best] -= n
-                out.append(names[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "split"])
-
-    entries = groups.select(F.col(key).cast("string").alias(key), F.col(n_rows).alias("n"), score(F.col(key), seed).alias("s"), F.col(key).alias("k"))
-    entries = entries.withColumn("total", F.sum("n").over(W.partitionBy()))  # in the one task that walks them
-    return entries.sortWithinPartitions(F.col("n").desc(), "s", "k").mapInArrow(walk, f"`{key}` string, split string")
+            for n, m, total in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "total")), strict=True):
+                lack = [total * share for share in shares] if lack is None else lack
+                out += [(n, lo, hi, [names[j] for j in turn]) for lo, hi, turn in deal(lack, n, m)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["n", "lo", "hi", "turn"])
+
+    entries = groups.select(F.col(key).cast("string").alias(key), F.coalesce(F.col(n_rows), F.lit(0)).cast("long").alias("n"), score(F.col(key), seed).alias("s"))
+    some = groups.select((F.max(F.coalesce(F.col(n_rows), F.lit(0))) > 0).alias("some"))  # one row
+    entries = entries.crossJoin(F.broadcast(some)).withColumn("n", F.when(F.col("some"), F.col("n")).otherwise(1)).drop("some").withColumn("b", F.floor(F.col("s") * BUCKETS))
+    counts = entries.groupBy("n", "b").agg(F.count("*").alias("m"))
+    below = counts.withColumn("before", F.sum("m").over(W.partitionBy("n").orderBy("b")) - F.col("m")).select("n", "b", "before")
+    ranked = entries.withColumn("own", F.row_number().over(W.partitionBy("n", "b").orderBy("s", key))).join(below, ["n", "b"]).withColumn("rank", F.col("before") + F.col("own") - 1)
+    sizes = counts.groupBy("n").agg(F.sum("m").alias("m")).withColumn("total", F.sum(F.col("n") * F.col("m")).over(W.partitionBy()))  # in the one task that walks them
+    runs = sizes.sortWithinPartitions(F.col("n").desc()).mapInArrow(walk, "n long, lo long, hi long, turn array<string>")
+    by_size = runs.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "turn"))).alias("runs"))
+    own = F.element_at(F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"])), 1)
+    met = ranked.join(by_size, "n").withColumn("run", own)
+    return met.select(key, F.element_at("run.turn", (F.pmod(F.col("rank") - F.col("run.lo"), F.size("run.turn")) + 1).cast("int")).alias("split"))
 
 
 def leakage(assigned: DataFrame, keys: dict[str, list[str]], split: str = "split") -> DataFrame:
@@ -99,17 +149,19 @@ def leakage(assigned: DataFrame, keys: dict[str, list[str]], split: str = "split
     return out
 
 
-def fingerprint(df: DataFrame, key: list[str], order: list[str], columns: list[str], decimals: int = FINGERPRINT_DECIMALS) -> DataFrame:
+def fingerprint(df: DataFrame, key: list[str], order: list[str], columns: list[str], decimals: int = FINGERPRINT_DECIMALS, fan: int = FAN) -> DataFrame:
     """(key, n, fingerprint): SHA-256 over the rounded values in row order, with the number of rows and the names of the columns before them.
 
-    Rows are digested first, so that the list gathered for a recording holds 64 characters a row.
+    The hash is a tree: rows are digested, then the digests of up to `fan` rows in order, then those of up to `fan` blocks, and of up to `fan` of these, so no list holds more than fan digests (256 kB) below fan^3 rows (7e10).
     """
     cols = sorted(columns)
-    row = F.sha2(F.concat_ws(",", *[F.coalesce(F.format_string(f"%.{decimals}f", F.round(F.col(c).cast("double"), decimals) + 0.0), F.lit("")) for c in cols]), 256)
-    at = F.struct(*order, row.alias("__h"))
-    rows = df.groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(at)).alias("hs"))
-    body = F.array_join(F.transform("hs", lambda h: h["__h"]), "")
-    return rows.select(*key, "n", F.sha2(F.concat(F.col("n").cast("string"), F.lit("|" + ",".join(cols) + "|"), body), 256).alias("fingerprint"))
+    row = F.sha2(F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.round(F.col(c).cast("double"), decimals) + 0.0)).otherwise("") for c in cols]), 256)
+    rows = df.select(*key, *order, row.alias("h")).withColumn("i", (F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1).cast("long")).withColumn("n", F.lit(1).cast("long"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
+    for _ in range(2):
+        rows = rows.groupBy(*key, F.expr(f"i div {fan}").alias("up")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "i")
+    top = rows.groupBy(*key).agg(joined.alias("h"), F.sum("n").alias("n"))
+    return top.select(*key, "n", F.sha2(F.concat(F.col("n").cast("string"), F.lit("|" + ",".join(cols) + "|"), "h"), 256).alias("fingerprint"))
 
 
 def content_audit(assigned: DataFrame, fp: str = "fingerprint", split: str = "split") -> DataFrame:

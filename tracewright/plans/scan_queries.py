@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import alignment, lags, scans
 from ..operators import generators as GN
-from ..operators import scans
-from .common import E_SQL, events, r, rs
+from .common import E_SQL, events, r, rounded, rs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,19 +39,106 @@ def gyro_mechanize(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("segment_id").agg(F.count("*").cast("int").alias("n"), (F.max(_off("p", "true_p")) < 1e-6).alias("exact"))
 
 
-@query("SELECT * FROM (VALUES (0.0::DOUBLE, 'SUCCESS', true), (15.0, 'SUCCESS', true), (30.0, 'SUCCESS', true), (45.0, 'SUCCESS', true), (90.0, 'SUCCESS', true)) v(angle_deg, status, recovered)")
+def driven(spark: SparkSession, d: str) -> DataFrame:
+    """Each event type as a recording of ten rows a second: speed from the values, the acceleration 0.6 s ahead of it along a tilted phone's axes, and for two of the types a gravity channel."""
+    w = W.partitionBy("event_type").orderBy("t", "event_id")
+    rows = events(spark, d).withColumns({"i": F.row_number().over(w) - 1, "f": F.coalesce((F.lead("x", 7).over(w) - F.lead("x", 5).over(w)) / 10, F.lit(0.0)), "l": (F.col("event_id") % 13 - 6) / 4.0, "d": (F.col("event_id") % 7 - 3) / 100.0})
+    along = {"accel_x": (0.8, 0.6, 0.0), "accel_y": (-0.48, 0.64, 0.6), "accel_z": (0.36, -0.48, 0.8)}
+    channel = F.col("event_type").isin("click", "view")
+    felt = {"gravity_x": F.col("d"), "gravity_y": F.lit(9.80665 * 0.6), "gravity_z": F.lit(9.80665 * 0.8)}
+    return rows.select(
+        F.col("event_type").alias("k"), "i", (F.col("i") * 100_000).cast("long").alias("t"), (5 + F.col("x") / 10).alias("speed"),
+        *[(F.col("f") * a + F.col("l") * b + 9.80665 * c).alias(n) for n, (a, b, c) in along.items()], *[F.when(channel, c).alias(n) for n, c in felt.items()],
+    )
+
+
+ALIGNED_SQL = f"""{E_SQL},
+b AS (SELECT event_type AS k, row_number() OVER w - 1 AS i, 5 + x / 10 AS v, coalesce((lead(x, 7) OVER w - lead(x, 5) OVER w) / 10, 0) AS f, (event_id % 13 - 6) / 4.0::DOUBLE AS l, (event_id % 7 - 3) / 100.0::DOUBLE AS d,
+  event_type IN ('click', 'view') AS ch FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+a AS (SELECT *, 0.8::DOUBLE * f + 0.6::DOUBLE * l AS ax, -0.48::DOUBLE * f + 0.64::DOUBLE * l + 9.80665::DOUBLE * 0.6 AS ay, 0.36::DOUBLE * f - 0.48::DOUBLE * l + 9.80665::DOUBLE * 0.8 AS az FROM b),
+o AS (SELECT k, ch, CASE WHEN ch THEN d ELSE ax END AS x, CASE WHEN ch THEN 9.80665::DOUBLE * 0.6 ELSE ay END AS y, CASE WHEN ch THEN 9.80665::DOUBLE * 0.8 ELSE az END AS z FROM a
+  WHERE ch OR abs(sqrt(ax * ax + ay * ay + az * az) - 9.80665) <= 0.5),
+g0 AS (SELECT k, any_value(ch) AS ch, count(*) AS gn, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM o GROUP BY k HAVING count(*) >= 20),
+g1 AS (SELECT k, ch, gn, mx / m AS ux, my / m AS uy, mz / m AS uz FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS m FROM g0)),
+g AS (SELECT k, ch, gn, ux, uy, uz, mag, greatest(0, least(1, 1 - sp / 0.35)) * greatest(0, least(1, 1 - abs(mag - 9.80665) / (0.2 * 9.80665))) * (0.5 + 0.5 * least(1, gn / 200.0::DOUBLE)) AS gc
+  FROM (SELECT k, any_value(ch) AS ch, any_value(gn) AS gn, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, avg(n) AS mag, sqrt(avg(acos(greatest(-1, least(1, (x * ux + y * uy + z * uz) / n))) ** 2)) AS sp
+    FROM (SELECT o.k, o.x, o.y, o.z, sqrt(x * x + y * y + z * z) AS n, g1.ch, g1.gn, ux, uy, uz FROM o JOIN g1 USING (k)) GROUP BY k)),
+lin AS (SELECT a.k, i, v, ux, uy, uz, ax - ux * mag AS lx, ay - uy * mag AS ly, az - uz * mag AS lz, (lead(v) OVER w - lag(v) OVER w) / 0.2 AS s FROM a JOIN g USING (k) WHERE gc >= 0.2 WINDOW w AS (PARTITION BY a.k ORDER BY i)),
+fl AS (SELECT *, lx - (lx * ux + ly * uy + lz * uz) * ux AS fx, ly - (lx * ux + ly * uy + lz * uz) * uy AS fy, lz - (lx * ux + ly * uy + lz * uz) * uz AS fz FROM lin),
+sm AS MATERIALIZED (SELECT k, i, v, ux, uy, uz, avg(fx) OVER w AS hx, avg(fy) OVER w AS hy, avg(fz) OVER w AS hz, avg(s) OVER w AS s FROM fl WINDOW w AS (PARTITION BY k ORDER BY i RANGE BETWEEN 20 PRECEDING AND CURRENT ROW)),
+p AS MATERIALIZED (SELECT sm.k, j, sm.i, sm.ux, sm.uy, sm.uz, sm.hx, sm.hy, sm.hz, q.s FROM sm, generate_series(-75, 75) x(j), sm q WHERE q.k = sm.k AND q.i = sm.i + 2 * j AND sm.v >= 2 AND abs(q.s) >= 0.4),
+d0 AS (SELECT k, j, count(*) AS n, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, sum(hx * s) AS x, sum(hy * s) AS y, sum(hz * s) AS z FROM p GROUP BY k, j),
+d1 AS (SELECT k, j, n, x - (x * ux + y * uy + z * uz) * ux AS x, y - (x * ux + y * uy + z * uz) * uy AS y, z - (x * ux + y * uy + z * uz) * uz AS z FROM d0),
+d2 AS (SELECT k, j, n, CASE WHEN n >= 50 THEN x / sqrt(x * x + y * y + z * z) END AS x, CASE WHEN n >= 50 THEN y / sqrt(x * x + y * y + z * z) END AS y, CASE WHEN n >= 50 THEN z / sqrt(x * x + y * y + z * z) END AS z FROM d1),
+c AS (SELECT p.k, p.j, any_value(n) AS n, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, CASE WHEN any_value(n) >= 50 THEN corr(hx * x + hy * y + hz * z, s) END AS r FROM p JOIN d2 USING (k, j) GROUP BY p.k, p.j),
+t AS (SELECT k, max(r) AS top, arg_max(j, (r, -j)) FILTER (r IS NOT NULL) AS best, median(r) AS med FROM c GROUP BY k),
+z AS (SELECT c.*, top - med AS margin FROM t JOIN c ON c.k = t.k AND c.j = CASE WHEN top - med >= 0.1 THEN best ELSE 0 END),
+h AS (SELECT k, any_value(half) AS half, avg((sign(hx * x + hy * y + hz * z) <> sign(s))::INTEGER) AS rev, sum(hx * s) FILTER (rn <= half) AS ax, sum(hy * s) FILTER (rn <= half) AS ay, sum(hz * s) FILTER (rn <= half) AS az,
+    sum(hx * s) FILTER (rn > half) AS cx, sum(hy * s) FILTER (rn > half) AS cy, sum(hz * s) FILTER (rn > half) AS cz
+  FROM (SELECT p.*, z.x, z.y, z.z, row_number() OVER (PARTITION BY p.k ORDER BY p.i) AS rn, count(*) OVER (PARTITION BY p.k) // 2 AS half FROM p JOIN z USING (k, j)) GROUP BY k),
+f AS (SELECT *, greatest(0, least(1, (r - 0.3) / 0.7)) * (0.4 + 0.6 * least(1, n / 250.0::DOUBLE)) * (0.3 + 0.7 * CASE WHEN dis IS NULL THEN 0.5 ELSE greatest(0, 1 - dis / 0.26) END) AS fc
+  FROM (SELECT z.*, rev, CASE WHEN half >= 25 THEN acos(greatest(-1, least(1, (ax * cx + ay * cy + az * cz) / sqrt(ax * ax + ay * ay + az * az) / sqrt(cx * cx + cy * cy + cz * cz)))) END AS dis FROM z LEFT JOIN h USING (k))),
+w AS (SELECT g.k, gn, CASE WHEN g.ch THEN 'gravity_channel' ELSE 'accel_low_dynamic' END AS gravity_method, gc, ux, uy, uz, coalesce(j, 0) * 0.2::DOUBLE AS lag_s, margin, n, r, x, y, z, dis, rev, coalesce(fc, 0) AS fc,
+  CASE WHEN gc < 0.2 THEN 'LOW_GRAVITY_CONFIDENCE' WHEN coalesce(n, 0) < 50 THEN 'INSUFFICIENT_MOTION' WHEN fc > 0 THEN 'SUCCESS' ELSE 'LOW_HEADING_CONFIDENCE' END AS status FROM g LEFT JOIN f USING (k))"""
+
+
+@query(f"""WITH {ALIGNED_SQL} SELECT k, status, gravity_method, gn AS gravity_n, {rs('gc')} AS gravity_confidence, {rs('fc')} AS forward_confidence, {rs('CASE WHEN fc > 0 THEN gc * fc ELSE 0 END')} AS confidence, {rs('lag_s')} AS lag_s, {rs('margin')} AS margin,
+  n AS dynamic_n, {rs('r')} AS correlation, {rs('dis')} AS disagreement_rad, {rs('rev')} AS reversed_fraction, {rs('x')} AS forward_x, {rs('y')} AS forward_y, {rs('z')} AS forward_z, {rs('ux')} AS up_x, {rs('uy')} AS up_y, {rs('uz')} AS up_z FROM w""")
 def alignment_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Mounting rotations of a sweep, with noise: each must be found to a degree."""
-    parts = []
-    for deg in GN.SWEEP_DEG:
-        a = np.radians(deg) / 2
-        parts.append(GN.drive(spark, str(deg), (0.0, 0.0, float(np.sin(a)), float(np.cos(a))), sigma=0.02))
-    found = scans.alignment(reduce(DataFrame.unionByName, parts))
-    deg = F.col("segment_id").cast("double")
+    """Mounting alignment of every event type's recording, its lag search spread over blocks of 30 seconds."""
+    out = alignment.alignment(driven(spark, d), "k", "t", ["i"], gravity="gravity", block_s=30.0)
     m = F.col("rotation")
-    trace = m[0] * F.cos(F.radians(deg)) + m[4] * F.cos(F.radians(deg)) + m[8] + (m[3] - m[1]) * F.sin(F.radians(deg))
-    off = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
-    return found.select(deg.alias("angle_deg"), "status", F.coalesce(off < 1.0, F.lit(False)).alias("recovered"))
+    out = out.select("*", *[m[j].alias(f"forward_{a}") for j, a in enumerate("xyz")], *[m[6 + j].alias(f"up_{a}") for j, a in enumerate("xyz")])
+    names = ["gravity_confidence", "forward_confidence", "confidence", "lag_s", "margin", "correlation", "disagreement_rad", "reversed_fraction", *[f"{p}_{a}" for p in ("forward", "up") for a in "xyz"]]
+    return rounded(out.select("k", "status", "gravity_method", "gravity_n", "dynamic_n", *names), *names)
+
+
+@query(f"""WITH {ALIGNED_SQL}, n AS (SELECT event_type AS k, count(*) AS n FROM e GROUP BY 1)
+SELECT w.k, status, n.n, gravity_method, {rs('CASE WHEN fc > 0 THEN gc * fc ELSE 0 END')} AS confidence, {rs('lag_s')} AS lag_s, {rs('r')} AS correlation, {rs('x')} AS forward_x, {rs('y')} AS forward_y, {rs('z')} AS forward_z FROM w JOIN n USING (k)""")
+def calibration_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same recordings as a stream of samples: sessions collect them trigger by trigger and end with a row that says so; the estimate is the batch's."""
+    from ..operators.store import Tables
+    from ..streaming import calibration as C
+
+    tables = Tables(spark, "calibration")
+    rows = driven(spark, d).select("k", (F.col("t") / 1e6).alias("t_s"), "speed", *[f"{p}_{a}" for p in ("accel", "gravity") for a in "xyz"], F.lit(False).alias("finish"))
+    at, out = f"{tables.folder}/in", f"{tables.folder}/out"
+    rows.write.parquet(at)
+    ends = spark.read.parquet(at).groupBy("k").agg(F.max("t_s").alias("t_s")).withColumn("finish", F.lit(True))
+    rows.limit(0).unionByName(ends, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(at)  # newer than the samples' files, so read last
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.PROVIDER)
+    try:
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(at)
+        stream = C.calibrate(source, "k", field=False).writeStream.outputMode("update").option("checkpointLocation", f"{tables.folder}/checkpoint").trigger(availableNow=True)
+        stream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/trigger={i}")).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    m = F.col("rotation")
+    found = spark.read.parquet(out).where("finished").select("k", "status", "n", "gravity_method", "confidence", "lag_s", "correlation", *[m[j].alias(f"forward_{a}") for j, a in enumerate("xyz")])
+    return rounded(found, "confidence", "lag_s", "correlation", *[f"forward_{a}" for a in "xyz"])
+
+
+@query(f"""WITH {E_SQL}, b AS (SELECT event_type AS k, row_number() OVER w - 1 AS i, 5 + x / 10 AS v, 5 + lag(x, 8) OVER w / 10 + (event_id % 5) / 50.0::DOUBLE AS r FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+own AS (SELECT k, i, CASE WHEN lag(v) OVER w IS NULL THEN (lead(v) OVER w - v) / 0.1 WHEN lead(v) OVER w IS NULL THEN (v - lag(v) OVER w) / 0.1 ELSE (lead(v) OVER w - lag(v) OVER w) / 0.2 END AS g FROM b WINDOW w AS (PARTITION BY k ORDER BY i)),
+a AS MATERIALIZED (SELECT k, i, avg(g) OVER (PARTITION BY k ORDER BY i RANGE BETWEEN 20 PRECEDING AND CURRENT ROW) AS a FROM own),
+ref AS MATERIALIZED (SELECT k, i, r FROM b WHERE i % 3 = 0 AND r IS NOT NULL),
+y AS (SELECT b.k, j, b.i, b.i + 2 * j AS y, (b.i + 2 * j) - ((b.i + 2 * j) % 3 + 3) % 3 AS lo FROM b, generate_series(-75, 75) x(j)),
+q AS (SELECT y.k, y.j, y.i, CASE WHEN y.y = y.lo THEN p.r ELSE p.r + (n.r - p.r) * (y.y - y.lo) / 3.0::DOUBLE END AS v FROM y LEFT JOIN ref p ON p.k = y.k AND p.i = y.lo LEFT JOIN ref n ON n.k = y.k AND n.i = y.lo + 3),
+o AS (SELECT k, j, i, CASE WHEN lag(v) OVER w IS NULL THEN (lead(v) OVER w - v) / 0.1 WHEN lead(v) OVER w IS NULL THEN (v - lag(v) OVER w) / 0.1 ELSE (lead(v) OVER w - lag(v) OVER w) / 0.2 END AS g FROM q WINDOW w AS (PARTITION BY k, j ORDER BY i)),
+s AS (SELECT k, j, i, avg(g) OVER (PARTITION BY k, j ORDER BY i RANGE BETWEEN 20 PRECEDING AND CURRENT ROW) AS b FROM o),
+c AS (SELECT k, j, CASE WHEN count(*) >= 10 THEN corr(a, b) END AS r FROM s JOIN a USING (k, i) WHERE b IS NOT NULL GROUP BY k, j),
+t AS (SELECT k, max(r) AS top, arg_max(j, (r, -j)) FILTER (r IS NOT NULL) AS best, median(r) AS med, max(r) FILTER (j = 0) AS zero FROM c GROUP BY k),
+u AS (SELECT *, top - med >= 0.1 AND top >= 0.3 AND abs(best) >= 1 AS ok FROM t)
+SELECT k, {rs('CASE WHEN ok THEN best * 0.2 ELSE 0 END')} AS lag_s, {rs('CASE WHEN ok THEN top ELSE zero END')} AS correlation, {rs('zero')} AS zero_correlation, {rs('top - med')} AS margin, ok AS accepted, ok AND abs(best) >= 74 AS at_edge FROM u""")
+def residual_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Each event type as a track of ten rows a second against a reference of every third row, 0.8 s late; blocks of 30 seconds."""
+    w = W.partitionBy("event_type").orderBy("t", "event_id")
+    rows = events(spark, d).withColumns({"i": F.row_number().over(w) - 1, "late": F.lag("x", 8).over(w)}).withColumnRenamed("event_type", "type")
+    at = [F.col("type").alias("k"), (F.col("i") * 100_000).cast("long").alias("t")]
+    track = rows.select(*at, (5 + F.col("x") / 10).alias("speed"))
+    ref = rows.where("i % 3 = 0 AND late IS NOT NULL").select(*at, (5 + F.col("late") / 10 + (F.col("event_id") % 5) / 50.0).alias("speed"))
+    return rounded(lags.residual_lag(track, ref, "k", "t", block_s=30.0), "lag_s", "correlation", "zero_correlation", "margin")
 
 
 @query("SELECT * FROM (VALUES ('level', 2801, true), ('tilted', 2801, true)) v(segment_id, n, level)")
@@ -81,8 +168,6 @@ def bias_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mechanize_events(spark: SparkSession, d: str) -> DataFrame:
     """Strapdown propagation over every recording of events, level and without rotation, on an even clock: velocity is the running sum of trapezoids."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("k").orderBy("t", "event_id")
     rows = events(spark, d).withColumn("i", F.row_number().over(w) - 1)
     rows = rows.select("k", (F.col("i") * 0.1).alias("t_s"), (F.col("x") / 1000).alias("force_x"), F.lit(0.0).alias("force_y"), F.lit(9.80665).alias("force_z"), *[F.lit(0.0).alias(f"gyro_{c}") for c in "xyz"])

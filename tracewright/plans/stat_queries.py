@@ -219,8 +219,11 @@ def content_audit(spark: SparkSession, d: str) -> DataFrame:
     return splits.content_audit(a)
 
 
-@query(f"""WITH {E_SQL}, h AS (SELECT k, t, event_id, sha256(printf('%.6f', round(event_id / 8.0::DOUBLE, 6)) || ',' || printf('%.6f', round(x, 6))) AS h FROM e)
-SELECT k, count(*) AS n, sha256(count(*)::VARCHAR || '|w,x|' || string_agg(h, '' ORDER BY t, event_id)) AS fingerprint FROM h GROUP BY k""")
+@query(f"""WITH {E_SQL}, h AS (SELECT k, t, event_id, sha256(printf('%.6f', round(event_id / 8.0::DOUBLE, 6)) || ',' || printf('%.6f', round(x, 6))) AS h FROM e),
+i AS (SELECT k, h, row_number() OVER (PARTITION BY k ORDER BY t, event_id) - 1 AS i FROM h),
+b AS (SELECT k, i // 4096 AS b, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM i GROUP BY k, i // 4096),
+c AS (SELECT k, b // 4096 AS c, sha256(string_agg(h, '' ORDER BY b)) AS h, sum(n) AS n FROM b GROUP BY k, b // 4096)
+SELECT k, sum(n)::BIGINT AS n, sha256(sum(n)::BIGINT::VARCHAR || '|w,x|' || string_agg(h, '' ORDER BY c)) AS fingerprint FROM c GROUP BY k""")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return splits.fingerprint(events(spark, d).withColumn("w", F.col("event_id") / 8.0), ["k"], ["t", "event_id"], ["x", "w"])
 

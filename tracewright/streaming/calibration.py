@@ -1,48 +1,178 @@
-"""Mounting calibration over a stream: a bounded buffer of samples per device, and an estimate after every trigger.
+"""Mounting calibration over a stream: a session per device that collects samples, tells what it still waits for, and ends once.
 
-State per device: the first MAX_RETAINED_SAMPLES samples. The buffer is bounded by that parameter of the method, so a device's state is too; what comes after it is counted as rejected.
+A session's samples are appended to list state, chunk by chunk, and never rewritten; progress comes from running sums. The estimate is made when the session ends: when a row says `finish`, or when no samples came for
+`idle`, by a timer. It is kept, so a second finish gives the same one. What comes after the end is rejected and counted. The method keeps the first MAX_RETAINED_SAMPLES samples of a session, so a device's state is bounded.
 """
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import params as P
-from ..operators.scans import align
+from ..operators import alignment as A
 
-COLUMNS = ("t_s", "accel_x", "accel_y", "accel_z", "speed")
-OUT = "n long, rejected long, duration_s double, status string, correlation double, confidence double, rotation array<double>"
+TRIPLES = ("accel", "gyro", "mag", "gravity")
+COLUMNS = ["t_s", "speed", *[f"{p}_{a}" for p in TRIPLES for a in "xyz"]]
+OUT = "status string, n long, rejected long, duration_s double, stationary_n long, dynamic_n long, gravity_n long, waiting_for array<string>, finished boolean, confidence double, correlation double, lag_s double, gravity_method string, rotation array<double>"
+FIGURES = "n long, rejected long, first double, last double, stationary long, dynamic long, gravity long, tail array<double>, status string, confidence double, correlation double, lag_s double, method string, rotation array<double>"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def estimate(data: np.ndarray) -> dict:
-    """The estimate from a buffer; a recording that is too short can't give a heading that is trusted."""
+def table(pdf: pd.DataFrame) -> np.ndarray:
+    """COLUMNS of some rows; columns that aren't there are unknown."""
+    return np.column_stack([pdf[c].to_numpy(float) if c in pdf else np.full(len(pdf), np.nan) for c in COLUMNS])
+
+
+def usable(data: np.ndarray) -> np.ndarray:
+    """Samples with a time and an acceleration."""
+    return np.isfinite(data[:, [0, 2, 3, 4]]).all(axis=1)
+
+
+def final(data: np.ndarray, field: bool = True) -> dict:
+    """The estimate of all samples of a session. A recording that is too short can't give a heading that is trusted; a session without samples has failed."""
+    if not len(data):
+        return {"status": "FAILED", "rotation": None, "confidence": 0.0, "correlation": math.nan, "lag_s": 0.0, "gravity_method": "unavailable"}
     data = data[np.argsort(data[:, 0], kind="stable")]
-    r = align(data[:, 0], data[:, 1:4], data[:, 4], valid=np.isfinite(data[:, 4]))
+    triple = {p: data[:, 2 + 3 * i : 5 + 3 * i] for i, p in enumerate(TRIPLES)}
+    r = A.estimate(data[:, 0], triple["accel"], data[:, 1], valid=np.isfinite(data[:, 1]), gravity=triple["gravity"], gyro=triple["gyro"], mag=triple["mag"], assess_field=field)
     if r["status"] == "SUCCESS" and data[-1, 0] - data[0, 0] < P.MIN_CALIBRATION_DURATION_S:
         r["status"], r["rotation"] = "LOW_HEADING_CONFIDENCE", None
     return r
 
 
-def calibrate(samples: DataFrame, key: str = "device", retain: int = P.MAX_RETAINED_SAMPLES) -> DataFrame:
-    """A row per device and trigger that had samples of it. Samples without a time or an acceleration, and those beyond `retain`, are rejected and counted; one without a speed is kept, as it still tells of gravity."""
+def waiting(n: int, duration: float, gravity_n: int, dynamic: int) -> list[str]:
+    """What a session that goes on still lacks."""
+    out = [] if n >= P.MIN_GRAVITY_SAMPLES else ["samples"]
+    out += [] if gravity_n >= P.MIN_GRAVITY_SAMPLES else ["a quiet interval"]
+    out += [] if duration >= P.MIN_CALIBRATION_DURATION_S else ["time"]
+    return out + ([] if dynamic >= P.MIN_FORWARD_SAMPLES else ["acceleration while moving"])
+
+
+def _pack(data: np.ndarray) -> bytes:
+    held = io.BytesIO()
+    np.save(held, data, allow_pickle=False)
+    return held.getvalue()
+
+
+class Session(StatefulProcessor):
+    """samples: appended chunks; figures: one row of running sums and, after the end, the estimate."""
+
+    def __init__(self, key: str, retain: int, idle_s: float | None, field: bool):
+        self.key, self.retain, self.idle_s, self.field = key, retain, idle_s, field
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", "chunk binary")
+        self.figures = handle.getValueState("figures", FIGURES)
+
+    def _figures(self) -> dict:
+        names = [c.split()[0] for c in FIGURES.split(", ")]
+        if self.figures.exists():
+            return dict(zip(names, self.figures.get(), strict=True))
+        return dict.fromkeys(names) | {"n": 0, "rejected": 0, "stationary": 0, "dynamic": 0, "gravity": 0, "tail": [], "status": "COLLECTING"}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        f, ends = self._figures(), False
+        for pdf in rows:
+            ends |= bool(pdf["finish"].fillna(False).any()) if "finish" in pdf else False
+            pdf = pdf[~pdf["finish"].fillna(False).astype(bool)] if "finish" in pdf else pdf
+            data = table(pdf)
+            good = data[usable(data)]
+            kept = good[: max(0, self.retain - f["n"])] if f["status"] == "COLLECTING" else good[:0]
+            f["rejected"] += len(data) - len(kept)
+            if len(kept):
+                self._count(f, kept)
+                self.samples.appendValue((_pack(kept),))
+        if f["status"] == "COLLECTING":
+            if ends:
+                self._end(f)
+            elif self.idle_s is not None:
+                self._wait(timerValues)
+        self.figures.update(tuple(f.values()))
+        yield self._row(key, f)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        f = self._figures()
+        if f["status"] != "COLLECTING":
+            return
+        self._end(f)
+        self.figures.update(tuple(f.values()))
+        yield self._row(key, f)
+
+    def _wait(self, timerValues) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle_s * 1000))
+
+    def _count(self, f: dict, new: np.ndarray) -> None:
+        """Adds samples to the sums; the two samples before them are kept for the rate of the speed."""
+        a, rate = new[:, 2:5], new[:, 5:8]
+        calm = np.abs(np.linalg.norm(a, axis=1) - P.STANDARD_GRAVITY_MPS2) <= P.LOW_DYNAMIC_ACCEL_TOLERANCE_MPS2
+        turning = np.isfinite(rate).all(axis=1) & (np.linalg.norm(rate, axis=1) > P.LOW_DYNAMIC_GYRO_TOLERANCE_RPS)
+        channel = np.isfinite(new[:, 11:14]).all(axis=1)
+        both = np.vstack([np.array(f["tail"], float).reshape(-1, 2), new[:, :2]])
+        t, v = both[:, 0], both[:, 1]
+        if len(t) >= 3:
+            dt = t[2:] - t[:-2]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.where(dt > 0, (v[2:] - v[:-2]) / np.where(dt > 0, dt, 1.0), np.nan)
+                f["dynamic"] += int(((np.abs(s) >= P.MIN_LONGITUDINAL_ACCEL_MPS2) & (v[1:-1] >= P.MIN_HEADING_SPEED_MPS)).sum())
+        f["tail"] = both[-2:].ravel().tolist()
+        f["n"] += len(new)
+        f["stationary"] += int(calm.sum())
+        f["gravity"] += int((channel | (calm & ~turning)).sum())
+        f["first"] = float(new[0, 0]) if f["first"] is None else f["first"]
+        f["last"] = float(new[-1, 0])
+
+    def _end(self, f: dict) -> None:
+        chunks = [np.load(io.BytesIO(bytes(c[0]))) for c in self.samples.get()] if self.samples.exists() else []
+        r = final(np.vstack(chunks) if chunks else np.zeros((0, len(COLUMNS))), self.field)
+        self.samples.clear()
+        known = lambda x: None if x is None or math.isnan(x) else float(x)
+        f |= {"status": r["status"], "confidence": known(r["confidence"]), "correlation": known(r["correlation"]), "lag_s": known(r["lag_s"]), "method": r["gravity_method"], "rotation": None if r["rotation"] is None else r["rotation"].ravel().tolist()}
+
+    def _row(self, key, f: dict) -> pd.DataFrame:
+        span = f["last"] - f["first"] if f["n"] >= 2 else 0.0
+        done = f["status"] != "COLLECTING"
+        lacks = [] if done else waiting(f["n"], span, f["gravity"], f["dynamic"])
+        row = {self.key: key[0], "status": f["status"], "n": f["n"], "rejected": f["rejected"], "duration_s": span, "stationary_n": f["stationary"], "dynamic_n": f["dynamic"], "gravity_n": f["gravity"], "waiting_for": lacks, "finished": done}
+        return pd.DataFrame([row | {"confidence": f["confidence"], "correlation": f["correlation"], "lag_s": f["lag_s"], "gravity_method": f["method"], "rotation": f["rotation"]}])
+
+    def close(self) -> None:
+        pass
+
+
+def calibrate(samples: DataFrame, key: str = "device", retain: int = P.MAX_RETAINED_SAMPLES, idle_s: float | None = None, field: bool = True) -> DataFrame:
+    """A row per device and trigger that had rows of it, or whose timer ended it: status, counts, what it waits for, and after the end the estimate.
+
+    samples: key, t_s, accel_*, and of speed, gyro_*, mag_*, gravity_* and finish (boolean; such a row holds no sample) what there is. Samples without a time or an acceleration are rejected, one without a speed is kept, as it still tells of gravity.
+    The session needs the state store `PROVIDER`.
+    """
+    kind = dict(samples.dtypes)[key]
+    rows = samples.select(key, *[c for c in [*COLUMNS, "finish"] if c in samples.columns])
+    mode = "processingTime" if idle_s is not None else "none"
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Session(key, retain, idle_s, field), outputStructType=f"{key} {kind}, {OUT}", outputMode="update", timeMode=mode)
+
+
+def calibrate_batch(samples: DataFrame, key: str = "device", retain: int = P.MAX_RETAINED_SAMPLES, field: bool = True) -> DataFrame:
+    """A row per device with the estimate of its first `retain` samples by time, all at once."""
     kind = dict(samples.dtypes)[key]
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat, rejected = state.get if state.exists else ([], 0)
-        old = np.array(flat, float).reshape(-1, len(COLUMNS))
-        new = pd.concat(list(frames))[list(COLUMNS)].to_numpy(float)
-        good = np.isfinite(new[:, :4]).all(axis=1)
-        data = np.vstack([old, new[good]])[:retain]
-        rejected += len(new) - (len(data) - len(old))
-        state.update((data.ravel().tolist(), rejected))
-        r = estimate(data) if len(data) else {"status": "FAILED", "correlation": float("nan"), "confidence": 0.0, "rotation": None}
-        span = float(np.ptp(data[:, 0])) if len(data) else 0.0
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = table(pdf.sort_values("t_s", kind="stable"))
+        data = data[usable(data)][:retain]
+        r = final(data, field)
         rotation = None if r["rotation"] is None else r["rotation"].ravel().tolist()
-        yield pd.DataFrame([{key: k[0], "n": len(data), "rejected": rejected, "duration_s": span, "status": r["status"], "correlation": r["correlation"], "confidence": r["confidence"], "rotation": rotation}])
+        return pd.DataFrame([{key: pdf[key].iloc[0], "status": r["status"], "n": len(data), "confidence": r["confidence"], "correlation": r["correlation"], "lag_s": r["lag_s"], "gravity_method": r["gravity_method"], "rotation": rotation}])
 
-    return samples.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {OUT}", "buffer array<double>, rejected long", "update", GroupStateTimeout.NoTimeout)
+    rows = samples.select(key, *[c for c in COLUMNS if c in samples.columns])
+    out = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, status string, n long, confidence double, correlation double, lag_s double, gravity_method string, rotation array<double>")
+    return out.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
