@@ -106,18 +106,6 @@ def test_step_flags():
     assert scans.advance(s, 1.1, up, fast, supplied=level)[1] == 32 and scans.advance(s, 1.1, up, none, supplied=level)[1] == 0 and scans.advance(s, 1.1, up, none)[1] == 32
 
 
-def test_heading_is_pulled_to_north():
-    """A level device whose field points east of its y axis turns until the field is north; not while it accelerates."""
-    n, g = 400, P.STANDARD_GRAVITY_MPS2
-    t, gyro, accel = np.arange(n) * 0.1, np.zeros((n, 3)), np.tile([0.0, 0.0, g], (n, 1))
-    mag = np.tile([20.0, 20.0, -30.0], (n, 1))
-    q, _, north = scans.attitude(t, gyro, accel, mag, weight=1.0)
-    field = [scans.turned(x, mag[0]) for x in (q[0], q[-1])]
-    assert north.sum() == n - 1
-    assert abs(math.atan2(field[1][0], field[1][1])) < 0.2 * abs(math.atan2(field[0][0], field[0][1]))
-    assert not scans.attitude(t, gyro, accel * np.where(np.arange(n) > 0, 1.3, 1.0)[:, None], mag, weight=1.0)[2].any()
-
-
 def test_start_of_a_segment(spark):
     c = lambda *cols: list(spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate(cols)]).first())
     assert c(*evaluation.initial_heading(F.lit(3.0), F.lit(4.0))) == pytest.approx([0.6, 0.8]) and c(*evaluation.initial_heading(F.lit(0.0), F.lit(0.0))) == [1.0, 0.0]

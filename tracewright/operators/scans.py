@@ -1,7 +1,6 @@
-"""Recurrences over the samples of a segment: attitude filter and strapdown propagation.
+"""Strapdown propagation as a walk over the samples of a segment, with all its policies; propagation has the parallel form.
 
-They can't be written as windows: each attitude is corrected by an amount that depends on the attitude before. So a segment is one group of applyInPandas
-and a numpy loop; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
+A trajectory that ends at a bad step, or has attitudes supplied, is decided sample by sample, so a segment is one group of applyInPandas and a loop; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
 Input columns: key, t_s (seconds), and triples such as gyro_x, gyro_y, gyro_z; missing values are NaN.
 """
 
@@ -15,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-
-UP = np.array([0.0, 0.0, 1.0])
-
+from .attitude import spin, turn
+from .propagation import multiply
 
 # Quaternions (x, y, z, w) in numpy, for the loops below; functions.quaternions has them as columns.
 
@@ -38,82 +36,11 @@ def from_rotvec(r: np.ndarray) -> np.ndarray:
     return np.array([*(k * r), np.cos(n / 2)])
 
 
-def shortest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rotation of unit vector a onto unit vector b."""
-    d = float(a @ b)
-    if d < -1 + 1e-12:
-        axis = np.cross(a, [1.0, 0.0, 0.0] if abs(a[0]) < 0.9 else [0.0, 1.0, 0.0])
-        return np.array([*(axis / np.linalg.norm(axis)), 0.0])
-    q = np.array([*np.cross(a, b), 1 + d])
-    return q / np.linalg.norm(q)
-
-
-def matrix(q: np.ndarray) -> np.ndarray:
-    return np.column_stack([turned(q, e) for e in np.eye(3)])
-
-
-def _unit(v: np.ndarray) -> np.ndarray | None:
-    n = float(np.linalg.norm(v))
-    return v / n if np.isfinite(n) and n >= P.MIN_VECTOR_NORM else None
-
-
 def _triple(pdf: pd.DataFrame, name: str) -> np.ndarray:
     cols = [f"{name}_{a}" for a in "xyz"]
     return pdf[cols].to_numpy(float) if all(c in pdf for c in cols) else np.full((len(pdf), 3), np.nan)
 
 
-# Attitude
-
-
-def attitude(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray | None = None, weight: float = 0.0, gravity_gain: float = P.GRAVITY_GAIN_HZ, magnetic_gain: float = P.MAGNETIC_GAIN_HZ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(quaternions, gravity corrections, magnetic corrections) per sample: the gyroscope's rate of the last sample turns the attitude over the step, the measured up pulls it level
-    while the force is close to g, and a trusted field pulls the heading.
-
-    The first attitude levels the first usable force; the heading starts at 0.
-    """
-    n = len(t)
-    q, level, north = np.zeros((n, 4)), np.zeros(n, bool), np.zeros(n, bool)
-    norms = np.linalg.norm(accel, axis=1)
-    calm = np.abs(norms - P.STANDARD_GRAVITY_MPS2) <= P.LOW_DYNAMIC_ACCEL_TOLERANCE_MPS2
-    first = np.flatnonzero(calm)
-    now = shortest(accel[first[0]] / norms[first[0]], UP) if len(first) else np.array([0.0, 0.0, 0.0, 1.0])
-    for i in range(n):
-        dt = t[i] - t[i - 1] if i else 0.0
-        if 0 < dt <= P.MAX_INTEGRATION_STEP_S:
-            if np.isfinite(gyro[i - 1]).all() and np.linalg.norm(gyro[i - 1]) <= P.MAX_PLAUSIBLE_RATE_RPS:
-                now = product(now, from_rotvec(gyro[i - 1] * dt))
-            if calm[i]:
-                pull = shortest(turned(now, accel[i] / norms[i]), UP)
-                angle = 2 * np.arctan2(np.linalg.norm(pull[:3]), abs(pull[3]))
-                axis = _unit(pull[:3] * (1 if pull[3] >= 0 else -1))
-                if axis is not None:
-                    now = product(from_rotvec(axis * angle * min(1.0, gravity_gain * dt)), now)
-                level[i] = True
-            if calm[i] and weight > 0 and mag is not None and np.isfinite(mag[i]).all():
-                field = turned(now, mag[i])
-                flat = np.hypot(field[0], field[1])
-                if flat >= 1e-3:
-                    off = np.arctan2(field[0], field[1])  # of the horizontal field from north, about up; a turn by it brings the field to north
-                    now = product(from_rotvec(UP * off * min(1.0, magnetic_gain * weight * dt)), now)
-                    north[i] = True
-            now = now / np.linalg.norm(now)
-        q[i] = now
-    return q, level, north
-
-
-def orientation(df: DataFrame, key: str = "segment_id", mag_weight: str | None = None) -> DataFrame:
-    """Attitude of each sample: key, t_s, q_x .. q_w, corrections. mag_weight names a column with the field's trust, the same in a segment."""
-    kind = dict(df.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_s", kind="stable")
-        w = float(pdf[mag_weight].iloc[0]) if mag_weight else 0.0
-        q, level, north = attitude(pdf["t_s"].to_numpy(float), _triple(pdf, "gyro"), _triple(pdf, "accel"), _triple(pdf, "mag"), 0.0 if np.isnan(w) else w)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "t_s": pdf["t_s"].to_numpy(), **{f"q_{a}": q[:, i] for i, a in enumerate("xyzw")}, "level_corrected": level, "heading_corrected": north})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, t_s double, q_x double, q_y double, q_z double, q_w double, level_corrected boolean, heading_corrected boolean")
-
-
 # Strapdown propagation
 
 
@@ -191,25 +118,36 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
 # Bias sensitivity
 
 
-def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURBATIONS_RPS, accel=P.ACCEL_PERTURBATIONS_MPS2) -> DataFrame:
-    """How far the end of each trajectory moves if a bias is put on one axis: every segment meets every perturbation of a fixed list, and is run for each."""
+def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURBATIONS_RPS, accel=P.ACCEL_PERTURBATIONS_MPS2, max_step: float = P.MAX_INTEGRATION_STEP_S) -> DataFrame:
+    """How far the end of each trajectory moves if a bias is put on one axis of one sensor: a row per segment and case of a fixed list.
+
+    A segment is shipped once and walked once, for all cases side by side as lanes of arrays, the first being the one without a bias.
+    """
     kind = dict(df.dtypes)[key]
     grid = [("gyro", i, float(m)) for m in gyro for i in range(3)] + [("accel", i, float(m)) for m in accel for i in range(3)]
-    cases = F.explode(F.array(*[F.struct(F.lit(s).alias("sensor"), F.lit(i).alias("axis"), F.lit(m).alias("magnitude")) for s, i, m in grid])).alias("c")
-    rows = df.select("*", cases).select(*df.columns, "c.sensor", "c.axis", "c.magnitude")
+    off = {s: np.array([[0.0] * 3] + [[m if s == sensor and i == axis else 0.0 for i in range(3)] for sensor, axis, m in grid]) for s in ("gyro", "accel")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_s", kind="stable")
         t, force, rate = pdf["t_s"].to_numpy(float), _triple(pdf, "force"), _triple(pdf, "gyro")
-        d = np.zeros(3)
-        d[int(pdf["axis"].iloc[0])] = float(pdf["magnitude"].iloc[0])
-        which = pdf["sensor"].iloc[0]
-        ends = []
-        for bias in (None, d):
-            s = State(t[0], np.array([0.0, 0.0, 0.0, 1.0]), np.zeros(3), np.zeros(3))
-            for i in range(1, len(t)):
-                s, _ = advance(s, t[i], force[i], rate[i], gyro_bias=bias if which == "gyro" else None, accel_bias=bias if which == "accel" else None)
-            ends.append(s.p)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "sensor": which, "axis": int(pdf["axis"].iloc[0]), "magnitude": float(pdf["magnitude"].iloc[0]), "divergence_m": float(np.linalg.norm(ends[1] - ends[0]))}])
-
-    return rows.groupBy(key, "sensor", "axis", "magnitude").applyInPandas(run, f"{key} {kind}, sensor string, axis int, magnitude double, divergence_m double")
+        q, v, p = np.tile([0.0, 0.0, 0.0, 1.0], (len(grid) + 1, 1)), np.zeros((len(grid) + 1, 3)), np.zeros((len(grid) + 1, 3))
+        before, now = np.full(v.shape, np.nan), t[0]
+        for i in range(1, len(t)):
+            dt = t[i] - now
+            now = t[i] if np.isfinite(dt) else now
+            if not 0 < dt <= max_step:
+                before[:] = np.nan
+                continue
+            f, w = force[i] - off["accel"], rate[i] - off["gyro"]
+            with np.errstate(invalid="ignore"):
+                good = (np.linalg.norm(f, axis=1) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2) & (np.linalg.norm(w, axis=1) <= P.MAX_PLAUSIBLE_RATE_RPS)
+            q = np.where(good[:, None], multiply(q, spin(np.where(good[:, None], w, 0.0) * dt)), q)
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            a = turn(q, f) - [0.0, 0.0, P.STANDARD_GRAVITY_MPS2]
+            dv = np.where(good[:, None], 0.5 * (np.where(np.isnan(before), a, before) + a) * dt, 0.0)
+            p, v = p + np.where(good[:, None], (v + 0.5 * dv) * dt, 0.0), v + dv
+            before = np.where(good[:, None], a, np.nan)
+        moved = np.linalg.norm(p[1:] - p[0], axis=1)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(grid), "sensor": [g[0] for g in grid], "axis": [g[1] for g in grid], "magnitude": [g[2] for g in grid], "divergence_m": moved})
+
+    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, sensor string, axis int, magnitude double, divergence_m double")

@@ -1,15 +1,13 @@
-"""Queries with recurrences: each runs on generated recordings and compares with their known truth, so SQL states what must come out."""
+"""Queries with recurrences and lag searches over recordings made of events; SQL walks their samples one after the other."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import alignment, lags, scans
-from ..operators import generators as GN
+from .. import params as P
+from ..operators import alignment, attitude, lags, propagation, scans
 from .common import E_SQL, events, r, rounded, rs
 
 QUERIES: dict = {}
@@ -26,17 +24,73 @@ def query(sql: str | None = None):
     return add
 
 
-def _off(a: str, b: str):
-    return F.sqrt(sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+def _stage(source: str, **columns: str) -> str:
+    """A subquery that adds columns, so that each step of a formula is computed once."""
+    return f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM {source})"
+
+
+def _turned(source: str, q: str, v: str, out: str) -> str:
+    """Adds out_x, _y, _z: the vector columns v turned by the quaternion columns q."""
+    x, y, z = (f"{v}{c}" for c in "xyz")
+    source = _stage(source, **{f"{out}tx": f"2*({q}y*{z}-{q}z*{y})", f"{out}ty": f"2*({q}z*{x}-{q}x*{z})", f"{out}tz": f"2*({q}x*{y}-{q}y*{x})"})
+    a = f"{out}t"
+    return _stage(source, **{f"{out}x": f"{x}+{q}w*{a}x+{q}y*{a}z-{q}z*{a}y", f"{out}y": f"{y}+{q}w*{a}y+{q}z*{a}x-{q}x*{a}z", f"{out}z": f"{z}+{q}w*{a}z+{q}x*{a}y-{q}y*{a}x"})
+
+
+def _product(source: str, a: str, b: str, out: str) -> str:
+    """Adds the unit quaternion a b."""
+    source = _stage(source, **{
+        f"{out}rx": f"{a}w*{b}x+{b}w*{a}x+{a}y*{b}z-{a}z*{b}y", f"{out}ry": f"{a}w*{b}y+{b}w*{a}y+{a}z*{b}x-{a}x*{b}z",
+        f"{out}rz": f"{a}w*{b}z+{b}w*{a}z+{a}x*{b}y-{a}y*{b}x", f"{out}rw": f"{a}w*{b}w-{a}x*{b}x-{a}y*{b}y-{a}z*{b}z",
+    })
+    source = _stage(source, **{f"{out}n": f"sqrt({'+'.join(f'{out}r{c}*{out}r{c}' for c in 'xyzw')})"})
+    return _stage(source, **{f"{out}{c}": f"{out}r{c}/{out}n" for c in "xyzw"})
+
+
+def _spin(source: str, v: str, out: str) -> str:
+    """Adds the quaternion of the rotation vector v."""
+    source = _stage(source, **{f"{out}a": f"sqrt({'+'.join(f'{v}{c}*{v}{c}' for c in 'xyz')})"})
+    source = _stage(source, **{f"{out}k": f"CASE WHEN {out}a < 1e-12 THEN 0.5 ELSE sin({out}a/2)/{out}a END"})
+    return _stage(source, **{f"{out}{c}": f"{v}{c}*{out}k" for c in "xyz"}, **{f"{out}w": f"cos({out}a/2)"})
 
 
-@query("SELECT * FROM (VALUES ('constant_acceleration', 501, true), ('constant_velocity', 501, true), ('irregular', 501, true), ('pure_rotation', 501, true), ('stationary', 1001, true), ('tilted', 501, true)) v(segment_id, n, exact)")
+STATE = ("k", "i", "c", "t", *[f"q{a}" for a in "xyzw"], *[f"v{a}" for a in "xyz"], *[f"p{a}" for a in "xyz"], *[f"a{a}" for a in "xyz"], "flags")
+MEASURED_SQL = """r AS MATERIALIZED (SELECT k, i, i * 0.1::DOUBLE + CASE WHEN i >= 30 THEN 2.0::DOUBLE ELSE 0 END AS t, CASE WHEN event_id % 41 > 0 THEN x / 100 END AS fx, (event_id % 9 - 4) / 10.0::DOUBLE AS fy, 9.80665::DOUBLE AS fz,
+  (event_id % 7 - 3) / 10.0::DOUBLE AS wx, (event_id % 5 - 2) / 8.0::DOUBLE AS wy, (event_id % 11 - 5) / 20.0::DOUBLE AS wz FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) - 1 AS i FROM e))"""
+
+
+def _strapdown(cases: str) -> str:
+    """m: the states of each recording and case (c, bias of the rates bw, bias of the forces bf), step by step."""
+    s = f"""(SELECT r.k, r.i, m.c, r.t, r.t - m.t AS dt, CASE WHEN r.t - m.t > 0.5 THEN 16 WHEN r.fx IS NULL THEN 32 ELSE 0 END AS fl, {', '.join(f'r.w{a} - b.bw{a} AS w{a}, r.f{a} - b.bf{a} AS f{a}, m.v{a}, m.p{a}, m.a{a}' for a in 'xyz')}, m.qx, m.qy, m.qz, m.qw
+      FROM m JOIN r ON r.k = m.k AND r.i = m.i + 1 JOIN ({cases}) b ON b.c = m.c)"""
+    s = _product(_spin(_stage(s, **{f"s{a}": f"w{a}*dt" for a in "xyz"}), "s", "d"), "q", "d", "h")
+    s = _stage(s, **{f"u{a}": f"CASE WHEN fl = 0 THEN h{a} ELSE q{a} END" for a in "xyzw"})
+    s = _stage(_turned(s, "u", "f", "g"), nx="gx", ny="gy", nz="gz - 9.80665")
+    s = _stage(s, **{f"e{a}": f"CASE WHEN fl = 0 THEN 0.5*(coalesce(a{a}, n{a}) + n{a})*dt ELSE 0 END" for a in "xyz"})
+    step = f"SELECT k, i, c, t, ux, uy, uz, uw, {', '.join(f'v{a} + e{a}' for a in 'xyz')}, {', '.join(f'p{a} + CASE WHEN fl = 0 THEN (v{a} + 0.5*e{a})*dt ELSE 0 END' for a in 'xyz')}, {', '.join(f'CASE WHEN fl = 0 THEN n{a} END' for a in 'xyz')}, fl FROM {s}"
+    zero = ", ".join(["0.0::DOUBLE"] * 3)
+    return f"m({', '.join(STATE)}) AS (SELECT k, i, c, t, {zero}, 1.0::DOUBLE, {zero}, {zero}, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0 FROM r, ({cases}) WHERE i = 0 UNION ALL {step})"
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """Each user as a recording of ten rows a second, with turns, a gap after three seconds and samples that a sensor lost."""
+    w = W.partitionBy("k").orderBy("t", "event_id")
+    rows = events(spark, d).withColumn("i", F.row_number().over(w) - 1)
+    axes = {"force_x": F.when(F.col("event_id") % 41 > 0, F.col("x") / 100), "force_y": (F.col("event_id") % 9 - 4) / 10.0, "force_z": F.lit(9.80665)}
+    axes |= {"gyro_x": (F.col("event_id") % 7 - 3) / 10.0, "gyro_y": (F.col("event_id") % 5 - 2) / 8.0, "gyro_z": (F.col("event_id") % 11 - 5) / 20.0}
+    return rows.select("k", "i", (F.col("i") * 0.1 + F.when(F.col("i") >= 30, 2.0).otherwise(0.0)).alias("t_s"), *[c.alias(n) for n, c in axes.items()])
+
+
+_NO_BIAS = "SELECT 0 AS c, " + ", ".join(f"0.0::DOUBLE AS b{s}{a}" for s in "wf" for a in "xyz")
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {MEASURED_SQL}, {_strapdown(_NO_BIAS)}
+SELECT k, i, {', '.join(f"{rs(f'v{a}')} AS v_{a}, {rs(f'p{a}')} AS p_{a}" for a in 'xyz')}, {', '.join(f"{rs(f'q{a}')} AS q_{a}" for a in 'xyzw')}, flags FROM m""")
 def gyro_mechanize(spark: SparkSession, d: str) -> DataFrame:
-    """Six recordings whose trajectories have a closed form: the propagated positions must be exact to 1e-6 m."""
-    truth = reduce(DataFrame.unionByName, [f(spark) for f in GN.FIXTURES])
-    out = scans.mechanize(truth).select("segment_id", "t_s", *[f"p_{c}" for c in "xyz"])
-    both = out.join(truth.select("segment_id", "t_s", *[f"true_p_{c}" for c in "xyz"]), ["segment_id", "t_s"])
-    return both.groupBy("segment_id").agg(F.count("*").cast("int").alias("n"), (F.max(_off("p", "true_p")) < 1e-6).alias("exact"))
+    """Strapdown propagation of every user's recording with its gyroscope, in blocks of a second; SQL walks the samples one after the other."""
+    out = propagation.mechanize(measured(spark, d), "k", ["i"], block_s=1.0)
+    names = [*[f"{p}_{a}" for p in "vp" for a in "xyz"], *[f"q_{a}" for a in "xyzw"]]
+    return rounded(out.select("k", "i", *names, "flags"), *names)
 
 
 def driven(spark: SparkSession, d: str) -> DataFrame:
@@ -141,28 +195,68 @@ def residual_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lags.residual_lag(track, ref, "k", "t", block_s=30.0), "lag_s", "correlation", "zero_correlation", "margin")
 
 
-@query("SELECT * FROM (VALUES ('level', 2801, true), ('tilted', 2801, true)) v(segment_id, n, level)")
+def _attitude() -> str:
+    """m: the attitude of each recording, step by step."""
+    s = """(SELECT r.k, r.i, r.t, r.t - m.t AS dt, o.wx, o.wy, o.wz, r.ax, r.ay, r.az, r.n, m.qx, m.qy, m.qz, m.qw,
+      CASE WHEN r.t - m.t > 0.5 OR o.wx IS NULL THEN 2 WHEN sqrt(o.wx*o.wx + o.wy*o.wy + o.wz*o.wz) > 35 THEN 3 ELSE 1 END AS kind, coalesce(abs(r.n - 9.80665) <= 0.5, false) AS calm
+      FROM m JOIN r ON r.k = m.k AND r.i = m.i + 1 JOIN r o ON o.k = m.k AND o.i = m.i)"""
+    s = _product(_spin(_stage(s, **{f"s{a}": f"CASE WHEN kind = 1 THEN w{a}*dt ELSE 0 END" for a in "xyz"}), "s", "d"), "q", "d", "h")
+    s = _turned(_stage(s, **{f"l{a}": f"a{a}/n" for a in "xyz"}), "h", "l", "g")
+    s = _stage(s, pn="sqrt(gx*gx + gy*gy + (1+gz)*(1+gz))")  # the shortest turn of g to up: (gy, -gx, 0, 1 + gz), made a unit
+    s = _stage(s, an="sqrt(gx*gx + gy*gy)/pn", aw="(1+gz)/pn")
+    s = _stage(s, f="2*atan2(an, aw)*least(1.0, 0.5*least(dt, 0.5))")
+    s = _spin(_stage(s, yx="CASE WHEN an < 1e-12 THEN 0 ELSE gy/pn/an*f END", yy="CASE WHEN an < 1e-12 THEN 0 ELSE -gx/pn/an*f END", yz="0.0"), "y", "j")
+    s = _product(s, "j", "h", "z")
+    step = f"SELECT k, i, t, {', '.join(f'CASE WHEN calm THEN z{a} ELSE h{a} END' for a in 'xyzw')}, calm, kind FROM {s}"
+    return f"m(k, i, t, qx, qy, qz, qw, calm, kind) AS (SELECT r.k, i, t, coalesce(uy/un, 0), coalesce(-ux/un, 0), 0.0::DOUBLE, coalesce((1+uz)/un, 1), false, 0 FROM r JOIN g USING (k) WHERE i = 0 UNION ALL {step})"
+
+
+def worn(spark: SparkSession, d: str) -> DataFrame:
+    """Each user as a phone at ten rows a second: what it feels is tilted and shaken by the values, its gyroscope saturates and drops out now and then, and a gap comes after three seconds; users of even number have a gravity channel."""
+    w = W.partitionBy("k").orderBy("t", "event_id")
+    rows = events(spark, d).withColumn("i", F.row_number().over(w) - 1)
+    odd = F.when(F.col("event_id") % 53 == 0, 1000.0).otherwise(1.0)
+    rate = lambda c: F.when(F.col("event_id") % 37 > 0, c * odd)
+    axes = {"accel_x": (F.col("event_id") % 13 - 6) / 5.0 + 1.5, "accel_y": F.when(F.col("event_id") % 43 > 0, F.lit(5.88399)), "accel_z": 7.7 + F.col("x") / 200}
+    axes |= {"gyro_x": rate((F.col("event_id") % 7 - 3) / 10.0), "gyro_y": rate((F.col("event_id") % 5 - 2) / 8.0), "gyro_z": rate((F.col("event_id") % 11 - 5) / 20.0)}
+    axes |= {f"gravity_{a}": F.when(F.col("k") % 2 == 0, c) for a, c in (("x", (F.col("event_id") % 3 - 1) / 10.0), ("y", F.lit(5.88399)), ("z", F.lit(7.84532)))}
+    return rows.select("k", "i", (F.col("i") * 0.1 + F.when(F.col("i") >= 30, 2.0).otherwise(0.0)).alias("t_s"), *[c.alias(n) for n, c in axes.items()])
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) - 1 AS i, CASE WHEN event_id % 53 = 0 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS odd FROM e),
+v AS (SELECT k, i, i * 0.1::DOUBLE + CASE WHEN i >= 30 THEN 2.0::DOUBLE ELSE 0 END AS t, (event_id % 13 - 6) / 5.0::DOUBLE + 1.5 AS ax, CASE WHEN event_id % 43 > 0 THEN 5.88399::DOUBLE END AS ay, 7.7::DOUBLE + x / 200 AS az,
+  CASE WHEN event_id % 37 > 0 THEN (event_id % 7 - 3) / 10.0::DOUBLE * odd END AS wx, CASE WHEN event_id % 37 > 0 THEN (event_id % 5 - 2) / 8.0::DOUBLE * odd END AS wy, CASE WHEN event_id % 37 > 0 THEN (event_id % 11 - 5) / 20.0::DOUBLE * odd END AS wz,
+  (event_id % 3 - 1) / 10.0::DOUBLE AS cx, k % 2 = 0 AS ch FROM b),
+r AS MATERIALIZED (SELECT *, sqrt(ax*ax + ay*ay + az*az) AS n, sqrt(cx*cx + 5.88399::DOUBLE*5.88399 + 7.84532::DOUBLE*7.84532) AS cn FROM v),
+pick AS (SELECT k, CASE WHEN count(*) FILTER (ch) >= 20 THEN 'c' WHEN count(wx) > 0 THEN 'w' ELSE 's' END AS pick FROM r GROUP BY k),
+own AS (SELECT r.k, CASE WHEN pick = 'c' THEN cx ELSE ax END AS x, CASE WHEN pick = 'c' THEN 5.88399::DOUBLE ELSE ay END AS y, CASE WHEN pick = 'c' THEN 7.84532::DOUBLE ELSE az END AS z, CASE WHEN pick = 'c' THEN cn ELSE n END AS n
+  FROM r JOIN pick USING (k) WHERE CASE pick WHEN 'c' THEN ch WHEN 'w' THEN abs(n - 9.80665) <= 0.5 AND sqrt(wx*wx + wy*wy + wz*wz) <= 0.1 ELSE abs(n - 9.80665) <= 0.5 END),
+mean AS (SELECT k, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM own GROUP BY k HAVING count(*) >= 20),
+u AS (SELECT k, x / sqrt(x*x + y*y + z*z) AS ux, y / sqrt(x*x + y*y + z*z) AS uy, z / sqrt(x*x + y*y + z*z) AS uz FROM mean),
+conf AS (SELECT k, greatest(0, least(1, 1 - sqrt(avg(acos(greatest(-1, least(1, (x*ux + y*uy + z*uz) / n))) ** 2)) / 0.35)) * greatest(0, least(1, 1 - abs(avg(n) - 9.80665) / (0.2 * 9.80665))) * (0.5 + 0.5 * least(1, count(*) / 200.0::DOUBLE)) AS gc FROM own JOIN u USING (k) GROUP BY k),
+g AS (SELECT k, ux, uy, uz, sqrt(ux*ux + uy*uy + (1+uz)*(1+uz)) AS un, least(0.5, coalesce(gc, 0) * CASE WHEN has THEN 1 ELSE 0.5 END) AS confidence FROM (SELECT k, count(wx) > 0 AS has FROM r GROUP BY k) LEFT JOIN u USING (k) LEFT JOIN conf USING (k)),
+{_attitude()}
+SELECT m.k, i, {', '.join(f"{rs(f'q{a}')} AS q_{a}" for a in 'xyzw')}, {rs('confidence')} AS confidence, calm AS level_corrected, false AS heading_corrected, CASE kind WHEN 0 THEN 'none' WHEN 1 THEN 'integrated' WHEN 2 THEN 'skipped' ELSE 'saturated' END AS step FROM m JOIN g USING (k)""")
 def orientation_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Attitude of a phone at rest and on the road: its up direction must stay within 10 degrees of the truth on average; braking tilts what is felt by up to 13."""
-    a = GN.drive(spark, "level", sigma=0.01)
-    b = GN.drive(spark, "tilted", (0.25881904510252074, 0.0, 0.0, 0.9659258262890683), sigma=0.01)
-    rows = a.unionByName(b)
-    q = scans.orientation(rows)
-    up = (2 * (F.col("q_x") * F.col("q_z") - F.col("q_y") * F.col("q_w")), 2 * (F.col("q_y") * F.col("q_z") + F.col("q_x") * F.col("q_w")), 1 - 2 * (F.col("q_x") ** 2 + F.col("q_y") ** 2))
-    both = q.join(rows.select("segment_id", "t_s", *[f"gravity_{c}" for c in "xyz"]), ["segment_id", "t_s"])
-    cosine = sum((u * F.col(f"gravity_{c}") for u, c in zip(up, "xyz", strict=True)), F.lit(0.0)) / 9.80665
-    off = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    return both.groupBy("segment_id").agg(F.count("*").cast("int").alias("n"), (F.avg(off) < 10.0).alias("level"))
-
-
-@query("""
-SELECT 'stationary' AS segment_id, 'accel' AS sensor, axis, magnitude, (round(magnitude * 200.0, 4) + 0.0) AS divergence_m FROM (VALUES (0), (1), (2)) a(axis), (VALUES (0.005::DOUBLE), (0.02), (0.05), (0.1)) m(magnitude)
-UNION ALL SELECT 'stationary', 'gyro', axis, magnitude, CASE WHEN axis = 2 THEN 0.0::DOUBLE ELSE (round(9.80665 * sqrt((20 / magnitude - sin(20 * magnitude) / magnitude ** 2) ** 2 + (200 - (1 - cos(20 * magnitude)) / magnitude ** 2) ** 2), 1) + 0.0) END
-FROM (VALUES (0), (1), (2)) a(axis), (VALUES (0.001::DOUBLE), (0.005), (0.01), (0.02)) m(magnitude)""")
+    """Attitude of every sample of every user's recording, from its gravity estimate on; SQL walks the samples one after the other."""
+    out = attitude.orientation(worn(spark, d), "k", ["i"], gyro="gyro", gravity="gravity")
+    names = [*[f"q_{a}" for a in "xyzw"], "confidence"]
+    return rounded(out.select("k", "i", *names, "level_corrected", "heading_corrected", "step"), *names)
+
+
+_CASES = " UNION ALL ".join([_NO_BIAS] + [
+    f"SELECT {1 + n} AS c, " + ", ".join(f"{m if s == sensor and a == axis else 0.0}::DOUBLE AS b{s}{a}" for s in "wf" for a in "xyz")
+    for n, (sensor, axis, m) in enumerate([("w", a, m) for m in P.GYRO_PERTURBATIONS_RPS for a in "xyz"] + [("f", a, m) for m in P.ACCEL_PERTURBATIONS_MPS2 for a in "xyz"])
+])
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {MEASURED_SQL}, {_strapdown(_CASES)}, last AS (SELECT k, max(i) AS i FROM r GROUP BY k), ends AS (SELECT m.k, c, px, py, pz FROM m JOIN last USING (k, i))
+SELECT b.k, CASE WHEN b.c <= 12 THEN 'gyro' ELSE 'accel' END AS sensor, ((b.c - 1) % 3)::INTEGER AS axis,
+  ([{', '.join(f'{m}::DOUBLE' for m in (*P.GYRO_PERTURBATIONS_RPS, *P.ACCEL_PERTURBATIONS_MPS2))}])[(b.c - 1) // 3 + 1] AS magnitude, {rs('sqrt((b.px-a.px)**2 + (b.py-a.py)**2 + (b.pz-a.pz)**2)')} AS divergence_m
+FROM ends b JOIN ends a ON a.k = b.k AND a.c = 0 WHERE b.c > 0""")
 def bias_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """At rest for 20 s, a bias b of an accelerometer moves the end by b t^2 / 2; a gyroscope's turns gravity by b t, about the vertical by nothing that is felt. The closed form of the turn is met to a decimetre (of up to 270 m)."""
-    out = scans.bias_sensitivity(GN.stationary(spark))
-    return out.select("segment_id", "sensor", "axis", "magnitude", F.when(F.col("sensor") == "gyro", r("divergence_m", 1)).otherwise(r("divergence_m", 4)).alias("divergence_m"))
+    """How far the end of every user's trajectory moves for each bias of a fixed list; SQL walks each case by itself."""
+    return rounded(scans.bias_sensitivity(measured(spark, d), "k"), "divergence_m")
 
 
 @query()
