@@ -70,6 +70,7 @@ def test_canonical(spark, root, rows):
     assert by["V-S1.csv"][3] == pytest.approx(41.9 / 3.6) and by["V-S1.csv"][5] == pytest.approx(110.0)
     same = rows.where("source_file LIKE '%S-G_.csv'").select("payload_hash", "segment_id").distinct().count()
     assert same == 2  # both files have the same rows
+    assert by["V-S1.csv"][2] & FL.QUALITY["MISSING_SENSOR"] and by["S-S1.csv"][2] & FL.QUALITY["MISSING_SENSOR"]  # neither has a magnetometer
     stale = rows.where("source_file LIKE '%S-G1.csv'").where(F.col("gnss_stale_duration_s") > 2).count()
     assert stale > 0
 
@@ -101,3 +102,34 @@ def test_manifest_and_absent_columns(spark, tmp_path):
     df = spark.createDataFrame([("1.5", "x")], "latitude string, other string")
     (r,) = raw.conform(df, "vehicle").collect()
     assert (r.latitude, r.ref_speed_mps, r.gnss_fix_available, r.quality_flags) == (1.5, None, None, 0) and "other" not in r
+
+
+def test_a_file_of_several_ranges(spark, tmp_path):
+    """Ranges of 4 kB give the same lines, numbers, digests and rows as one range; ends of line of both kinds, none at the end, blank lines and quoted fields."""
+    top = tmp_path / "long"
+    top.mkdir()
+    body = [phone_row(i) for i in range(900)]
+    body[7], body[400] = "", body[400].replace("3,", '"3",', 1)
+    texts = {"S-L1.csv": "\r\n".join([PHONE.format("X", "Y", "Z"), *body]), "S-L2.csv": "\n".join([PHONE.format("X", "Y", "Z"), *body]) + "\n", "S-L3.csv": PHONE.format("X", "Y", "Z") + "\n"}
+    for name, text in texts.items():
+        (top / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = raw.canonical(spark, str(top)).toPandas()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = raw.lines(spark, str(top))
+        assert found.select("source_file", "line_no").distinct().count() == found.count()
+        got = {r.source_file: r["ls"] for r in found.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")).collect()}
+        assert spark.read.text(str(top)).rdd.getNumPartitions() > 10
+        for name, text in texts.items():
+            want = text.encode().decode("iso-8859-1").removesuffix("\n").split("\n")
+            assert [r.line_no for r in got[name]] == list(range(len(want))) and [r.line for r in got[name]] == want
+        for r in raw.digests(found).collect():
+            data = texts[r.source_file].encode()
+            assert (r.file_hash, r.payload_hash) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(data.split(b"\n", 1)[1]).hexdigest())
+        parts = raw.canonical(spark, str(top)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = ["source_file", "row_idx"]
+    a, b = (x.sort_values(key).reset_index(drop=True) for x in (whole, parts))
+    assert len(a) == 2 * 899 and a.astype(str).equals(b.astype(str)) and a["gnss_accuracy_m"].tolist() == [3.0] * len(a)

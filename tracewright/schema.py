@@ -26,8 +26,10 @@ ROLE_FIELDS: tuple[tuple[str, str, float], ...] = (
     ("coolant_temperature", "ref_coolant_temp_c", 1.0), ("air_temperature", "ref_air_temp_c", 1.0), ("sample_period_s", "ref_sample_period_s", 1.0),
 )
 VEHICLE = tuple(f for _, f, _ in ROLE_FIELDS if f.startswith("ref_"))
-#: Patterns for headers that the role table doesn't know; the raw axes may be named either way.
+#: Fixed values of the format: patterns for headers that the role table doesn't know; the raw axes may be named either way.
 ALIASES = ((r"^GYROSCOPE\s*(X|YAW)\b", "gyro_yaw"), (r"^GYROSCOPE\s*(Y|PITCH)\b", "gyro_pitch"), (r"^GYROSCOPE\s*(Z|ROLL)\b", "gyro_roll"), (r"^ORIENTATION\s*\(\s*(YAW|AZIMUTH)", "orientation_yaw"))
+#: Roles without which a recording lacks a sensor that features are made of.
+NEEDED = (*[f"{s}_{a}" for s in ("accel", "mag", "gravity") for a in "xyz"], "gyro_yaw", "gyro_pitch", "gyro_roll", "orientation_pitch", "orientation_roll", "gnss_latitude", "gnss_longitude", "gnss_accuracy")
 AVAILABILITY = {
     "has_accel": ("accel_x", "accel_y", "accel_z"), "has_gyro": ("gyro_x", "gyro_y", "gyro_z"), "has_mag": ("mag_x", "mag_y", "mag_z"), "has_gravity": ("gravity_x", "gravity_y", "gravity_z"),
     "has_orientation": ("orientation_yaw", "orientation_pitch", "orientation_roll"), "has_position": ("latitude", "longitude"), "has_reference_speed": ("ref_speed_mps",),

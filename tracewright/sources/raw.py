@@ -1,12 +1,18 @@
 """Raw recordings: inventory, headers, and rows in canonical form.
 
-Files are read once as binary (so that row order, hashes and encodings are exact) and everything else is expressions. The fields of a row are an array; a map
-from role to position, made from the file's own header, picks them, so all header variants are read by one plan.
+Files are read once, by byte ranges, line by line without a change of a byte (so that row order, hashes and encodings are exact), and everything else is expressions. The fields of a row are an array; a map
+from role to position, made from the file's own header, picks them, so all header variants are read by one plan. A quoted field may hold commas, but no end of line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -15,6 +21,7 @@ from ..functions import flags as FL
 from ..functions import geodesy as G
 from ..functions import text as TX
 from ..operators import ordered, timeline
+from ..operators.store import Tables
 
 
 def _files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -61,9 +68,79 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.withColumn("text", text).withColumn("header", F.rtrim(F.substring_index("text", "\n", 1), F.lit("\r")))
 
 
+def _name(path, root: str):
+    """Path below the root of a file's URI."""
+    base = root.rstrip("/").split("://")[-1].replace("file:", "")
+    plain = F.when(path.contains("%"), F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+    return F.element_at(F.split(plain, F.lit(re.escape(base.rsplit("/", 1)[-1]) + "/"), 2), -1)
+
+
+def lines(spark: SparkSession, root: str, glob: str = "*.csv", tables: Tables | None = None) -> DataFrame:
+    """(source_file, line_no, line, size_bytes): the lines of all files, in ISO-8859-1 so that every byte survives, with their numbers from 0.
+
+    Files are cut into byte ranges as the reader packs them, whatever their size, and read once: a line is stored with its range and its place in it, and its number is that place plus the lines of the ranges before, by prefix sums over a table of one row per range.
+    """
+    tables = tables or Tables(spark, "lines")
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+    read = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size_bytes"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.monotonically_increasing_id().alias("at"))
+    kept, _ = tables.keep(read)
+    ranges = kept.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ranges = ranges.withColumn("before", F.sum("n").over(W.partitionBy("path").orderBy("start")) - F.col("n")).select("path", "start", (F.col("before") - F.col("first")).alias("shift"))
+    met = kept.join(ranges, ["path", "start"])
+    return met.select(_name(F.col("path"), root).alias("source_file"), (F.col("at") + F.col("shift")).alias("line_no"), "line", "size_bytes")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """(source_file, file_hash, payload_hash): SHA-256 of each file and of what follows its first line, from its lines. A file's lines pass one task in order and none is held there, so files of any size have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, whole, rest, length, size = None, hashlib.sha256(), hashlib.sha256(), 0, 0
+
+        def ended() -> tuple[str, str, str]:
+            if length == size:  # the last line has an end too
+                whole.update(b"\n")
+                if several:
+                    rest.update(b"\n")
+            return at, whole.hexdigest(), rest.hexdigest()
+
+        several = False
+        for b in batches:
+            out = []
+            for name, number, line, bytes_ in zip(*(b.column(c).to_pylist() for c in ("source_file", "line_no", "line", "size_bytes")), strict=True):
+                if name != at:
+                    if at is not None:
+                        out.append(ended())
+                    at, whole, rest, length, size, several = name, hashlib.sha256(), hashlib.sha256(), 0, bytes_, False
+                raw = line.encode("iso-8859-1")
+                whole.update(raw if number == 0 else b"\n" + raw)
+                if number:
+                    rest.update(raw if number == 1 else b"\n" + raw)
+                    several = True
+                length += len(raw) + 1
+            yield _three(out)
+        if at is not None:
+            yield _three([ended()])
+
+    ordered_ = rows.repartition("source_file").sortWithinPartitions("source_file", "line_no")
+    return ordered_.select("source_file", "line_no", "line", "size_bytes").mapInArrow(run, "source_file string, file_hash string, payload_hash string")
+
+
+def _three(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["source_file", "file_hash", "payload_hash"])
+
+
+def fields(line) -> Column:
+    """Fields of a line: what stands between commas, but for those in double quotes; quotes around a field go, doubled ones inside are one."""
+    plain = F.split(line, ",")
+    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    bare = lambda x: F.when(F.trim(x).rlike('^".*"$'), F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.when(F.instr(line, F.lit('"')) > 0, F.transform(parts, bare)).otherwise(plain)
+
+
 def headers(files: DataFrame) -> DataFrame:
     """(source_file, i, raw, name, unit, role) of every column."""
-    cols = _lines(files).select("source_file", F.posexplode(F.split("header", ",")).alias("i", "raw"))
+    files = files if "header" in files.columns else _lines(files)
+    cols = files.select("source_file", F.posexplode(fields(F.col("header"))).alias("i", "raw"))
     named = TX.normalized(F.col("raw"))
     role = TX.role(F.col("raw"))
     for pattern, value in S.ALIASES:
@@ -82,20 +159,22 @@ def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple:
 
     row_idx is a row's position: that of the file, but for segments with a step back in time, whose rows are sorted by time.
     """
-    files = _files(spark, root, glob)
+    tables = Tables(spark, "canonical")
+    every = lines(spark, root, glob, tables)
+    head = every.where("line_no < 512").groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("top"))
+    head = head.select("source_file", F.rtrim(F.get("top", F.lit(0))["line"], F.lit("\r")).alias("header"), F.encode(F.substring(F.array_join(F.transform("top", lambda x: x["line"]), "\n"), 1, P.HEADER_PROBE_BYTES), "ISO-8859-1").alias("probe"))
+    head, _ = tables.keep(head)
     stream, session = TX.stream_and_session(F.element_at(F.split("source_file", "/"), -1))
-    enc, warned = encoding(F.col("content"))
-    payload = F.encode(F.when(F.instr("text", F.lit("\n")) > 0, F.substring(F.col("text"), F.instr("text", F.lit("\n")) + 1, F.length("text"))).otherwise(F.lit("")), "ISO-8859-1")
-    base = _lines(files).select(
-        "source_file", TX.family(F.col("source_file")).alias("dataset_family"), stream.alias("stream"), session.alias("session_id"), F.sha2("content", 256).alias("file_hash"), F.sha2(payload, 256).alias("payload_hash"),
-        warned.alias("encoding_warning"), F.filter(F.split("header", ","), lambda x: F.trim(x) != "").alias("names"), "text",
-    )
+    enc, warned = encoding(F.col("probe"))
+    hashes, _ = tables.keep(digests(every))
+    base = head.select("source_file", TX.family(F.col("source_file")).alias("dataset_family"), stream.alias("stream"), session.alias("session_id"), warned.alias("encoding_warning"), F.filter(fields(F.col("header")), lambda x: F.trim(x) != "").alias("names"))
+    base = base.join(hashes, "source_file")
     # The first header with a role stands for it; one small map per file.
-    cat = headers(files)
+    cat = headers(head)
     maps = cat.groupBy("source_file", "role").agg(F.min(F.struct("i", "unit")).alias("m")).groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("role", "m"))).alias("roles"))
-    rows = base.join(maps, "source_file").select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).drop("text")
-    rows = rows.where((F.col("line_no") > 0) & (F.trim(F.rtrim("line", F.lit("\r"))) != "")).withColumn("row_idx", F.col("line_no") - 1)
-    rows = rows.withColumn("f", F.split(F.rtrim("line", F.lit("\r")), ",")).drop("line", "line_no")
+    facts, _ = tables.keep(base.join(maps, "source_file"))
+    rows = every.where("line_no > 0").select("source_file", "line_no", F.rtrim("line", F.lit("\r")).alias("line")).where(F.trim("line") != "").join(facts, "source_file")
+    rows = rows.withColumn("row_idx", F.col("line_no") - 1).withColumn("f", fields(F.col("line"))).drop("line", "line_no")
     # A column too many, one certain column always empty and something in the last one: the values are shifted from there on.
     at = P.SHIFT_INDEX
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
@@ -109,9 +188,9 @@ def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple:
     day_s, stamp = TX.colon_millis(F.coalesce(raw("datetime_string"), F.lit("")))
     in_use, in_view = TX.ratio(raw("gnss_satellites"))
     km = F.upper(F.coalesce(F.col("roles")["altitude"]["unit"], F.lit(""))) == "KM"
-    fields = {field: num(role, k) for role, field, k in S.ROLE_FIELDS}
+    mapped = {field: num(role, k) for role, field, k in S.ROLE_FIELDS}
     out = rows.select(
-        *["source_file", "dataset_family", "stream", "session_id", "file_hash", "payload_hash", "row_idx", "encoding_warning", "shifted"], *[c.alias(n) for n, c in fields.items()],
+        *["source_file", "dataset_family", "stream", "session_id", "file_hash", "payload_hash", "row_idx", "encoding_warning", "shifted"], *[c.alias(n) for n, c in mapped.items()],
         F.coalesce(num("gnss_altitude"), F.when(km, num("altitude", P.KM_TO_M)).otherwise(num("altitude"))).alias("altitude_m"), raw("gnss_satellites").alias("gnss_satellites_raw"),
         in_use.alias("gnss_satellites_in_use"), in_view.alias("gnss_satellites_in_view"), F.coalesce(num("time_since_start_ms", 1e-3), num("time_of_day_s")).alias("source_time_s"),
         F.coalesce(day_s, num("time_of_day_s")).alias("time_of_day_s"), stamp.alias("timestamp_utc"), day_s.alias("__wall"), num("time_of_day_s").alias("__tod"), num("time_since_start_ms", 1e-3).alias("__elapsed"),
@@ -129,9 +208,7 @@ def canonical(spark: SparkSession, root: str, glob: str = "*.csv", gap_multiple:
     out = timeline.duplicate_times(out, key, "t_us").withColumn("row_idx", F.col("position"))
     fix = G.is_fix(F.col("latitude"), F.col("longitude"))
     out = ordered.freshness(out, key, order, "t_us", ["latitude", "longitude"], fix)
-    missing = F.lit(False)
-    for role in ("accel_x", "gyro_yaw"):
-        missing = missing | ((F.col("stream") == "smartphone") & ~F.array_contains("__roles", role))
+    missing = ~F.forall(F.array(*[F.lit(x) for x in S.NEEDED]), lambda x: F.array_contains("__roles", x))
     q = F.lit(0)
     for cond, name in (
         (missing, "MISSING_SENSOR"), (F.col("analysis_time_s").isNull(), "INVALID_TIMESTAMP"), (F.col("duplicate"), "DUPLICATE_TIMESTAMP"), (F.col("backward"), "NON_MONOTONIC_TIMESTAMP"), (F.col("encoding_warning"), "ENCODING_WARNING"),
