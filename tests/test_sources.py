@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import flags as FL
+from tracewright.functions import text as TX
 from tracewright.plans import views
 from tracewright.sources import raw, sinks
 
@@ -133,3 +134,12 @@ def test_a_file_of_several_ranges(spark, tmp_path):
     key = ["source_file", "row_idx"]
     a, b = (x.sort_values(key).reset_index(drop=True) for x in (whole, parts))
     assert len(a) == 2 * 899 and a.astype(str).equals(b.astype(str)) and a["gnss_accuracy_m"].tolist() == [3.0] * len(a)
+
+
+def test_families(spark):
+    paths = {
+        "Synchronised V/Categorised/S-1.csv": "synchronized_categorized", "Synchronised V/S-1.csv": "synchronized_uncategorized", "Unsynchronised V/Uncategorised x/S-1.csv": "unsynchronized_uncategorized", "UNSYNCHRONISED/Categorised/a.txt": "unsynchronized_categorized",
+        "Synchronised V/Categorised/notes.PDF": "documentation", "tools/read.py": "documentation", ".gitattributes": "documentation", "Synchronised/x.jpg": "imagery", "x.png": "other", "readme.txt": "other",
+    }
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.f for r in df.select("p", TX.family(F.col("p")).alias("f")).collect()} == paths

@@ -41,16 +41,11 @@ def driver_and_category(path: Column) -> tuple[Column, Column]:
 
 
 def family(path: Column) -> Column:
-    """Family of a file by the folders in its path; names with 'un' hold the plain names inside them, so they come first."""
+    """Family of a file: documents and pictures by their endings, then the folders in its path; a name with 'un' holds the plain name, and a folder that doesn't say that it is categorised isn't."""
     p = F.lower(path)
     sync = F.when(p.contains("unsynchronised"), "unsynchronized").when(p.contains("synchronised"), "synchronized")
-    kind = F.when(p.contains("uncategorised"), "uncategorized").when(p.contains("categorised"), "categorized")
-    return (
-        F.when(sync.isNotNull() & kind.isNotNull(), F.concat_ws("_", sync, kind))
-        .when(p.rlike(r"\.(md|txt|pdf|docx?)$"), "documentation")
-        .when(p.rlike(r"\.(png|jpe?g|gif|svg)$"), "imagery")
-        .otherwise("other")
-    )
+    kind = F.when(p.contains("categorised") & ~p.contains("uncategorised"), "categorized").otherwise("uncategorized")
+    return F.when(p.rlike(r"\.(md|pdf|py|gitattributes)$"), "documentation").when(p.endswith(".jpg"), "imagery").when(sync.isNotNull(), F.concat_ws("_", sync, kind)).otherwise("other")
 
 
 def ratio(text: Column) -> tuple[Column, Column]:

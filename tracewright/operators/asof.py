@@ -88,14 +88,6 @@ def resample(df: DataFrame, key, t: str, order: list[str], value: str, step_s: f
     return interpolate(grid(df, key, t, step_s), df, key, t, order, value, out, None)
 
 
-def label_tiers(rows: DataFrame, reference: str, fallback: str, fallback_fresh: str, flags: str | None = None) -> DataFrame:
-    """Adds label and label_source: the reference where it could be interpolated, else the fallback where it is fresh, else none. The flag of low confidence marks fallbacks."""
-    ok = F.coalesce(F.col(fallback_fresh), F.lit(False)) & F.col(fallback).isNotNull()
-    rows = rows.withColumn("label", F.coalesce(F.col(reference), F.when(ok, F.col(fallback))))
-    rows = rows.withColumn("label_source", F.when(F.col(reference).isNotNull(), "reference").when(ok, "fallback").otherwise("none"))
-    return rows if flags is None else rows.withColumn(flags, F.when(F.col("label_source") == "fallback", F.col(flags).bitwiseOR(256)).otherwise(F.col(flags)))
-
-
 def guarded_corr(x: Column, y: Column, least: int = 2, least_std: float = 1e-12) -> Column:
     """Aggregate: correlation of rows that have both; null for fewer than `least`, or without variation."""
     both = x.isNotNull() & y.isNotNull()
@@ -167,12 +159,6 @@ def offset_search(a: DataFrame, b: DataFrame, coarse: DataFrame, key, t: str, or
     return found.join(coarse, k).select(*k, ((F.col("coarse_us") + F.col("lag") * us) / US).alias("offset_s"), "correlation", "margin")
 
 
-def sync_status(correlation: Column, margin: Column, overlap_s: Column, has_clock: Column) -> Column:
-    """An overlap that is too short leaves a pair open, whatever the correlation says."""
-    confirmed = (correlation >= P.MIN_CORRELATION) & (margin >= P.MIN_PEAK_MARGIN)
-    return F.when(F.coalesce(overlap_s, F.lit(0.0)) < P.MIN_OVERLAP_S, "UNRESOLVED").when(confirmed, "CONFIRMED_BY_SIGNAL").when(has_clock, "CLOCK_ONLY").otherwise("UNRESOLVED")
-
-
 def overlap(a: DataFrame, b: DataFrame, key, t: str, order: list[str] | None = None) -> DataFrame:
     """Per key, how two streams overlap in time: seconds, offsets of a's first and last time from b's, drift in seconds and ppm of b's length, and whole hours in the offset.
 

@@ -126,8 +126,9 @@ def pack(groups: DataFrame, key: str, n_rows: str, ratios: dict[str, float] = SP
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["n", "lo", "hi", "turn"])
 
     entries = groups.select(F.col(key).cast("string").alias(key), F.coalesce(F.col(n_rows), F.lit(0)).cast("long").alias("n"), score(F.col(key), seed).alias("s"))
-    some = groups.select((F.max(F.coalesce(F.col(n_rows), F.lit(0))) > 0).alias("some"))  # one row
-    entries = entries.crossJoin(F.broadcast(some)).withColumn("n", F.when(F.col("some"), F.col("n")).otherwise(1)).drop("some").withColumn("b", F.floor(F.col("s") * BUCKETS))
+    if not groups.agg(F.max(n_rows)).first()[0]:
+        entries = entries.withColumn("n", F.lit(1).cast("long"))
+    entries = entries.withColumn("b", F.floor(F.col("s") * BUCKETS))
     counts = entries.groupBy("n", "b").agg(F.count("*").alias("m"))
     below = counts.withColumn("before", F.sum("m").over(W.partitionBy("n").orderBy("b")) - F.col("m")).select("n", "b", "before")
     ranked = entries.withColumn("own", F.row_number().over(W.partitionBy("n", "b").orderBy("s", key))).join(below, ["n", "b"]).withColumn("rank", F.col("before") + F.col("own") - 1)

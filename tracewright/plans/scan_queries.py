@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..operators import alignment, attitude, lags, propagation, scans
-from .common import E_SQL, events, r, rounded, rs
+from ..operators import alignment, attitude, lags, navigation, propagation, scans
+from .common import E_SQL, events, micros, r, rounded, rs, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,6 +195,30 @@ def residual_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lags.residual_lag(track, ref, "k", "t", block_s=30.0), "lag_s", "correlation", "zero_correlation", "margin")
 
 
+@query(f"""WITH {E_SQL}, {MEASURED_SQL}, s AS (SELECT r.*, event_id FROM r JOIN (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t, event_id) - 1 AS i, event_id FROM e) USING (k, i)),
+d AS (SELECT *, t - lag(t) OVER w AS dt FROM s WINDOW w AS (PARTITION BY k ORDER BY i)),
+md AS (SELECT k, median(round(dt * 1000000) / 1000000) FILTER (dt > 0) AS med FROM d GROUP BY k),
+b AS (SELECT d.*, med, CASE WHEN i = 0 THEN 0 WHEN dt > 0.5 THEN 16 WHEN fx IS NULL THEN 32 ELSE 0 END AS bad, sin(event_id % 9 / 10.0::DOUBLE) AS sn, cos(event_id % 9 / 10.0::DOUBLE) AS cs, fx - 0.05::DOUBLE AS gx, fy AS gy, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS trust FROM d JOIN md USING (k)),
+c AS (SELECT *, i > 0 AND bad = 0 AS ok, cs * gx - sn * gy AS ax, sn * gx + cs * gy AS ay, 0.0::DOUBLE AS az FROM b),
+v AS (SELECT *, CASE WHEN ok THEN 0.5 * (CASE WHEN lag(ok) OVER w THEN lag(ax) OVER w ELSE ax END + ax) * dt ELSE 0 END AS dx, CASE WHEN ok THEN 0.5 * (CASE WHEN lag(ok) OVER w THEN lag(ay) OVER w ELSE ay END + ay) * dt ELSE 0 END AS dy FROM c WINDOW w AS (PARTITION BY k ORDER BY i)),
+u AS (SELECT *, k % 4 + sum(dx) OVER w AS vx, sum(dy) OVER w AS vy FROM v WINDOW w AS (PARTITION BY k ORDER BY i))
+SELECT k, i, {rs('vx')} AS v_x, {rs('vy')} AS v_y, {rs('sum(CASE WHEN ok THEN (vx - 0.5 * dx) * dt ELSE 0 END) OVER w')} AS p_x, {rs('sum(CASE WHEN ok THEN (vy - 0.5 * dy) * dt ELSE 0 END) OVER w')} AS p_y,
+  (bad + CASE WHEN i > 0 AND bad <> 16 AND (dt / med > 5 OR dt / med < 0.2) THEN 4 ELSE 0 END + CASE WHEN i > 0 AND event_id % 6 = 0 THEN 64 ELSE 0 END + CASE WHEN ok AND trust IS NULL THEN 2 WHEN ok AND trust < 0.25 THEN 1 ELSE 0 END)::INTEGER AS flags
+FROM u WINDOW w AS (PARTITION BY k ORDER BY i)""")
+def navigate_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Propagation of every user's recording with given attitudes, a bias, a start velocity and all flags of its steps."""
+    types = table(spark, d, "events").select(F.col("user_id").alias("k"), micros("ts").alias("at"), "event_id")
+    w = W.partitionBy("k").orderBy("at", "event_id")
+    rows = measured(spark, d).join(types.select("k", "event_id", (F.row_number().over(w) - 1).alias("i")), ["k", "i"])
+    angle = (F.col("event_id") % 9) / 10.0
+    rows = rows.withColumns({"us": F.round(F.col("t_s") * 1e6).cast("long"), "q_x": F.lit(0.0), "q_y": F.lit(0.0), "q_z": F.sin(angle / 2), "q_w": F.cos(angle / 2), "accel_bias_x": F.lit(0.05), "accel_bias_y": F.lit(0.0), "accel_bias_z": F.lit(0.0)})
+    trust = F.when(F.col("k") % 3 == 1, 0.1).when(F.col("k") % 3 == 2, 0.9)
+    rows = rows.withColumns({"v0_x": (F.col("k") % 4).cast("double"), "stationary": F.col("event_id") % 6 == 0, "alignment_confidence": trust})
+    rows = rows.join(navigation.median_step(rows, "k", ["i"], "us"), "k")
+    out = navigation.propagate(rows, "k", ["i"], "us")
+    return rounded(out.select("k", "i", "v_x", "v_y", "p_x", "p_y", "flags"), "v_x", "v_y", "p_x", "p_y")
+
+
 def _attitude() -> str:
     """m: the attitude of each recording, step by step."""
     s = """(SELECT r.k, r.i, r.t, r.t - m.t AS dt, o.wx, o.wy, o.wz, r.ax, r.ay, r.az, r.n, m.qx, m.qy, m.qz, m.qw,

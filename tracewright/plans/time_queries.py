@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import flags as FL
-from ..operators import asof, ordered, timeline
+from ..operators import asof, ordered, runs, timeline
 from .common import E_SQL, events, r, rounded, rs
 
 ORDER = ["t", "event_id"]
@@ -140,16 +141,33 @@ def asof_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("event_id", "v"), "v")
 
 
-@query(_bracket("click", "view") + f"""
-, l AS (SELECT *, {rs(f'CASE WHEN least(t - bt, a_t - t) / 1000000.0::DOUBLE <= 43200 AND a_t IS NOT NULL AND bt IS NOT NULL THEN {_LERP} END')} AS ref, x < 20 AS ok FROM z)
-SELECT event_id, coalesce(ref, CASE WHEN ok THEN x END) AS label,
-       CASE WHEN ref IS NOT NULL THEN 'reference' WHEN ok THEN 'fallback' ELSE 'none' END AS label_source,
-       CASE WHEN ref IS NULL AND ok THEN 257 ELSE 1 END::INTEGER AS flags FROM l""")
+@query(f"""
+WITH {E_SQL}, r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY t, event_id) - 1) * 400000 AS u FROM e WHERE event_type IN ('click', 'view')),
+c AS (SELECT k, u, x FROM r WHERE event_type = 'click' AND x IS NOT NULL), n AS (SELECT k, count(*) AS n FROM c GROUP BY k),
+p AS (SELECT *, k % 7 > 0 AND k % 3 < 2 AS tied, u - CASE WHEN k % 7 > 0 AND k % 3 = 1 THEN 300000 ELSE 0 END AS ta, event_id % 2 = 0 AS fresh FROM r WHERE event_type = 'view'),
+own AS (SELECT k, coalesce(bool_or(x IS NOT NULL), false) AND bool_or(fresh) AS own FROM p GROUP BY k),
+b AS (SELECT p.*, c.u AS bu, c.x AS bx FROM p ASOF LEFT JOIN c ON c.k = p.k AND p.ta >= c.u),
+z AS (SELECT b.*, c.u AS au, c.x AS ax FROM b ASOF LEFT JOIN c ON c.k = b.k AND b.ta <= c.u),
+l AS (SELECT z.*, own, CASE WHEN tied AND bu IS NOT NULL AND au IS NOT NULL AND least(ta - bu, au - ta) <= 500000 THEN CASE WHEN au > bu THEN bx + (ax - bx) * (ta - bu) / (au - bu)::DOUBLE ELSE bx END END AS ref,
+  CASE WHEN tied THEN CASE WHEN coalesce(n, 0) < 2 THEN 'UNAVAILABLE' WHEN k % 3 = 0 THEN 'TIER_1_VEHICLE_SYNCED' ELSE 'TIER_2_VEHICLE_CLOCK' END WHEN own THEN 'TIER_3_SMARTPHONE_GNSS' ELSE 'UNAVAILABLE' END AS label_source
+  FROM z JOIN own USING (k) LEFT JOIN n USING (k))
+SELECT event_id, label_source, CASE label_source WHEN 'TIER_1_VEHICLE_SYNCED' THEN 'high' WHEN 'TIER_2_VEHICLE_CLOCK' THEN 'medium' WHEN 'TIER_3_SMARTPHONE_GNSS' THEN 'low' ELSE 'none' END AS label_quality,
+  {rs("(CASE WHEN label_source LIKE 'TIER_1%' OR label_source LIKE 'TIER_2%' THEN ref WHEN label_source LIKE 'TIER_3%' AND fresh THEN x END)::FLOAT::DOUBLE", 4)} AS label,
+  (1 + CASE WHEN label_source LIKE 'TIER_3%' OR label_source = 'UNAVAILABLE' THEN {FL.QUALITY["REFERENCE_LOW_CONFIDENCE"]} ELSE 0 END + CASE WHEN k % 7 > 0 AND k % 3 = 2 THEN {FL.QUALITY["SYNC_UNRESOLVED"]} ELSE 0 END)::INTEGER AS flags FROM l""")
 def label_tiers(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _types(spark, d, "click", "view")
-    rows = rounded(asof.interpolate(a, b.withColumnRenamed("x", "y"), "k", "t", ["event_id"], "y", "ref", DAY_S / 2), "ref")
-    rows = rows.withColumn("ok", F.col("x") < 20).withColumn("flags", F.lit(FL.QUALITY["MISSING_SENSOR"]))
-    return asof.label_tiers(rows, "ref", "x", "ok", "flags").select("event_id", "label", "label_source", "flags")
+    """Labels of every user's views, from clicks as the vehicle's speeds, whose clocks some pairs share, some miss by 0.3 s, and some couldn't bring together."""
+    w = W.partitionBy("k").orderBy("t", "event_id")
+    both = events(spark, d).where("event_type IN ('click', 'view')").withColumn("i", F.row_number().over(w) - 1)
+    phone = F.col("event_type") == "view"
+    user = F.col("k").cast("string")
+    rows = both.select(
+        "k", "event_id", F.when(phone, "smartphone").otherwise("vehicle").alias("stream"), F.lit("f").alias("dataset_family"), user.alias("session_id"), F.concat(F.when(phone, "S-").otherwise("V-"), user).alias("source_file"), user.alias("segment_id"), F.col("i").alias("row_idx"),
+        (F.col("i") * 0.4).alias("time_of_day_s"), F.when(phone, F.col("x")).alias("gnss_speed_mps"), F.when(~phone, F.col("x")).alias("ref_speed_mps"), (F.col("event_id") % 2 == 0).alias("gnss_position_fresh"), F.lit(FL.QUALITY["MISSING_SENSOR"]).alias("quality_flags"),
+    )
+    status = F.when(F.col("k") % 3 == 0, "CONFIRMED_BY_SIGNAL").when(F.col("k") % 3 == 1, "CLOCK_ONLY").otherwise("UNRESOLVED")
+    sync = rows.where("k % 7 > 0").select("k").distinct().select(F.concat(F.lit("S-"), F.col("k").cast("string")).alias("smartphone_file"), F.concat(F.lit("V-"), F.col("k").cast("string")).alias("vehicle_file"), status.alias("status"), F.when(F.col("k") % 3 == 1, 0.3).otherwise(0.0).alias("estimated_offset_s"))
+    out = runs.label(rows, sync)
+    return out.select("event_id", "label_source", "label_quality", r(F.col("ref_velocity_mps").cast("double"), 4).alias("label"), F.col("quality_flags").alias("flags"))
 
 
 @query(f"""
@@ -217,10 +235,12 @@ def sync_offset(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {E_SQL}, p AS (
   SELECT k, count(*)::DOUBLE AS n, corr(x, t) AS r, (max(t) - min(t)) / 1000000.0::DOUBLE AS span FROM e GROUP BY k)
-SELECT k, CASE WHEN span < 60 THEN 'UNRESOLVED' WHEN r >= 0.5 AND n / 1000 >= 0.05 THEN 'CONFIRMED_BY_SIGNAL' WHEN n > 60 THEN 'CLOCK_ONLY' ELSE 'UNRESOLVED' END AS status FROM p""")
+SELECT k, CASE WHEN span < 60 OR n <= 60 THEN 'UNRESOLVED' WHEN r >= 0.5 AND n / 1000 >= 0.05 THEN 'CONFIRMED_BY_SIGNAL' ELSE 'CLOCK_ONLY' END AS status FROM p""")
 def sync_status(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).groupBy("k").agg(F.count("*").alias("n"), F.corr("x", "t").alias("r"), ((F.max("t") - F.min("t")) / 1e6).alias("span"))
-    return rows.select("k", asof.sync_status(F.col("r"), F.col("n") / 1000, F.col("span"), F.col("n") > 60).alias("status"))
+    clock = F.col("n") > 60
+    pairs = rows.select("k", "r", (F.col("n") / 1000).alias("m"), F.lit(0.0).alias("off"), *[F.when(clock, F.lit(0.0)).alias(c) for c in ("a0", "b0")], *[F.when(clock, F.col("span")).alias(c) for c in ("a1", "b1")])
+    return asof.synchronize(pairs, "off", "r", "m", ("a0", "a1", "b0", "b1")).select("k", "status")
 
 
 _TRAIL = "OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)"
