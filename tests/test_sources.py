@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import flags as FL
 from tracewright.functions import text as TX
-from tracewright.plans import views
+from tracewright.plans import forensics, views
 from tracewright.sources import raw, sinks
 
 PHONE = "GPS LATITUDE (degrees), GPS LONGITUDE (degrees), GPS ALTITUDE (m), GPS SPEED (Kmh), GPS ACCURACY (m), GPS ORIENTATION (deg), GPS SATELLITES IN RANGE, TIME SINCE START (ms), DATE (YYYY-MO-DD HH-MI-SS_SSS), ACCELEROMETER X (m/s²), ACCELEROMETER Y (m/s²), ACCELEROMETER Z (m/s²), GYROSCOPE {} (rad/s), GYROSCOPE {} (rad/s), GYROSCOPE {} (rad/s)"
@@ -143,3 +143,20 @@ def test_families(spark):
     }
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.f for r in df.select("p", TX.family(F.col("p")).alias("f")).collect()} == paths
+
+
+def test_forensics(spark, root, rows, tmp_path):
+    figures = forensics.run(spark, str(root), str(tmp_path))
+    assert figures["n_rows"] == rows.count() == 260
+    assert figures["schema_repair"] == rows.where(FL.has(F.col("quality_flags"), FL.QUALITY["SCHEMA_REPAIR"])).count() == 20
+    a = {name: spark.read.parquet(f"{tmp_path}/artifacts/{name}") for name in forensics.ARTIFACTS}
+    r = a["integrity_report"].first()
+    assert (r.files, r.pointers, r.tables, r.not_utf8, r.parse_failures, r.paired_sessions, r.n_rows) == (7, 1, 6, 1, 1, 1, 260) and r.integrity_status == "PASS_WITH_WARNINGS"
+    named = lambda n: {x.source_file.rsplit("/", 1)[-1]: x for x in a[n].collect()}
+    assert named("sampling_report")["S-S1.csv"].median_s == pytest.approx(0.1) and named("timestamp_report")["V-S1.csv"].clock == "time_of_day"
+    m = {(x.source_file.rsplit("/", 1)[-1], x.role): x for x in a["missingness_report"].collect()}
+    assert m["V-S1.csv", "velocity"].n_numeric == 60 and m["V-S1.csv", "velocity"].max == pytest.approx(41.9) and m["S-E.csv", "accel_x"].n_rows is None
+    assert a["synchronization_report"].first().overlap_s == pytest.approx(5.9)
+    q = named("session_quality")
+    assert 0 < q["S-S1.csv"].quality_score <= 1 and q["S-S1.csv"].gnss_score == 1.0 and a["trajectory_points"].where("source_file LIKE '%S-S1.csv'").count() == 60
+    assert a["duplicate_groups"].count() == 0 and a["smartphone_schema"].where("role = 'accel_z'").agg(F.sum("files")).first()[0] == 5
