@@ -81,7 +81,11 @@ def test_views_and_sinks(spark, rows, tmp_path):
     back = raw.load_segments(spark, str(tmp_path / "c"))
     assert back.count() == rows.count() and raw.load_segments(spark, str(tmp_path / "c"), "vehicle").count() == 60
     assert back.where("is_canonical_copy").count() == rows.count() - 60
+    one = back.select("segment_id").first()[0]
+    assert raw.load_segment(spark, str(tmp_path / "c"), one).count() == back.where(F.col("segment_id") == one).count() > 0
+    assert raw.list_segments(spark, str(tmp_path / "c")).agg(F.sum("n")).first()[0] == rows.count() and "bucket" not in back.columns
     v = views.ingest_views(back)
+    assert v["outages"].count() == 0 and v["windows"].where("n > 1").count() >= 0 and {x.label_source for x in v["label_speeds"].collect()} <= {"TIER_3_SMARTPHONE_GNSS"}
     assert v["leakage"].count() == 0
     overlap = v["overlap"].first()
     assert overlap.overlap_s == pytest.approx(5.9) and overlap.offset_start_s == pytest.approx(0)
@@ -100,6 +104,9 @@ def test_manifest_and_absent_columns(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"per_file": [\n{"source_file": "a.csv", "has_gyro": true, "n": 1},\n{"source_file": "b.csv", "has_mag": false},\n{"has_gyro": true}]}')
     got = {r.source_file: r["has"] for r in raw.field_mapping(spark, str(tmp_path / "m.json")).collect()}
     assert got == {"a.csv": {"has_gyro": True, "has_mag": None}, "b.csv": {"has_gyro": None, "has_mag": False}}
+    data = spark.createDataFrame([("a.csv", True, True), ("b.csv", True, True), ("c.csv", None, True)], "source_file string, has_gyro boolean, has_mag boolean")
+    stricter = {r.source_file: r["has"] for r in raw.available(raw.field_mapping(spark, str(tmp_path / "m.json")), data).collect()}
+    assert stricter == {"a.csv": {"has_gyro": True, "has_mag": True}, "b.csv": {"has_gyro": True, "has_mag": False}, "c.csv": {"has_gyro": False, "has_mag": True}}
     df = spark.createDataFrame([("1.5", "x")], "latitude string, other string")
     (r,) = raw.conform(df, "vehicle").collect()
     assert (r.latitude, r.ref_speed_mps, r.gnss_fix_available, r.quality_flags) == (1.5, None, None, 0) and "other" not in r

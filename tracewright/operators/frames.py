@@ -150,21 +150,6 @@ def rest_confidence(accel_std: Column, gyro: Column) -> Column:
     return F.coalesce((a + g) / 2.0, a)
 
 
-def bias_from_rest(df: DataFrame, key, gyro: str, accel: str, rest: str, gravity: float = P.STANDARD_GRAVITY_MPS2) -> DataFrame:
-    """A row per key over rows at rest: gyro bias (mean, sample deviation; null if implausible) and the accelerometer's bias along gravity alone."""
-    k, g, a = _key(key), V.vector(gyro), V.vector(accel)
-    rows = df.where(F.col(rest)).select(*k, *[c.alias(f"g{x}") for c, x in zip(g, "xyz", strict=True)], *[c.alias(f"a{x}") for c, x in zip(a, "xyz", strict=True)])
-    m = rows.groupBy(*k).agg(F.count("*").alias("n"), *[F.avg(f"{s}{x}").alias(f"m{s}{x}") for s in "ga" for x in "xyz"], *[F.stddev_samp(f"g{x}").alias(f"sigma_{x}") for x in "xyz"])
-    gm, am = (tuple(F.col(f"m{s}{x}") for x in "xyz") for s in "ga")
-    ok = V.norm(gm) <= P.MAX_PLAUSIBLE_GYRO_BIAS_RPS
-    up = V.unit(am)
-    along = V.dot(am, up) - gravity
-    fine = F.abs(along) <= P.MAX_PLAUSIBLE_ACCEL_BIAS_MPS2
-    return m.select(
-        *k, "n", *[F.when(ok, c).alias(f"gyro_bias_{x}") for c, x in zip(gm, "xyz", strict=True)], *[f"sigma_{x}" for x in "xyz"], *[F.when(fine, c * along).alias(f"accel_bias_{x}") for c, x in zip(up, "xyz", strict=True)]
-    )
-
-
 def yaw_offset(px: Column, py: Column, rx: Column, ry: Column, least: int = 3) -> Column:
     """Aggregate: the turn about the vertical that brings points p closest to r."""
     return F.when(F.count(px + py + rx + ry) >= least, F.atan2(F.sum(px * ry - py * rx), F.sum(px * rx + py * ry)))

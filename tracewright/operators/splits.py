@@ -176,6 +176,12 @@ def top_per(df: DataFrame, by: list[str], *order, k: int = 1) -> DataFrame:
     return df.withColumn("__rk", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__rk") <= k).drop("__rk")
 
 
+def closest_to_median(df: DataFrame, value: str, k: int, *ties: str, digits: int = 4) -> DataFrame:
+    """The k rows whose value lies closest to the median of all, distances rounded; equal ones in the order of ties."""
+    middle = df.agg(F.median(value)).first()[0]
+    return df.orderBy(F.round(F.abs(F.col(value) - F.lit(middle)), digits), *ties).limit(k)
+
+
 def pair_streams(files: DataFrame, key: list[str], stream: str, path: str) -> DataFrame:
     """Sessions with the file lists of both streams and the first file of each; paired if both are there."""
     of = lambda s: F.when(F.col(stream) == s, F.col(path))

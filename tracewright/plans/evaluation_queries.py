@@ -141,6 +141,17 @@ def sync_offset(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "clock_offset_s", "drift_estimate_s", "estimated_offset_s", "overlap_s").select("pair", "clock_offset_s", "drift_estimate_s", "estimated_offset_s", "overlap_s", "offset_method", "offset_confidence", "status")
 
 
+@query("""WITH p AS (SELECT user_id AS k, CASE user_id % 3 WHEN 0 THEN 'CONFIRMED_BY_SIGNAL' WHEN 1 THEN 'CLOCK_ONLY' ELSE 'UNRESOLVED' END AS status, max(value) AS off, avg(value) / 100 AS c, count(*) % 4 = 0 AS drifting, count(*) / 1000.0::DOUBLE AS cov FROM events GROUP BY user_id)
+SELECT round(min(off) FILTER (user), 6) AS least_offset_s, round(max(off) FILTER (user), 6) AS greatest_offset_s, round(median(off) FILTER (user), 6) AS median_offset_s, round(median(c) FILTER (user), 6) AS median_correlation, count(*) FILTER (drifting) AS n_drifting,
+  count(*) FILTER (user) AS confirmed_by_signal, count(*) FILTER (status = 'CLOCK_ONLY') AS clock_only, count(*) FILTER (status = 'UNRESOLVED') AS unresolved, round(median(cov), 6) AS median_coverage FROM (SELECT *, status = 'CONFIRMED_BY_SIGNAL' AS user FROM p)""".replace("(user)", "(ok)").replace("AS user FROM p", "AS ok FROM p"))
+def sync_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The synchronisation report's figures over pairs that are made of every user's events."""
+    k = F.col("user_id")
+    status = F.when(k % 3 == 0, "CONFIRMED_BY_SIGNAL").when(k % 3 == 1, "CLOCK_ONLY").otherwise("UNRESOLVED")
+    pairs = table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("estimated_offset_s"), (F.avg("value") / 100).alias("correlation"), (F.count("*") % 4 == 0).alias("drift_detected"), (F.count("*") / 1000).alias("cov")).withColumn("status", status)
+    return rounded(reports.sync_figures(pairs, "cov"), "least_offset_s", "greatest_offset_s", "median_offset_s", "median_correlation", "median_coverage")
+
+
 @query(f"""WITH l AS (SELECT l_suppkey::VARCHAR AS source_file, CASE WHEN l_returnflag = 'R' THEN NULL ELSE ((l_linenumber * l_orderkey) % 40) / 20.0::DOUBLE END AS v FROM lineitem)
 SELECT source_file, count(*) AS n_rows, count(v) AS labelled_rows, {rs('count(v) / count(*)::DOUBLE')} AS coverage_fraction, {rs('avg(v)', 5)} AS mean_label_mps, {rs('max(v)', 5)} AS max_label_mps, {rs('count(*) FILTER (v < 0.5) / nullif(count(v), 0)::DOUBLE')} AS stationary_fraction FROM l GROUP BY source_file""")
 def label_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import asof, frames, ordered, quality, splits, timeline
+from ..operators import asof, frames, navigation, ordered, quality, splits, timeline
 from .common import E_SQL, events, r, rounded, rs, table
 
 QUERIES: dict = {}
@@ -141,18 +141,22 @@ def drift_metrics(spark: SparkSession, d: str) -> DataFrame:
     return a.select("k", r(m["per_second"], 9).alias("per_second"), r(m["as_acceleration"], 12).alias("as_acceleration"), r(m["per_distance"], 9).alias("per_distance"))
 
 
-@query(f"""WITH {E_SQL}, g AS (SELECT k, (x - 30) / 1000 AS gx, (event_id % 5 - 2) / 1000.0::DOUBLE AS gy, 0.01 AS gz, 0.1 AS ax, (event_id % 3) / 10.0::DOUBLE AS ay, 9.8 + (x % 1) AS az FROM e WHERE x < 60),
-m AS (SELECT k, count(*) AS n, avg(gx) AS x, avg(gy) AS y, avg(gz) AS z, stddev_samp(gx) AS sx, avg(ax) AS a, avg(ay) AS b, avg(az) AS c FROM g GROUP BY k),
-u AS (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM m)
-SELECT k, n, {rs('CASE WHEN sqrt(x * x + y * y + z * z) <= 0.35 THEN x END', 9)} AS gyro_bias_x, {rs('sx', 9)} AS sigma_x, {rs('CASE WHEN abs(l - 9.80665) <= 2 THEN c / l * (l - 9.80665) END')} AS accel_bias_z FROM u""")
+@query(f"""WITH {E_SQL}, m AS (SELECT *, coalesce(x < 60, false) AS calm, CASE WHEN event_id % 11 > 0 THEN (x - 30) / 1000 END AS gx, (event_id % 5 - 2) / 1000.0::DOUBLE AS gy, 0.6::DOUBLE * (9.8 + x % 1) AS ax, CASE WHEN event_id % 13 > 0 THEN 0.8::DOUBLE * (9.8 + x % 1) END AS az FROM e),
+w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) - row_number() OVER (PARTITION BY k, calm ORDER BY t, event_id) AS g FROM m),
+s AS (SELECT k, min(t) AS a, max(t) AS b FROM w WHERE calm GROUP BY k, g), l AS (SELECT k, a, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY b - a DESC, a) AS rk FROM s) WHERE rk = 1),
+n AS (SELECT m.k, count(az) AS na, avg(ax) FILTER (az IS NOT NULL) * 0.6 + avg(az) * 0.8 - 9.80665 AS off, count(gx) AS ng, avg(gx) AS x, avg(gy) FILTER (gx IS NOT NULL) AS y, stddev_samp(gx) AS sx FROM m JOIN l ON l.k = m.k AND m.t BETWEEN l.a AND l.b WHERE calm GROUP BY m.k)
+SELECT u.k, coalesce(na, 0) AS rest_samples, {rs('CASE WHEN ng > 0 AND sqrt(x * x + y * y + 0.0001) <= 0.35 THEN x ELSE 0 END', 9)} AS gyro_bias_x, {rs('CASE WHEN ng > 0 AND sqrt(x * x + y * y + 0.0001) <= 0.35 THEN y ELSE 0 END', 9)} AS gyro_bias_y, {rs('sx', 9)} AS gyro_sigma_x,
+  {rs('CASE WHEN na >= 2 AND abs(off) <= 2 THEN 0.6 * off ELSE 0 END')} AS accel_bias_x, {rs('CASE WHEN na >= 2 AND abs(off) <= 2 THEN 0.8 * off ELSE 0 END')} AS accel_bias_z FROM (SELECT DISTINCT k FROM e) u LEFT JOIN n USING (k)""")
 def bias_from_rest(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
+    """Biases from every user's longest rest, the vertical being given."""
+    e, size = events(spark, d), 9.8 + F.col("x") % 1
     rows = e.select(
-        "k", (F.col("x") < 60).alias("rest"), ((F.col("x") - 30) / 1000).alias("g_x"), ((F.col("event_id") % 5 - 2) / 1000.0).alias("g_y"), F.lit(0.01).alias("g_z"),
-        F.lit(0.1).alias("a_x"), ((F.col("event_id") % 3) / 10.0).alias("a_y"), (9.8 + F.col("x") % 1).alias("a_z"),
+        "k", "t", "event_id", F.coalesce(F.col("x") < 60, F.lit(False)).alias("rest"), F.when(F.col("event_id") % 11 > 0, (F.col("x") - 30) / 1000).alias("g_x"), ((F.col("event_id") % 5 - 2) / 1000.0).alias("g_y"), F.lit(0.01).alias("g_z"),
+        (size * 0.6).alias("a_x"), F.lit(0.0).alias("a_y"), F.when(F.col("event_id") % 13 > 0, size * 0.8).alias("a_z"), F.lit(0.6).alias("u_x"), F.lit(0.0).alias("u_y"), F.lit(0.8).alias("u_z"),
     )
-    out = frames.bias_from_rest(rows, "k", "g", "a", "rest")
-    return out.select("k", "n", r("gyro_bias_x", 9).alias("gyro_bias_x"), r("sigma_x", 9).alias("sigma_x"), r("accel_bias_z").alias("accel_bias_z"))
+    out = navigation.bias_from_longest_rest(rows, "k", ["event_id"], "t", "rest", "a", "u", "g")
+    out = rounded(out, "gyro_bias_x", "gyro_bias_y", "gyro_sigma_x", digits=9)
+    return rounded(out.select("k", "rest_samples", "gyro_bias_x", "gyro_bias_y", "gyro_sigma_x", "accel_bias_x", "accel_bias_z"), "accel_bias_x", "accel_bias_z")
 
 
 @query(f"""WITH {E_SQL}, b AS (SELECT k, CASE WHEN event_type = 'view' THEN x END AS p, CASE WHEN event_type <> 'error' THEN x * 2 END AS f, event_id FROM e),
@@ -282,8 +286,7 @@ def topk_per_class(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_suppkey FROM a, m ORDER BY round(abs(d - m), 4), l_suppkey LIMIT 12""")
 def closest_to_median(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("d"))
-    m = a.agg(F.median("d")).first()[0]
-    return a.orderBy(F.round(F.abs(F.col("d") - F.lit(m)), 4), "l_suppkey").limit(12).select("l_suppkey")
+    return splits.closest_to_median(a, "d", 12, "l_suppkey").select("l_suppkey")
 
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.75), 4) AS p75 FROM orders GROUP BY o_orderpriority")

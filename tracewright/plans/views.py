@@ -1,4 +1,4 @@
-"""Artifact tables of an ingest, as views over canonical rows; nothing is computed until one is read."""
+"""Artifact tables of an ingest, as views over canonical rows; synchronisation and labels are stored, the others are computed when one is read."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as FL
-from ..operators import asof, quality, runs, splits, timeline
+from ..operators import asof, ordered, quality, runs, splits, timeline
+from ..operators.store import Tables
 from ..sources import raw
 from . import reports
 
 
 def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
-    """segments, timing, freshness, availability, missingness, pairs, overlap, sync, sync_figures, labels, label_coverage, splits, split_summary, leakage, flags.
+    """segments, timing, freshness, availability, missingness, pairs, overlap, sync, sync_figures, labels, label_coverage, label_speeds, windows, outages, splits, split_summary, leakage, flags.
 
     Give it rows that were written and read back, as the ingest does: the views take them many times over, and each time the whole plan of what made them would be taken along.
     """
@@ -29,8 +30,10 @@ def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
     assigned = grouped.join(keys.select("component", "group_key"), "component").join(splits.pack(keys, "group_key", "n_rows"), "group_key").drop("component")
     clocks = rows.where("time_of_day_s IS NOT NULL").withColumn("u", F.round(F.col("time_of_day_s") * 1e6).cast("long"))
     of = lambda s: clocks.where(F.col("stream") == s).select("dataset_family", "session_id", "u")
-    sync = runs.synchronize(rows)
-    labels = runs.label(rows, sync)
+    tables = Tables(rows.sparkSession, "views")
+    sync, _ = tables.keep(runs.synchronize(rows))
+    labels, _ = tables.keep(runs.label(rows, sync))
+    phone = rows.where("stream = 'smartphone' AND t_us IS NOT NULL").withColumn("no_fix", ~F.coalesce("gnss_fix_available", F.lit(False)))
     covered = runs.coverage(labels)
     return {
         "segments": seg,
@@ -44,6 +47,9 @@ def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
         "sync_figures": reports.sync_figures(sync.join(covered.select(F.col("source_file").alias("smartphone_file"), "coverage_fraction"), "smartphone_file", "left"), "coverage_fraction"),
         "labels": labels,
         "label_coverage": covered,
+        "label_speeds": reports.spread(labels.where("label_available"), ["label_source"], "ref_velocity_mps"),
+        "windows": asof.windows(labels.where("t_us IS NOT NULL"), ["segment_id"], ["row_idx"], "t_us", "ref_velocity_mps", "quality_flags"),
+        "outages": ordered.outages(phone, ["segment_id"], ["row_idx"], "t_us", "no_fix"),
         "splits": assigned,
         "split_summary": assigned.groupBy("split").agg(F.count("*").alias("segments"), F.sum("n_rows").alias("n_rows"), F.sum("duration_s").alias("duration_s")),
         "leakage": splits.leakage(assigned, {"payload": ["payload_hash"], "session": ["dataset_family", "session_id"], "segment": ["segment_id"]}),

@@ -22,6 +22,7 @@ from ..functions import geodesy as G
 from ..functions import text as TX
 from ..operators import ordered, timeline
 from ..operators.store import Tables
+from . import sinks
 
 
 def _files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -229,10 +230,29 @@ def availability(rows: DataFrame) -> DataFrame:
 
 def load_segments(spark: SparkSession, path: str, stream: str | None = None) -> DataFrame:
     """Canonical rows written by sinks.write_canonical; the stream is a partition, so others aren't read."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("bucket")
     return df if stream is None else df.where(F.col("stream") == stream)
 
 
+def load_segment(spark: SparkSession, path: str, segment: str) -> DataFrame:
+    """One segment's rows: only its bucket is read, and of it only row groups that may hold the segment."""
+    number = spark.range(1).select(sinks.bucket(F.lit(segment))).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == number) & (F.col("segment_id") == segment)).drop("bucket")
+
+
+def list_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, segment_id, source_file, n) of all segments."""
+    return spark.read.parquet(path).groupBy("stream", "segment_id", "source_file").agg(F.count("*").alias("n"))
+
+
+def available(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(source_file, has): what a file has by its manifest (field_mapping) and by its data, whichever is stricter; a flag that the manifest doesn't give is the data's. found: source_file and has_* columns."""
+    flags = [c for c in found.columns if c.startswith("has_")]
+    met = found.join(manifest, "source_file", "left")
+    both = [F.struct(F.lit(c).alias("key"), (F.coalesce(F.col("has")[c], F.lit(True)) & F.coalesce(F.col(c), F.lit(False))).alias("value")) for c in flags]
+    return met.select("source_file", F.map_from_entries(F.array(*both)).alias("has"))
+
+
 def field_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, has): a map of what each file has, from a manifest {"per_file": [{"source_file": ..., "has_*": ...}]}; entries without a file's name are left out, and a flag that isn't given is null in the map."""
     entries = spark.read.option("multiLine", "true").json(path).select(F.explode("per_file").alias("e")).select("e.*")

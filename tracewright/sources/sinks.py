@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BUCKETS = 64
+
+
+def bucket(segment: Column) -> Column:
+    """The folder of a segment."""
+    return F.pmod(F.xxhash64(segment), F.lit(BUCKETS)).cast("int")
+
+
 def write_canonical(rows: DataFrame, path: str) -> None:
-    """Parquet by stream and segment. A segment that was recorded in several files keeps them all, is_canonical_copy marks the first file's rows."""
+    """Parquet by stream and bucket of segments, sorted by segment, so that a segment is a few row groups of one folder however many segments there are. A segment that was recorded in several files keeps them all, is_canonical_copy marks the first file's rows."""
     first = F.min("source_file").over(W.partitionBy("segment_id"))
-    marked = rows.withColumn("is_canonical_copy", F.col("source_file") == first)
-    marked.repartition("stream", "segment_id").sortWithinPartitions("stream", "segment_id", "source_file", "row_idx").write.mode("overwrite").option("compression", "snappy").partitionBy("stream", "segment_id").parquet(path)
+    marked = rows.withColumn("is_canonical_copy", F.col("source_file") == first).withColumn("bucket", bucket(F.col("segment_id")))
+    marked.repartition("stream", "bucket").sortWithinPartitions("stream", "bucket", "segment_id", "source_file", "row_idx").write.mode("overwrite").option("compression", "snappy").partitionBy("stream", "bucket").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
