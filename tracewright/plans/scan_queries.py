@@ -148,7 +148,8 @@ def alignment_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ALIGNED_SQL}, n AS (SELECT event_type AS k, count(*) AS n FROM e GROUP BY 1)
-SELECT w.k, status, n.n, gravity_method, {rs('CASE WHEN fc > 0 THEN gc * fc ELSE 0 END')} AS confidence, {rs('lag_s')} AS lag_s, {rs('r')} AS correlation, {rs('x')} AS forward_x, {rs('y')} AS forward_y, {rs('z')} AS forward_z FROM w JOIN n USING (k)""")
+SELECT k, CASE WHEN status = 'SUCCESS' AND short THEN 'LOW_HEADING_CONFIDENCE' ELSE status END AS status, n, gravity_method, {rs('CASE WHEN fc > 0 THEN gc * fc ELSE 0 END')} AS confidence, {rs('lag_s')} AS lag_s, {rs('r')} AS correlation,
+  {', '.join(f"{rs(f'CASE WHEN NOT short THEN {a} END')} AS forward_{a}" for a in 'xyz')} FROM (SELECT w.* EXCLUDE (n), n.n, (n.n - 1) * 100000 < 20000000 AS short FROM w JOIN n USING (k))""")
 def calibration_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same recordings as a stream of samples: sessions collect them trigger by trigger and end with a row that says so; the estimate is the batch's."""
     from ..operators.store import Tables
