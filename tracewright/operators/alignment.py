@@ -244,7 +244,10 @@ class Heading:
         if lag == 0:
             return self.s
         ok = np.isfinite(self.s)
-        return np.interp(self.t + lag, self.t[ok], self.s[ok], left=np.nan, right=np.nan) if ok.sum() >= 2 else np.full(len(self.t), np.nan)
+        if ok.sum() < 2:
+            return np.full(len(self.t), np.nan)
+        at = np.round(self.t + lag, 6)  # to the microsecond, so that a sum of decimals meets the row it stands for
+        return np.interp(at, self.t[ok], self.s[ok], left=np.nan, right=np.nan)
 
     def at(self, lag: float) -> tuple[np.ndarray | None, float, np.ndarray]:
         """Direction, correlation and the rows that count at a lag."""
