@@ -108,8 +108,13 @@ def test_frames_of_a_state(spark):
 
 
 def test_orientation_against_the_recording(spark):
+    """Roll is 3 degrees off and a whole turn, pitch 4 degrees; yaw has a value in nine of twelve rows only, which are too few."""
     q = Q.from_euler(F.lit(0.1), F.lit(-0.2), F.lit(0.3))
-    turned = spark.range(5).select(F.lit("s").alias("segment_id"), F.col("id").alias("row_idx"), *[c.alias(f"q_{a}") for c, a in zip(q, "xyzw", strict=True)])
-    rows = spark.range(5).select(F.lit("s").alias("segment_id"), F.col("id").alias("row_idx"), F.lit(math.degrees(0.1) + 360.0 - 3.0).alias("orientation_roll"), F.lit(math.degrees(-0.2) + 4.0).alias("orientation_pitch"))
+    turned = spark.range(12).select(F.lit("s").alias("segment_id"), F.col("id").alias("row_idx"), *[c.alias(f"q_{a}") for c, a in zip(q, "xyzw", strict=True)])
+    yaw = F.when(F.col("id") < 9, 5.0).when(F.col("id") == 9, float("nan"))
+    rows = spark.range(12).select(F.lit("s").alias("segment_id"), F.col("id").alias("row_idx"), F.lit(math.degrees(0.1) + 360.0 - 3.0).alias("orientation_roll"), F.lit(math.degrees(-0.2) + 4.0).alias("orientation_pitch"), yaw.alias("orientation_yaw"))
     r = segments.orientation_rmse(turned, rows).first()
-    assert (r.roll_rmse_deg, r.pitch_rmse_deg, r.n) == (pytest.approx(3.0), pytest.approx(4.0), 5)
+    assert (r.roll_rmse_deg, r.pitch_rmse_deg, r.roll_n) == (pytest.approx(3.0), pytest.approx(4.0), 12) and (r.yaw_rmse_deg, r.yaw_n) == (None, 9)
+    assert segments.orientation_rmse(turned, rows.drop("orientation_pitch")).first().pitch_rmse_deg is None
+    few = segments.orientation_rmse(turned, rows, least=9).first()
+    assert few.yaw_rmse_deg == pytest.approx(abs(math.degrees(0.3) - 5.0))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import hashlib
 
 import pytest
@@ -167,3 +169,18 @@ def test_forensics(spark, root, rows, tmp_path):
     q = named("session_quality")
     assert 0 < q["S-S1.csv"].quality_score <= 1 and q["S-S1.csv"].gnss_score == 1.0 and a["trajectory_points"].where("source_file LIKE '%S-S1.csv'").count() == 60
     assert a["duplicate_groups"].count() == 0 and a["smartphone_schema"].where("role = 'accel_z'").agg(F.sum("files")).first()[0] == 5
+    assert a["dataset_manifest"].where("NOT is_directory").count() == r.files
+    shown = {x.category: x.source_file.rsplit("/", 1)[-1] for x in a["representative_sessions"].collect()}
+    found = Counter(n for x in a["range_findings"].collect() if (n := x.source_file.rsplit("/", 1)[-1]).startswith("S-"))
+    assert set(shown) == {"difficult_motion", "irregular_sampling"}  # every steady phone has a constant sensor, and the paired one has the most findings already
+    assert shown["difficult_motion"] == min(found, key=lambda f: (-found[f], f)) and shown["irregular_sampling"] == "S-G1.csv"
+
+
+def test_folders(spark):
+    files = spark.createDataFrame([("Cat (Driver B)/x/S-1.csv", 5, "a"), ("Cat (Driver B)/y.csv", 6, "b"), ("top.csv", 7, "c")], "source_file string, size_bytes long, sha256 string")
+    files = files.selectExpr("*", "'.csv' AS extension", "'other' AS dataset_family", "'B' AS driver", "false AS is_pointer")
+    got = {r.source_file: r for r in raw.folders(files).collect()}
+    assert set(got) == {"Cat (Driver B)", "Cat (Driver B)/x"}
+    r = got["Cat (Driver B)/x"]
+    assert (r.size_bytes, r.sha256, r.extension, r.driver, r.is_pointer, r.is_directory) == (0, None, "", "B", False, True)
+    assert raw.folders(files.limit(0)).count() == 0

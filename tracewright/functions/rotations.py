@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..params import ORTHONORMALITY_TOLERANCE
+from ..params import EULER_GIMBAL_LIMIT_RAD, ORTHONORMALITY_TOLERANCE
 from . import quaternions as Q
 from . import vectors as V
 
@@ -120,11 +120,24 @@ class FrameRotation:
     def inverse(self) -> FrameRotation:
         return FrameRotation(transpose(self.matrix), self.of, self.to)
 
+    def kept(self, df, name: str):
+        """(df with the matrix in an array column, the rotation that reads it): what is built on it doesn't write the matrix's expressions out again at each use."""
+        return df.withColumn(name, flat(self.matrix)), FrameRotation(unflat(F.col(name)), self.to, self.of)
+
     def angle_to(self, other: FrameRotation) -> Column:
-        return Q.angular_distance(Q.from_matrix(self.matrix), Q.from_matrix(other.matrix))
+        """Angle between two rotations, exact at both ends: of the turn between them, twice the sine is the length of its skew part and twice the cosine its trace less one."""
+        m = compose(transpose(self.matrix), other.matrix)
+        skew = (m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1])
+        return F.atan2(V.norm(skew), m[0][0] + m[1][1] + m[2][2] - 1.0)
 
     def euler_deg(self) -> tuple[Column, Column, Column]:
-        return tuple(F.degrees(c) for c in Q.to_euler(Q.from_matrix(self.matrix)))
+        """Roll, pitch and yaw in degrees, with the convention of quaternions.to_euler: at the poles roll is 0 and yaw takes the whole turn."""
+        m = self.matrix
+        s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -m[2][0]))
+        pole = F.abs(F.abs(F.asin(s)) - F.lit(np.pi / 2)) <= EULER_GIMBAL_LIMIT_RAD
+        roll = F.when(pole, 0.0).otherwise(F.atan2(m[2][1], m[2][2]))
+        yaw = F.when(pole, F.atan2(-m[0][1], m[1][1])).otherwise(F.atan2(m[1][0], m[0][0]))
+        return tuple(F.degrees(c) for c in (roll, F.asin(s), yaw))
 
     def apply_series(self, df, prefix: str, out: str):
         """The vector's columns turned into the other frame and tagged with it."""

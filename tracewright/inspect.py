@@ -1,4 +1,4 @@
-"""python -m tracewright.inspect RAW OUT: canonical rows of a folder of recordings and the sixteen tables on what it holds. Exit status 1 if its integrity fails."""
+"""python -m tracewright.inspect RAW OUT: canonical rows of a folder of recordings and the seventeen tables on what it holds. Exit status 1 if its integrity fails."""
 
 from __future__ import annotations
 

@@ -160,7 +160,7 @@ def offset_search(a: DataFrame, b: DataFrame, coarse: DataFrame, key, t: str, or
 
 
 def overlap(a: DataFrame, b: DataFrame, key, t: str, order: list[str] | None = None) -> DataFrame:
-    """Per key, how two streams overlap in time: seconds, offsets of a's first and last time from b's, drift in seconds and ppm of b's length, and whole hours in the offset.
+    """Per key, how two streams overlap in time: seconds as the clocks say and with the mean offset taken off (aligned_overlap_s), offsets of a's first and last time from b's, drift in seconds and ppm of b's length, and whole hours in the offset.
 
     First and last are those of the rows, in the order of the columns `order`, by default of the times themselves.
     """
@@ -171,6 +171,8 @@ def overlap(a: DataFrame, b: DataFrame, key, t: str, order: list[str] | None = N
     rows = rows.withColumn("overlap_s", F.greatest(F.lit(0.0), F.least("a1", "b1") - F.greatest("a0", "b0"))).withColumn("offset_start_s", F.col("a0") - F.col("b0")).withColumn("offset_end_s", F.col("a1") - F.col("b1"))
     rows = rows.withColumn("drift_s", F.col("offset_end_s") - F.col("offset_start_s")).withColumn("offset_mean_s", (F.col("offset_end_s") + F.col("offset_start_s")) / 2)
     rows = rows.withColumn("drift_ppm", F.when(F.col("b1") > F.col("b0"), F.col("drift_s") / (F.col("b1") - F.col("b0")) * 1e6)).withColumn("whole_hours", F.bround(F.col("offset_mean_s") / 3600).cast("int"))
+    shifted = lambda c: F.col(c) - F.col("offset_mean_s")
+    rows = rows.withColumn("aligned_overlap_s", F.greatest(F.lit(0.0), F.least(shifted("a1"), F.col("b1")) - F.greatest(shifted("a0"), F.col("b0"))))
     rows = rows.withColumn("residual_s", F.col("offset_mean_s") - F.col("whole_hours") * 3600)
     steady = F.abs("drift_s") <= P.NEGLIGIBLE_DRIFT_S
     kind = F.when((F.col("whole_hours") != 0) & (F.abs("residual_s") <= P.TIMEZONE_TOLERANCE_S) & steady, "constant_offset_whole_hour_likely_timezone").when(steady, "constant_offset").otherwise("variable_offset_possible_drift")

@@ -1,4 +1,4 @@
-"""What a folder of raw recordings holds and how good it is: sixteen artifact tables, from one pass over the files' lines and one over the canonical rows that are written from them."""
+"""What a folder of raw recordings holds and how good it is: seventeen artifact tables, from one pass over the files' lines and one over the canonical rows that are written from them."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from ..functions import flags as FL
 from ..functions import geodesy as G
 from ..operators import asof, ordered, quality, splits, timeline
 from ..sources import raw, sinks
+from . import reports
 
 FILE = "source_file"
 ARTIFACTS = (
     "dataset_manifest", "integrity_report", "session_inventory", "schema_inventory", "smartphone_schema", "vehicle_schema", "timestamp_report", "sampling_report", "synchronization_report", "gnss_outages", "gnss_availability",
-    "missingness_report", "range_findings", "session_quality", "duplicate_groups", "trajectory_points",
+    "missingness_report", "range_findings", "session_quality", "duplicate_groups", "trajectory_points", "representative_sessions",
 )
 
 
@@ -67,6 +68,13 @@ def artifacts(files: DataFrame, lines: DataFrame, headers: DataFrame, rows: Data
     names = ("timestamp_score", "completeness_score", "sampling_score", "gnss_score")
     scored = facts.select(FILE, "stream", "n_rows", *[c.alias(n) for c, n in zip(scores, names, strict=True)])
     scored = scored.withColumn("quality_score", quality.quality_score(*map(F.col, names)))
+    overlap = asof.overlap(of("smartphone"), of("vehicle"), ["dataset_family", "session_id"], "u")
+    findings = quality.range_findings(profiled, "role")
+    lost = outages.groupBy(FILE).agg(F.count("*").alias("outages"), F.sum("duration_s").alias("outage_s"))
+    first = sessions.where("paired").select("dataset_family", "session_id", F.col("first_smartphone").alias(FILE))
+    shared = overlap.join(first, ["dataset_family", "session_id"]).groupBy(FILE).agg(F.max("aligned_overlap_s").alias("overlap_s"))
+    facts = facts.join(findings.groupBy(FILE).agg(F.count("*").alias("n_findings")), FILE, "left").join(lost, FILE, "left").join(shared, FILE, "left").join(readable.select(FILE, "session_id"), FILE, "left")
+    shown = facts.fillna(0, ["n_findings", "outages"]).withColumn("timestamp_score", scores[0])
     encodings = lines.where("line_no = 0").select(FILE, (~F.is_valid_utf8(F.encode("line", "ISO-8859-1"))).alias("other"))
     counts = files.agg(F.count("*").alias("files"), F.count_if("is_pointer").alias("pointers"), F.count_if(F.col("extension") == ".csv").alias("tables"), F.count_if((F.col("extension") == ".csv") & F.col("is_pointer")).alias("table_pointers"), F.count_distinct("dataset_family").alias("families"))
     one = counts.withColumns({
@@ -75,7 +83,7 @@ def artifacts(files: DataFrame, lines: DataFrame, headers: DataFrame, rows: Data
     } | {name: F.lit(n) for name, n in figures.items()})
     status, reasons = quality.integrity(F.col("tables"), F.col("table_pointers"), F.lit(0), F.col("parse_failures"), F.col("not_utf8"))
     return {
-        "dataset_manifest": files,
+        "dataset_manifest": files.withColumn("is_directory", F.lit(False)).unionByName(raw.folders(files)),
         "integrity_report": one.withColumn("integrity_status", status).withColumn("reasons", reasons),
         "session_inventory": sessions,
         "schema_inventory": schemas,
@@ -83,14 +91,15 @@ def artifacts(files: DataFrame, lines: DataFrame, headers: DataFrame, rows: Data
         "vehicle_schema": columns("vehicle"),
         "timestamp_report": whole,
         "sampling_report": timing,
-        "synchronization_report": asof.overlap(of("smartphone"), of("vehicle"), ["dataset_family", "session_id"], "u"),
+        "synchronization_report": overlap,
         "gnss_outages": outages,
         "gnss_availability": updates,
         "missingness_report": missing,
-        "range_findings": quality.range_findings(profiled, "role"),
+        "range_findings": findings,
         "session_quality": scored,
         "duplicate_groups": groups,
         "trajectory_points": fixes.where("gnss_position_fresh").select(FILE, "row_idx", "analysis_time_s", "latitude", "longitude", "altitude_m"),
+        "representative_sessions": reports.representatives(shown),
     }
 
 

@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import params as P
+from ..functions import flags as FL
+from ..operators import splits
+
 DISCONTINUOUS_CV = 5.0
 NEAR_HOUR_S = 60.0
+CLEAN_AVAILABILITY = 0.999
+SURE_ALIGNMENT = 0.25
 
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -65,3 +71,69 @@ def resting_residuals(states: DataFrame, key: list[str], flags: str, accel: tupl
     x, y, z = map(F.col, accel)
     rest = states.where((F.col(flags).bitwiseAND(stationary_bit) != 0) & x.isNotNull() & y.isNotNull() & z.isNotNull())
     return rest.groupBy(*key).agg(F.avg(F.sqrt(x * x + y * y + z * z)).alias("total"), F.avg(F.sqrt(x * x + y * y)).alias("horizontal"), F.avg(F.abs(z)).alias("vertical"), F.count("*").alias("n"))
+
+
+def representatives(files: DataFrame) -> DataFrame:
+    """At most five files that show what a folder holds, each with its category, its session and the value that chose it.
+
+    clean: a steady phone recording with all fixes and no finding, with the most rows; gnss_gap: the longest time without fixes; difficult_motion: the phone with the most findings; synchronized_pair: the longest overlap;
+    irregular_sampling: the phone with the lowest timestamp score among irregular ones. Of equal values the first path is taken. A file stands for the first of these that it wins, and the others of its wins stay empty.
+
+    files: a row per file with source_file, session_id, stream, n_rows, sampling, availability, n_findings, outages, outage_s, overlap_s and timestamp_score. One aggregation finds all winners.
+    """
+    c = F.col
+    phone = (c("stream") == "smartphone") & (c("n_rows") > 0)
+    cases = {
+        "clean": (phone & (c("sampling") == "stable") & (c("availability") >= CLEAN_AVAILABILITY) & (c("n_findings") == 0), c("n_rows"), -1.0),
+        "gnss_gap": (c("outages") > 0, c("outage_s"), -1.0),
+        "difficult_motion": (phone & (c("n_findings") > 0), c("n_findings"), -1.0),
+        "synchronized_pair": (c("overlap_s") > 0, c("overlap_s"), -1.0),
+        "irregular_sampling": (phone & c("sampling").isin("irregular", "severely_irregular"), c("timestamp_score"), 1.0),
+    }
+    value = lambda v: v.cast("double")
+    best = [F.min_by(F.struct("source_file", "session_id", value(v).alias("value")), F.when(ok & v.isNotNull(), F.struct(value(v) * sign, c("source_file")))).alias(n) for n, (ok, v, sign) in cases.items()]
+    won = files.agg(*best).select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("category"), c(n).alias("file")) for i, n in enumerate(cases)])).alias("w")).select("w.at", "w.category", "w.file.*")
+    return splits.top_per(won.where("source_file IS NOT NULL"), ["source_file"], "at").drop("at")
+
+
+def examples(evaluations: DataFrame, count: int = 3) -> DataFrame:
+    """`count` segments whose runs are worth drawing, chosen by outcome and length alone: the longest of those aligned with confidence, of those aligned with little, of those not aligned, then the longest of the rest.
+
+    Adds example, from 1 on. Segments that weren't propagated aren't chosen; equal lengths go by segment_id. Only the longest few of each outcome meet in one task.
+    """
+    c = F.col
+    sure = F.coalesce(c("alignment_confidence"), F.lit(0.0)) >= SURE_ALIGNMENT
+    have = F.coalesce(c("alignment_available"), F.lit(False))
+    done = evaluations.where("error IS NULL").withColumn("__kind", F.when((c("alignment_status") == "SUCCESS") & sure, 0).when(have & ~sure, 1).when(~have, 2).otherwise(3))
+    length = F.coalesce(c("duration_s"), F.lit(0.0)).desc()
+    few = splits.top_per(done, ["__kind"], length, "segment_id", k=count)
+    few = few.withColumn("__first", (F.row_number().over(W.partitionBy("__kind").orderBy(length, "segment_id")) == 1) & (c("__kind") < 3))
+    turn = F.row_number().over(W.orderBy(F.when(c("__first"), c("__kind")).otherwise(3), length, "segment_id"))
+    return few.withColumn("example", turn).where(c("example") <= count).drop("__kind", "__first")
+
+
+def label_figures(coverage: DataFrame) -> DataFrame:
+    """One row over the labels of all files: labelled rows, their share, and medians of the mean label and of the share that stands. coverage: runs.coverage; quality.value_counts counts its files by label source."""
+    mean = F.col("mean_label_mps")
+    return coverage.agg(
+        F.count("*").alias("files"), F.count(mean).alias("labelled_files"), F.sum("labelled_rows").alias("labelled_rows"), (F.sum("labelled_rows") / F.sum("n_rows")).alias("labelled_share"),
+        F.median(F.when(mean != 0, mean)).alias("median_label_mps"), F.median(F.when(mean.isNotNull(), F.col("stationary_fraction"))).alias("median_stationary_fraction"),
+    )
+
+
+def canonical_figures(rows: DataFrame) -> DataFrame:
+    """A row per stream of canonical rows: rows, files, segments; files of several segments, with rows put in order, with resets of the source's counter, with repaired fields and with doubtful encoding; median minutes and total hours of its segments."""
+    flag = lambda name: F.bool_or(FL.has(F.col("quality_flags"), FL.QUALITY[name]))
+    before = F.last("source_time_s", True).over(W.partitionBy("source_file").orderBy("row_idx").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__reset", F.coalesce(F.col("source_time_s") - before <= -P.CLOCK_RESET_MIN_DROP_S, F.lit(False)))
+    # A segment lies in one file, so its files' figures are sums over segments.
+    segments = rows.groupBy("stream", "source_file", "segment_id").agg(
+        F.count("*").alias("n"), F.max("elapsed_s").alias("s"), F.bool_or("__reset").alias("reset"), flag("NON_MONOTONIC_TIMESTAMP").alias("reordered"), flag("SCHEMA_REPAIR").alias("repaired"), flag("ENCODING_WARNING").alias("warned")
+    )
+    files = segments.groupBy("stream", "source_file").agg(F.count("*").alias("segments"), F.sum("n").alias("n"), *[F.bool_or(x).alias(x) for x in ("reset", "reordered", "repaired", "warned")])
+    out = files.groupBy("stream").agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("files"), F.sum("segments").alias("segments"), F.count_if(F.col("segments") > 1).alias("multi_segment_files"), F.count_if("reordered").alias("reordered_files"), F.count_if("reset").alias("counter_reset_files"),
+        F.count_if("repaired").alias("repaired_files"), F.count_if("warned").alias("encoding_warned_files"),
+    )
+    lasting = segments.groupBy("stream").agg((F.median("s") / 60).alias("median_segment_min"), (F.sum("s") / 3600).alias("total_h"))
+    return out.join(lasting, "stream")

@@ -108,13 +108,16 @@ def frame_summary(aligned: DataFrame) -> DataFrame:
     )
 
 
-def orientation_rmse(turned: DataFrame, rows: DataFrame) -> DataFrame:
-    """(segment, roll_rmse_deg, pitch_rmse_deg, n): roll and pitch of the attitudes against the recording's own orientation columns, differences wrapped."""
-    own = rows.select(KEY, "row_idx", *[F.col(f"orientation_{c}").cast("double").alias(c) for c in ("roll", "pitch")])
-    roll, pitch, _ = Q.to_euler(Q.quaternion("q"))
-    met = turned.select(KEY, "row_idx", F.degrees(roll).alias("r"), F.degrees(pitch).alias("p")).join(own, [KEY, "row_idx"])
-    rmse = lambda a, b: F.sqrt(F.avg(G.wrap_deg(F.col(a) - F.col(b)) ** 2))
-    return met.groupBy(KEY).agg(rmse("r", "roll").alias("roll_rmse_deg"), rmse("p", "pitch").alias("pitch_rmse_deg"), F.count(F.col("r") + F.col("roll")).alias("n"))
+def orientation_rmse(turned: DataFrame, rows: DataFrame, least: int = 10) -> DataFrame:
+    """(segment, and for roll, pitch and yaw: <axis>_rmse_deg, <axis>_n): the attitudes against the recording's own orientation columns, differences wrapped.
+
+    An axis is compared where both are finite, and null with fewer than `least` such rows or without its column.
+    """
+    axes = ("roll", "pitch", "yaw")
+    own = rows.select(KEY, "row_idx", *[(V.clean(F.col(f"orientation_{c}").cast("double")) if f"orientation_{c}" in rows.columns else F.lit(None).cast("double")).alias(c) for c in axes])
+    met = turned.select(KEY, "row_idx", *[F.degrees(c).alias(f"__{n}") for c, n in zip(Q.to_euler(Q.quaternion("q")), axes, strict=True)]).join(own, [KEY, "row_idx"])
+    off = {n: G.wrap_deg(V.clean(F.col(f"__{n}")) - F.col(n)) for n in axes}
+    return met.groupBy(KEY).agg(*[c for n, d in off.items() for c in (F.when(F.count(d) >= least, F.sqrt(F.avg(d * d))).alias(f"{n}_rmse_deg"), F.count(d).alias(f"{n}_n"))])
 
 
 def summary(evaluations: DataFrame) -> DataFrame:

@@ -199,13 +199,13 @@ WITH {E_SQL}, a AS (SELECT k, min(t) / 1000000.0::DOUBLE AS a0, max(t) / 1000000
 b AS (SELECT k, min(t) / 1000000.0::DOUBLE AS b0, max(t) / 1000000.0::DOUBLE AS b1 FROM e WHERE event_type = 'click' GROUP BY k),
 j AS (SELECT *, (a1 - b1 + a0 - b0) / 2 AS mean, (a1 - b1) - (a0 - b0) AS drift FROM a JOIN b USING (k)),
 h AS (SELECT *, round_even(mean / 3600, 0)::INTEGER AS hours FROM j)
-SELECT k, {rs('greatest(0, least(a1, b1) - greatest(a0, b0))', 3)} AS overlap_s, {rs('a0 - b0', 3)} AS offset_start_s, {rs('a1 - b1', 3)} AS offset_end_s,
+SELECT k, {rs('greatest(0, least(a1, b1) - greatest(a0, b0))', 3)} AS overlap_s, {rs('greatest(0, least(a1 - mean, b1) - greatest(a0 - mean, b0))', 3)} AS aligned_overlap_s, {rs('a0 - b0', 3)} AS offset_start_s, {rs('a1 - b1', 3)} AS offset_end_s,
   {rs('drift', 3)} AS drift_s, {rs('mean', 3)} AS offset_mean_s, {rs('CASE WHEN b1 > b0 THEN drift / (b1 - b0) * 1000000 END', 3)} AS drift_ppm, hours AS whole_hours, {rs('mean - hours * 3600', 3)} AS residual_s,
   CASE WHEN hours <> 0 AND abs(mean - hours * 3600) <= 5 AND abs(drift) <= 0.05 THEN 'constant_offset_whole_hour_likely_timezone' WHEN abs(drift) <= 0.05 THEN 'constant_offset' ELSE 'variable_offset_possible_drift' END AS interpretation
 FROM h""")
 def pair_overlap(spark: SparkSession, d: str) -> DataFrame:
     a, b = _types(spark, d, "view", "click")
-    return rounded(asof.overlap(a, b, "k", "t"), "overlap_s", "offset_start_s", "offset_end_s", "drift_s", "offset_mean_s", "drift_ppm", "residual_s", digits=3)
+    return rounded(asof.overlap(a, b, "k", "t"), "overlap_s", "aligned_overlap_s", "offset_start_s", "offset_end_s", "drift_s", "offset_mean_s", "drift_ppm", "residual_s", digits=3)
 
 
 @query(f"""

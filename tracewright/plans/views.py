@@ -13,7 +13,7 @@ from . import reports
 
 
 def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
-    """segments, timing, freshness, availability, missingness, pairs, overlap, sync, sync_figures, labels, label_coverage, label_speeds, windows, outages, splits, split_summary, leakage, flags.
+    """segments, timing, freshness, availability, missingness, pairs, overlap, sync, sync_figures, labels, label_coverage, label_speeds, label_figures, label_sources, canonical_figures, windows, outages, splits, split_summary, leakage, flags.
 
     Give it rows that were written and read back, as the ingest does: the views take them many times over, and each time the whole plan of what made them would be taken along.
     """
@@ -48,6 +48,9 @@ def ingest_views(rows: DataFrame) -> dict[str, DataFrame]:
         "labels": labels,
         "label_coverage": covered,
         "label_speeds": reports.spread(labels.where("label_available"), ["label_source"], "ref_velocity_mps"),
+        "label_figures": reports.label_figures(covered),
+        "label_sources": quality.value_counts(covered, "label_source"),
+        "canonical_figures": reports.canonical_figures(rows),
         "windows": asof.windows(labels.where("t_us IS NOT NULL"), ["segment_id"], ["row_idx"], "t_us", "ref_velocity_mps", "quality_flags"),
         "outages": ordered.outages(phone, ["segment_id"], ["row_idx"], "t_us", "no_fix"),
         "splits": assigned,

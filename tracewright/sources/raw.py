@@ -63,6 +63,17 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def folders(files: DataFrame) -> DataFrame:
+    """A row per folder that holds a file at any depth, in the columns of inventory() and is_directory; empty folders have no file to be seen by."""
+    parts = F.split("source_file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    at = files.where(F.size(parts) > 1).select(F.explode(above).alias("source_file")).distinct()
+    known = {"size_bytes": F.lit(0), "extension": F.lit(""), "dataset_family": TX.family(F.col("source_file")), "is_pointer": F.lit(False), "hash_note": F.lit("not applicable to a folder")}
+    driver, category = TX.driver_and_category(F.col("source_file"))
+    known |= {"driver": driver, "category": category}
+    return at.select(*[F.col(f.name) if f.name == "source_file" else known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in files.schema], F.lit(True).alias("is_directory"))
+
+
 def _lines(files: DataFrame) -> DataFrame:
     # ISO-8859-1 keeps every byte, so hashes and non-UTF-8 headers survive; the signs that matter in units are the same in Windows-1252.
     text = F.decode("content", "ISO-8859-1")
