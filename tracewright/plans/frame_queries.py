@@ -34,10 +34,10 @@ _C = ", ".join(f"b{i}0 * a{j}0 + b{i}1 * a{j}1 + b{i}2 * a{j}2 AS c{i}{j}" for i
 
 
 @query(
-    f"""WITH {_Q}, m AS (SELECT vec_id, vx, vy, vz, {_AB} FROM b), n AS (SELECT *, {_C} FROM m)
+    f"""WITH {_Q}, m AS (SELECT vec_id, vx, vy, vz, px * qx + py * qy + pz * qz + pw * qw AS pq, {_AB} FROM b), n AS (SELECT *, {_C} FROM m)
 SELECT vec_id, {', '.join(f"{rs(f'c{i}{j}')} AS m{i}{j}" for i in range(3) for j in range(3))}, {', '.join(f"{rs(f'c{i}0 * vx + c{i}1 * vy + c{i}2 * vz')} AS nav_{c}" for i, c in enumerate('xyz'))},
   {', '.join(f"{rs(f'v{c}')} AS back_{c}" for c in 'xyz')}, {rs('degrees(atan2(c21, c22))', 4)} AS roll_deg, {rs('degrees(asin(greatest(-1, least(1, -c20))))', 4)} AS pitch_deg, {rs('degrees(atan2(c10, c00))', 4)} AS yaw_deg,
-  {rs('acos(greatest(-1, least(1, (c00 + c11 + c22 - 1) / 2)))', 4)} AS angle, false AS same, true AS closed FROM n"""
+  {rs('acos(greatest(-1, least(1, (c00 + c11 + c22 - 1) / 2)))', 4)} AS angle, 2 * acos(least(1, abs(pq))) <= 1.5 AS same, true AS closed FROM n"""
 )
 def frame_rotations(spark: SparkSession, d: str) -> DataFrame:
     """Navigation from vehicle, out of an attitude and a mounting: composed, applied to a tagged series, taken back, as angles, and its distance from no rotation."""
@@ -53,7 +53,7 @@ def frame_rotations(spark: SparkSession, d: str) -> DataFrame:
     roll, pitch, yaw = out.euler_deg()
     return rows.select(
         "vec_id", *[r(m[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(3)], *[r(f"{p}_{c}").alias(f"{p}_{c}") for p in ("nav", "back") for c in "xyz"], r(roll, 4).alias("roll_deg"), r(pitch, 4).alias("pitch_deg"), r(yaw, 4).alias("yaw_deg"),
-        r(out.angle_to(none), 4).alias("angle"), Q.close(Q.from_matrix(out.matrix), Q.identity(), 1e-6).alias("same"), (closed.angle_to(R.FrameRotation.identity_between("navigation", "navigation")) < 1e-6).alias("closed"),
+        r(out.angle_to(none), 4).alias("angle"), Q.close(Q.quaternion("p"), Q.quaternion("q"), 1.5).alias("same"), (closed.angle_to(R.FrameRotation.identity_between("navigation", "navigation")) < 1e-6).alias("closed"),
     )
 
 
