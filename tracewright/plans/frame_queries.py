@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -220,3 +221,25 @@ def canonical_figures(spark: SparkSession, d: str) -> DataFrame:
     )
     out = reports.canonical_figures(rows)
     return rounded(rounded(out, "median_segment_min"), "total_h", digits=4)
+
+
+@query(
+    f"""WITH {ALIGNED_SQL}, n AS (SELECT event_type AS k, count(*) AS n, count(*) FILTER (event_type <> 'signup' OR event_id % 29 = 0) >= 180 AS ok FROM e GROUP BY 1),
+s AS (SELECT n.*, status, fc > 0 AS have, CASE WHEN fc > 0 THEN gc * fc ELSE 0 END AS conf FROM n LEFT JOIN w USING (k))
+SELECT k AS segment_id, CASE WHEN ok THEN n END AS sample_count, CASE WHEN ok THEN {rs('(n - 1) / 10')} END AS duration_s, CASE WHEN ok THEN n - 1 END AS integrated_steps, CASE WHEN ok THEN 0 END AS skipped_steps, CASE WHEN ok THEN status END AS alignment_status,
+  CASE WHEN ok THEN {rs('conf')} END AS alignment_confidence, CASE WHEN ok THEN have END AS alignment_available, CASE WHEN ok THEN 'reference_speed' END AS velocity_source, CASE WHEN ok THEN false END AS begins_at_rest,
+  CASE WHEN NOT ok THEN 'fewer than 180 samples with an acceleration' END AS error FROM s"""
+)
+def segment_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation of every event type's recording, one of which has lost most of its accelerations; the columns that SQL can tell, the others are held against a walk of samples in tests."""
+    k, i = F.col("k"), F.col("i")
+    own = driven(spark, d)
+    lost = events(spark, d).select(F.col("event_type").alias("k"), (F.row_number().over(W.partitionBy("event_type").orderBy("t", "event_id")) - 1).alias("i"), ((F.col("event_type") == "signup") & (F.col("event_id") % 29 > 0)).alias("lost"))
+    own = own.join(lost, ["k", "i"])
+    rows = own.select(
+        k.alias("segment_id"), k.alias("session_id"), F.concat(k, F.lit(".csv")).alias("source_file"), i.alias("row_idx"), F.col("t").alias("t_us"), *[F.when(~F.col("lost"), F.col(f"accel_{a}")).alias(f"accel_{a}") for a in "xyz"],
+        *[f"gravity_{a}" for a in "xyz"], F.col("speed").alias("ref_speed_mps"), F.lit(90.0).alias("ref_heading_deg"),
+    )
+    out = segments.evaluate(rows, 180)["evaluations"]
+    names = ("sample_count", "duration_s", "integrated_steps", "skipped_steps", "alignment_status", "alignment_confidence", "alignment_available", "velocity_source", "begins_at_rest", "error")
+    return rounded(out.select("segment_id", *names), "duration_s", "alignment_confidence")
