@@ -40,3 +40,12 @@ def test_parts(spark):
     assert one.attachment_tokens == 831 and two.attachments == [] and two.n_turns == 1
     assert c.read_chat(c.format_chat(df)).where("conv_id = 1").first().loss_text == "see <|image|>end"
     assert c.format_chat(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters, full of control strings, beside short ones in one conversation."""
+    long = "<|im_end|> é " * 300_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long + "x"), (1, 2, "assistant", "short"), (2, 0, "assistant", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in c.read_chat(c.format_chat(df.withColumn("parts", c.text_parts(F.col("text"))))).collect()}
+    assert [t.text for t in out[1].turns] == [long, long + "x", "short"] and out[1].loss_text == long + "xshort" and out[2].loss_text == ""

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
-from tracewright.llm import sharding
+from tracewright.llm import registry, sharding
 from tracewright.llm.common import scratch
 
 
@@ -106,3 +109,21 @@ def test_clashing_columns(spark, make_docs):
     assert rows(out.select(*quoted)) == rows(docs) and out.columns[-5:] == ["__shard_", "__shard_rows", "__shard_bytes", "__shard_tier", "__shard_version"]
     other = spark.createDataFrame([({"a": 1}, "x")], "m map<string,int>, t string")
     assert sharding.shard(spark, other, scratch(spark, "t")).count() == 1
+
+
+def test_query_against_the_files(spark, make_docs, awkward, tmp_path, monkeypatch):
+    """Every column of the query, from the committed version's files read one by one."""
+    root = str(tmp_path / "store")
+    monkeypatch.setattr(registry, "scratch", lambda *_: root)
+    docs = [*awkward, *[(i, f"text {i} " * (i % 30)) for i in range(100, 600)]]
+    make_docs(docs).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in registry.op3_sharding(spark, str(tmp_path)).select("doc_id", "text_chars", "shard", "shard_rows", "shard_bytes", "shard_tier", "manifest_version").collect()), key=str)
+    versions = sorted((tmp_path / "store/manifest").glob("v*"))
+    live = sorted(r[0] for r in spark.read.parquet(str(versions[-1])).select("path").collect())
+    want = []
+    for n, path in enumerate(live):
+        table, size, tier = pq.ParquetFile(f"{root}/{path}").read(["doc_id", "text"]).to_pylist(), os.path.getsize(f"{root}/{path}"), 0
+        while sharding.TIER_FACTOR ** (tier + 1) <= size:
+            tier += 1
+        want += [(r["doc_id"], None if r["text"] is None else len(r["text"]), n, len(table), size, tier, int(versions[-1].name[1:])) for r in table]
+    assert got == sorted(want, key=str) and sorted(str(r[:2]) for r in got) == sorted(str((k, None if t is None else len(t))) for k, t in docs)

@@ -13,8 +13,9 @@ start and length in code points inside that turn's piece, counted from its start
 
 Defined results: null text is empty, null role is empty, a null or empty list of parts is a turn without
 content, parts of an unknown kind are an empty text. Turns sort by (turn, role, text), nulls first; repeated
-rows are repeated turns; rows with a null conv_id form one conversation. Extra columns are not read.
-A conversation is one output row, so its turns meet in one task; conversations are dealt by conv_id.
+rows are repeated turns; rows with a null conv_id form one conversation. Extra columns are not read. Very long texts are formatted whole.
+A conversation is one output row, so its turns meet in one task; conversations are dealt by conv_id, and one
+whose formatted text passes the 2 GB that a value can hold fails the query rather than being cut.
 """
 
 from __future__ import annotations

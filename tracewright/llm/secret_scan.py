@@ -7,8 +7,8 @@ add tokens whose last six characters are the CRC-32 of the rest in base 62 (gith
 numbers, named as such, that satisfy the Luhn rule (card). Matches of a kind don't overlap, the leftmost wins,
 and a match that fails its length or checksum still takes up its place.
 
-Offsets are code points of the whole text, ends exclusive. Defined results: null and empty texts have no spans; a null doc_id,
-repeated rows and ties (spans of several kinds at one start, in the order of KINDS) are kept; empty tables give empty results;
+Offsets are code points of the whole text, ends exclusive. Defined results: null and empty texts have no spans; very long texts are read
+whole, from the first byte to the last, in the one task that holds their row; a null doc_id, repeated rows and ties (spans of several kinds at one start, in the order of KINDS) are kept; empty tables give empty results;
 extra columns are not read.
 """
 
