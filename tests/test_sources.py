@@ -170,9 +170,9 @@ def test_forensics(spark, root, rows, tmp_path):
     assert a["duplicate_groups"].count() == 0 and a["smartphone_schema"].where("role = 'accel_z'").agg(F.sum("files")).first()[0] == 5
     assert a["dataset_manifest"].where("NOT is_directory").count() == r.files
     shown = {x.category: x.source_file.rsplit("/", 1)[-1] for x in a["representative_sessions"].collect()}
-    found = Counter(n for x in a["range_findings"].collect() if (n := x.source_file.rsplit("/", 1)[-1]).startswith("S-"))
-    assert set(shown) == {"difficult_motion", "irregular_sampling"}  # every steady phone has a constant sensor, and the paired one has the most findings already
-    assert shown["difficult_motion"] == min(found, key=lambda f: (-found[f], f)) and shown["irregular_sampling"] == "S-G1.csv"
+    found = Counter(x.source_file for x in a["range_findings"].collect() if "S-" in x.source_file.rsplit("/", 1)[-1])
+    assert set(shown) == {"difficult_motion", "irregular_sampling"}  # every steady phone has a constant sensor, and of equal numbers of findings the first path counts
+    assert shown["difficult_motion"] == min(found, key=lambda f: (-found[f], f)).rsplit("/", 1)[-1] and shown["irregular_sampling"] == "S-G1.csv"
 
 
 def test_folders(spark):
