@@ -149,3 +149,25 @@ def test_profile_of_text(spark):
     df = spark.createDataFrame([("1",), (" ",), (None,), ("x",), ("NaN",), ("3",)], "c string")
     r = quality.profile(df, ["c"]).first()
     assert (r.n_rows, r.n_blank, r.n_non_numeric, r.n_numeric, r["min"], r["max"], r["std"], r.constant) == (6, 2, 2, 2, 1.0, 3.0, 1.0, False)
+
+
+def test_stationary_at_its_limits(spark):
+    """Deviations and means that are the limit or lie a rounding beside it are judged by the window's own values, wherever its block begins."""
+    force = lambda x: 9.80665 + (x - 20) / 50
+    pairs = [(round(0.37 * j, 2), round(0.37 * j + 25, 2)) for j in range(40)] + [(round(20 + 0.11 * j, 2), round(35 - 0.11 * j, 2)) for j in range(40)]
+    rows = [r for j, (a, b) in enumerate(pairs) for r in ((j, 0, 500_000, 9.7 + j / 7, 0.0), (j, 1, 1_200_000, force(a), 0.01), (j, 2, 2_600_000 + 10_000 * j, force(b), None))]
+    df = spark.createDataFrame(rows, "k int, i int, t long, f double, g double")
+    got = {(r.k, r.i): r.stationary for r in ordered.stationary(df, "k", ["i"], "t", "f", "g").collect()}
+    assert len(got) == len(rows)
+    decided = set()
+    for k, i, t, _, _ in rows:
+        own = [r[3] for r in rows if r[0] == k and r[1] <= i and r[2] >= t - 2_000_000]
+        n, total, mean, square = 0, 0.0, 0.0, 0.0
+        for x in own:
+            n, total, last = n + 1, total + x, mean
+            mean = last + (x - last) / n
+            square += (x - mean) * (x - last)
+        want = n > 1 and math.sqrt(square / n) <= 0.25 and abs(total / n - 9.80665) <= 0.15
+        assert got[k, i] == want, (k, i)
+        decided.add(want)
+    assert decided == {True, False}

@@ -189,13 +189,63 @@ def rest_seconds(df: DataFrame, key, order: list[str], t: str, mask: str) -> Dat
     return rows.groupBy(*_key(key)).agg(F.coalesce(F.sum("__d"), F.lit(0.0)).alias("rest_s"))
 
 
+TIE = 1e-9  # of a limit: nearer than this, running sums of blocks can't tell which side a figure is on
+
+
+def _plain(window: Column) -> tuple[Column, Column]:
+    """Mean and population deviation (null for fewer than two) of an array without nulls, as one pass in its order gives them."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in "smq"])
+
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        m = a["m"] + (x - a["m"]) / n
+        return F.struct(n.alias("n"), (a["s"] + x).alias("s"), m.alias("m"), (a["q"] + (x - m) * (x - a["m"])).alias("q"))
+
+    end = F.aggregate(window, start, add)
+    return F.when(end["n"] > 0, end["s"] / end["n"]), F.when(end["n"] >= 2, F.sqrt(end["q"] / end["n"]))
+
+
 def stationary(df: DataFrame, key, order: list[str], t: str, force_norm: str, rate_norm: str | None = None, seconds: float = 2.0, gravity: float = P.STANDARD_GRAVITY_MPS2) -> DataFrame:
-    """Adds stationary: over the trailing window the force varies little and averages g, and the rotation, where known, is slow."""
-    rows = trailing_many(df, key, order, t, {"__f": force_norm} | ({"__g": rate_norm} if rate_norm else {}), seconds)
-    still = (F.col("__f_std") <= P.MAX_STATIONARY_ACCEL_STD_MPS2) & (F.abs(F.col("__f_mean") - gravity) <= P.MAX_STATIONARY_GRAVITY_ERROR_MPS2)
-    if rate_norm:
-        still = still & F.coalesce(F.col("__g_mean") <= P.MAX_STATIONARY_GYRO_RPS, F.lit(True))
-    return rows.withColumn("stationary", F.coalesce(still, F.lit(False))).drop(*[f"__{a}_{b}" for a in "fg" for b in ("n", "mean", "std")])
+    """Adds stationary: over the trailing window the force varies little and averages g, and the rotation, where known, is slow.
+
+    Rows with a figure within TIE of its limit are decided by the plain mean and deviation of their own window's values, in order, so a figure that is its limit counts whatever block it lies in; `order` tells rows of one time apart.
+    """
+    k, us = _key(key), int(round(seconds * US))
+    limits = [P.MAX_STATIONARY_ACCEL_STD_MPS2, P.MAX_STATIONARY_GRAVITY_ERROR_MPS2, P.MAX_STATIONARY_GYRO_RPS]
+
+    def figures(mean: Column, std: Column, rate: Column | None) -> list[Column]:
+        return [std, F.abs(mean - gravity), *([rate] if rate is not None else [])]
+
+    def still(mean: Column, std: Column, rate: Column | None) -> Column:
+        force = [c <= x for c, x in zip(figures(mean, std, None), limits, strict=False)]
+        slow = F.lit(True) if rate is None else F.coalesce(rate <= limits[2], F.lit(True))
+        return F.coalesce(force[0] & force[1] & slow, F.lit(False))
+
+    values = {"__f": force_norm} | ({"__g": rate_norm} if rate_norm else {})
+    rows = trailing_many(df, key, order, t, values, seconds)
+    own = (F.col("__f_mean"), F.col("__f_std"), F.col("__g_mean") if rate_norm else None)
+    near = F.lit(False)
+    for c, x in zip(figures(*own), limits, strict=False):
+        near = near | F.coalesce(F.abs(c - x) <= TIE, F.lit(False))
+    rows = rows.withColumns({"__near": near, "__still": still(*own)}).drop(*[f"__{a}_{b}" for a in "fg" for b in ("n", "mean", "std")])
+
+    at = [*k, t, *order]
+    block = F.floor(F.col(t) / us).cast("bigint")
+    asked = rows.where("__near").select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(at)], F.explode(F.array(block - 1, block)).alias("__block")).distinct()
+    held = df.where(F.col(t).isNotNull()).select(*at, block.alias("__b"), *[F.col(v).cast("double").alias(f"{n}_x") for n, v in values.items()])
+    mine = [F.col(f"__{i}") for i in range(len(at))]
+    same = F.col("__b") == F.col("__block")
+    for c, x in zip(k, mine, strict=False):
+        same = same & F.col(c).eqNullSafe(x)
+    now, then = mine[len(k) :], [F.col(c) for c in at[len(k) :]]
+    met = held.join(asked, same & (then[0] >= now[0] - us) & (F.struct(*then) <= F.struct(*now)))
+    windows = met.groupBy(*mine).agg(F.sort_array(F.collect_list(F.struct(*then, *[f"{n}_x" for n in values]))).alias("__w"))
+    plain = {n: _plain(F.filter(F.col("__w")[f"{n}_x"], lambda x: x.isNotNull())) for n in values}
+    decided = windows.select(*mine, still(*plain["__f"], plain["__g"][0] if rate_norm else None).alias("__plain"))
+    again = F.col("__near")
+    for c, x in zip(at, mine, strict=True):
+        again = again & F.col(c).eqNullSafe(x)
+    return rows.join(decided, again, "left").select(*df.columns, F.coalesce("__plain", "__still").alias("stationary"))
 
 
 # Propagation
