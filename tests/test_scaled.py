@@ -7,8 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import ordered, splits
+from tracewright.plans import scan_queries
 
 
 def test_trailing_windows_keep_a_small_spread(spark):
@@ -114,3 +116,24 @@ def test_closure_of_random_graphs(spark):
         parts.setdefault(find(x), []).append(x)
     want = {x: min(p) for p in parts.values() for x in p}
     assert {r.node: r.component for r in splits.closure(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()} == want
+
+
+@pytest.fixture(scope="module")
+def long_events(spark, tmp_path_factory):
+    """Events of one type: 21,480 rows, so that tenths of a second in microseconds are more than 32 bits hold."""
+    at = str(tmp_path_factory.mktemp("long"))
+    x = (F.col("id") * 37 % 1009) / 10.0
+    e = spark.range(21_480).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), x.alias("value"))
+    e.write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_recordings_of_many_samples(spark, long_events):
+    """alignment_fit, calibration_stream, frame_run_summary and segment_evaluation run over these rows."""
+    got = scan_queries.driven(spark, long_events).agg(F.count("*"), F.min("t"), F.max("t"), F.max(F.col("t") - F.col("i") * F.lit(100_000).cast("long"))).first()
+    assert list(got) == [21_480, 0, 2_147_900_000, 0]
+
+
+def test_residual_lag_of_many_samples(spark, long_events):
+    got = scan_queries.residual_lag(spark, long_events).collect()
+    assert len(got) == 1 and got[0].accepted and got[0].lag_s == pytest.approx(0.8)

@@ -101,7 +101,7 @@ def driven(spark: SparkSession, d: str) -> DataFrame:
     channel = F.col("event_type").isin("click", "view")
     felt = {"gravity_x": F.col("d"), "gravity_y": F.lit(9.80665 * 0.6), "gravity_z": F.lit(9.80665 * 0.8)}
     return rows.select(
-        F.col("event_type").alias("k"), "i", (F.col("i") * 100_000).cast("long").alias("t"), (5 + F.col("x") / 10).alias("speed"),
+        F.col("event_type").alias("k"), "i", (F.col("i").cast("long") * 100_000).alias("t"), (5 + F.col("x") / 10).alias("speed"),
         *[(F.col("f") * a + F.col("l") * b + 9.80665 * c).alias(n) for n, (a, b, c) in along.items()], *[F.when(channel, c).alias(n) for n, c in felt.items()],
     )
 
@@ -190,7 +190,7 @@ def residual_lag(spark: SparkSession, d: str) -> DataFrame:
     """Each event type as a track of ten rows a second against a reference of every third row, 0.8 s late; blocks of 30 seconds."""
     w = W.partitionBy("event_type").orderBy("t", "event_id")
     rows = events(spark, d).withColumns({"i": F.row_number().over(w) - 1, "late": F.lag("x", 8).over(w)}).withColumnRenamed("event_type", "type")
-    at = [F.col("type").alias("k"), (F.col("i") * 100_000).cast("long").alias("t")]
+    at = [F.col("type").alias("k"), (F.col("i").cast("long") * 100_000).alias("t")]
     track = rows.select(*at, (5 + F.col("x") / 10).alias("speed"))
     ref = rows.where("i % 3 = 0 AND late IS NOT NULL").select(*at, (5 + F.col("late") / 10 + (F.col("event_id") % 5) / 50.0).alias("speed"))
     return rounded(lags.residual_lag(track, ref, "k", "t", block_s=30.0), "lag_s", "correlation", "zero_correlation", "margin")
