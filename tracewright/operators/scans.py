@@ -1,6 +1,6 @@
 """Strapdown propagation as a walk over the samples of a segment, with all its policies; propagation has the parallel form.
 
-A trajectory that ends at a bad step, or has attitudes supplied, is decided sample by sample, so a segment is one group of applyInPandas and a loop; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
+A trajectory that ends at a bad step, or has attitudes supplied, is decided sample by sample. Segments don't depend on each other, so a task walks many of them side by side as lanes of arrays; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
 Input columns: key, t_s (seconds), and triples such as gyro_x, gyro_y, gyro_z; missing values are NaN.
 """
 
@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from . import lanes
 from .attitude import spin, turn
 from .propagation import multiply
 
+LANE_ROWS = 100_000  # samples that a task walks at a time
+CASE_ROWS = 25_000  # the same where each sample is walked for all cases of a list
+
 # Quaternions (x, y, z, w) in numpy, for the loops below; functions.quaternions has them as columns.
 
 
@@ -91,28 +95,63 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
     if on_gap not in ("skip", "segment", "fail"):
         raise ValueError(f"on_gap is skip, segment or fail, not {on_gap}")
 
+    cols = ["v_x", "v_y", "v_z", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
         t, force, rate = pdf["t_s"].to_numpy(float), _triple(pdf, "force"), _triple(pdf, "gyro")
         have_q = all(f"q_{a}" in pdf for a in "xyzw")
         qs = pdf[[f"q_{a}" for a in "xyzw"]].to_numpy(float) if have_q else np.tile([0.0, 0.0, 0.0, 1.0], (len(pdf), 1))
-        v0 = np.nan_to_num(_triple(pdf, "v0")[0])
-        s, out = State(t[0], qs[0], v0, np.zeros(3)), []
-        out.append((t[0], *s.v, *s.p, *s.q, 0))
-        for i in range(1, len(t)):
-            s, flag = advance(s, t[i], force[i], rate[i], qs[i] if supplied and have_q else None, max_step)
-            if flag in (8, 16) and on_gap == "fail":
-                raise ValueError(f"segment {pdf[key].iloc[0]}: the step to {t[i]} can't be integrated")
-            if flag in (8, 16) and on_gap == "segment":
-                break
-            out.append((t[i], *s.v, *s.p, *s.q, flag))
-        cols = ["t_s", "v_x", "v_y", "v_z", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w", "flags"]
-        res = pd.DataFrame(out, columns=cols)
-        res.insert(0, key, pdf[key].iloc[0])
-        return res.astype({"flags": "int32"})
-
-    schema = f"{key} {kind}, t_s double, " + ", ".join(f"{a}_{b} double" for a in "vp" for b in "xyz") + ", q_x double, q_y double, q_z double, q_w double, flags int"
-    return df.groupBy(key).applyInPandas(run, schema)
+        v0 = np.nan_to_num(_triple(pdf, "v0"))
+        values, flags, goes = np.zeros((len(pdf), len(cols))), np.zeros(len(pdf), np.int32), np.ones(len(pdf), bool)
+        for some in lanes.batches(pdf, [key]):
+            given = some.place(qs) if supplied and have_q else None
+            held, flag = walk(some.place(t), some.place(force), some.place(rate), some.length, qs[some.first], v0[some.first], given, max_step)
+            stop = np.isin(flag, (8, 16))
+            if on_gap == "fail" and stop.any():
+                lane, i = np.argwhere(stop)[0]
+                at = some.first[lane]
+                raise ValueError(f"segment {pdf[key].iloc[at]}: the step to {t[at + i]} can't be integrated")
+            values[some.rows], flags[some.rows] = some.taken(held), some.taken(flag)
+            if on_gap == "segment":
+                goes[some.rows] = some.taken(~np.logical_or.accumulate(stop, axis=1))
+        res = pd.concat([pdf[[key, "t_s"]].astype({"t_s": float}), pd.DataFrame(values, columns=cols)], axis=1)
+        return res.assign(flags=flags)[goes]
+
+    schema = f"`{key}` {kind}, t_s double, " + ", ".join(f"{c} double" for c in cols) + ", flags int"
+    return lanes.over(df, [key], [order], run, schema, LANE_ROWS)
+
+
+def walk(t: np.ndarray, force: np.ndarray, rate: np.ndarray, length: np.ndarray, q0: np.ndarray, v0: np.ndarray, supplied: np.ndarray | None = None, max_step: float = P.MAX_INTEGRATION_STEP_S) -> tuple[np.ndarray, np.ndarray]:
+    """advance() from each lane's first sample to its last: (v, p and q; flags), arrays (lane, sample)."""
+    count, n = t.shape
+    q, v, p, a, now = q0.copy(), v0.copy(), np.zeros((count, 3)), np.full((count, 3), np.nan), t[:, 0].copy()
+    out, flags = np.zeros((count, n, 10)), np.zeros((count, n), np.int32)
+    out[:, 0] = np.concatenate([v, p, q], axis=1)
+    size = lambda x: np.linalg.norm(x, axis=2)
+    with np.errstate(invalid="ignore"):
+        felt = np.isfinite(force).all(axis=2) & (size(force) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2)
+        slow = np.isfinite(rate).all(axis=2) & (size(rate) <= P.MAX_PLAUSIBLE_RATE_RPS)
+    sensed = felt & (slow if supplied is None else slow | np.isnan(rate).all(axis=2))
+    for i in range(1, n):
+        with np.errstate(invalid="ignore"):
+            dt = t[:, i] - now
+            kind = np.select([~np.isfinite(dt), dt <= 0, dt > max_step, ~sensed[:, i]], [32, 8, 16, 32], 0)
+        now = np.where(np.isfinite(dt), t[:, i], now)
+        flags[:, i] = np.where(i < length, kind, 0)
+        if supplied is not None:
+            held = ~np.isfinite(dt) | (kind == 8) | (kind == 16)
+            q[held] = supplied[held, i]
+        a[kind != 0] = np.nan
+        at = np.flatnonzero(kind == 0)
+        if len(at):
+            step = dt[at, None]
+            turned_to = supplied[at, i] if supplied is not None else multiply(q[at], spin(rate[at, i] * step))
+            q[at] = turned_to / np.linalg.norm(turned_to, axis=1, keepdims=True)
+            new = turn(q[at], force[at, i]) - [0.0, 0.0, P.STANDARD_GRAVITY_MPS2]
+            moved = v[at] + 0.5 * (np.where(np.isnan(a[at]), new, a[at]) + new) * step
+            p[at], v[at], a[at] = p[at] + 0.5 * (v[at] + moved) * step, moved, new
+        out[:, i] = np.concatenate([v, p, q], axis=1)
+    return out, flags
 
 
 # Bias sensitivity
@@ -121,33 +160,50 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
 def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURBATIONS_RPS, accel=P.ACCEL_PERTURBATIONS_MPS2, max_step: float = P.MAX_INTEGRATION_STEP_S) -> DataFrame:
     """How far the end of each trajectory moves if a bias is put on one axis of one sensor: a row per segment and case of a fixed list.
 
-    A segment is shipped once and walked once, for all cases side by side as lanes of arrays, the first being the one without a bias.
+    A segment is shipped once and walked once, for all cases and beside other segments as lanes of arrays, the first case being the one without a bias.
     """
     kind = dict(df.dtypes)[key]
     grid = [("gyro", i, float(m)) for m in gyro for i in range(3)] + [("accel", i, float(m)) for m in accel for i in range(3)]
     off = {s: np.array([[0.0] * 3] + [[m if s == sensor and i == axis else 0.0 for i in range(3)] for sensor, axis, m in grid]) for s in ("gyro", "accel")}
+    cases = len(grid) + 1
+
+    def ends(t: np.ndarray, force: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """Positions (lane, case) at the lanes' ends."""
+        count, n = t.shape
+        q, v, p = np.tile([0.0, 0.0, 0.0, 1.0], (count * cases, 1)), np.zeros((count * cases, 3)), np.zeros((count * cases, 3))
+        before, now = np.full(v.shape, np.nan), t[:, 0].copy()
+        for i in range(1, n):
+            with np.errstate(invalid="ignore"):
+                dt = t[:, i] - now
+                fits = (dt > 0) & (dt <= max_step)
+            now = np.where(np.isfinite(dt), t[:, i], now)
+            f, w = (force[:, i, None] - off["accel"]).reshape(-1, 3), (rate[:, i, None] - off["gyro"]).reshape(-1, 3)
+            with np.errstate(invalid="ignore"):
+                good = np.repeat(fits, cases) & (np.linalg.norm(f, axis=1) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2) & (np.linalg.norm(w, axis=1) <= P.MAX_PLAUSIBLE_RATE_RPS)
+            before[~good] = np.nan
+            at = np.flatnonzero(good)
+            if not len(at):
+                continue
+            step, f, last = np.repeat(dt, cases)[at, None], f[at], before[at]
+            new = multiply(q[at], spin(w[at] * step))
+            q[at] = new = new / np.linalg.norm(new, axis=1, keepdims=True)
+            before[at] = a = turn(new, f) - [0.0, 0.0, P.STANDARD_GRAVITY_MPS2]
+            dv = 0.5 * (np.where(np.isnan(last), a, last) + a) * step
+            p[at] += (v[at] + 0.5 * dv) * step
+            v[at] += dv
+        return p.reshape(count, cases, 3)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_s", kind="stable")
         t, force, rate = pdf["t_s"].to_numpy(float), _triple(pdf, "force"), _triple(pdf, "gyro")
-        q, v, p = np.tile([0.0, 0.0, 0.0, 1.0], (len(grid) + 1, 1)), np.zeros((len(grid) + 1, 3)), np.zeros((len(grid) + 1, 3))
-        before, now = np.full(v.shape, np.nan), t[0]
-        for i in range(1, len(t)):
-            dt = t[i] - now
-            now = t[i] if np.isfinite(dt) else now
-            if not 0 < dt <= max_step:
-                before[:] = np.nan
-                continue
-            f, w = force[i] - off["accel"], rate[i] - off["gyro"]
-            with np.errstate(invalid="ignore"):
-                good = (np.linalg.norm(f, axis=1) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2) & (np.linalg.norm(w, axis=1) <= P.MAX_PLAUSIBLE_RATE_RPS)
-            q = np.where(good[:, None], multiply(q, spin(np.where(good[:, None], w, 0.0) * dt)), q)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            a = turn(q, f) - [0.0, 0.0, P.STANDARD_GRAVITY_MPS2]
-            dv = np.where(good[:, None], 0.5 * (np.where(np.isnan(before), a, before) + a) * dt, 0.0)
-            p, v = p + np.where(good[:, None], (v + 0.5 * dv) * dt, 0.0), v + dv
-            before = np.where(good[:, None], a, np.nan)
-        moved = np.linalg.norm(p[1:] - p[0], axis=1)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(grid), "sensor": [g[0] for g in grid], "axis": [g[1] for g in grid], "magnitude": [g[2] for g in grid], "divergence_m": moved})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, sensor string, axis int, magnitude double, divergence_m double")
+        first, moved = [], []
+        for some in lanes.batches(pdf, [key], 2 * CASE_ROWS):
+            p = ends(some.place(t), some.place(force), some.place(rate))
+            first.append(some.first)
+            moved.append(np.linalg.norm(p[:, 1:] - p[:, :1], axis=2))
+        who = np.repeat(np.concatenate(first), len(grid))
+        each = {"sensor": [g[0] for g in grid], "axis": [g[1] for g in grid], "magnitude": [g[2] for g in grid]}
+        out = pd.DataFrame({c: np.tile(np.array(v), len(who) // len(grid)) for c, v in each.items()})
+        out.insert(0, key, pdf[key].iloc[who].array)
+        return out.assign(divergence_m=np.concatenate(moved).ravel())
+
+    return lanes.over(df, [key], ["t_s"], run, f"`{key}` {kind}, sensor string, axis int, magnitude double, divergence_m double", CASE_ROWS)
