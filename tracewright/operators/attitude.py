@@ -1,7 +1,7 @@
 """The attitude filter over recordings: gyroscope rates turn the attitude, what is felt near rest pulls it level, a trusted field pulls its heading.
 
 Every correction depends on the attitude before it, so a recording is walked sample by sample; but recordings don't depend on each other, and a group walks many of them at once, as lanes of arrays, so a step costs a few array operations for
-all of them. Groups are made of whole recordings, by hash, of about LANE_ROWS samples; recordings spread over the cluster.
+all of them. Spark deals whole recordings over the cluster and sorts them; a task walks about LANE_ROWS samples at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import vectors as V
-from . import evaluation, frames
+from . import evaluation, frames, lanes
 from .propagation import multiply
 from .store import Tables
 from .timeline import _key
 
-LANE_ROWS = 400_000
+LANE_ROWS = 100_000
 INTEGRATED, SKIPPED, SATURATED, NONE = 1, 2, 3, 0
 
 
@@ -87,16 +87,6 @@ def walk(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray, le
     return out, level, north, used
 
 
-def alike(length: np.ndarray, most: int = 2_000_000) -> list[np.ndarray]:
-    """Recordings dealt into batches of similar length, so that lanes are at least half full, of no more than `most` places but for single recordings."""
-    out: list[list[int]] = []
-    for j in np.argsort(-length, kind="stable"):
-        if not out or length[out[-1][0]] > 2 * length[j] or (len(out[-1]) + 1) * length[out[-1][0]] > most:
-            out.append([])
-        out[-1].append(int(j))
-    return [np.array(b) for b in out]
-
-
 def orientation(df: DataFrame, key: str, order: list[str], accel: str = "accel", gyro: str | None = None, mag: str | None = None, gravity: str | None = None, lane_rows: int = LANE_ROWS) -> DataFrame:
     """Attitude (navigation from phone) of each sample: key, order, t_s, q_x .. q_w, confidence, level_corrected, heading_corrected and step (integrated, skipped, saturated, or none for the first sample and without a gyroscope).
 
@@ -107,7 +97,7 @@ def orientation(df: DataFrame, key: str, order: list[str], accel: str = "accel",
     rows = df.select(*k, *order, F.col("t_s").cast("double").alias("t_s"), *[V.clean(F.col(f"{p}_{a}")).alias(f"{p}_{a}") for p in triples for a in "xyz"])
     facts = frames.gravity_estimate(rows, key, accel, gravity, gyro)
     has = F.count_if(V.all_finite(*V.vector(gyro))) > 0 if gyro else F.lit(False)
-    facts = facts.join(rows.groupBy(*k).agg(F.count("*").alias("rows"), F.coalesce(F.max(has) if not gyro else has, F.lit(False)).alias("has_gyro")), k)
+    facts = facts.join(rows.groupBy(*k).agg(F.coalesce(F.max(has) if not gyro else has, F.lit(False)).alias("has_gyro")), k)
     if mag:
         down = facts.where("up_x IS NOT NULL").select(*k, *[(-F.col(f"up_{a}")).alias(f"down_{a}") for a in "xyz"])
         timed = rows.join(down, k, "left").withColumn("__us", F.round(F.col("t_s") * 1e6).cast("long"))
@@ -115,41 +105,27 @@ def orientation(df: DataFrame, key: str, order: list[str], accel: str = "accel",
     else:
         facts = facts.withColumn("mag_weight", F.lit(None).cast("double"))
     confidence = evaluation.attitude_confidence(F.col("gravity_confidence"), F.col("mag_weight"), F.col("has_gyro"))
-    facts, _ = tables.keep(facts.select(*k, "rows", "has_gyro", *[f"up_{a}" for a in "xyz"], F.coalesce("mag_weight", F.lit(0.0)).alias("mag_weight"), confidence.alias("confidence")))
-    total = facts.agg(F.sum("rows")).first()[0] or 0
-    groups = max(1, -(-total // lane_rows), min(df.sparkSession.sparkContext.defaultParallelism, total // 1000))
+    facts, _ = tables.keep(facts.select(*k, "has_gyro", *[f"up_{a}" for a in "xyz"], F.coalesce("mag_weight", F.lit(0.0)).alias("mag_weight"), confidence.alias("confidence")))
     kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in (*k, *order))
     schema = f"{kinds}, t_s double, " + ", ".join(f"q_{a} double" for a in "xyzw") + ", confidence double, level_corrected boolean, heading_corrected boolean, step string"
     names = np.array(["none", "integrated", "skipped", "saturated"], object)
 
+    qs, xyz = [f"q_{a}" for a in "xyzw"], lambda p: [f"{p}_{a}" for a in "xyz"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*k, "t_s", *order], kind="stable").reset_index(drop=True)
-        lane = pdf.groupby(k, sort=False, dropna=False).ngroup().to_numpy()
-        first = np.flatnonzero(np.diff(lane, prepend=-1))
-        length = np.diff(np.append(first, len(pdf)))
-        out = pdf[[*k, *order, "t_s", "confidence"]].copy()
-        out[["q_x", "q_y", "q_z", "q_w"]], out["level_corrected"], out["heading_corrected"], out["step"] = 0.0, False, False, "none"
-        for some in alike(length):
-            take = np.concatenate([np.arange(first[j], first[j] + length[j]) for j in some])
-            own, n = np.repeat(np.arange(len(some)), length[some]), length[some]
-            at = np.concatenate([np.arange(x) for x in n])
-
-            def lanes(columns: list[str] | None, take=take, own=own, at=at, n=n) -> np.ndarray:
-                held = np.full((len(n), int(n.max()), 3), np.nan)
-                if columns:
-                    held[own, at] = pdf[columns].to_numpy(float)[take]
-                return held
-
-            xyz = lambda p: [f"{p}_{a}" for a in "xyz"] if p else None
-            head = pdf.iloc[first[some]]
-            q, level, north, used = walk(lanes(["t_s"] * 3)[:, :, 0], lanes(xyz(gyro)), lanes(xyz(accel)), lanes(xyz(mag)), n, head[xyz("up")].to_numpy(float), head["mag_weight"].to_numpy(float), head["has_gyro"].to_numpy(bool))
-            out.iloc[take, out.columns.get_indexer(["q_x", "q_y", "q_z", "q_w"])] = q[own, at]
-            for c, v in (("level_corrected", level[own, at]), ("heading_corrected", north[own, at]), ("step", names[used[own, at]])):
-                out.iloc[take, out.columns.get_loc(c)] = v
-        return out[[*k, *order, "t_s", "q_x", "q_y", "q_z", "q_w", "confidence", "level_corrected", "heading_corrected", "step"]]
-
-    dealt = rows.join(facts, k).withColumn("__g", F.pmod(F.xxhash64(*k), F.lit(groups)))
-    return dealt.groupBy("__g").applyInPandas(run, schema)
+        t, values = pdf["t_s"].to_numpy(float), {p: pdf[xyz(p)].to_numpy(float) for p in triples if p != gravity}
+        q, level, north, used = np.zeros((len(pdf), 4)), np.zeros(len(pdf), bool), np.zeros(len(pdf), bool), np.zeros(len(pdf), np.int8)
+        for some in lanes.batches(pdf, k):
+            at = some.place(t)
+            sensed = [some.place(values[p]) if p else np.broadcast_to(np.nan, (*at.shape, 3)) for p in (gyro, accel, mag)]
+            head = pdf.iloc[some.first]
+            found = walk(at, *sensed, some.length, head[xyz("up")].to_numpy(float), head["mag_weight"].to_numpy(float), head["has_gyro"].to_numpy(bool))
+            q[some.rows], level[some.rows], north[some.rows], used[some.rows] = (some.taken(x) for x in found)
+        out = pd.concat([pdf[[*k, *order, "t_s"]], pd.DataFrame(q, columns=qs), pdf[["confidence"]]], axis=1)
+        return out.assign(level_corrected=level, heading_corrected=north, step=names[used])
+
+    facing = rows.drop(*(xyz(gravity) if gravity else [])) if gravity not in (accel, gyro, mag) else rows
+    return lanes.over(facing.join(facts, k), k, ["t_s", *order], run, schema, lane_rows)
 
 
 def supports(df: DataFrame, key: str, accel: str = "accel", gyro: str | None = None, mag: str | None = None, gravity: str | None = None) -> DataFrame:
