@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tracewright.operators import lanes, scans
+from tracewright.operators import lanes, propagation, scans
 
 
 def test_whole_recordings_of_batches():
@@ -37,3 +37,17 @@ def test_lanes_walk_as_advance_does():
             for i in range(1, n):
                 s, flag = scans.advance(s, t[j, i], force[j, i], rate[j, i], None if supplied is None else supplied[j, i])
                 assert flag == flags[j, i] and np.concatenate([s.v, s.p, s.q]) == pytest.approx(got[j, i], abs=1e-9)
+
+
+def test_running_joins_of_stretches():
+    rng = np.random.default_rng(6)
+    length = [1, 2, 9, 1, 17]
+    at = np.concatenate([np.arange(n) for n in length])
+    q = rng.normal(0, 1, (len(at), 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    got, sums = propagation.products(q, at), propagation.running(q, at, np.add)
+    for i, n in enumerate(at):
+        want = q[i - n]
+        for j in range(i - n + 1, i + 1):
+            want = propagation.multiply(want, q[j])
+        assert got[i] == pytest.approx(want) and sums[i] == pytest.approx(q[i - n : i + 1].sum(axis=0))
