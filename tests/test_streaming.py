@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import generators as GN
 from tracewright.operators import scans
-from tracewright.streaming.calibration import PROVIDER, calibrate, calibrate_batch, final
+from tracewright.plans import scan_queries
+from tracewright.streaming.calibration import PROVIDER, calibrate, calibrate_batch, collect, estimates, final
 from tracewright.streaming.propagation import propagate
 
 
@@ -105,3 +106,34 @@ def test_calibration_keeps_the_first_samples(spark, tmp_path, rocks):
     got = run(spark, finish_at(drive(spark, drive_s=10.0), 601), tmp_path, lambda df: calibrate(df, retain=100), "update", "device")
     assert (got[-1].n, got[-1].rejected) == (100, 501) and got[-1].finished
     assert final(np.zeros((0, 14)))["status"] == "FAILED"
+
+
+def test_collected_sessions_have_the_estimate_of_all_samples(spark, tmp_path, rocks):
+    rows = drive(spark)
+    schema, out = rows.schema, str(tmp_path / "out")
+
+    def go(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = collect(src).writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/trigger={i}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    empty = rows.limit(1).withColumns({"device": F.lit("none"), "finish": F.lit(True)})
+    open_ = rows.where("i < 50").withColumn("device", F.lit("open"))
+    go(rows.where("i < 1500").unionByName(open_))
+    go(finish_at(rows.where("i >= 1500"), 2801).unionByName(empty))
+    go(finish_at(rows.where("i < 40"), 40))
+    got = {r.device: r for r in estimates(spark.read.parquet(out)).collect()}
+    r, batch = got["d"], calibrate_batch(rows).first()
+    assert set(got) == {"d", "none"} and r.finished and (r.n, r.rejected, r.status) == (2800, 1 + 40, batch.status) and r.gravity_method == batch.gravity_method
+    assert r.lag_s == pytest.approx(batch.lag_s) and r.confidence == pytest.approx(batch.confidence, abs=1e-6) and r.correlation == pytest.approx(batch.correlation, abs=1e-6)
+    assert r.rotation == pytest.approx(batch.rotation, abs=1e-6)
+    assert (got["none"].status, got["none"].n, got["none"].confidence, got["none"].gravity_method, got["none"].rotation) == ("FAILED", 0, 0.0, "unavailable", None)
+
+
+def test_a_session_of_more_samples_than_a_state_retains(spark, tmp_path):
+    i, n = F.col("id"), 61_000
+    e = spark.range(n).select(i.alias("event_id"), F.timestamp_micros(1_700_000_000_000_000 + i * 1_000_000).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (50 + 40 * F.sin(i / 9)).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = scan_queries.calibration_stream(spark, str(tmp_path)).collect()
+    assert [(r.k, r.n) for r in got] == [("view", n)]

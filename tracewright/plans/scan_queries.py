@@ -151,7 +151,7 @@ def alignment_fit(spark: SparkSession, d: str) -> DataFrame:
 SELECT k, CASE WHEN status = 'SUCCESS' AND short THEN 'LOW_HEADING_CONFIDENCE' ELSE status END AS status, n, gravity_method, {rs('CASE WHEN fc > 0 THEN gc * fc ELSE 0 END')} AS confidence, {rs('lag_s')} AS lag_s, {rs('r')} AS correlation,
   {', '.join(f"{rs(f'CASE WHEN NOT short THEN {a} END')} AS forward_{a}" for a in 'xyz')} FROM (SELECT w.* EXCLUDE (n), n.n, (n.n - 1) * 100000 < 20000000 AS short FROM w JOIN n USING (k))""")
 def calibration_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same recordings as a stream of samples: sessions collect them trigger by trigger and end with a row that says so; the estimate is the batch's."""
+    """The same recordings as a stream of samples: sessions collect them trigger by trigger and end with a row that says so; the estimate of all their samples, however many, is the batch's."""
     from ..operators.store import Tables
     from ..streaming import calibration as C
 
@@ -165,12 +165,12 @@ def calibration_stream(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.PROVIDER)
     try:
         source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(at)
-        stream = C.calibrate(source, "k", field=False).writeStream.outputMode("update").option("checkpointLocation", f"{tables.folder}/checkpoint").trigger(availableNow=True)
+        stream = C.collect(source, "k").writeStream.outputMode("update").option("checkpointLocation", f"{tables.folder}/checkpoint").trigger(availableNow=True)
         stream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/trigger={i}")).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     m = F.col("rotation")
-    found = spark.read.parquet(out).where("finished").select("k", "status", "n", "gravity_method", "confidence", "lag_s", "correlation", *[m[j].alias(f"forward_{a}") for j, a in enumerate("xyz")])
+    found = C.estimates(spark.read.parquet(out), "k", field=False, block_s=30.0).select("k", "status", "n", "gravity_method", "confidence", "lag_s", "correlation", *[m[j].alias(f"forward_{a}") for j, a in enumerate("xyz")])
     return rounded(found, "confidence", "lag_s", "correlation", *[f"forward_{a}" for a in "xyz"])
 
 
