@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import ordered, splits
+from tracewright.operators import asof, ordered, splits
 from tracewright.plans import scan_queries
 
 
@@ -137,3 +137,13 @@ def test_recordings_of_many_samples(spark, long_events):
 def test_residual_lag_of_many_samples(spark, long_events):
     got = scan_queries.residual_lag(spark, long_events).collect()
     assert len(got) == 1 and got[0].accepted and got[0].lag_s == pytest.approx(0.8)
+
+
+def test_values_read_in_time_share_two_sorts(spark):
+    """However many values are read, rows are sorted once forwards and once backwards; a value that only one row has isn't read."""
+    own = spark.createDataFrame([("a", i, t) for i, t in enumerate((0, 5, 10, 15, 20))] + [("b", 9, 10)], "k string, i int, t long")
+    ref = spark.createDataFrame([("a", 0, 0, 1.0, None, None), ("a", 1, 10, 3.0, 7.0, None), ("a", 2, 10, 5.0, None, 4.0), ("a", 3, 20, None, None, 8.0), ("b", 4, 10, 1.0, 2.0, None), ("b", 5, 10, 3.0, None, None)], "k string, i int, t long, x double, y double, z double")
+    out = asof.interpolate_many(own, ref, "k", "t", ["i"], {"p": "x", "q": "y", "r": "z"})
+    got = {r.i: (r.p, r.q, r.r) for r in out.collect()}
+    assert got == {0: (1.0, None, None), 1: (2.0, None, None), 2: (5.0, None, 4.0), 3: (None, None, 6.0), 4: (None, None, 8.0), 9: (3.0, None, None)}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 2

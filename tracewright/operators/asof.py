@@ -50,20 +50,22 @@ def interpolate_many(targets: DataFrame, sources: DataFrame, key, t: str, order:
     k = _key(key)
     lag = lag_s if isinstance(lag_s, Column) else F.lit(float(lag_s))
     src = sources.where(F.col(t).isNotNull()).withColumn(t, F.col(t) - F.round(lag * US).cast("bigint"))
-    held = {out: F.when(F.col(v).isNotNull(), F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v"))).alias(f"__s_{out}") for out, v in values.items()}
-    both = targets.withColumn("__side", F.lit(1)).unionByName(src.select(*k, t, *order, F.lit(0).alias("__side"), *held.values()), allowMissingColumns=True)
+    given = [F.when(F.col(v).isNotNull(), F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v"))).alias(f"__s_{out}") for out, v in values.items()]
+    both = targets.withColumn("__side", F.lit(1)).unionByName(src.select(*k, t, *order, F.lit(0).alias("__side"), *given), allowMissingColumns=True)
     back = W.partitionBy(*k).orderBy(t, "__side", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
     forth = W.partitionBy(*k).orderBy(F.col(t).desc(), F.col("__side"), *[F.col(o).desc() for o in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    for out in values:
-        s = F.col(f"__s_{out}")
-        both = both.withColumns({f"__b_{out}": F.last(s, ignorenulls=True).over(back), f"__a_{out}": F.last(s, ignorenulls=True).over(forth), f"__n_{out}": F.count(s).over(W.partitionBy(*k))})
-    both = both.where("__side = 1")
+    held = {out: F.col(f"__s_{out}") for out in values}
+    # All values in the same two windows, so that rows are sorted twice, however many values there are.
+    both = both.select("*", *[c.alias(n) for out, s in held.items() for n, c in ((f"__b_{out}", F.last(s, ignorenulls=True).over(back)), (f"__m_{out}", F.count(s).over(back)))])
+    both = both.select("*", *[c.alias(n) for out, s in held.items() for n, c in ((f"__a_{out}", F.last(s, ignorenulls=True).over(forth)), (f"__n_{out}", F.count(s).over(forth)))])
+    both, found = both.where("__side = 1"), {}
     for out in values:
         b, a = F.col(f"__b_{out}"), F.col(f"__a_{out}")
         span = a["t"] - b["t"]
+        two = (span > 0) | (F.col(f"__m_{out}") >= 2) | (F.col(f"__n_{out}") >= 2)  # rows at the target's own time are counted on both sides
         lerp = F.when(span > 0, b["v"] + (a["v"] - b["v"]) * (F.col(t) - b["t"]) / span).otherwise(b["v"])
-        both = both.withColumn(out, F.when(b.isNotNull() & a.isNotNull() & (F.col(f"__n_{out}") >= 2), lerp))
-    return both.drop("__side", *[f"__{x}_{out}" for out in values for x in "sban"])
+        found[out] = F.when(b.isNotNull() & a.isNotNull() & two, lerp)
+    return both.withColumns(found).drop("__side", *[f"__{x}_{out}" for out in values for x in "sbamn"])
 
 
 def nearest(targets: DataFrame, sources: DataFrame, key, t: str, order: list[str], value: str, out: str, tolerance_s: float = P.NEAREST_TOLERANCE_S) -> DataFrame:
