@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright import params as P
 from tracewright.operators import alignment as A
-from tracewright.operators import frames, lags
+from tracewright.operators import asof, frames, lags
 from tracewright.operators import generators as GN
 
 TILT = (0.25881904510252074, 0.0, 0.0, 0.9659258262890683)  # 30 degrees about x
@@ -106,3 +106,16 @@ def test_residual_lags_of_blocks(spark, block_s):
     r = lags.residual_lag(track, ref, "k", "t", block_s=block_s).first()
     assert r.accepted and r.lag_s == pytest.approx(best * 0.2) == pytest.approx(2.4) and r.correlation == pytest.approx(want[best], abs=1e-9)
     assert r.zero_correlation == pytest.approx(want[0], abs=1e-9) and r.margin == pytest.approx(want[best] - np.nanmedian(list(want.values())), abs=1e-9)
+
+
+def test_rounding_is_no_variation(spark):
+    """A speed that rises evenly, felt evenly: what rounding leaves of its rate correlates with nothing."""
+    rows = spark.range(1200).selectExpr("'a' AS k", "cast(id AS int) AS i", "id * 100000 AS t", "0.7 * id / 10 + 5 AS speed", "0.7D AS accel_x", "0D AS accel_y", "9.80665D AS accel_z", "0D AS gravity_x", "0D AS gravity_y", "9.80665D AS gravity_z")
+    r = A.alignment(rows, "k", "t", ["i"], gravity="gravity", block_s=30.0).first()
+    assert r.correlation is None and r.margin is None and r.rotation is None and r.status == "LOW_HEADING_CONFIDENCE" and r.lag_s == 0
+
+
+def test_correlation_without_variation(spark):
+    rows = spark.createDataFrame([("even", float(i), 2.0) for i in range(9)] + [("odd", float(i), -3.0 * i) for i in range(9)] + [("one", 1.0, 1.0)], "k string, x double, y double")
+    got = {r.k: r.c for r in rows.groupBy("k").agg(asof.guarded_corr(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert got == {"even": None, "odd": pytest.approx(-1.0, abs=1e-12), "one": None}

@@ -114,7 +114,7 @@ def _direction(moments: DataFrame, up: DataFrame, key) -> DataFrame:
     square = sum((f["xyz".index(a)] * f["xyz".index(b)] * F.col(f"h{a}{b}") * (1 if a == b else 2) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), F.lit(0.0)) / n
     cross = V.dot(f, tuple(F.col(f"hs{a}") for a in "xyz")) / n
     m = m.withColumns({"__va": F.greatest(square - mean * mean, F.lit(0.0)), "__vs": F.greatest(F.col("ss") / n - (F.col("s") / n) ** 2, F.lit(0.0)), "__c": cross - mean * F.col("s") / n})
-    varied = (F.sqrt("__va") >= P.MIN_VECTOR_NORM) & (F.sqrt("__vs") >= P.MIN_VECTOR_NORM)
+    varied = (F.sqrt("__va") >= P.MIN_VECTOR_NORM) & (F.sqrt("__vs") >= P.MIN_VECTOR_NORM) & (F.col("__va") >= lags.LEAST_SHARE * square) & (F.col("__vs") >= lags.LEAST_SHARE * F.col("ss") / n)
     m = m.withColumn("r", F.when(varied, F.col("__c") / F.sqrt(F.col("__va") * F.col("__vs"))))
     entry = F.struct("lag", F.col("n").cast("long").alias("n"), "r", *_xyz("forward"))
     top = F.max_by(entry, F.when(F.col("r").isNotNull(), F.struct("r", -F.col("lag"))))

@@ -94,7 +94,8 @@ def guarded_corr(x: Column, y: Column, least: int = 2, least_std: float = 1e-12)
     """Aggregate: correlation of rows that have both; null for fewer than `least`, or without variation."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when((F.count(a) >= least) & (F.stddev_pop(a) >= least_std) & (F.stddev_pop(b) >= least_std), F.corr(a, b))
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((F.count(a) >= least) & (sa >= least_std) & (sb >= least_std), F.covar_pop(a, b) / (sa * sb))  # corr itself fails where one of them is exactly zero, whatever stands around it
 
 
 def lag_search(rows: DataFrame, key, index: str, x: str, y: str, half_width: int, least: int = 10, block: int = 4096) -> DataFrame:

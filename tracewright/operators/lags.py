@@ -20,6 +20,7 @@ from .asof import bracket
 from .timeline import US, _key
 
 BLOCK_S = 300.0
+LEAST_SHARE = 1e-12  # of a mean square: a variance below it is what rounding leaves of equal values
 CHUNK = 8192  # rows of a block whose lags are held at once
 
 
@@ -162,7 +163,8 @@ def residual_lag(track: DataFrame, reference: DataFrame, key, t: str, speed: str
     n = F.col("n")
     spread = lambda s, q: F.greatest(F.col(q) / n - (F.col(s) / n) ** 2, F.lit(0.0))
     r = (F.col("ab") / n - F.col("a") / n * F.col("b") / n) / F.sqrt(spread("a", "aa") * spread("b", "bb"))
-    good = (n >= least) & (F.sqrt(spread("a", "aa")) >= 1e-12) & (F.sqrt(spread("b", "bb")) >= 1e-12)
+    varied = lambda s, q: (F.sqrt(spread(s, q)) >= 1e-12) & (spread(s, q) >= LEAST_SHARE * F.col(q) / n)
+    good = (n >= least) & varied("a", "aa") & varied("b", "bb")
     scored = m.where(good).select(*k, "lag", r.alias("r"))
     best = scored.groupBy(*k).agg(F.max(F.struct("r", (-F.col("lag")).alias("first"))).alias("b"), F.median("r").alias("m"), F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("zero_correlation"))
     lag, top = -F.col("b.first") * step_s, F.col("b.r")
