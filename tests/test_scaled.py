@@ -147,3 +147,12 @@ def test_values_read_in_time_share_two_sorts(spark):
     got = {r.i: (r.p, r.q, r.r) for r in out.collect()}
     assert got == {0: (1.0, None, None), 1: (2.0, None, None), 2: (5.0, None, 4.0), 3: (None, None, 6.0), 4: (None, None, 8.0), 9: (3.0, None, None)}
     assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 2
+
+
+def test_trailing_windows_of_many_values_share_two_sorts(spark):
+    """Rows that lie by key already are dealt to their blocks all the same."""
+    df = spark.range(100).selectExpr("id div 1000 AS k", "cast(id AS int) AS i", "id * 1000000 AS t", "id * 1D AS x", "id * 2D AS y", "id * 3D AS z").repartition("k")
+    out = ordered.trailing_many(df, "k", ["i"], "t", {"p": "x", "q": "y", "r": "z"}, 3.0)
+    assert [tuple(r) for r in out.where("i IN (0, 50)").orderBy("i").select("p_n", "p_mean", "q_mean", "r_mean").collect()] == [(1, 0.0, 0.0, 0.0), (4, 48.5, 97.0, 145.5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 3 and plan.count("hashpartitioning(k") == 2

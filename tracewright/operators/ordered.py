@@ -73,16 +73,14 @@ def trailing_many(df: DataFrame, key, order: list[str], t: str, values: dict[str
     block = F.floor(at / us).cast("bigint") + tail.cast("int")
     held = [F.when(F.col(t).isNotNull(), F.col(v).cast("double")).alias(f"__x_{out}") for out, v in values.items()]
     rows = twice.select(*k, block.alias("__b"), (at + F.when(tail, us).otherwise(0)).alias("__e"), "__tail", *[F.when(~tail, F.col(c)).alias(c) for c in payload], *held)
+    rows = rows.repartition(*k, "__b")  # also where rows lie by key already: a task would hold whole recordings
     each = W.partitionBy(*k, "__b")
     heads = each.orderBy("__tail", t, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
     tails = each.orderBy(F.col("__e").desc(), F.col("__tail").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    for out in values:
-        x = F.col(f"__x_{out}")
-        rows = rows.withColumn(f"__c_{out}", F.avg(x).over(each)).withColumn(f"__x_{out}", x - F.col(f"__c_{out}"))
+    rows = rows.withColumns({f"__c_{out}": F.avg(f"__x_{out}").over(each) for out in values}).withColumns({f"__x_{out}": F.col(f"__x_{out}") - F.col(f"__c_{out}") for out in values})
     both = lambda of, c: F.coalesce(of(F.when(~tail, c)).over(heads), F.lit(0)) + F.coalesce(of(F.when(tail, c)).over(tails), F.lit(0))
-    for out in values:
-        x = F.col(f"__x_{out}")
-        rows = rows.withColumns({f"{out}_n": both(F.count, x), f"__s_{out}": both(F.sum, x), f"__q_{out}": both(F.sum, x * x)})
+    # All values at once, so that rows are sorted twice, however many values there are.
+    rows = rows.withColumns({n: c for out in values for x in [F.col(f"__x_{out}")] for n, c in ((f"{out}_n", both(F.count, x)), (f"__s_{out}", both(F.sum, x)), (f"__q_{out}", both(F.sum, x * x)))})
     rows = rows.where("NOT __tail")
     for out in values:
         n, off = F.col(f"{out}_n"), F.col(f"__s_{out}") / F.col(f"{out}_n")
