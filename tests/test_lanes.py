@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.operators import lanes, propagation, scans
+from tracewright.operators import attitude, lanes, propagation, scans
 
 
 def test_whole_recordings_of_batches():
@@ -51,3 +52,54 @@ def test_running_joins_of_stretches():
         for j in range(i - n + 1, i + 1):
             want = propagation.multiply(want, q[j])
         assert got[i] == pytest.approx(want) and sums[i] == pytest.approx(q[i - n : i + 1].sum(axis=0))
+
+
+def test_a_long_recording_comes_in_pieces(spark):
+    """A task holds no more than the rows asked for and one batch, however long a recording is."""
+    rows = pd.DataFrame({"k": [1] * 7 + [2] + [3] * 400 + [None] * 2, "i": range(410)})
+    for size in (1, 3, 11, 60):
+        got = list(lanes.pieces((rows.iloc[i : i + size] for i in range(0, 410, size)), ["k"], 8))
+        assert max(len(p) for p, _, _ in got) < 8 + size
+        assert np.concatenate([p["i"].iloc[int(begun) :] for p, begun, _ in got]).tolist() == list(range(410))
+        assert all(p["i"].iloc[0] == before["i"].iloc[-1] for (before, _, _), (p, begun, _) in zip(got, got[1:], strict=False) if begun)
+        assert all(begun != ends for (_, _, ends), (_, begun, _) in zip(got, got[1:], strict=False)) and got[-1][2]
+
+    def seen(pdf, before):
+        return pd.DataFrame({"n": [len(pdf)], "held": [before or 0]}), int(pdf["id"].iloc[-1])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = lanes.over(spark.range(2000).selectExpr("id", "0 AS k"), ["k"], ["id"], seen, "n long, held long", 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r.n for r in got) < 150 and max(r.held for r in got) > 1800
+
+
+def drives(spark):
+    """Three recordings, one of them far longer than the others, with gaps, steps back and samples that a sensor lost."""
+    i, k = F.col("id"), F.col("k")
+    rows = spark.range(700).withColumn("k", F.when(i < 20, "a").when(i < 650, "b"))
+    lost = lambda n, c: F.when(i % n > 0, c)
+    sense = {"force_x": lost(41, F.sin(i) * 3), "force_y": F.cos(i * 2), "force_z": F.lit(9.7), "gyro_x": F.sin(i * 3) / 3, "gyro_y": lost(37, F.cos(i) / 2), "gyro_z": (i % 5 - 2) / 8.0}
+    return rows.select(F.coalesce(k, F.lit("c")).alias("k"), i.alias("i"), (i * 0.1 + F.when(i >= 300, 2.0).otherwise(0.0) - F.when(i % 53 == 0, 0.15).otherwise(0.0)).alias("t_s"), *[c.alias(n) for n, c in sense.items()])
+
+
+def test_pieces_walk_as_whole_recordings_do(spark, monkeypatch):
+    df = drives(spark)
+    felt = df.select("k", "i", "t_s", *[F.col(f"force_{a}").alias(f"accel_{a}") for a in "xyz"], *[f"gyro_{a}" for a in "xyz"], F.lit(15.0).alias("mag_x"), (30 + F.sin("i")).alias("mag_y"), F.lit(-30.0).alias("mag_z"))
+    every = lambda: {
+        "orientation": attitude.orientation(felt, "k", ["i"], gyro="gyro", mag="mag", lane_rows=scans.LANE_ROWS), "bias": scans.bias_sensitivity(df, "k"), "given": scans.mechanize(df.withColumns({"q_x": F.lit(0.0), "q_y": F.sin("i") / 9, "q_z": F.lit(0.0), "q_w": F.sqrt(1 - F.sin("i") ** 2 / 81)}), "k", supplied=True),
+        **{gap: scans.mechanize(df, "k", gap, order="i") for gap in ("skip", "segment")},
+    }
+    rows = lambda: {n: sorted(map(str, d.collect())) for n, d in every().items()}
+    whole = rows()
+    monkeypatch.setattr(scans, "LANE_ROWS", 16)
+    monkeypatch.setattr(scans, "CASE_ROWS", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        parts = rows()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole["skip"]) == len(whole["orientation"]) == 700 and len(whole["bias"]) == 3 * 24 and len(whole["segment"]) < 700
+    for n in whole:
+        assert parts[n] == whole[n], n

@@ -1,7 +1,7 @@
 """The attitude filter over recordings: gyroscope rates turn the attitude, what is felt near rest pulls it level, a trusted field pulls its heading.
 
 Every correction depends on the attitude before it, so a recording is walked sample by sample; but recordings don't depend on each other, and a group walks many of them at once, as lanes of arrays, so a step costs a few array operations for
-all of them. Spark deals whole recordings over the cluster and sorts them; a task walks about LANE_ROWS samples at a time.
+all of them. Spark deals whole recordings over the cluster and sorts them; a task walks about LANE_ROWS samples at a time, a longer recording in pieces that hand on the attitude.
 """
 
 from __future__ import annotations
@@ -41,14 +41,14 @@ def shortest_to_up(v: np.ndarray) -> np.ndarray:
     return q / np.linalg.norm(q, axis=1, keepdims=True)
 
 
-def walk(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray, length: np.ndarray, up: np.ndarray, weight: np.ndarray, has_gyro: np.ndarray, gravity_gain: float = P.GRAVITY_GAIN_HZ, magnetic_gain: float = P.MAGNETIC_GAIN_HZ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def walk(t: np.ndarray, gyro: np.ndarray, accel: np.ndarray, mag: np.ndarray, length: np.ndarray, up: np.ndarray, weight: np.ndarray, has_gyro: np.ndarray, gravity_gain: float = P.GRAVITY_GAIN_HZ, magnetic_gain: float = P.MAGNETIC_GAIN_HZ, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(attitudes, level corrections, heading corrections, how each step's rate was used) of lanes: arrays (lane, sample) of samples that are there up to each lane's length.
 
-    up: the direction felt at rest, from which a lane starts level (not a number: from no turn); weight: the field's trust. A rate is used over the step after it, if the step is positive and no longer than MAX_INTEGRATION_STEP_S; the corrections are made
+    up: the direction felt at rest, from which a lane starts level (not a number: from no turn), unless its first sample has an attitude (start); weight: the field's trust. A rate is used over the step after it, if the step is positive and no longer than MAX_INTEGRATION_STEP_S; the corrections are made
     after every positive step, as if it were no longer than that.
     """
     lanes, n = t.shape
-    q = np.where(np.isfinite(up).all(axis=1)[:, None], shortest_to_up(np.nan_to_num(up)), [0.0, 0.0, 0.0, 1.0])
+    q = np.where(np.isfinite(up).all(axis=1)[:, None], shortest_to_up(np.nan_to_num(up)), [0.0, 0.0, 0.0, 1.0]) if start is None else start.copy()
     out, level, north, used = np.zeros((lanes, n, 4)), np.zeros((lanes, n), bool), np.zeros((lanes, n), bool), np.zeros((lanes, n), np.int8)
     size = np.linalg.norm(accel, axis=2)
     with np.errstate(invalid="ignore"):
@@ -112,17 +112,17 @@ def orientation(df: DataFrame, key: str, order: list[str], accel: str = "accel",
 
     qs, xyz = [f"q_{a}" for a in "xyzw"], lambda p: [f"{p}_{a}" for a in "xyz"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, before: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
         t, values = pdf["t_s"].to_numpy(float), {p: pdf[xyz(p)].to_numpy(float) for p in triples if p != gravity}
         q, level, north, used = np.zeros((len(pdf), 4)), np.zeros(len(pdf), bool), np.zeros(len(pdf), bool), np.zeros(len(pdf), np.int8)
         for some in lanes.batches(pdf, k):
             at = some.place(t)
             sensed = [some.place(values[p]) if p else np.broadcast_to(np.nan, (*at.shape, 3)) for p in (gyro, accel, mag)]
             head = pdf.iloc[some.first]
-            found = walk(at, *sensed, some.length, head[xyz("up")].to_numpy(float), head["mag_weight"].to_numpy(float), head["has_gyro"].to_numpy(bool))
+            found = walk(at, *sensed, some.length, head[xyz("up")].to_numpy(float), head["mag_weight"].to_numpy(float), head["has_gyro"].to_numpy(bool), start=before)
             q[some.rows], level[some.rows], north[some.rows], used[some.rows] = (some.taken(x) for x in found)
         out = pd.concat([pdf[[*k, *order, "t_s"]], pd.DataFrame(q, columns=qs), pdf[["confidence"]]], axis=1)
-        return out.assign(level_corrected=level, heading_corrected=north, step=names[used])
+        return out.assign(level_corrected=level, heading_corrected=north, step=names[used])[0 if before is None else 1 :], q[-1:]
 
     facing = rows.drop(*(xyz(gravity) if gravity else [])) if gravity not in (accel, gyro, mag) else rows
     return lanes.over(facing.join(facts, k), k, ["t_s", *order], run, schema, lane_rows)

@@ -1,8 +1,10 @@
-"""Whole recordings in the memory of a task, many at once, so that recurrences walk them side by side as lanes of arrays."""
+"""Recordings in the memory of a task, many short ones at once, so that recurrences walk them side by side as lanes of arrays, and long ones piece by piece."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -10,23 +12,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def whole(batches: Iterator[pd.DataFrame], key: list[str], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches of a partition that is sorted by key, joined and cut between recordings: about `rows` samples each, more only where one recording has more."""
-    held, n, least = [], 0, rows
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n < least:
+def pieces(batches: Iterator[pd.DataFrame], key: list[str], rows: int) -> Iterator[tuple[pd.DataFrame, bool, bool]]:
+    """(frame, begun, ends): batches of a partition that is sorted by key, joined and cut between recordings, about `rows` samples each.
+
+    A recording of more comes in frames of its own, each of which begins with the last sample of the one before (begun); where it goes on after the frame, ends is false.
+    """
+    held, n, begun = [], 0, False
+    for pdf in chain(batches, [None]):
+        if pdf is not None:
+            held.append(pdf)
+            n += len(pdf)
+        if n < (rows if pdf is not None else 1):
             continue
-        pdf = pd.concat(held, ignore_index=True)
-        own = lane_of(pdf, key)
-        last = int(np.searchsorted(own, own[-1]))
-        if last:
-            yield pdf.iloc[:last]
-        held, n = [pdf.iloc[last:]], len(pdf) - last
-        least = max(rows, 2 * n)  # a recording that goes on is looked at again when it has doubled
-    if n:
-        yield pd.concat(held, ignore_index=True)
+        over, pdf = pdf is None, pd.concat(held, ignore_index=True)
+        own, at = lane_of(pdf, key), 0
+        if begun:
+            at = int(np.searchsorted(own, 0, side="right"))
+            begun = at == n and not over
+            yield pdf.iloc[:at], True, not begun
+        if not begun:
+            last = n if over else int(np.searchsorted(own, own[-1]))
+            if last > at:
+                yield pdf.iloc[at:last], False, True
+                at = last
+            begun = n - at >= rows
+            if begun:
+                yield pdf.iloc[at:], False, False
+        rest = (pdf.iloc[-1:] if begun else pdf.iloc[at:]).copy()
+        held, n = [rest], len(rest)
+
+
+def whole(batches: Iterator[pd.DataFrame], key: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """pieces with each recording in one frame, however long it is."""
+    held = []
+    for pdf, begun, ends in pieces(batches, key, rows):
+        held.append(pdf.iloc[1:] if begun else pdf)
+        if ends:
+            yield pd.concat(held, ignore_index=True)
+            held = []
 
 
 def lane_of(pdf: pd.DataFrame, key: list[str]) -> np.ndarray:
@@ -72,12 +95,19 @@ def batches(pdf: pd.DataFrame, key: list[str], most: int = 2_000_000) -> Iterato
         yield Lanes(first[some], length[some])
 
 
-def over(df: DataFrame, key: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int) -> DataFrame:
-    """run(frame of whole recordings, each in order; unknown values last) over all recordings; Spark deals them by key and sorts them, a task holds about `rows` samples at a time."""
+def over(df: DataFrame, key: list[str], order: list[str], run: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema: str, rows: int, at_end: bool = False) -> DataFrame:
+    """What run gives for all recordings, each in order, unknown values last. Spark deals them by key and sorts them; a task holds about `rows` samples at a time, however long a recording is.
+
+    run(frame, before) has a frame of whole recordings and None, or a piece of one recording and its state at the first sample (None where the piece is its first); it gives rows, and the state at the last sample. The first sample of a piece with a state is
+    the last of the piece before. at_end: rows count only where a recording ends.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole(frames, key, rows):
-            yield run(pdf.reset_index(drop=True))
+        state = None
+        for pdf, begun, ends in pieces(frames, key, rows):
+            out, state = run(pdf.reset_index(drop=True), state if begun else None)
+            if ends or not at_end:
+                yield out
 
     dealt = df.repartition(*key).sortWithinPartitions(*key, *[F.col(c).asc_nulls_last() for c in order])
     return dealt.mapInPandas(each, schema)

@@ -1,6 +1,6 @@
 """Strapdown propagation as a walk over the samples of a segment, with all its policies; propagation has the parallel form.
 
-A trajectory that ends at a bad step, or has attitudes supplied, is decided sample by sample. Segments don't depend on each other, so a task walks many of them side by side as lanes of arrays; segments, not rows, spread over the cluster, and a segment is bounded by the recording's length.
+A trajectory that ends at a bad step, or has attitudes supplied, is decided sample by sample. Segments don't depend on each other, so a task walks many of them side by side as lanes of arrays; segments, not rows, spread over the cluster, and a long one is walked in pieces that hand on the state.
 Input columns: key, t_s (seconds), and triples such as gyro_x, gyro_y, gyro_z; missing values are NaN.
 """
 
@@ -58,6 +58,11 @@ class State:
     p: np.ndarray
     a: np.ndarray | None = None  # acceleration at the last good sample, none after a skip
 
+    @classmethod
+    def of(cls, t: np.ndarray, q: np.ndarray, v: np.ndarray) -> State:
+        """Of many lanes at their first samples, as arrays that a walk moves on; no acceleration is not a number there."""
+        return cls(t.copy(), q.copy(), v.copy(), np.zeros(v.shape), np.full(v.shape, np.nan))
+
 
 def advance(s: State, t: float, force: np.ndarray, rate: np.ndarray, supplied: np.ndarray | None = None, max_step: float = P.MAX_INTEGRATION_STEP_S, gyro_bias: np.ndarray | None = None, accel_bias: np.ndarray | None = None, gravity: float = P.STANDARD_GRAVITY_MPS2) -> tuple[State, int]:
     """The next state and its flags. A step that isn't positive or is too long holds velocity and position, and the time moves to the sample's; so does a sample that no sensor could give. A time that isn't finite changes nothing and is an invalid sample.
@@ -97,7 +102,7 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
 
     cols = ["v_x", "v_y", "v_z", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, before: tuple[State, bool] | None) -> tuple[pd.DataFrame, tuple[State, bool]]:
         t, force, rate = pdf["t_s"].to_numpy(float), _triple(pdf, "force"), _triple(pdf, "gyro")
         have_q = all(f"q_{a}" in pdf for a in "xyzw")
         qs = pdf[[f"q_{a}" for a in "xyzw"]].to_numpy(float) if have_q else np.tile([0.0, 0.0, 0.0, 1.0], (len(pdf), 1))
@@ -105,7 +110,8 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
         values, flags, goes = np.zeros((len(pdf), len(cols))), np.zeros(len(pdf), np.int32), np.ones(len(pdf), bool)
         for some in lanes.batches(pdf, [key]):
             given = some.place(qs) if supplied and have_q else None
-            held, flag = walk(some.place(t), some.place(force), some.place(rate), some.length, qs[some.first], v0[some.first], given, max_step)
+            s, ended = before or (State.of(t[some.first], qs[some.first], v0[some.first]), False)
+            held, flag = walk(some.place(t), some.place(force), some.place(rate), some.length, s.q, s.v, given, max_step, s)
             stop = np.isin(flag, (8, 16))
             if on_gap == "fail" and stop.any():
                 lane, i = np.argwhere(stop)[0]
@@ -113,18 +119,21 @@ def mechanize(df: DataFrame, key: str = "segment_id", on_gap: str = "skip", supp
                 raise ValueError(f"segment {pdf[key].iloc[at]}: the step to {t[at + i]} can't be integrated")
             values[some.rows], flags[some.rows] = some.taken(held), some.taken(flag)
             if on_gap == "segment":
-                goes[some.rows] = some.taken(~np.logical_or.accumulate(stop, axis=1))
+                gone = np.logical_or.accumulate(stop, axis=1) | ended
+                goes[some.rows], ended = some.taken(~gone), gone[-1, -1]
         res = pd.concat([pdf[[key, "t_s"]].astype({"t_s": float}), pd.DataFrame(values, columns=cols)], axis=1)
-        return res.assign(flags=flags)[goes]
+        goes[: 0 if before is None else 1] = False
+        return res.assign(flags=flags)[goes], (s, ended)
 
     schema = f"`{key}` {kind}, t_s double, " + ", ".join(f"{c} double" for c in cols) + ", flags int"
     return lanes.over(df, [key], [order], run, schema, LANE_ROWS)
 
 
-def walk(t: np.ndarray, force: np.ndarray, rate: np.ndarray, length: np.ndarray, q0: np.ndarray, v0: np.ndarray, supplied: np.ndarray | None = None, max_step: float = P.MAX_INTEGRATION_STEP_S) -> tuple[np.ndarray, np.ndarray]:
-    """advance() from each lane's first sample to its last: (v, p and q; flags), arrays (lane, sample)."""
+def walk(t: np.ndarray, force: np.ndarray, rate: np.ndarray, length: np.ndarray, q0: np.ndarray, v0: np.ndarray, supplied: np.ndarray | None = None, max_step: float = P.MAX_INTEGRATION_STEP_S, s: State | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """advance() from each lane's first sample to its last: (v, p and q; flags), arrays (lane, sample). s: the lanes' states at their first samples, moved to the last."""
     count, n = t.shape
-    q, v, p, a, now = q0.copy(), v0.copy(), np.zeros((count, 3)), np.full((count, 3), np.nan), t[:, 0].copy()
+    s = s or State.of(t[:, 0], q0, v0)
+    q, v, p, a, now = s.q, s.v, s.p, s.a, s.t
     out, flags = np.zeros((count, n, 10)), np.zeros((count, n), np.int32)
     out[:, 0] = np.concatenate([v, p, q], axis=1)
     size = lambda x: np.linalg.norm(x, axis=2)
@@ -136,7 +145,7 @@ def walk(t: np.ndarray, force: np.ndarray, rate: np.ndarray, length: np.ndarray,
         with np.errstate(invalid="ignore"):
             dt = t[:, i] - now
             kind = np.select([~np.isfinite(dt), dt <= 0, dt > max_step, ~sensed[:, i]], [32, 8, 16, 32], 0)
-        now = np.where(np.isfinite(dt), t[:, i], now)
+        np.copyto(now, t[:, i], where=np.isfinite(dt))
         flags[:, i] = np.where(i < length, kind, 0)
         if supplied is not None:
             held = ~np.isfinite(dt) | (kind == 8) | (kind == 16)
@@ -167,16 +176,15 @@ def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURB
     off = {s: np.array([[0.0] * 3] + [[m if s == sensor and i == axis else 0.0 for i in range(3)] for sensor, axis, m in grid]) for s in ("gyro", "accel")}
     cases = len(grid) + 1
 
-    def ends(t: np.ndarray, force: np.ndarray, rate: np.ndarray) -> np.ndarray:
-        """Positions (lane, case) at the lanes' ends."""
+    def ends(t: np.ndarray, force: np.ndarray, rate: np.ndarray, s: State) -> np.ndarray:
+        """Positions (lane, case) at the lanes' ends, to which the states of all lanes and cases are moved; a lane's cases have one time."""
         count, n = t.shape
-        q, v, p = np.tile([0.0, 0.0, 0.0, 1.0], (count * cases, 1)), np.zeros((count * cases, 3)), np.zeros((count * cases, 3))
-        before, now = np.full(v.shape, np.nan), t[:, 0].copy()
+        q, v, p, before, now = s.q, s.v, s.p, s.a, s.t
         for i in range(1, n):
             with np.errstate(invalid="ignore"):
                 dt = t[:, i] - now
                 fits = (dt > 0) & (dt <= max_step)
-            now = np.where(np.isfinite(dt), t[:, i], now)
+            np.copyto(now, t[:, i], where=np.isfinite(dt))
             f, w = (force[:, i, None] - off["accel"]).reshape(-1, 3), (rate[:, i, None] - off["gyro"]).reshape(-1, 3)
             with np.errstate(invalid="ignore"):
                 good = np.repeat(fits, cases) & (np.linalg.norm(f, axis=1) <= P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2) & (np.linalg.norm(w, axis=1) <= P.MAX_PLAUSIBLE_RATE_RPS)
@@ -193,17 +201,19 @@ def bias_sensitivity(df: DataFrame, key: str = "segment_id", gyro=P.GYRO_PERTURB
             v[at] += dv
         return p.reshape(count, cases, 3)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, before: State | None) -> tuple[pd.DataFrame, State]:
         t, force, rate = pdf["t_s"].to_numpy(float), _triple(pdf, "force"), _triple(pdf, "gyro")
         first, moved = [], []
         for some in lanes.batches(pdf, [key], 2 * CASE_ROWS):
-            p = ends(some.place(t), some.place(force), some.place(rate))
+            count = len(some.first) * cases
+            s = before or State.of(t[some.first], np.tile([0.0, 0.0, 0.0, 1.0], (count, 1)), np.zeros((count, 3)))
+            p = ends(some.place(t), some.place(force), some.place(rate), s)
             first.append(some.first)
             moved.append(np.linalg.norm(p[:, 1:] - p[:, :1], axis=2))
         who = np.repeat(np.concatenate(first), len(grid))
         each = {"sensor": [g[0] for g in grid], "axis": [g[1] for g in grid], "magnitude": [g[2] for g in grid]}
         out = pd.DataFrame({c: np.tile(np.array(v), len(who) // len(grid)) for c, v in each.items()})
         out.insert(0, key, pdf[key].iloc[who].array)
-        return out.assign(divergence_m=np.concatenate(moved).ravel())
+        return out.assign(divergence_m=np.concatenate(moved).ravel()), s
 
-    return lanes.over(df, [key], ["t_s"], run, f"`{key}` {kind}, sensor string, axis int, magnitude double, divergence_m double", CASE_ROWS)
+    return lanes.over(df, [key], ["t_s"], run, f"`{key}` {kind}, sensor string, axis int, magnitude double, divergence_m double", CASE_ROWS, at_end=True)
