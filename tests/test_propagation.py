@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import generators as GN
-from tracewright.operators import propagation, scans
+from tracewright.operators import navigation, propagation, scans
 
 COLUMNS = ["v_x", "v_y", "v_z", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w", "flags"]
 
@@ -64,3 +64,19 @@ def test_a_long_recording_is_many_groups(spark):
     assert plan.count() == 1601 and math.isclose(plan.agg(F.max(F.abs("q_z"))).first()[0], 1.0, abs_tol=1e-2)
     groups = rows.select(F.floor(F.col("t_s") / 10.0)).distinct().count()
     assert groups >= 8
+
+
+@pytest.mark.parametrize("block_s", [0.05, 1.0, 300.0])
+def test_given_attitudes_by_blocks_equal_the_walk(spark, block_s):
+    """Blocks of one row, of some and of all: a block's first steps need two rows before it, wherever they lie."""
+    i, k = F.col("i"), F.col("segment_id")
+    rows = spark.range(600).select(F.col("id").alias("i"), F.when(F.col("id") < 570, F.concat(F.lit("s"), F.col("id") % 2)).alias("segment_id"))
+    gap = F.when(i > 200, 4.0).otherwise(0.0) + F.when(i > 400, F.when(i < 410, (i - 400) * 40.0).otherwise(400.0)).otherwise(0.0)
+    sense = {"force_x": F.when(i % 41 > 0, F.sin(i) * 3), "force_y": F.cos(i * 2), "force_z": F.when(i % 97 > 0, 9.7).otherwise(900.0), "gyro_x": F.when(i % 37 > 0, F.sin(i * 3) / 3), "gyro_y": F.cos(i) / 2, "gyro_z": F.lit(0.1)}
+    rows = rows.select("segment_id", "i", F.round((i * 0.033 + gap) * 1e6).cast("long").alias("us"), *[c.alias(n) for n, c in sense.items()], F.lit(0.0).alias("q_x"), (F.sin(i) / 9).alias("q_y"), F.lit(0.0).alias("q_z"), F.sqrt(1 - F.sin(i) ** 2 / 81).alias("q_w"), F.lit(2.0).alias("v0_x"), F.lit(0.0).alias("v0_y"), F.lit(0.0).alias("v0_z"))
+    got = {r.i: r for r in navigation.propagate(rows, "segment_id", ["i"], "us", block_s=block_s).collect()}
+    names = [f"{p}_{a}" for p in "vp" for a in "xyz"]
+    want = scans.mechanize(rows.where(k.isNotNull()).withColumn("t_s", F.col("us") / 1e6), supplied=True, order="i").withColumn("us", F.round(F.col("t_s") * 1e6).cast("long")).join(rows.select("segment_id", "us", "i"), ["segment_id", "us"]).collect()
+    assert len(got) == 600 and len(want) == 570 and sum(r.segment_id is None for r in got.values()) == 30  # no segment's name is a segment too
+    for r in want:
+        assert [got[r.i][n] for n in names] == pytest.approx([r[n] for n in names], abs=1e-7) and got[r.i].flags & 56 == r.flags, r.i

@@ -133,8 +133,9 @@ def _halves(rows: DataFrame, best: DataFrame, key, t: str, order: list[str], h:
     known = rows.join(best.select(*k, "lag_s"), k)
     read = asof.interpolate_many(rows.where("base").withColumnRenamed("rate", "own"), known.select(*k, t, *order, "rate", "lag_s"), key, t, order, {"far": "rate"}, F.col("lag_s"))
     read = read.join(lag, k).withColumn("s", F.when(F.col("lag_s") == 0, F.col("own")).otherwise(F.col("far"))).where(F.abs("s") >= P.MIN_LONGITUDINAL_ACCEL_MPS2)
-    w = W.partitionBy(*k)
-    read = read.withColumn("i", F.row_number().over(w.orderBy(t, *order))).withColumn("half", F.floor(F.count("*").over(w) / 2))
+    w = W.partitionBy(*k).orderBy(t, *order)
+    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in the same order, so that one window holds both
+    read = read.withColumns({"i": F.row_number().over(w), "half": F.floor(F.count("*").over(every) / 2)})
     v = tuple(F.col(c) for c in h)
     ends = lambda early: tuple(F.sum(F.when((F.col("i") <= F.col("half")) == early, c * F.col("s"))) for c in v)
     turned = F.signum(V.dot(v, V.vector("forward"))) != F.signum("s")

@@ -101,8 +101,9 @@ def residual_lag(track: DataFrame, reference: DataFrame, key, t: str) -> DataFra
 def reference_track(rows: DataFrame, key, speed: Column, position: tuple[Column, Column, Column], fresh: Column, headings: list[str], order: list[str], t: str) -> DataFrame:
     """A recording's own reference: speed, position (e, n, u) of fresh fixes only, and the first of the heading columns that has a value in the recording, named in heading_source."""
     k = _key(key)
-    each = W.partitionBy(*k)
-    have = [F.count(h).over(each) > 0 for h in headings]
+    rows = rows.withColumn("__k", F.struct(*k))  # keys in a struct are equal where both are null
+    rows = rows.join(rows.groupBy("__k").agg(*[F.count(h).alias(f"__have_{h}") for h in headings]), "__k")
+    have = [F.col(f"__have_{h}") > 0 for h in headings]
     pick, name = F.lit(None).cast("double"), F.lit("none")
     for h, any_ in reversed(list(zip(headings, have, strict=True))):
         pick, name = F.when(any_, F.col(h).cast("double")).otherwise(pick), F.when(any_, h).otherwise(name)

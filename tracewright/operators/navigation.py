@@ -1,6 +1,6 @@
 """Trajectories of segments whose attitudes are given: what a bias from rest takes off, how a segment starts, the strapdown sums with a flag for every step, and the states' frame.
 
-With attitudes given, velocity and position are running sums of built-in expressions, so a segment needs no loop.
+With attitudes given, velocity and position are running sums of built-in expressions, so a segment needs no loop; sums run within blocks of time, and a scan over blocks links them, so no task holds a long segment.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..functions import flags as FL
 from ..functions import quaternions as Q
 from ..functions import rotations as R
 from ..functions import vectors as V
-from . import ordered
+from . import lags, ordered
 from .timeline import US, _key
 
 AXES = "xyz"
@@ -67,45 +67,65 @@ def median_step(df: DataFrame, key, order: list[str], t: str) -> DataFrame:
     return steps.groupBy(*_key(key)).agg(F.median(F.when(F.col("s") > 0, F.col("s"))).alias("median_s"))
 
 
-def propagate(df: DataFrame, key, order: list[str], t: str, force: str = "force", gyro: str | None = "gyro", attitude: str = "q", max_step_s: float = P.MAX_INTEGRATION_STEP_S) -> DataFrame:
+def propagate(df: DataFrame, key, order: list[str], t: str, force: str = "force", gyro: str | None = "gyro", attitude: str = "q", max_step_s: float = P.MAX_INTEGRATION_STEP_S, block_s: float = lags.BLOCK_S) -> DataFrame:
     """Adds v_*, p_* and flags to rows with attitudes, in the order of t and then of `order`.
 
     Columns that are there are used: v0_* (start velocity), accel_bias_* and gyro_bias_*, median_s (for irregular steps: over IRREGULAR_DT_FACTOR times the median or under its inverse), stationary, alignment_confidence (null: no
     alignment, as where the column is missing). Flags: 1 weak and 2 no alignment at integrated samples, 4 irregular, 8 time that doesn't advance, 16 too long a step, 32 a sensor that can't be, 64 at rest; the first sample has none. A step with 8, 16 or 32 holds velocity
     and position, and the sample after it uses its own acceleration for both ends. A segment whose gyroscope never gives a rate is judged by its force alone.
+
+    A block of block_s knows the two rows before it, which its first steps need, and sums as if it started at rest; the sums of the blocks before it give the velocity and position that it starts with.
     """
-    k = _key(key)
+    k, us = _key(key), int(round(block_s * US))
     have = lambda c: F.col(c) if c in df.columns else None
     bias = lambda p: tuple(F.coalesce(F.col(f"{p}_{a}"), F.lit(0.0)) if f"{p}_{a}" in df.columns else F.lit(0.0) for a in AXES)
-    w = W.partitionBy(*k).orderBy(t, *order)
-    each = W.partitionBy(*k)
-    rows = df.where(F.col(t).isNotNull())
+    at = F.struct(t, *order)
+    rows = df.where(F.col(t).isNotNull()).withColumns({"__k": F.struct(*k), "__b": F.floor(F.col(t) / us).cast("bigint")})  # keys in a struct are equal where both are null
     step = lambda df, v, name, axes=AXES: df.select(*df.columns, *[c.alias(f"{name}{a}") for c, a in zip(v, axes, strict=True)])
     rows = step(rows, V.subtract(tuple(V.clean(c) for c in V.vector(force)), bias("accel_bias")), "__f")
     rates = V.subtract(tuple(V.clean(c) for c in V.vector(gyro)), bias("gyro_bias")) if gyro else tuple(F.lit(None).cast("double") for _ in AXES)
     rows = step(rows, rates, "__w")
     f, rate = tuple(F.col(f"__f{a}") for a in AXES), tuple(F.col(f"__w{a}") for a in AXES)
-    rows = rows.withColumns({"__dt": (F.col(t) - F.lag(t).over(w)) / US, "__rates": F.count_if(V.all_finite(*rate)).over(each), "__i": F.row_number().over(w)})
+    rows = step(rows, Q.rotate(Q.quaternion(attitude), f), "__a").withColumn("__az", F.col("__az") - P.STANDARD_GRAVITY_MPS2)
+    rows = rows.join(rows.groupBy("__k").agg(F.count_if(V.all_finite(*rate)).alias("__rates")), "__k")
     sensed = V.plausible(f, P.MAX_PLAUSIBLE_SPECIFIC_FORCE_MPS2) & ((F.col("__rates") == 0) | V.plausible(rate, P.MAX_PLAUSIBLE_RATE_RPS))
-    rows = rows.withColumn("__bad", F.when(F.col("__i") == 1, 0).when(F.col("__dt") <= 0, 8).when(F.col("__dt") > max_step_s, 16).when(~F.coalesce(sensed, F.lit(False)), 32).otherwise(0))
-    rows = rows.withColumn("__ok", (F.col("__i") > 1) & (F.col("__bad") == 0))
-    rows = step(rows, Q.rotate(Q.quaternion(attitude), f), "__a")
-    rows = rows.withColumn("__az", F.col("__az") - P.STANDARD_GRAVITY_MPS2)
-    held = F.coalesce(F.lag("__ok").over(w), F.lit(False))
-    dv = lambda a: F.when(F.col("__ok"), 0.5 * (F.when(held, F.lag(f"__a{a}").over(w)).otherwise(F.col(f"__a{a}")) + F.col(f"__a{a}")) * F.col("__dt")).otherwise(0.0)
-    rows = rows.withColumns({f"__dv{a}": dv(a) for a in AXES})
+    rows = rows.withColumn("__own", F.struct(F.col(t).alias("t"), F.coalesce(sensed, F.lit(False)).alias("s"), *[F.col(f"__a{a}").alias(a) for a in AXES]))
+    rows = rows.repartition("__k", "__b")
+
+    w = W.partitionBy("__k", "__b").orderBy(t, *order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    start = lambda a: F.coalesce(F.first(f"v0_{a}").over(upto), F.lit(0.0)) if f"v0_{a}" in df.columns else F.lit(0.0)
-    rows = rows.withColumns({f"v_{a}": start(a) + F.sum(f"__dv{a}").over(upto) for a in AXES})
-    rows = rows.withColumns({f"p_{a}": F.sum(F.when(F.col("__ok"), (F.col(f"v_{a}") - 0.5 * F.col(f"__dv{a}")) * F.col("__dt")).otherwise(0.0)).over(upto) for a in AXES})
+    blocks = W.partitionBy("__k").orderBy("__b")
+    rows = rows.withColumns({"__l": F.lag("__own").over(w), "__ll": F.lag("__own", 2).over(w)})
+    ends = rows.groupBy("__k", "__b").agg(F.max_by(F.struct("__own", "__l"), at).alias("__e"))
+    rows = rows.join(ends.select("__k", "__b", F.lag("__e").over(blocks).alias("__p"), F.lag("__e", 2).over(blocks).alias("__pp")), ["__k", "__b"])
+    earlier = F.when(F.col("__l").isNotNull(), F.col("__p.__own.t")).otherwise(F.coalesce("__p.__l.t", "__pp.__own.t"))
+    rows = rows.withColumns({"__last": F.coalesce("__l", "__p.__own"), "__then": F.coalesce(F.col("__ll.t"), earlier)})
+    first, was = F.col("__last").isNull(), (F.col("__last.t") - F.col("__then")) / US
+    rows = rows.withColumn("__dt", (F.col(t) - F.col("__last.t")) / US)
+    rows = rows.withColumn("__bad", F.when(first, 0).when(F.col("__dt") <= 0, 8).when(F.col("__dt") > max_step_s, 16).when(~F.col("__own.s"), 32).otherwise(0))
+    rows = rows.withColumns({"__ok": ~first & (F.col("__bad") == 0), "__held": F.coalesce((was > 0) & (was <= max_step_s) & F.col("__last.s"), F.lit(False))})
+    dv = lambda a: F.when(F.col("__ok"), 0.5 * (F.when(F.col("__held"), F.col(f"__last.{a}")).otherwise(F.col(f"__a{a}")) + F.col(f"__a{a}")) * F.col("__dt")).otherwise(0.0)
+    running = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0))
+    rows = rows.withColumns({f"__dv{a}": dv(a) for a in AXES})
+    rows = rows.withColumns({f"__v{a}": running(F.col(f"__dv{a}")) for a in AXES} | {f"__s{a}": F.when(F.col("__ok") & F.col(f"__dv{a}").isNotNull(), F.col("__dt")).otherwise(0.0) for a in AXES})
+    rows = rows.withColumns({f"__p{a}": running((F.col(f"__v{a}") - 0.5 * F.col(f"__dv{a}")) * F.col(f"__s{a}")) for a in AXES} | {f"__s{a}": running(F.col(f"__s{a}")) for a in AXES})
+
+    start = [(F.col(f"v0_{a}") if f"v0_{a}" in df.columns else F.lit(0.0)).alias(a) for a in AXES]
+    sums = rows.groupBy("__k", "__b").agg(F.min_by(F.struct(*start), at).alias("__v0"), F.max_by(F.struct(*[f"__{c}{a}" for c in "vps" for a in AXES]), at).alias("__e"))
+    before = blocks.rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    sums = sums.withColumns({f"__v0{a}": F.coalesce(F.first(f"__v0.{a}").over(blocks.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0.0)) + total(f"__e.__v{a}") for a in AXES})
+    sums = sums.select("__k", "__b", *[f"__v0{a}" for a in AXES], *[total(F.col(f"__e.__p{a}") + F.col(f"__v0{a}") * F.col(f"__e.__s{a}")).alias(f"__p0{a}") for a in AXES])
+    rows = rows.join(sums, ["__k", "__b"])
+    rows = rows.withColumns({f"v_{a}": F.col(f"__v0{a}") + F.col(f"__v{a}") for a in AXES} | {f"p_{a}": F.col(f"__p0{a}") + F.col(f"__v0{a}") * F.col(f"__s{a}") + F.col(f"__p{a}") for a in AXES})
     n = FL.NAVIGATION
-    timed = (F.col("__i") > 1) & ~F.col("__bad").isin(8, 16)
+    timed = ~first & ~F.col("__bad").isin(8, 16)
     flags = F.col("__bad")
     if (m := have("median_s")) is not None:
         ratio = F.col("__dt") / m
         flags = FL.set_if(flags, F.coalesce(timed & (m > 0) & ((ratio > P.IRREGULAR_DT_FACTOR) | (ratio < 1.0 / P.IRREGULAR_DT_FACTOR)), F.lit(False)), n["IRREGULAR_DT"])
     if (rest := have("stationary")) is not None:
-        flags = FL.set_if(flags, (F.col("__i") > 1) & F.coalesce(rest, F.lit(False)), n["STATIONARY"])
+        flags = FL.set_if(flags, ~first & F.coalesce(rest, F.lit(False)), n["STATIONARY"])
     trust = have("alignment_confidence")
     flags = FL.set_if(flags, F.col("__ok") & (F.lit(True) if trust is None else trust.isNull()), n["ALIGNMENT_UNAVAILABLE"])
     if trust is not None:

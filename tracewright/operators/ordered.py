@@ -139,18 +139,11 @@ def path_length(df: DataFrame, key, order: list[str], coords: list[str]) -> Data
 # Runs
 
 
-def islands(df: DataFrame, key, order: list[str], mask: str) -> DataFrame:
-    """Adds run: numbers the stretches of equal mask in a key (null counts as false)."""
-    w = _rows(key, order)
-    m = F.coalesce(F.col(mask), F.lit(False))
-    rows = df.withColumn("__m", m).withColumn("__new", F.when(F.lag("__m").over(w).eqNullSafe(F.col("__m")), 0).otherwise(1))
-    return rows.withColumn("run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__m", "__new")
-
-
 def runs(df: DataFrame, key, order: list[str], t: str, mask: str) -> DataFrame:
     """A row per stretch of true: n, start, end, and next, the time of the first row after it (null at the end of the recording)."""
     w = _rows(key, order)
-    rows = islands(df, key, order, mask).withColumn("__next", F.lead(t).over(w))
+    others = F.count_if(~F.coalesce(F.col(mask), F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))  # the same in a stretch of true, and in no two
+    rows = df.withColumns({"run": others, "__next": F.lead(t).over(w)})
     at = F.struct(*order)
     return rows.where(F.col(mask)).groupBy(*_key(key), "run").agg(F.count("*").alias("n"), F.min(t).alias("start_us"), F.max(t).alias("end_us"), F.max_by("__next", at).alias("next_us")).drop("run")
 

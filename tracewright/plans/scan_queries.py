@@ -93,15 +93,15 @@ def gyro_mechanize(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("k", "i", *names, "flags"), *names)
 
 
-def driven(spark: SparkSession, d: str) -> DataFrame:
-    """Each event type as a recording of ten rows a second: speed from the values, the acceleration 0.6 s ahead of it along a tilted phone's axes, and for two of the types a gravity channel."""
+def driven(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Each event type as a recording of ten rows a second, with more columns of events: speed from the values, the acceleration 0.6 s ahead of it along a tilted phone's axes, and for two of the types a gravity channel."""
     w = W.partitionBy("event_type").orderBy("t", "event_id")
     rows = events(spark, d).withColumns({"i": F.row_number().over(w) - 1, "f": F.coalesce((F.lead("x", 7).over(w) - F.lead("x", 5).over(w)) / 10, F.lit(0.0)), "l": (F.col("event_id") % 13 - 6) / 4.0, "d": (F.col("event_id") % 7 - 3) / 100.0})
     along = {"accel_x": (0.8, 0.6, 0.0), "accel_y": (-0.48, 0.64, 0.6), "accel_z": (0.36, -0.48, 0.8)}
     channel = F.col("event_type").isin("click", "view")
     felt = {"gravity_x": F.col("d"), "gravity_y": F.lit(9.80665 * 0.6), "gravity_z": F.lit(9.80665 * 0.8)}
     return rows.select(
-        F.col("event_type").alias("k"), "i", (F.col("i").cast("long") * 100_000).alias("t"), (5 + F.col("x") / 10).alias("speed"),
+        F.col("event_type").alias("k"), "i", (F.col("i").cast("long") * 100_000).alias("t"), (5 + F.col("x") / 10).alias("speed"), *more,
         *[(F.col("f") * a + F.col("l") * b + 9.80665 * c).alias(n) for n, (a, b, c) in along.items()], *[F.when(channel, c).alias(n) for n, c in felt.items()],
     )
 

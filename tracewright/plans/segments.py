@@ -6,7 +6,6 @@ A segment that can't be evaluated has a row that says why. Rows are canonical (s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -28,8 +27,8 @@ def prepared(rows: DataFrame, least: int = P.MIN_SEGMENT_SAMPLES) -> DataFrame:
     num = lambda c: (V.clean(F.col(c).cast("double")) if c in rows.columns else F.lit(None).cast("double")).alias(c)
     fresh = F.coalesce(F.col("gnss_position_fresh"), F.lit(False)) if "gnss_position_fresh" in rows.columns else F.lit(False)
     out = rows.where("t_us IS NOT NULL").select(KEY, "session_id", "source_file", "row_idx", "t_us", (F.col("t_us") / US).alias("t_s"), *map(num, [*names, "latitude", "longitude", "altitude_m", "gnss_speed_mps", "ref_speed_mps", "ref_heading_deg", "gnss_heading_deg"]), fresh.alias("fresh"))
-    seen = F.count_if(V.all_finite(*V.vector("accel"))).over(W.partitionBy(KEY))
-    out = out.withColumn("__n", seen).where(F.col("__n") >= least).drop("__n")
+    seen = out.groupBy(KEY).agg(F.count_if(V.all_finite(*V.vector("accel"))).alias("__n")).where(F.col("__n") >= least)
+    out = out.join(seen.select(KEY), KEY, "left_semi")
     out = out.withColumn("gnss_speed_mps", F.when(F.col("fresh"), F.col("gnss_speed_mps")))
     return frames.choose_speed(out, KEY, "ref_speed_mps", "gnss_speed_mps")
 
@@ -48,7 +47,7 @@ def evaluate(rows: DataFrame, least: int = P.MIN_SEGMENT_SAMPLES) -> dict[str, D
     rest, _ = tables.keep(rest.join(turned.select(KEY, "row_idx", *[f"q_{a}" for a in "xyzw"], F.col("confidence").alias("attitude_confidence")), [KEY, "row_idx"]).join(up, KEY))
     biases, _ = tables.keep(navigation.bias_from_longest_rest(rest, KEY, order, "t_us", "stationary", "accel", "up", "gyro"))
     ref = reference(own)
-    start = starts(rest, aligned, KEY, order)
+    start, _ = tables.keep(starts(rest, aligned, KEY, order))
     median = navigation.median_step(own, KEY, order, "t_us")
     facts = aligned.select(KEY, F.when(F.col("rotation").isNotNull(), F.col("confidence")).alias("alignment_confidence"))
     track = navigation.propagate(rest.join(facts, KEY).join(biases, KEY).join(start.select(KEY, *[f"v0_{a}" for a in AXES]), KEY).join(median, KEY), KEY, order, "t_us", "accel", "gyro")
