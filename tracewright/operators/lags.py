@@ -37,7 +37,11 @@ def reached(rows: DataFrame, other: DataFrame, key, t: str, order: list[str], va
     near = own.select("*", F.explode(F.sequence(F.floor((F.col(t) - reach) / us).cast("bigint"), F.floor((F.col(t) + reach) / us).cast("bigint"))).alias("__b")).join(blocks, [*k, "__b"], "left_semi")
     low, high = F.col("__b") * us - reach, (F.col("__b") + 1) * us + reach
     empty = [F.lit(None).cast(own.schema[o].dataType).alias(o) for o in order]
-    ends = bracket(blocks.select(*k, "__b", low.alias(t), *empty).unionByName(blocks.select(*k, "__b", high.alias(t), *empty)), own, key, t, order, value)
+    # Spans begin and end where one of the two floors steps, so what lies next to one is the first or last row of a pair of floors.
+    row, at = F.struct(t, *order, value), F.struct(t, *order)
+    outer = own.groupBy(*k, F.floor((F.col(t) + reach) / us), F.floor((F.col(t) - reach) / us)).agg(F.array_distinct(F.array(F.min_by(row, at), F.max_by(row, at))).alias("__r"))
+    outer = outer.select(*k, F.explode("__r").alias("__r")).select(*k, "__r.*")
+    ends = bracket(blocks.select(*k, "__b", low.alias(t), *empty).unionByName(blocks.select(*k, "__b", high.alias(t), *empty)), outer, key, t, order, value)
     side = F.explode(F.array(F.when(F.col(t) == low, F.col("before")), F.when(F.col(t) == high, F.col("after")))).alias("e")
     beyond = ends.select(*k, "__b", side).where("e IS NOT NULL").select(*k, "__b", F.col("e.t").alias(t), F.col("e.v").alias(value))
     beyond = beyond.where((F.col(t) < low) | (F.col(t) > high))

@@ -41,7 +41,7 @@ def evaluate(rows: DataFrame, least: int = P.MIN_SEGMENT_SAMPLES) -> dict[str, D
     sensors = {s: s for s in ("gravity", "gyro", "mag")}
     turned, _ = tables.keep(attitude.orientation(own, KEY, order, **sensors))
     aligned, _ = tables.keep(alignment.alignment(own, KEY, "t_us", order, **sensors))
-    norms = own.withColumns({"__f": V.norm(V.vector("accel")), "__w": V.norm(V.vector("gyro"))})
+    norms = own.select(KEY, *order, "t_us", "speed", *[f"{s}_{a}" for s in ("accel", "gyro") for a in AXES], V.norm(V.vector("accel")).alias("__f"), V.norm(V.vector("gyro")).alias("__w"))
     rest = ordered.stationary(norms, KEY, order, "t_us", "__f", "__w").drop("__f", "__w")
     up = frames.gravity_estimate(own, KEY, "accel", "gravity", "gyro").select(KEY, *[f"up_{a}" for a in AXES])
     rest, _ = tables.keep(rest.join(turned.select(KEY, "row_idx", *[f"q_{a}" for a in "xyzw"], F.col("confidence").alias("attitude_confidence")), [KEY, "row_idx"]).join(up, KEY))
